@@ -272,17 +272,28 @@ def verified(texts: DataFrame, groups: DataFrame, settings: Settings) -> DataFra
     return rows.groupBy("cell").applyInPandas(run, "a string, b string, n long")
 
 
+def uid():
+    return F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lower(F.hex(F.xxhash64("text"))))
+
+
+def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row of the smallest doc_id stays."""
+    found = near_duplicates(docs, settings)
+    first = found.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"))
+    kept = first.select(F.col("first.uid").alias("__uid"))
+    return docs.withColumn("__uid", uid()).join(kept, "__uid", "left_semi").dropDuplicates(["__uid"]).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Group the rows of ``docs`` (doc_id, text) whose sets of word shingles are alike.
 
-    One row for each row of ``docs``: doc_id, class_id (the smallest doc_id of the rows with an equal
+    One row for each row of ``docs``: uid (of its doc_id and text), group_key, doc_id, class_id (the smallest doc_id of the rows with an equal
     shingle set), group_id (the smallest doc_id of all rows that links connect), n_links (how many
     other classes are linked to the row's class), n_copies (rows of its class). Null texts and texts
     without words form no class: class_id and group_id are their own doc_id. Rows with equal doc_id
     are told apart by their text; rows equal in both share a class.
     """
-    uid = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lower(F.hex(F.xxhash64("text"))))
-    base = docs.select("doc_id", "text").withColumn("uid", uid)
+    base = docs.select("doc_id", "text").withColumn("uid", uid())
     sketched = written(base.select("uid", "doc_id", "text").transform(lambda d: sketch(d, settings)).withColumn("doc_id", F.expr("try_cast(substring_index(uid, '-', greatest(1, size(split(uid, '-')) - 1)) as bigint)")))
     known = sketched.where("set_key is not null")
     # one signature and one text stand for a class
@@ -298,9 +309,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "set_key")
     with_root = classes.join(roots, "set_key", "left").join(count, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     low = with_root.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    labelled = with_root.join(low, "root").select("set_key", "class_id", "group_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("n_copies").cast("bigint").alias("n_copies"))
-    return sketched.select("doc_id", "set_key").join(labelled, "set_key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"))
+    labelled = with_root.join(low, "root").select("set_key", "root", "class_id", "group_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("n_copies").cast("bigint").alias("n_copies"))
+    return sketched.select("uid", "doc_id", "set_key").join(labelled, "set_key", "left").select("uid", F.coalesce("root", "uid").alias("group_key"), "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"))
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_id", "n_links", "n_copies")

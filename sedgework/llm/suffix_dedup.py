@@ -30,6 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sedgework.llm.common import mix64, slices, table
 
@@ -159,6 +160,12 @@ def unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
 BLOCK = [np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8]
 
 
+def runs_of(values: np.ndarray) -> list[tuple[int, int]]:
+    """The ranges of equal neighbours of a sorted array of numbers >= 0."""
+    ends = (np.flatnonzero(np.diff(values, append=-1)) + 1).tolist()
+    return list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
+
+
 def blocks_of(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], cuts: np.ndarray, width: int) -> Iterator[tuple[int, bytes]]:
     """The blocks (bucket, bytes) of a batch of documents, sorted by id."""
     reach = width - GRAM
@@ -173,8 +180,7 @@ def blocks_of(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], cuts: np.
     order = np.lexsort((doc, key, bucket))
     same = np.zeros(len(order), bool)
     same[1:] = (key[order][1:] == key[order][:-1]) & (bucket[order][1:] == bucket[order][:-1])
-    ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
-    for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+    for lo, hi in runs_of(bucket[order]):
         here = order[lo:hi]
         head = here[np.maximum.accumulate(np.where(same[lo:hi], 0, np.arange(hi - lo)))]
         later = ids[doc[here]] > ids[doc[head]]  # covered already; what a document repeats itself is no copy
@@ -293,16 +299,17 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return len(raw) - len(left), runs, left
 
 
-def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte of a text that a string of ``min_bytes`` bytes covers which a row of smaller doc_id has too.
 
     ``docs`` has doc_id and text; one row out for each row in: doc_id, n_bytes, n_removed, n_spans,
     kept_sha256 and, with ``with_text``, ``kept`` (string; bytes of a character that was cut apart are
-    left out). Null texts count as empty. Rows of a null doc_id keep their whole text and take nothing
+    left out), then the columns to ``carry``, as they are. Null texts count as empty. Rows of a null doc_id keep their whole text and take nothing
     from others. Rows of equal doc_id take nothing from each other.
     """
     width = settings.min_bytes
-    base = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
+    carried = [F.col(c).alias(f"__{c}") for c in carry]
+    base = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), *carried)
     base = base.withColumn("hash", F.xxhash64("doc_id", "raw"))
     size = base.agg(F.count("*").alias("rows"), F.sum(F.octet_length("raw")).alias("bytes")).first()
     buckets = max(64, -(-(size["bytes"] or 0) // settings.bucket_bytes))
@@ -331,9 +338,8 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
         ids, hashes, start, end = matches(t.column("block").to_pylist(), width)
         to = (hashes % groups).astype(np.int32)
         order = np.lexsort((start, hashes, ids, to))
-        ends = np.flatnonzero(np.diff(to[order], append=-1)) + 1 if len(order) else []
         out = []
-        for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+        for lo, hi in runs_of(to[order]):
             o = order[lo:hi]
             out.append((int(to[o[0]]), pack([ids[o], hashes[o], start[o].astype(np.uint32), (end - start)[o].astype(np.uint32)])))
         return pa.table({"grp": pa.array([x[0] for x in out], pa.int32()), "spans": pa.array([x[1] for x in out], pa.binary())})
@@ -353,9 +359,11 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
         for i, h, raw in zip(*(left.column(c).to_pylist() for c in ("doc_id", "hash", "raw")), strict=True):
             removed, runs, kept = cut(raw, spans.get((i, h), []))
             rows.append((i, len(raw), removed, runs, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * with_text))
-        return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))})
+        own = {n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))}
+        return pa.table(own | {c: left.column(f"__{c}") for c in carry})
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    schema = T.StructType([*schema.fields, *(docs.schema[c] for c in carry)])
     return base.withColumn("grp", grp).groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(apply, schema)
 
 
