@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,9 +91,8 @@ def pieces(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     doc, first, last, a = anchors(buf, starts, sizes, width)
     reach = width - GRAM  # bytes before the anchor
     rows = np.lib.stride_tricks.sliding_window_view(buf, reach + width)[a - reach]
-    col = np.arange(reach + width)
     far, near = (a - first).astype(np.uint8), (a - last).astype(np.uint8)
-    rows = rows * ((col >= (reach - far.astype(np.int16))[:, None]) & (col < (reach - near.astype(np.int16) + width)[:, None]))
+    rows = rows * covered(far, near, width)
     return doc, (a - starts[doc]).astype(np.uint32), far, near, rows
 
 
@@ -142,9 +142,29 @@ def multikey(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
+def covered(far: np.ndarray, near: np.ndarray, width: int) -> np.ndarray:
+    """Which of the bytes around each anchor its windows cover."""
+    col, reach = np.arange(2 * width - GRAM), width - GRAM
+    return (col >= (reach - far.astype(np.int16))[:, None]) & (col < (reach - near.astype(np.int16) + width)[:, None])
+
+
+def steps(sorted_: np.ndarray) -> np.ndarray:
+    """Differences of sorted small numbers, which compress better."""
+    return np.diff(sorted_, prepend=0).astype(np.uint32)
+
+
+def planes(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers byte by byte: all first bytes, then all second ones and so on."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def joined_planes(planes_: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes_.reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack(arrays: list[np.ndarray]) -> bytes:
     head = struct.pack(f"<{len(arrays)}q", *(a.nbytes for a in arrays))
-    return zstandard.compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 2)
+    return zstandard.compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 6)
 
 
 def unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
@@ -156,8 +176,8 @@ def unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-#: Of a block of pieces: document ids and text hashes; row of the document, anchor, far, near of pieces and of their copies in other documents; bytes.
-BLOCK = [np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8]
+#: Of a block of pieces: document ids and text hashes; row of the document (differences), anchor (planes), far and near of pieces and of their copies in other documents; the pieces' bytes.
+BLOCK = [np.int64, np.int64, np.uint32, np.uint8, np.uint8, np.uint8, np.uint32, np.uint8, np.uint8, np.uint8, np.uint8]
 
 
 def runs_of(values: np.ndarray) -> list[tuple[int, int]]:
@@ -188,7 +208,8 @@ def blocks_of(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], cuts: np.
         mine, copy = np.sort(mine), np.sort(copy)
         used, at = np.unique(doc[np.concatenate((mine, copy))], return_inverse=True)
         m = len(mine)
-        yield int(bucket[order[lo]]), pack([ids[used], hashes[used], at[:m].astype(np.uint32), a[mine], far[mine], near[mine], at[m:].astype(np.uint32), a[copy], far[copy], near[copy], rows[mine]])
+        text = rows[mine][covered(far[mine], near[mine], width)]
+        yield int(bucket[order[lo]]), pack([ids[used], hashes[used], steps(at[:m]), planes(a[mine]), far[mine], near[mine], steps(at[m:]), planes(a[copy]), far[copy], near[copy], text])
 
 
 def matches(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
@@ -198,12 +219,14 @@ def matches(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     base = 0
     for blob in blobs:
         got = unpack(blob, BLOCK)
-        got[2], got[6] = got[2] + base, got[6] + base
+        for k in (2, 6):
+            got[k], got[k + 1] = np.cumsum(got[k], dtype=np.int64) + base, joined_planes(got[k + 1])
         base += len(got[0])
         for to, x in zip((ids, hashes, doc, a, far, near, cdoc, ca, cfar, cnear, rows), got, strict=True):
             to.append(x)
     ids, hashes, doc, a, far, near, cdoc, ca, cfar, cnear, rows = map(np.concatenate, (ids, hashes, doc, a, far, near, cdoc, ca, cfar, cnear, rows))
-    rows = rows.reshape(-1, reach + width)
+    text, rows = rows, np.zeros((len(doc), reach + width), np.uint8)
+    rows[covered(far, near, width)] = text
     owner = ids[doc]
     order, group = multikey(list(leading(rows, reach)))
     n = int(group[-1]) + 1 if len(group) else 0
@@ -350,11 +373,37 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * with_text]
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            t = t.take(pc.sort_indices(t, [("grp", "ascending")])).combine_chunks()
+            to, out = t.column("grp").to_numpy(), []
+            for lo, hi in runs_of(to):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as w:
+                    w.write_table(pa.table({n: pc.take(t.column(n), np.arange(lo, hi)) for n in t.schema.names}, schema=t.schema))
+                out.append((int(to[lo]), sink.getvalue().to_pybytes()))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["grp", "docs"])
+
+        held, total = [], 0
+        for b in batches:
+            held.append(b)
+            total += b.nbytes
+            if total >= settings.batch_bytes:
+                yield flush(held)
+                held, total = [], 0
+        if total:
+            yield flush(held)
+
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         spans: dict[tuple[int, int], list] = {}
         for blob in right.column("spans").to_pylist():
             for i, h, s, n in zip(*(x.tolist() for x in unpack(blob, [np.int64, np.int64, np.uint32, np.uint32])), strict=True):
                 spans.setdefault((i, h), []).append((s, s + n))
+        parts = [cut_documents(pa.ipc.open_stream(blob).read_all(), spans) for blob in left.column("docs").to_pylist()]
+        return pa.concat_tables(parts)
+
+    def cut_documents(left: pa.Table, spans: dict) -> pa.Table:
         rows = []
         for i, h, raw in zip(*(left.column(c).to_pylist() for c in ("doc_id", "hash", "raw")), strict=True):
             removed, runs, kept = cut(raw, spans.get((i, h), []))
@@ -364,7 +413,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
 
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
     schema = T.StructType([*schema.fields, *(docs.schema[c] for c in carry)])
-    return base.withColumn("grp", grp).groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(apply, schema)
+    return base.withColumn("grp", grp).mapInArrow(gather, "grp int, docs binary").groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(apply, schema)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
