@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,6 +59,20 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<u4"), np.fromiter(map(len, texts), np.int64, len(texts))
 
 
+def tidy() -> None:
+    """Give memory that a task has freed back to the system: workers are reused and idle beside the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(batches: Iterator) -> Iterator:
+    """The batches of a task, then ``tidy``."""
+    yield from batches
+    tidy()
+
+
 def by_text(df: DataFrame, column: str, maker: Callable, types: dict[str, str]) -> DataFrame:
     """Add columns computed in batches from one text column; all other columns pass as they are.
 
@@ -68,9 +85,11 @@ def by_text(df: DataFrame, column: str, maker: Callable, types: dict[str, str])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = maker()
-        for b in batches:
-            new = each(b.column(b.schema.get_field_index(column)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(new[n], arrow[t]) for n, t in types.items())], names=[*b.schema.names, *types])
+        for whole in tidied(batches):
+            for at in range(0, whole.num_rows, 2_000):
+                b = whole.slice(at, 2_000)
+                new = each(b.column(b.schema.get_field_index(column)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(new[n], arrow[t]) for n, t in types.items())], names=[*b.schema.names, *types])
 
     return df.mapInArrow(run, schema)
 
@@ -98,7 +117,7 @@ def segments(starts: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.nd
 class Bounded(dict):
     """A memo of a function of one key, emptied when it holds too many entries."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 120_000):
         super().__init__()
         self.make, self.most = make, most
 

@@ -22,11 +22,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgework.llm.common import Bounded, mix64, slices, table, written
+from sedgework.llm.common import Bounded, mix64, slices, table, tidied, tidy, written
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -93,8 +94,10 @@ def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
 def least_matches(settings: Settings) -> tuple[int, ...]:
     """For each step of n compared values the fewest matches m with P(J >= threshold | m, n) >= tolerance.
 
-    The prior of J is uniform, so the posterior is a beta distribution.
+    Eight bits of a value are compared, so unequal values look equal in one case of 256. The prior of
+    the chance to look equal is uniform, so its posterior is a beta distribution.
     """
+    reach = settings.threshold + (1 - settings.threshold) / 256
     x = (np.arange(20_000) + 0.5) / 20_000
     out = []
     for n in settings.steps:
@@ -102,7 +105,7 @@ def least_matches(settings: Settings) -> tuple[int, ...]:
         for m in range(n, -1, -1):
             log = m * np.log(x) + (n - m) * np.log1p(-x)
             p = np.exp(log - log.max())
-            if p[x >= settings.threshold].sum() / p.sum() < settings.tolerance:
+            if p[x >= reach].sum() / p.sum() < settings.tolerance:
                 break
             need = m
         out.append(need)
@@ -134,22 +137,26 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def sketch(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(uid, doc_id, set_key, sig) of each row of (uid, doc_id, text); null key and signature if there are no words."""
-    n = settings.bands * settings.rows
+    """(uid, set_key, bands, short) of each row of (uid, text): the hash of its shingle set, the bucket of
+    each band and eight bits of each MinHash value; all null if there are no words."""
+    n, r = settings.bands * settings.rows, settings.rows
+    odd = np.array([[pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(r)]], np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(settings.words)
-        for b in batches:
-            lengths = [len(t) if t else 0 for t in b["text"]]
-            for part in slices(lengths, 8_000_000):
+        for b in tidied(batches):
+            lengths = [len(t) if isinstance(t, str) else 0 for t in b["text"]]
+            for part in slices(lengths, 3_000_000):
                 sub = b.iloc[part]
-                sets = [shingle(t) for t in sub["text"]]
+                sets = [shingle(t if isinstance(t, str) else None) for t in sub["text"]]
                 full = [s for s in sets if len(s)]
-                sig = iter(signatures(full, n)) if full else iter(())
-                out = [(xxhash.xxh3_128_hexdigest(s.tobytes()), next(sig).tobytes()) if len(s) else (None, None) for s in sets]
-                yield pd.DataFrame({"uid": sub["uid"], "set_key": [x[0] for x in out], "sig": [x[1] for x in out]})
+                sig = signatures(full, n) if full else np.zeros((0, n), np.uint32)
+                bands = mix64((sig.reshape(-1, settings.bands, r).astype(np.uint64) * odd).sum(2, dtype=np.uint64) + np.arange(settings.bands, dtype=np.uint64)).astype(np.int64)
+                each = iter(zip(bands, (row.tobytes() for row in sig.astype(np.uint8)), strict=True))
+                out = [(xxhash.xxh3_128_hexdigest(s.tobytes()), *next(each)) if len(s) else (None, None, None) for s in sets]
+                yield pd.DataFrame({"uid": sub["uid"].tolist(), "set_key": [x[0] for x in out], "bands": [x[1] for x in out], "short": [x[2] for x in out]}, dtype=object)
 
-    return docs.select("uid", "text").mapInPandas(run, "uid string, set_key string, sig binary")
+    return docs.select("uid", "text").mapInPandas(run, "uid string, set_key string, bands array<long>, short binary")
 
 
 def blocks(members: DataFrame, key: str, size: int, unit: str) -> DataFrame:
@@ -172,32 +179,44 @@ def blocks(members: DataFrame, key: str, size: int, unit: str) -> DataFrame:
 
 
 def candidates(reps: DataFrame, settings: Settings) -> DataFrame:
-    """Edges (a, b) between class keys: a spanning forest of the surviving pairs of each bucket."""
-    r = settings.rows
-    band = F.explode(F.expr(f"transform(sequence(0, {settings.bands - 1}), i -> xxhash64(i, substring(sig, i * {4 * r} + 1, {4 * r})))"))
-    # the signatures are joined only to members of shared buckets, as bytes: eight bits of each value are compared
-    rows = reps.select(F.xxhash64("set_key").alias("unit"), band.alias("bucket"))
+    """Edges (a, b) between units (hashed class keys): a spanning forest of the surviving pairs of each bucket."""
+    reps = reps.withColumn("unit", F.xxhash64("set_key"))
+    rows = reps.select("unit", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = rows.join(shared, "bucket", "left_semi")
-    short = reps.select(F.xxhash64("set_key").alias("unit"), "set_key", "sig")
-    dealt = blocks(members, "bucket", settings.block, "unit")
-    cells = dealt.groupBy("unit").agg(F.collect_list(F.struct("cell", "own")).alias("cells")).join(short, "unit").select("set_key", "sig", F.explode("cells").alias("c")).select(F.xxhash64("c.cell").alias("cell"), "c.own", "set_key", "sig")
-    grouped = cells.groupBy("cell").agg(F.collect_list(F.struct("own", "set_key", "sig")).alias("rows"))
+    cells = blocks(members, "bucket", settings.block, "unit").select(F.xxhash64("cell").alias("cell"), "unit")
+    dealt = cells.join(reps.select("unit", "short"), "unit").select("cell", "unit", "short").repartition("cell").sortWithinPartitions("cell")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = set()
-            for rows_ in b["rows"]:
-                keys = [x["set_key"] for x in rows_]
-                sig = np.frombuffer(b"".join(x["sig"] for x in rows_), np.uint32).reshape(len(keys), -1)
-                i, j = np.triu_indices(len(keys), 1)
-                for at in range(0, len(i), 200_000):
-                    p, q = i[at : at + 200_000], j[at : at + 200_000]
-                    ok = surviving(sig, p, q, settings)
-                    out.update((keys[x], keys[y]) for x, y in forest(len(keys), p[ok], q[ok]))
-            yield pd.DataFrame(sorted(out), columns=["a", "b"], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a cell follow one another; the last cell of a batch waits for the next batch."""
+        width = settings.bands * settings.rows
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.uint8))
 
-    return grouped.select("rows").mapInPandas(run, "a string, b string").dropDuplicates()
+        def edges(cell: np.ndarray, unit: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+            out = set()
+            ends = (np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist()
+            for lo, hi in zip([0, *ends], [*ends, len(cell)], strict=True):
+                i, j = np.triu_indices(hi - lo, 1)
+                for at in range(0, len(i), 100_000):
+                    p, q = i[at : at + 100_000], j[at : at + 100_000]
+                    ok = surviving(sig[lo:hi], p, q, settings)
+                    out.update((int(unit[lo + x]), int(unit[lo + y])) for x, y in forest(hi - lo, p[ok], q[ok]))
+            pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for b in tidied(batches):
+            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, width)
+            cell, unit, sig = (np.concatenate(x) for x in zip(held, (b.column(0).to_numpy(), b.column(1).to_numpy(), sig), strict=True))
+            if not len(cell):
+                continue
+            first = int(np.searchsorted(cell, cell[-1]))
+            held = cell[first:], unit[first:], sig[first:]
+            if first:
+                yield edges(cell[:first], unit[:first], sig[:first])
+        if len(held[0]):
+            yield edges(*held)
+
+    return dealt.mapInArrow(run, "a long, b long").dropDuplicates()
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -253,13 +272,14 @@ def links(cell: list[tuple[int, str, np.ndarray]], threshold: float) -> tuple[np
 
 def verified(texts: DataFrame, groups: DataFrame, settings: Settings) -> DataFrame:
     """(a, b, n): n > 0 counts links of ``a`` (then b is null), other rows are edges of a spanning forest of links."""
-    dealt = blocks(groups.select(F.col("node").alias("set_key"), "root"), "root", settings.verify_block, "set_key")
+    dealt = blocks(groups.select("set_key", "root"), "root", settings.verify_block, "set_key")
+    known = Shingler(settings.words)
     # all cells of a text meet it in one row, so that each text is moved to the join once
     per_text = dealt.groupBy("set_key").agg(F.collect_list(F.struct("cell", "own")).alias("cells"))
     rows = per_text.join(texts, "set_key").select("set_key", "text", F.explode("cells").alias("c")).select("c.cell", "c.own", "set_key", "text")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shingle = Shingler(settings.words)
+        shingle = known
         pdf = pdf.sort_values("set_key")
         i, j = links([(o, k, shingle(t)) for o, k, t in zip(pdf["own"], pdf["set_key"], pdf["text"], strict=True)], settings.threshold)
         keys = pdf["set_key"].tolist()
@@ -298,11 +318,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     known = sketched.where("set_key is not null")
     # one signature and one text stand for a class
     classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.min("uid").alias("uid"), F.count("*").alias("n_copies")))
-    first = known.select("set_key", "uid", "sig").join(classes.select("set_key", "uid"), ["set_key", "uid"], "left_semi").dropDuplicates(["set_key"])
-    reps = first.select("set_key", "sig")
+    reps = known.join(classes.select("set_key", "uid"), ["set_key", "uid"], "left_semi").dropDuplicates(["set_key"]).select("set_key", "bands", "short")
     edges = written(candidates(reps, settings))
-    groups = written(components(edges))
-    wanted = groups.join(classes.select(F.col("set_key").alias("node"), "uid"), "node").select("uid", F.col("node").alias("set_key"))
+    named = classes.select("set_key", "uid", F.xxhash64("set_key").alias("node"))
+    groups = written(components(edges).join(named, "node").select("set_key", "uid", "root"))
+    wanted = groups.select("uid", "set_key")
     texts = base.select("uid", "text").join(wanted, "uid").dropDuplicates(["set_key"]).select("set_key", "text")
     found = written(verified(texts, groups, settings))
     count = found.where("n > 0").groupBy(F.col("a").alias("set_key")).agg(F.sum("n").alias("n_links"))

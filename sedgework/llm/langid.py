@@ -28,7 +28,7 @@ SPACE = 1  # class 0 is any letter that no sample has
 class Settings:
     """``sample_chars`` bounds the labelled text that is learned of each language, ``languages`` their number."""
 
-    sample_chars: int = 60_000
+    sample_chars: int = 40_000
     languages: int = 64
     block: int = 1024
 
@@ -87,7 +87,7 @@ def automaton(text: str, classes: dict[str, int], width: int) -> np.ndarray:
     return out
 
 
-@lru_cache(2)
+@lru_cache(1)
 def parser(samples: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Built once in each Python worker: names, class of each code point, the joined table, start states, weights.
 
@@ -179,10 +179,10 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], settings: Set
 
         def run(texts: list) -> dict:
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            for part in slices([len(t) if t else 0 for t in texts], 4_000_000) if names else ():
+            for part in slices([len(t) if t else 0 for t in texts], 1_500_000) if names else ():
                 codes, lengths = code_points([t or "" for t in texts[part]])
                 cls = class_of[codes]
-                of = np.repeat(np.arange(len(lengths)), lengths)
+                of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
                 space = cls == SPACE
                 keep = ~(space & np.concatenate(([True], space[:-1])))
                 cls, of = cls[keep], of[keep]

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgework.llm.common import by_text, code_points, mix64, slices, table, written
+from sedgework.llm.common import by_text, code_points, mix64, slices, table, tidy, written
 from sedgework.llm.jaccard_join import signatures
 
 VALUES = 64
@@ -159,7 +159,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the dictionaries of the parse hold no cycles
         pid, held = TaskContext.get().partitionId(), None
-        for b in batches:
+        for b in (w.slice(at, 2_000) for w in batches for at in range(0, w.num_rows, 2_000)):
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             if held is None and ids:
                 yield whole(None, 1, pid, texts[0])
@@ -173,6 +173,8 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
                 held = ids[-1], texts[-1]
         if held:
             yield whole(held[0], 2, pid, held[1])
+        gc.enable()
+        tidy()
 
     def whole(i, kind: int, pid: int, text: str) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *(pa.nulls(1, k) for k in KINDS[1:]), pa.array([kind], pa.int32()), pa.array([pid], pa.int32()), pa.array([text], pa.string())], names=names)

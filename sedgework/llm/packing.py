@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgework.llm.common import Bounded, slices, table, written
+from sedgework.llm.common import slices, table, tidied, written
 
 LETTERS = "a-zªµºß-öø-ʯ"
 DIGITS = "0-9²³¹¼½¾"
@@ -61,7 +61,7 @@ class Tokens:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split: list[list[str] | bytes] = []
         new: set[str] = set()
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         for t in texts:
             if not t:
@@ -72,8 +72,8 @@ class Tokens:
                 split.append(words := SPLIT.findall(t.lower()))
                 new.update(words)
         fresh = sorted(new - self.known.keys())
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
+        for at in range(0, len(fresh), 4_000):
+            part = fresh[at : at + 4_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
         find = self.known.__getitem__
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, path: str, settings: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(path)
-        for b in batches:
+        for b in tidied(w.slice(at, 2_000) for w in batches for at in range(0, w.num_rows, 2_000)):
             ids, texts = (c.to_pylist() for c in b.columns)
             for part in slices([len(t) if t else 0 for t in texts], 4_000_000):
                 out = []

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgework.llm.common import mix64, slices, table
+from sedgework.llm.common import mix64, slices, table, tidied, tidy
 
 GRAM = 12
 TOP = np.uint64(0xFFFFFFFF00000000)
@@ -46,7 +46,7 @@ class Settings:
     min_bytes: int = 50
     bucket_bytes: int = 4_000_000
     group_bytes: int = 4_000_000
-    batch_bytes: int = 24_000_000
+    batch_bytes: int = 12_000_000
     sample: int = 2_000
 
 
@@ -251,9 +251,9 @@ def matches(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     left = np.flatnonzero(~whole & (kinds[group] > 1)) if len(order) else np.zeros(0, int)
     rest, g = order[left], group[left]
     if len(rest):
-        for lo in range(0, len(rest), 400_000):  # whole groups at a time
+        for lo in range(0, len(rest), 60_000):  # whole groups at a time
             lo = int(np.searchsorted(g, g[lo], "left")) if lo else 0
-            hi = int(np.searchsorted(g, g[min(lo + 400_000, len(g)) - 1], "right")) if lo + 400_000 < len(g) else len(g)
+            hi = int(np.searchsorted(g, g[min(lo + 60_000, len(g)) - 1], "right")) if lo + 60_000 < len(g) else len(g)
             out.append(windows(rest[lo:hi], g[lo:hi], rows, far, near, doc, a, owner, width))
     d, start, end = (np.concatenate(x) for x in zip(*out, strict=True))
     return ids[d], hashes[d], start, end
@@ -347,7 +347,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "block"])
 
         held, total = [], 0
-        for b in batches:
+        for b in tidied(w.slice(at, 1_000) for w in batches for at in range(0, w.num_rows, 1_000)):
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held.append(row)
                 total += len(row[2])
@@ -359,6 +359,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
 
     def compare(t: pa.Table) -> pa.Table:
         ids, hashes, start, end = matches(t.column("block").to_pylist(), width)
+        tidy()
         to = (hashes % groups).astype(np.int32)
         order = np.lexsort((start, hashes, ids, to))
         out = []
@@ -386,7 +387,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["grp", "docs"])
 
         held, total = [], 0
-        for b in batches:
+        for b in tidied(batches):
             held.append(b)
             total += b.nbytes
             if total >= settings.batch_bytes:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgework.llm.common import Bounded, by_text, remainder, segments, slices, table, written
+from sedgework.llm.common import Bounded, by_text, remainder, segments, slices, table, tidied, written
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -65,7 +65,7 @@ def term_rows(rows: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Bounded(lambda w: hashed(w, bits))
-        for b in batches:
+        for b in tidied(batches):
             found = [sorted({h for w in set(WORDS.findall((t or "").lower())) for h in known[w]}) for t in b["text"]]
             yield pd.DataFrame({"label": b["label"], "terms": found})
 
