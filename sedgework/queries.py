@@ -1,4 +1,9 @@
-"""The library's own queries and their SQL equivalents."""
+"""All queries of the library's own operators, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from sedgework.plans import text_queries
+
+FLAGSHIP = "bullet_quality"
+QUERIES = text_queries.R.queries
+SQL = text_queries.R.sql
