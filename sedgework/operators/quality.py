@@ -122,7 +122,7 @@ def align_lines(df: DataFrame, before: str, after: str) -> DataFrame:
     """Align the lines of two texts of a row: one row for each pair, with kind kept, changed, removed or added."""
     keep = [c for c in df.columns if c not in (before, after)]
     lines = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    schema = df.select(*keep).schema.add("kind", "string").add("original", "int").add("proposed", "int")
+    schema = df.select(*keep).schema.add("kind", T.StringType()).add("original", T.IntegerType()).add("proposed", T.IntegerType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -192,7 +192,7 @@ def rows_of_items(df: DataFrame, gap: float = 3.5) -> DataFrame:
     A row takes items until one is further than ``gap`` from its first item, so the cut depends on all
     items before; pages are small and each is one group.
     """
-    schema = df.schema.add("row", "int")
+    schema = df.select("*").schema.add("row", T.IntegerType())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x", "str"], ascending=[False, True, True], kind="stable").reset_index(drop=True)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sedgework.plans import text_queries
+from sedgework.plans import record_queries, text_queries
 
 FLAGSHIP = "bullet_quality"
-QUERIES = text_queries.R.queries
-SQL = text_queries.R.sql
+QUERIES = text_queries.R.queries | record_queries.R.queries
+SQL = text_queries.R.sql | record_queries.R.sql

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -10,6 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataFrame:
-    """The files of a table as a stream."""
+    """The files of a table as a stream; times without a zone count as the session's, as watermarks need."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).options(**options).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(schema).options(**options).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c, t in rows.dtypes if t == "timestamp_ntz"})

@@ -35,7 +35,7 @@ def difference(df, con: duckdb.DuckDBPyConnection, sql: str) -> str:
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp", "DATE": "date"}
-    own = dict(df.dtypes)
+    own = {n: t.replace("timestamp_ntz", "timestamp") for n, t in df.dtypes}
     other = {d[0]: kinds.get(str(d[1]), str(d[1])) for d in con.execute(f"SELECT * FROM ({sql}) LIMIT 0").description}
     odd = {n: (own[n], other[n]) for n in names if own[n] != other[n]}
     order = sorted(names)
