@@ -189,18 +189,22 @@ def pay_range(df: DataFrame, text: str) -> DataFrame:
 def rows_of_items(df: DataFrame, gap: float = 3.5) -> DataFrame:
     """Cluster the items (doc_id, page, x, y, str) of each page into rows: adds ``row``, from the top.
 
-    A row takes items until one is further than ``gap`` from its first item, so the cut depends on all
-    items before; pages are small and each is one group.
+    A row takes items until one is further than ``gap`` from its first item, so each cut depends on all
+    items before: one sorted pass over each partition, which holds whole pages.
     """
     schema = df.select("*").schema.add("row", T.IntegerType())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x", "str"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        row, anchor, out = -1, None, []
-        for y in pdf["y"]:
-            if anchor is None or abs(y - anchor) > gap:
-                row, anchor = row + 1, y
-            out.append(row)
-        return pdf.assign(row=pd.Series(out, dtype="int32"))
-
-    return df.groupBy("doc_id", "page").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, row, anchor = None, -1, 0.0
+        for pdf in batches:
+            out = []
+            for d, p, y in zip(pdf["doc_id"].tolist(), pdf["page"].tolist(), pdf["y"].tolist(), strict=True):
+                if page != (d, p):
+                    page, row, anchor = (d, p), 0, y
+                elif abs(y - anchor) > gap:
+                    row, anchor = row + 1, y
+                out.append(row)
+            yield pdf.assign(row=pd.Series(out, dtype="int32"))
+
+    ordered = df.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", F.desc("y"), "x", "str")
+    return ordered.mapInPandas(run, schema)
