@@ -34,6 +34,8 @@ WORDS = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Settings:
+    """``broadcast_rows``: hashes of candidates (8 bytes each) that are broadcast to filter the texts, at most."""
+
     words: int = 5
     threshold: float = 0.8
     bands: int = 32
@@ -42,6 +44,7 @@ class Settings:
     steps: tuple[int, ...] = (16, 32, 64, 128)
     block: int = 512
     verify_block: int = 192
+    broadcast_rows: int = 2_000_000
 
 
 def word_hash(word: str) -> int:
@@ -163,14 +166,15 @@ def blocks(members: DataFrame, key: str, size: int, unit: str) -> DataFrame:
     """Deal the members of each group into block pairs: adds ``cell`` and ``own`` (the member's block).
 
     A group of up to ``size`` members is one cell; a larger one of b blocks becomes b(b+1)/2 cells,
-    so that each pair of members meets in at least one.
+    so that each pair of members meets in at least one. Groups of one member go. The counts grow with
+    the input, so they are merged at every size, never broadcast.
     """
     counts = members.groupBy(key).agg(F.count("*").alias("members")).where("members > 1")
     parts = F.ceil(F.col("members") / size).cast("int")
     own = F.pmod(F.xxhash64(unit), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     return (
-        members.join(counts.withColumn("parts", parts), key)
+        members.join(counts.withColumn("parts", parts).hint("merge"), key)
         .withColumn("own", own)
         .withColumn("other", other)
         .withColumn("cell", F.concat_ws(":", F.col(key).cast("string"), F.least("own", "other"), F.greatest("own", "other")))
@@ -182,10 +186,9 @@ def candidates(reps: DataFrame, settings: Settings) -> DataFrame:
     """Edges (a, b) between units (hashed class keys): a spanning forest of the surviving pairs of each bucket."""
     reps = reps.withColumn("unit", F.xxhash64("set_key"))
     rows = reps.select("unit", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = rows.join(shared, "bucket", "left_semi")
-    cells = blocks(members, "bucket", settings.block, "unit").select(F.xxhash64("cell").alias("cell"), "unit")
-    dealt = cells.join(reps.select("unit", "short"), "unit").select("cell", "unit", "short").repartition("cell").sortWithinPartitions("cell")
+    cells = blocks(rows, "bucket", settings.block, "unit").select(F.xxhash64("cell").alias("cell"), "unit")
+    # in the order of units the root of a tree is its smallest unit, so that the bands of a group repeat the same edges
+    dealt = cells.join(reps.select("unit", "short"), "unit").select("cell", "unit", "short").repartition("cell").sortWithinPartitions("cell", "unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of a cell follow one another; the last cell of a batch waits for the next batch."""
@@ -317,13 +320,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     sketched = written(base.select("uid", "doc_id", "text").transform(lambda d: sketch(d, settings)).withColumn("doc_id", F.expr("try_cast(substring_index(uid, '-', greatest(1, size(split(uid, '-')) - 1)) as bigint)")))
     known = sketched.where("set_key is not null")
     # one signature and one text stand for a class
-    classes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.min("uid").alias("uid"), F.count("*").alias("n_copies")))
-    reps = known.join(classes.select("set_key", "uid"), ["set_key", "uid"], "left_semi").dropDuplicates(["set_key"]).select("set_key", "bands", "short")
-    edges = written(candidates(reps, settings))
+    one = F.min_by(F.struct("uid", "bands", "short"), "uid").alias("one")
+    reps = written(known.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"), one).select("set_key", "class_id", "n_copies", "one.*"))
+    classes = reps.select("set_key", "class_id", "uid", "n_copies")
+    edges = written(candidates(reps.select("set_key", "bands", "short"), settings))
     named = classes.select("set_key", "uid", F.xxhash64("set_key").alias("node"))
     groups = written(components(edges).join(named, "node").select("set_key", "uid", "root"))
     wanted = groups.select("uid", "set_key")
-    texts = base.select("uid", "text").join(wanted, "uid").dropDuplicates(["set_key"]).select("set_key", "text")
+    few = base.select("uid", "text")
+    if groups.count() <= settings.broadcast_rows:  # 8 bytes a row; beyond that all texts go to the join
+        few = few.withColumn("key", F.xxhash64("uid")).join(F.broadcast(wanted.select(F.xxhash64("uid").alias("key")).distinct()), "key", "left_semi").drop("key")
+    texts = few.join(wanted, "uid").dropDuplicates(["set_key"]).select("set_key", "text")
     found = written(verified(texts, groups, settings))
     count = found.where("n > 0").groupBy(F.col("a").alias("set_key")).agg(F.sum("n").alias("n_links"))
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "set_key")
