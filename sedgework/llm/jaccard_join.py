@@ -226,9 +226,14 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root): the smallest node of each connected component of edges (a, b); isolated nodes are absent.
 
     Large-star and small-star steps by turns (Kiveris et al. 2014): each shuffles the edges by node and
-    uses a minimum that is combined before the shuffle; the path lengths fall geometrically.
+    uses a minimum that is combined before the shuffle; the path lengths fall geometrically. The first
+    step gathers the smaller neighbours of each node, which are few (one for each cell it was in), and
+    so shrinks the forests of all cells of a group to about one edge for each node.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).dropDuplicates())
+    oriented = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    near = oriented.groupBy("a").agg(F.collect_set("b").alias("n"), F.min("b").alias("m"))
+    starred = near.select("m", F.explode(F.transform("n", lambda x: F.when(x == F.col("m"), F.col("a")).otherwise(x))).alias("a"))
+    edges = written(starred.select("a", F.col("m").alias("b")).dropDuplicates())
     seen = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
