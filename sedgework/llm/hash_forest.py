@@ -29,7 +29,7 @@ class Settings:
 
     trees: int = 64
     bits: int = 32
-    reach: float = 0.7
+    reach: float = 1.25
     block: int = 2048
     chunk: int = 2048
     neighbours: int = 20
@@ -79,6 +79,8 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
             mask[order[t, low[t, k] : high[t, k]]] = True
         c = np.flatnonzero(mask)
         c = c[ids[c] != query_ids[k]]
+        if len(c) < settings.neighbours:  # the ascent goes on to the roots, whose ranges hold all
+            c = np.flatnonzero(ids != query_ids[k])
         score = (x[c] * q[k]).sum(1)
         if len(c) > settings.neighbours:
             least = np.partition(score, len(c) - settings.neighbours)[len(c) - settings.neighbours]
