@@ -40,6 +40,7 @@ class Settings:
     rounds: int = 400
     step: float = 0.35
     chunk_rows: int = 200_000
+    shares: tuple[float, ...] = (1.0, 0.9, 0.75, 0.5)
 
 
 class Tokens:
@@ -179,17 +180,27 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
     return [(dict(key), many) for room in sorted(open_) for key, many in open_[room].items()]
 
 
-def plan(counts: np.ndarray, settings: Settings) -> list[tuple[int, int, int, int, int, int]]:
-    """Rows (length, first rank, past the last rank, pieces per sequence, first sequence, offset of the first)."""
+def rounded(uses: list[tuple[tuple, float]], counts: np.ndarray, share: float, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """A share of the fractional uses, rounded down; what is left of the histogram is placed best fit."""
     left = counts.astype(np.int64).copy()
     chosen: list[tuple[dict[int, int], int]] = []
-    for key, x in sorted(configurations(counts, settings).items(), key=lambda kx: (-kx[1], kx[0])):
-        n = min([int(x + 1e-9), *(int(left[length]) // k for length, k in key)])
+    for key, x in uses:
+        n = min([int(x * share + 1e-9), *(int(left[length]) // k for length, k in key)])
         if n:
             chosen.append((dict(key), n))
             for length, k in key:
                 left[length] -= n * k
-    chosen += best_fit(left, settings.capacity)
+    return chosen + best_fit(left, capacity)
+
+
+def plan(counts: np.ndarray, settings: Settings) -> list[tuple[int, int, int, int, int, int]]:
+    """Rows (length, first rank, past the last rank, pieces per sequence, first sequence, offset of the first).
+
+    Of the roundings of the fractional solution (all of its uses, or a part) the one of fewest sequences.
+    """
+    uses = sorted(configurations(counts, settings).items(), key=lambda kx: (-kx[1], kx[0]))
+    tried = [rounded(uses, counts, share, settings.capacity) for share in settings.shares]
+    chosen = min(tried, key=lambda c: sum(n for _, n in c))
     rank, sequence, rows = np.zeros(len(counts), np.int64), 0, []
     for config, n in chosen:
         offset = 0
