@@ -67,7 +67,7 @@ def rating(base: Column, pay: Column, floor: float | None, place: Column, distan
     ``base``: fitness points; ``pay``: yearly top pay or null; ``place``: whether the place matches or
     null; ``distance``: rungs between the levels or null.
     """
-    unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    unit = lambda x: F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
     axes = {
         "fitness": base / (base + V.FIT_HALF),
         "compensation": unit(pay / floor / 2) if floor else F.lit(0.5) + F.lit(0.5) * (pay / (pay + V.PAY_HALF)),
