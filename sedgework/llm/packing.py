@@ -51,6 +51,9 @@ class Tokens:
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores; further threads only take memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,6 +62,18 @@ class Tokens:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of new words: one call for all, blanks between, told apart by their place in it."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
+        ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)).tolist()
+        if len(ends) == len(words):
+            for w, lo, hi in zip(words, [0, *ends], ends, strict=False):
+                self.known[w] = ids[lo:hi].tobytes()
+        else:  # a word that the tokenizer splits further
+            for w in words:
+                self.known[w] = self.whole(w)
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split: list[list[str] | bytes] = []
         new: set[str] = set()
@@ -73,10 +88,8 @@ class Tokens:
                 split.append(words := SPLIT.findall(t.lower()))
                 new.update(words)
         fresh = sorted(new - self.known.keys())
-        for at in range(0, len(fresh), 4_000):
-            part = fresh[at : at + 4_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(fresh), 500):
+            self.learn(fresh[at : at + 500])
         find = self.known.__getitem__
         return [x if isinstance(x, bytes) else b"".join(map(find, x)) for x in split]
 
@@ -91,7 +104,7 @@ def pieces(docs: DataFrame, path: str, settings: Settings) -> DataFrame:
         tokens = Tokens(path)
         for b in tidied(w.slice(at, 2_000) for w in batches for at in range(0, w.num_rows, 2_000)):
             ids, texts = (c.to_pylist() for c in b.columns)
-            for part in slices([len(t) if t else 0 for t in texts], 4_000_000):
+            for part in slices([len(t) if t else 0 for t in texts], 1_000_000):
                 out = []
                 for i, raw in zip(ids[part], tokens(texts[part]), strict=True):
                     raw += end
