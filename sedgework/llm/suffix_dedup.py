@@ -41,13 +41,14 @@ TOP = np.uint64(0xFFFFFFFF00000000)
 
 @dataclass(frozen=True)
 class Settings:
-    """``bucket_bytes``: text for each bucket of suffixes; ``sample``: documents (at most, about) that splitters are drawn from."""
+    """``bucket_bytes``: text for each bucket of suffixes; ``sample``: documents (at most, about) that splitters are drawn from; ``chunk``: pieces whose windows are compared at a time."""
 
     min_bytes: int = 50
     bucket_bytes: int = 4_000_000
     group_bytes: int = 4_000_000
     batch_bytes: int = 12_000_000
     sample: int = 2_000
+    chunk: int = 60_000
 
 
 def token(buf: np.ndarray, at: int) -> np.ndarray:
@@ -212,7 +213,19 @@ def blocks_of(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], cuts: np.
         yield int(bucket[order[lo]]), pack([ids[used], hashes[used], steps(at[:m]), planes(a[mine]), far[mine], near[mine], steps(at[m:]), planes(a[copy]), far[copy], near[copy], text])
 
 
-def matches(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+def whole_groups(group: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges that cover a sorted array of group numbers, of whole groups and at most ``most`` long (a larger group is one range)."""
+    ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+    lo = 0
+    while lo < len(group):
+        k = int(np.searchsorted(ends, lo + most, "right")) - 1
+        if k < 0 or ends[k] <= lo:
+            k += 1
+        yield lo, int(ends[k])
+        lo = int(ends[k])
+
+
+def matches(blobs: list[bytes], width: int, chunk: int = 60_000) -> tuple[np.ndarray, ...]:
     """Of one bucket: id, text hash, start and end of each byte range that a smaller document has too."""
     reach = width - GRAM
     ids, hashes, doc, a, far, near, cdoc, ca, cfar, cnear, rows = ([] for _ in BLOCK)
@@ -250,11 +263,8 @@ def matches(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     kinds = np.bincount(group[head], minlength=n) if len(order) else np.zeros(0, int)
     left = np.flatnonzero(~whole & (kinds[group] > 1)) if len(order) else np.zeros(0, int)
     rest, g = order[left], group[left]
-    if len(rest):
-        for lo in range(0, len(rest), 60_000):  # whole groups at a time
-            lo = int(np.searchsorted(g, g[lo], "left")) if lo else 0
-            hi = int(np.searchsorted(g, g[min(lo + 60_000, len(g)) - 1], "right")) if lo + 60_000 < len(g) else len(g)
-            out.append(windows(rest[lo:hi], g[lo:hi], rows, far, near, doc, a, owner, width))
+    for lo, hi in whole_groups(g, chunk):
+        out.append(windows(rest[lo:hi], g[lo:hi], rows, far, near, doc, a, owner, width))
     d, start, end = (np.concatenate(x) for x in zip(*out, strict=True))
     return ids[d], hashes[d], start, end
 
@@ -358,7 +368,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
             yield flush(held)
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, hashes, start, end = matches(t.column("block").to_pylist(), width)
+        ids, hashes, start, end = matches(t.column("block").to_pylist(), width, settings.chunk)
         tidy()
         to = (hashes % groups).astype(np.int32)
         order = np.lexsort((start, hashes, ids, to))

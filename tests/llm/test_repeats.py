@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sedgework.llm import jaccard_join, suffix_dedup
@@ -68,6 +69,32 @@ def test_repeats_small_batches(spark):
     assert got == brute_cut(docs)
 
 
+def hot_passages(seed: int) -> list[tuple[int, str | None]]:
+    """Every document has some of the passages, with other edges each time: grams of unequal pieces, one of them in all documents."""
+    rng = random.Random(seed)
+    shared = [" ".join(rng.choices(WORDS, k=14)) for _ in range(8)]
+    return [(i, " ".join(w for p in [shared[0], *rng.sample(shared[1:], 3)] for w in [*rng.choices(WORDS, k=9), p[rng.randint(0, 6) : len(p) - rng.randint(0, 6)]])) for i in range(70)]
+
+
+def test_whole_groups_cover_all():
+    rng = random.Random(4)
+    for most in (1, 5, 60):
+        for sizes in ([10, 300, *[4] * 50], [rng.randint(1, 9) for _ in range(80)], [1], [7], []):
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            got = list(suffix_dedup.whole_groups(group, most))
+            assert [i for lo, hi in got for i in range(lo, hi)] == list(range(len(group)))
+            assert all(hi == len(group) or group[hi] != group[hi - 1] for _, hi in got)
+            assert all(hi - lo <= most or len(set(group[lo:hi])) == 1 for lo, hi in got)
+
+
+def test_repeats_in_chunks(spark):
+    """Chunks of 5 pieces, and a gram with more than that."""
+    docs = hot_passages(6)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, suffix_dedup.Settings(chunk=5)).collect()}
+    assert got == brute_cut(docs)
+
+
 def test_repeats_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(empty).count() == 0
