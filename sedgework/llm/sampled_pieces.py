@@ -40,6 +40,11 @@ class Settings:
     rank_shift: float = 10.0
 
 
+def escaped(text: str) -> str:
+    """The text without marks of its own: they and NULs are written as two characters."""
+    return text.replace("\0", "\0\0").replace(MARK, "\0_")
+
+
 class Lattice:
     def __init__(self, path: str, settings: Settings):
         import sentencepiece
@@ -76,7 +81,7 @@ class Lattice:
 
     def words(self, text: str) -> list[str]:
         """The text with a leading mark and marks for spaces; a mark in the text itself is written as a NUL-framed escape."""
-        return WORD.findall(MARK + text.replace("\0", "\0\0").replace(MARK, "\0_").replace(" ", MARK))
+        return WORD.findall(MARK + escaped(text).replace(" ", MARK))
 
     def decode(self, ids: list[int]) -> str:
         out: list[bytes] = []
@@ -196,19 +201,34 @@ def sample_segmentations(docs: DataFrame, keys: list[str], path: str, settings:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """Add ``ids``, the vocabulary's own encoding of the column text (null: empty)."""
+    """Add ``ids``, the vocabulary's own encoding of the column text (null: empty), which ``decode`` gives back exactly."""
     out = docs.drop("ids").withColumn("ids", F.array().cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path, Settings()).model
         for b in batches:
             names = [n for n in b.schema.names if n != "ids"]
-            ids = model.encode([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()], num_threads=1)
+            ids = model.encode([escaped(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()], num_threads=1)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
 
     return docs.drop("ids").mapInArrow(run, out)
 
 
+def decode(rows: DataFrame, path: str) -> DataFrame:
+    """Add ``text``, what the column ``ids`` was encoded from, be it by ``encode`` or sampled (null: null); other columns stay."""
+    out = rows.drop("text").withColumn("text", F.lit("").cast("string")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lat = lattice(path, Settings())
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                texts = [None if ids is None else lat.decode(ids) for ids in b.column(b.schema.get_field_index("ids")).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
+
+    return rows.drop("text").mapInArrow(run, out)
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -216,8 +236,12 @@ def vocabulary() -> str:
 
 
 def op3_sampled_pieces(spark, sf_dir: str) -> DataFrame:
-    """The chat turns are the intended table: fine-tuning text, of which sampled segmentations are made."""
-    turns = table(spark, sf_dir, "conversations")
-    got = sample_segmentations(turns.select("conv_id", "turn", "text"), ["conv_id", "turn"], vocabulary())
+    """Each document's own encoding, decoded again (sample 0), and its sampled segmentations (from 1 on)."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()
+    # decoding replaces the column text; what it was goes along under another name
+    own = decode(encode(docs.withColumn("given", F.coalesce("text", F.lit(""))), path), path)
+    nothing = F.lit(None).cast("double")
+    own = own.select("doc_id", F.lit(0).alias("sample"), "ids", nothing.alias("log_p"), nothing.alias("log_inclusion"), (F.col("text") == F.col("given")).alias("restored"))
+    got = own.unionByName(sample_segmentations(docs, ["doc_id"], path))
     text_ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return got.select("conv_id", "turn", "sample", F.size("ids").alias("n_pieces"), F.crc32(text_ids.cast("binary")).alias("ids_crc32"), "log_p", "log_inclusion", "restored")
+    return got.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.crc32(text_ids.cast("binary")).alias("ids_crc32"), "log_p", "log_inclusion", "restored")

@@ -142,6 +142,23 @@ def test_segmentations(spark):
     assert sampled_pieces.sample_segmentations(df.limit(0), ["doc_id"], sampled_pieces.vocabulary()).count() == 0
 
 
+def test_segmentations_of_all_documents(spark):
+    """Every document has its own encoding and at least one sample, and all give its whole text back."""
+    docs = [r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
+    got = QUERIES["op3_sampled_pieces"](spark, SF).collect()
+    assert all(r.restored for r in got)
+    for k in (0, 1):
+        assert sorted(r.doc_id for r in got if r["sample"] == k) == sorted(docs)
+
+
+def test_decoding(spark):
+    rows = [(1, "Hello  world ▁ x\0y"), (2, None), (3, ""), (4, " naïve 漢字 🎉\n\t"), (5, "ab " * 3000)]
+    df, path = spark.createDataFrame(rows, "doc_id long, text string"), sampled_pieces.vocabulary()
+    for ids in (sampled_pieces.encode(df, path), sampled_pieces.sample_segmentations(df, ["doc_id"], path)):
+        got = sampled_pieces.decode(ids.drop("text"), path).collect()
+        assert {(r.doc_id, r.text) for r in got} == {(i, t or "") for i, t in rows}
+
+
 def test_sampling_follows_the_lattice():
     """First draws of many seeds are as frequent as the segmentations are likely."""
     lat = sampled_pieces.lattice(sampled_pieces.vocabulary(), sampled_pieces.Settings(samples=2, temperature=1.0))
