@@ -19,25 +19,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgework.llm.common import by_text, code_points, remainder, segments, slices, table
+from sedgework.llm.common import by_text, code_points, mix64, remainder, segments, slices, table
 
 SPACE = 1  # class 0 is any letter that no sample has
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_chars`` bounds the labelled text that is learned of each language, ``languages`` their number."""
+    """``sample_chars`` bounds the labelled text that is learned of each language (all labels are); beyond ``dense_bytes`` the transitions are in a hash table."""
 
-    sample_chars: int = 40_000
-    languages: int = 64
+    sample_chars: int = 60_000
     block: int = 1024
+    dense_bytes: int = 150_000_000
 
 
 @lru_cache(1)
 def letter_of() -> np.ndarray:
     """For each code point its lower-case letter, or 0 if it isn't a letter."""
     out = np.zeros(0x110000, np.uint32)
-    for i in range(0x30000):  # no letters beyond these planes have case or alphabets in use
+    for i in range(0x34000):  # no letters beyond these planes
         c = chr(i)
         if c.isalpha():
             low = c.lower()
@@ -52,8 +52,8 @@ def letters(text: str) -> str:
     return "".join(chr(c) if c else " " for c in codes[keep].tolist()).strip()
 
 
-def automaton(text: str, classes: dict[str, int], width: int) -> np.ndarray:
-    """The suffix automaton of ``text`` as a table: next state for state * width + class, -1 if none."""
+def automaton(text: str, classes: dict[str, int]) -> tuple[int, np.ndarray]:
+    """The suffix automaton of ``text``: how many states, and its transitions as rows of state, class, next state."""
     link, length, step = [-1], [0], [{}]
     last = 0
     for ch in text:
@@ -80,43 +80,98 @@ def automaton(text: str, classes: dict[str, int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    out = np.full((len(step), width), -1, np.int32)
-    for i, to in enumerate(step):
-        for c, j in to.items():
-            out[i, c] = j
-    return out
+    return len(step), np.array([(i, c, j) for i, to in enumerate(step) for c, j in to.items()], np.int64).reshape(-1, 3)
+
+
+class Dense:
+    """Transitions as one table of premultiplied states; an entry that starts a new phrase is stored as its complement."""
+
+    def __init__(self, parts: list[tuple[int, np.ndarray]], width: int):
+        tables, starts, base = [], [], 0
+        for n, moves in parts:
+            t = np.full((n, width), -1, np.int32)
+            t[moves[:, 0], moves[:, 1]] = moves[:, 2]
+            fresh = np.where(t[0] >= 0, t[0], 0)  # a letter that the sample lacks is a phrase of its own
+            new = t < 0
+            t = (np.where(new, fresh[None, :], t).astype(np.int64) + base) * width
+            tables.append(np.where(new, ~t, t).astype(np.int32))
+            starts.append(base * width)
+            base += n
+        self.table, self.starts = np.concatenate(tables).ravel(), np.array(starts, np.int32)
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return self.table[state + codes]
+
+
+class Sparse:
+    """The same by a hash table of the transitions there are, for alphabets that a table would be too large for."""
+
+    def __init__(self, parts: list[tuple[int, np.ndarray]], width: int):
+        base = np.cumsum([0, *(n for n, _ in parts)])
+        self.width, self.starts = width, base[:-1].astype(np.int32)
+        keys = np.concatenate([(m[:, 0] + b) * width + m[:, 1] for (_, m), b in zip(parts, base[:-1], strict=True)])
+        to = np.concatenate([m[:, 2] + b for (_, m), b in zip(parts, base[:-1], strict=True)])
+        self.mask = (1 << (4 * len(keys)).bit_length()) - 1
+        self.keys, self.to = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
+        left, slot = np.arange(len(keys)), self.slot(keys)
+        while len(left):  # linear probing, all keys at once: of those that want a free slot one gets it
+            at = slot[left]
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]
+            got = self.keys[at] == keys[left]
+            self.to[at[got]] = to[left[got]]
+            left = left[~got]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The next state of each key, -1 if none."""
+        slot = self.slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.to[slot], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            there = self.keys[slot[left]]
+            same = there == keys[left]
+            out[left[same]] = self.to[slot[left[same]]]
+            left = left[~same & (there >= 0)]
+        return out
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        flat = (state.astype(np.int64) * self.width + codes).ravel()
+        out = self.find(flat)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            start = np.broadcast_to(self.starts[:, None], state.shape).ravel()[new].astype(np.int64)
+            fresh = self.find(start * self.width + np.broadcast_to(codes, state.shape).ravel()[new])
+            out[new] = ~np.where(fresh >= 0, fresh, start)
+        return out.reshape(state.shape).astype(np.int32)
 
 
 @lru_cache(1)
-def parser(samples: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Built once in each Python worker: names, class of each code point, the joined table, start states, weights.
-
-    The table holds premultiplied states; an entry that starts a new phrase is stored as its complement.
-    """
-    alphabet = sorted({ch for _, text in samples for ch in text} - {" "})[: 254]
+def parser(samples: tuple[tuple[str, str], ...], dense_bytes: int) -> tuple[list[str], np.ndarray, Dense | Sparse, np.ndarray]:
+    """Built once in each Python worker: names, class of each code point, the transitions, weights. Each letter of any sample has a class."""
+    alphabet = sorted({ch for _, text in samples for ch in text} - {" "})
     classes = {" ": SPACE} | {ch: i + 2 for i, ch in enumerate(alphabet)}
     width = len(alphabet) + 2
-    of_letter = np.zeros(0x110000, np.uint8)
+    of_letter = np.zeros(0x110000, np.uint8 if width <= 256 else np.int32)
     for ch, i in classes.items():
         of_letter[ord(ch)] = i
     letter = letter_of()
     class_of = of_letter[letter]
     class_of[letter == 0] = SPACE
-    tables, starts, base = [], [], 0
-    for _, text in samples:
-        t = automaton("".join(ch for ch in text if ch in classes), classes, width)
-        fresh = np.where(t[0] >= 0, t[0], 0)  # a letter that the sample lacks is a phrase of its own
-        new = t < 0
-        t = (np.where(new, fresh[None, :], t).astype(np.int64) + base) * width
-        tables.append(np.where(new, ~t, t).astype(np.int32))
-        starts.append(base * width)
-        base += len(t)
+    parts = [automaton(text, classes) for _, text in samples]
+    kind = Dense if sum(n for n, _ in parts) * width * 4 <= dense_bytes else Sparse
     weight = np.array([np.log2(max(2, len(text))) for _, text in samples])
-    return [n for n, _ in samples], class_of, np.concatenate(tables).ravel(), np.array(starts, np.int32), weight
+    return [n for n, _ in samples], class_of, kind(parts, width), weight
 
 
-def phrases(table_: np.ndarray, starts: np.ndarray, codes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+def phrases(moves: Dense | Sparse, codes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Phrases that each block (a range of ``codes``) needs in each language, in lockstep."""
+    starts = moves.starts
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
     state = np.repeat(starts[:, None], len(first), 1)
@@ -125,7 +180,7 @@ def phrases(table_: np.ndarray, starts: np.ndarray, codes: np.ndarray, first: np
     for t in range(int(size[0]) if len(size) else 0):
         while size[live - 1] <= t:
             live -= 1
-        s = table_[state[:, :live] + codes[first[:live] + t]]
+        s = moves.step(state[:, :live], codes[first[:live] + t])
         new = s < 0
         count[:, :live] += new
         np.bitwise_xor(s, -1, out=s, where=new)
@@ -138,13 +193,13 @@ def phrases(table_: np.ndarray, starts: np.ndarray, codes: np.ndarray, first: np
 def learn(docs: DataFrame, settings: Settings, of: Column | None = None) -> tuple[tuple[str, str], ...]:
     """A bounded sample (language, text as letters) of each label, of rows drawn by a hash of their id.
 
-    Rows of ``docs`` (doc_id, text, lang) without text or label teach nothing. At most
-    ``settings.languages`` labels are learned, the most frequent ones.
+    Rows of ``docs`` (doc_id, text, lang) without text or label teach nothing.
+    All labels are learned.
     """
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and text <> ''")
     if of is not None:
         rows = rows.where(of)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
     if not sizes:
         return ()
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 3 * settings.sample_chars / max(1, r["chars"]) + 20 / r["n"]))])
@@ -175,7 +230,7 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], settings: Set
     """
 
     def maker():
-        names, class_of, steps, starts, weight = parser(samples) if samples else ([], *[None] * 4)
+        names, class_of, moves, weight = parser(samples, settings.dense_bytes) if samples else ([], *[None] * 3)
 
         def run(texts: list) -> dict:
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
@@ -189,7 +244,7 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], settings: Set
                 size = np.bincount(of, minlength=len(lengths))
                 some = np.bincount(of, cls != SPACE, len(lengths)) > 0
                 doc, first, width = segments(np.cumsum(size) - size, size, settings.block)
-                found = phrases(steps, starts, cls.astype(np.int32), first, width)
+                found = phrases(moves, cls.astype(np.int32), first, width)
                 bits = np.stack([np.bincount(doc, n, len(lengths)) for n in found], 1) * weight
                 best = bits.argmin(1)
                 scale = np.minimum(1, 64 / np.maximum(1, size))[:, None]

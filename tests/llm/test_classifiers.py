@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import pytest
@@ -47,6 +48,37 @@ def test_language_odd_rows(spark):
     assert langid.predict(docs.limit(0), samples).count() == 0
 
 
+SCRIPTS = {"en": (0x61, 26), "ru": (0x430, 32), "am": (0x1200, 70), "zh": (0x4E00, 900), "ja": (0x6000, 900), "ko": (0xAC00, 900), "egy": (0x30000, 300)}
+
+
+def text_in(lang: str, seed: int, words: int = 60) -> str:
+    rng, (first, n) = random.Random(f"{lang}{seed}"), SCRIPTS[lang]
+    return " ".join("".join(chr(first + int(n * rng.random() ** 3)) for _ in range(rng.randint(2, 5))) for _ in range(words))
+
+
+def test_language_of_many_scripts(spark):
+    """Letters of all scripts are told apart, by the table and by the hash table alike."""
+    docs = [(i * 10 + k, text_in(lang, i), lang) for i in range(30) for k, lang in enumerate(SCRIPTS)]
+    # a few Latin letters in each sample, of which alone an automaton could be built
+    docs += [(1000 + k, "the page of " * 5 + text_in(lang, 99), lang) for k, lang in enumerate(SCRIPTS)]
+    held = [(5000 + i * 10 + k, text_in(lang, 500 + i, 8), lang) for i in range(6) for k, lang in enumerate(SCRIPTS)]
+    schema = "doc_id long, text string, lang string"
+    samples = langid.learn(spark.createDataFrame(docs, schema), langid.Settings())
+    both = []
+    for settings in (langid.Settings(), langid.Settings(dense_bytes=0)):
+        got = langid.predict(spark.createDataFrame(held, schema), samples, settings).toPandas()
+        assert (got["lang"] == got["lang_pred"]).all()
+        both.append(got[["doc_id", "lang_pred", "score"]])
+    assert both[0].equals(both[1])
+
+
+def test_all_languages_are_learned(spark):
+    docs = [(i, chr(0x4E00 + 3 * i) * 9 + " abc", f"l{i}") for i in range(90)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.learn(df, langid.Settings())).toPandas()
+    assert (got["lang"] == got["lang_pred"]).all()
+
+
 def test_toxicity_held_out(spark):
     got = query("op5_")(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
