@@ -7,6 +7,10 @@ so equal windows have the same anchor, and all equal windows meet where their an
 1. Sampled splitters range-partition the anchored suffixes by their leading tokens (words of 8 bytes,
    the second cut at the gram's end). A splitter never divides suffixes that begin with the same
    gram, so no comparison is left across a boundary.
+   A gram of which the sample foretells more than ``hot_pieces`` pieces has no bucket of its own: its
+   pieces are taken apart into windows, dealt by the windows' hashes. Of equal windows (and pieces)
+   of a batch of documents only those of the smallest document travel; for the others it is known
+   already that they are covered. So a bucket gets one row a batch of a window that all have.
 2. Each bucket sorts its suffixes by multikey quicksort, one token after another, among ties only.
    Suffixes of a gram that one document has alone leave. For the others the text around the anchor
    (the windows that it stands for) is compared: equal pieces at once, unequal ones window by window.
@@ -41,7 +45,7 @@ TOP = np.uint64(0xFFFFFFFF00000000)
 
 @dataclass(frozen=True)
 class Settings:
-    """``bucket_bytes``: text for each bucket of suffixes; ``sample``: documents (at most, about) that splitters are drawn from; ``chunk``: pieces whose windows are compared at a time."""
+    """``bucket_bytes``: text for each bucket of suffixes; ``sample``: documents (at most, about) that splitters are drawn from; ``chunk``: pieces whose windows are compared at a time; ``hot_pieces``: beyond these a gram is split."""
 
     min_bytes: int = 50
     bucket_bytes: int = 4_000_000
@@ -49,6 +53,7 @@ class Settings:
     batch_bytes: int = 12_000_000
     sample: int = 2_000
     chunk: int = 60_000
+    hot_pieces: int = 100_000
 
 
 def token(buf: np.ndarray, at: int) -> np.ndarray:
@@ -187,13 +192,46 @@ def runs_of(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *ends[:-1]], ends, strict=True)) if ends else []
 
 
-def blocks_of(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], cuts: np.ndarray, width: int) -> Iterator[tuple[int, bytes]]:
-    """The blocks (bucket, bytes) of a batch of documents, sorted by id."""
+def is_hot(first: np.ndarray, second: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which pairs of tokens are among some (k x 2)."""
+    out = np.zeros(len(first), bool)
+    if len(hot):
+        some = np.flatnonzero(np.isin(first, hot[:, 0]))
+        known = set(map(tuple, hot.tolist()))
+        out[some] = [key in known for key in zip(first[some].tolist(), second[some].tolist(), strict=True)]
+    return out
+
+
+def apart(rows: np.ndarray, far: np.ndarray, near: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """The windows of some pieces: piece, place of the anchor in the window, and two hashes of its bytes."""
+    parts = []
+    for lo in range(0, len(rows), 10_000):
+        f, n = far[lo : lo + 10_000].astype(np.int64), near[lo : lo + 10_000].astype(np.int64)
+        of = np.repeat(np.arange(len(f)), f - n + 1)
+        d = (np.arange(len(of)) - np.repeat(np.cumsum(f - n + 1) - (f - n + 1), f - n + 1) + n[of]).astype(np.uint8)
+        bytes_ = rows[lo : lo + 10_000][of] * covered(d, d, width)
+        parts.append((of + lo, d, row_hash(bytes_, d, d), row_hash(bytes_[:, ::-1], d, d)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def stand_ins(gram: np.ndarray, d: np.ndarray, one: np.ndarray, two: np.ndarray, width: int) -> np.ndarray:
+    """In place of each window's bytes: its gram, its two hashes beside that, zeros."""
+    out = np.zeros((len(d), width), np.uint8)
+    row, at = np.arange(len(d))[:, None], d.astype(np.int64)
+    out[row, at[:, None] + np.arange(GRAM)] = gram
+    beside = np.where(at + GRAM + 16 <= width, at + GRAM, at - 16)
+    out[row, beside[:, None] + np.arange(16)] = np.stack([one, two], 1).view(np.uint8)
+    return out
+
+
+def blocks_of(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], cuts: np.ndarray, width: int, hot: np.ndarray, spread: int) -> Iterator[tuple[int, bytes]]:
+    """The blocks (bucket, bytes) of a batch of documents, sorted by id. Windows of hot grams go to ``spread`` buckets beyond those of the splitters."""
     reach = width - GRAM
     parts = []
     for part in slices([len(t) for t in texts], 1_500_000):
         doc, a, far, near, rows = pieces(texts[part], width)
-        parts.append((doc + part.start, a, far, near, rows, place(*leading(rows, reach), cuts), row_hash(rows, far, near)))
+        two = leading(rows, reach)
+        parts.append((doc + part.start, a, far, near, rows, np.where(is_hot(*two, hot), -1, place(*two, cuts)), row_hash(rows, far, near)))
     if not parts:
         return
     doc, a, far, near, rows, bucket, key = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -207,10 +245,46 @@ def blocks_of(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], cuts: np.
         later = ids[doc[here]] > ids[doc[head]]  # covered already; what a document repeats itself is no copy
         mine, copy = here[~later], here[later]
         mine, copy = np.sort(mine), np.sort(copy)
-        used, at = np.unique(doc[np.concatenate((mine, copy))], return_inverse=True)
-        m = len(mine)
-        text = rows[mine][covered(far[mine], near[mine], width)]
-        yield int(bucket[order[lo]]), pack([ids[used], hashes[used], steps(at[:m]), planes(a[mine]), far[mine], near[mine], steps(at[m:]), planes(a[copy]), far[copy], near[copy], text])
+        pieces_, copies = (doc[mine], a[mine], far[mine], near[mine]), (doc[copy], a[copy], far[copy], near[copy])
+        if bucket[order[lo]] >= 0:
+            yield int(bucket[order[lo]]), block(ids, hashes, pieces_, copies, rows[mine][covered(far[mine], near[mine], width)])
+        else:
+            yield from hot_blocks(ids, hashes, pieces_, copies, rows[mine], len(cuts) + 1, spread, width)
+
+
+def block(ids: np.ndarray, hashes: np.ndarray, mine: tuple, copies: tuple, text: np.ndarray) -> bytes:
+    """Pieces and copies (document row, anchor, far, near; sorted by document) as bytes."""
+    used, at = np.unique(np.concatenate((mine[0], copies[0])), return_inverse=True)
+    m = len(mine[0])
+    return pack([ids[used], hashes[used], steps(at[:m]), planes(mine[1]), mine[2], mine[3], steps(at[m:]), planes(copies[1]), copies[2], copies[3], text])
+
+
+def hot_blocks(ids: np.ndarray, hashes: np.ndarray, mine: tuple, copies: tuple, rows: np.ndarray, base: int, spread: int, width: int) -> Iterator[tuple[int, bytes]]:
+    """The blocks of a batch's pieces of hot grams: their windows by hash, and all that is known to be copied in one block anywhere."""
+    of, d, one, two = apart(rows, mine[2], mine[3], width)
+    doc, a = mine[0][of], mine[1][of]
+    order = np.lexsort((doc, two, one))
+    same = np.zeros(len(order), bool)
+    same[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    later = ids[doc[order]] > ids[doc[head]]
+    # neighbouring windows of a piece are one copy
+    c = np.sort(order[later])
+    new = np.ones(len(c), bool)
+    new[1:] = (of[c][1:] != of[c][:-1]) | (d[c][1:] != d[c][:-1] + np.uint8(1))
+    start, end = c[new], c[np.append(np.flatnonzero(new)[1:] - 1, len(c) - 1)] if len(c) else c
+    known = [np.concatenate(x) for x in zip(copies, (doc[start], a[start], d[end], d[start]), strict=True)]
+    by = np.argsort(known[0], kind="stable")
+    none = tuple(x[:0] for x in mine)
+    if len(by):
+        yield base + int(hashes[0]) % spread, block(ids, hashes, none, tuple(x[by] for x in known), np.zeros(0, np.uint8))
+    left = order[~later]
+    to = (mix64(one[left]) % np.uint64(spread)).astype(np.int64)
+    left = left[np.lexsort((left, to))]
+    for lo, hi in runs_of(np.sort(to)):
+        w = left[lo:hi]
+        gram = rows[of[w], width - GRAM : width]
+        yield base + int(mix64(one[w[:1]])[0] % np.uint64(spread)), block(ids, hashes, (doc[w], a[w], d[w], d[w]), none, stand_ins(gram, d[w], one[w], two[w], width).ravel())
 
 
 def whole_groups(group: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -225,8 +299,8 @@ def whole_groups(group: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = int(ends[k])
 
 
-def matches(blobs: list[bytes], width: int, chunk: int = 60_000) -> tuple[np.ndarray, ...]:
-    """Of one bucket: id, text hash, start and end of each byte range that a smaller document has too."""
+def matches(blobs: list[bytes], width: int, chunk: int = 60_000, single: bool = False) -> tuple[np.ndarray, ...]:
+    """Of one bucket: id, text hash, start and end of each byte range that a smaller document has too. ``single``: each piece is one window."""
     reach = width - GRAM
     ids, hashes, doc, a, far, near, cdoc, ca, cfar, cnear, rows = ([] for _ in BLOCK)
     base = 0
@@ -261,7 +335,7 @@ def matches(blobs: list[bytes], width: int, chunk: int = 60_000) -> tuple[np.nda
     out = [(np.concatenate((doc[whole_rows], cdoc)).astype(np.int64), np.concatenate((a[whole_rows], ca)).astype(np.int64) - np.concatenate((far[whole_rows], cfar)), np.concatenate((a[whole_rows], ca)).astype(np.int64) - np.concatenate((near[whole_rows], cnear)) + width)]
     # unequal pieces of a gram: window by window
     kinds = np.bincount(group[head], minlength=n) if len(order) else np.zeros(0, int)
-    left = np.flatnonzero(~whole & (kinds[group] > 1)) if len(order) else np.zeros(0, int)
+    left = np.flatnonzero(~whole & (kinds[group] > 1)) if len(order) and not single else np.zeros(0, int)
     rest, g = order[left], group[left]
     for lo, hi in whole_groups(g, chunk):
         out.append(windows(rest[lo:hi], g[lo:hi], rows, far, near, doc, a, owner, width))
@@ -272,17 +346,23 @@ def matches(blobs: list[bytes], width: int, chunk: int = 60_000) -> tuple[np.nda
 def windows(rest, g, rows, far, near, doc, a, owner, width) -> tuple[np.ndarray, ...]:
     """Ranges of the windows of some pieces that a piece of the same gram in a smaller document has too."""
     reach = width - GRAM
-    m = rows[rest].astype(np.uint64) + np.uint64(1)
-    powers = np.array([pow(0x5851F42D4C957F2D, k, 1 << 64) for k in range(m.shape[1])], np.uint64)
-    sums = np.concatenate((np.zeros((len(m), 1), np.uint64), np.cumsum(m * powers, 1, dtype=np.uint64)), 1)
+    cols = np.ascontiguousarray(rows[rest].T)
+    powers = [np.uint64(pow(0x5851F42D4C957F2D, k, 1 << 64)) for k in range(len(cols))]
+    term = lambda k: (cols[k].astype(np.uint64) + np.uint64(1)) * powers[k]
+    rolled = np.zeros(len(rest), np.uint64)
+    for k in range(reach, reach + width):
+        rolled += term(k)
     hit = np.zeros((len(rest), reach + 2), bool)
     salt = mix64(g.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
     for d in range(reach + 1):
+        s = reach - d
+        if d:
+            rolled += term(s)
+            rolled -= term(s + width)
         live = np.flatnonzero((far[rest] >= d) & (near[rest] <= d))
         if len(live) < 2:
             continue
-        s = reach - d
-        key = mix64(sums[live, s + width] - sums[live, s]) ^ salt[live]
+        key = mix64(rolled[live]) ^ salt[live]
         own = owner[rest[live]]
         by = np.lexsort((own, key))
         key, own = key[by], own[by]
@@ -296,8 +376,8 @@ def windows(rest, g, rows, far, near, doc, a, owner, width) -> tuple[np.ndarray,
     return doc[rest[r0]].astype(np.int64), at - (d1 - 1), at - d0 + width
 
 
-def splitters(docs: DataFrame, rows: int, count: int, settings: Settings) -> np.ndarray:
-    """``count`` - 1 splitters (leading tokens), from the anchored suffixes of a bounded sample of documents."""
+def splitters(docs: DataFrame, rows: int, count: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """``count`` - 1 splitters (leading tokens) at most and the hot grams, from the anchored suffixes of a bounded sample of documents."""
     width, reach = settings.min_bytes, settings.min_bytes - GRAM
     share = min(1.0, settings.sample / max(1, rows))
 
@@ -313,10 +393,17 @@ def splitters(docs: DataFrame, rows: int, count: int, settings: Settings) -> np.
     got = drawn.mapInPandas(run, "a long, b long").toPandas()
     a, b = got["a"].to_numpy(np.int64).astype(np.uint64), got["b"].to_numpy(np.int64).astype(np.uint64)
     order = np.lexsort((b, a))
+    none = np.zeros((0, 2), np.uint64)
     if not len(order) or count < 2:
-        return np.zeros((0, 2), np.uint64)
-    cuts = np.stack([a[order], b[order]], 1)[(np.arange(1, count) * len(order)) // count]
-    return np.unique(cuts, axis=0)
+        return none, none
+    drawn = np.stack([a[order], b[order]], 1)
+    hot = none
+    if width >= GRAM + 31:  # two hashes fit beside the gram
+        grams, of, times = np.unique(drawn, axis=0, return_inverse=True, return_counts=True)
+        often = (times > 1) & (times * 8 / share >= settings.hot_pieces)
+        hot, drawn = grams[often], drawn[~often[of.ravel()]]
+    cuts = drawn[(np.arange(1, count) * len(drawn)) // count] if len(drawn) else none
+    return np.unique(cuts, axis=0), hot
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -347,13 +434,13 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
     size = base.agg(F.count("*").alias("rows"), F.sum(F.octet_length("raw")).alias("bytes")).first()
     buckets = max(64, -(-(size["bytes"] or 0) // settings.bucket_bytes))
     groups = max(64, -(-(size["bytes"] or 0) // settings.group_bytes))
-    cuts = splitters(base, size["rows"], buckets, settings)
+    cuts, hot = splitters(base, size["rows"], buckets, settings)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> pa.RecordBatch:
             held.sort(key=lambda r: r[0])
             ids, hashes = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
-            out = list(blocks_of(ids, hashes, [r[2] for r in held], cuts, width))
+            out = list(blocks_of(ids, hashes, [r[2] for r in held], cuts, width, hot, buckets))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "block"])
 
         held, total = [], 0
@@ -368,7 +455,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
             yield flush(held)
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, hashes, start, end = matches(t.column("block").to_pylist(), width, settings.chunk)
+        ids, hashes, start, end = matches(t.column("block").to_pylist(), width, settings.chunk, t.column("bucket")[0].as_py() > len(cuts))
         tidy()
         to = (hashes % groups).astype(np.int32)
         order = np.lexsort((start, hashes, ids, to))

@@ -95,6 +95,33 @@ def test_repeats_in_chunks(spark):
     assert got == brute_cut(docs)
 
 
+def test_repeats_of_hot_grams(spark):
+    """Grams of the sample that occur twice are dealt out window by window, with the same result."""
+    docs = hot_passages(7) + [(1000 + i, t) for i, t in passages(8, 20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    split = suffix_dedup.Settings(hot_pieces=1, batch_bytes=3_000)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, split).collect()}
+    assert got == brute_cut(docs)
+
+
+def test_hot_gram_is_spread():
+    """No bucket has all pieces of a gram that every document has, and of a window that all have each batch sends one."""
+    docs = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}".encode() * 30 + b" the one passage that all of the documents here have in common " + f"{i:05d}".encode() * 9 for i in range(400)]
+    width, none = 50, np.zeros((0, 2), np.uint64)
+    rows = suffix_dedup.pieces(docs, width)[4]
+    grams, times = np.unique(np.stack(suffix_dedup.leading(rows, width - suffix_dedup.GRAM), 1), axis=0, return_counts=True)
+    ids, most = np.arange(400), []
+    for hot in (none, grams[times >= 400]):
+        got = list(suffix_dedup.blocks_of(ids, ids, docs, none, width, hot, 16))
+        counts = {}
+        for bucket, blob in got:
+            counts[bucket] = counts.get(bucket, 0) + len(suffix_dedup.unpack(blob, suffix_dedup.BLOCK)[4])
+        most.append(counts)
+    assert len(most[0]) == 1 and len(most[1]) > 12
+    hot_counts = [n for b, n in most[1].items() if b > 0]
+    assert max(hot_counts) < 0.2 * sum(hot_counts)
+
+
 def test_repeats_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(empty).count() == 0
