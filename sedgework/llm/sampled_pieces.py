@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgework.llm.common import Bounded, table
+from sedgework.llm.common import Bounded, slices, table, tidied
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -59,7 +59,7 @@ class Lattice:
         self.bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
         self.longest = max(map(len, self.pieces))
-        self.word = Bounded(self.lattice, 300_000)
+        self.word = Bounded(self.lattice, 50_000)
 
     def lattice(self, word: str) -> list[tuple]:
         """For each place the log sum of all completions, then its edges: log mass through it, ids, next place."""
@@ -160,6 +160,15 @@ def _log_inclusion(x: float) -> float:
     return x - math.exp(x) / 2 if x < -20 else math.log(-math.expm1(-math.exp(min(x, 50.0))))
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in runs of rows of a bounded size of ``column`` (texts or ids)."""
+    for b in tidied(batches):
+        sizes = [len(x) if x else 0 for x in b.column(b.schema.get_field_index(column)).to_pylist()]
+        for part in slices(sizes, 200_000):
+            for lo in range(part.start, part.stop, 500):
+                yield b.slice(lo, min(500, part.stop - lo))
+
+
 @lru_cache(2)
 def lattice(path: str, settings: Settings) -> Lattice:
     return Lattice(path, settings)
@@ -184,18 +193,16 @@ def sample_segmentations(docs: DataFrame, keys: list[str], path: str, settings:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(path, settings)
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                texts, seeds = part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()
-                at, out = [], []
-                for n, (t, s) in enumerate(zip(texts, seeds, strict=True)):
-                    t = t or ""
-                    for k, (ids, p, q) in enumerate(lat.sample(t, s, settings.samples)):
-                        at.append(n)
-                        out.append((k + 1, ids, p, q, lat.decode(ids) == t))
-                keys_ = part.select(part.schema.names[:-2]).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*keys_.columns, *(pa.array([r[j] for r in out], f[1]) for j, f in enumerate(FIELDS))], names=[*keys_.schema.names, *(f[0] for f in FIELDS)])
+        for part in parts(batches, "text"):
+            texts, seeds = part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()
+            at, out = [], []
+            for n, (t, s) in enumerate(zip(texts, seeds, strict=True)):
+                t = t or ""
+                for k, (ids, p, q) in enumerate(lat.sample(t, s, settings.samples)):
+                    at.append(n)
+                    out.append((k + 1, ids, p, q, lat.decode(ids) == t))
+            keys_ = part.select(part.schema.names[:-2]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*keys_.columns, *(pa.array([r[j] for r in out], f[1]) for j, f in enumerate(FIELDS))], names=[*keys_.schema.names, *(f[0] for f in FIELDS)])
 
     return rows.mapInArrow(run, schema)
 
@@ -206,7 +213,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path, Settings()).model
-        for b in batches:
+        for b in parts(batches, "text"):
             names = [n for n in b.schema.names if n != "ids"]
             ids = model.encode([escaped(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()], num_threads=1)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
@@ -220,11 +227,9 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(path, Settings())
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
-                texts = [None if ids is None else lat.decode(ids) for ids in b.column(b.schema.get_field_index("ids")).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
+        for b in parts(batches, "ids"):
+            texts = [None if ids is None else lat.decode(ids) for ids in b.column(b.schema.get_field_index("ids")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
 
     return rows.drop("text").mapInArrow(run, out)
 
