@@ -10,6 +10,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sedgework.llm import hash_forest, lz_fingerprint, packing, sampled_pieces, tool_calls
@@ -60,12 +61,12 @@ def test_packing_odd_rows(spark):
     assert twice.count() == 2 * packing.pack(df, packing.vocabulary()).count()
 
 
-def test_nearest_recall(spark):
-    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    rows = [(r.vec_id, np.array(r.embedding, np.float64)) for r in table.collect()]
+def neighbours(spark, sf_dir: str) -> tuple[float, int]:
+    """Recall of the query against brute force, and its number of queries; checks ranks, ids and scores."""
+    rows = [(r.vec_id, np.array(r.embedding, np.float64)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     ids, x = np.array([r[0] for r in rows]), np.stack([r[1] for r in rows])
     got = defaultdict(list)
-    for r in QUERIES["op6_hash_prefix_forest"](spark, "/root/testdata/sf0.01").collect():
+    for r in QUERIES["op6_hash_prefix_forest"](spark, sf_dir).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     hits = wanted = 0
     for i, v in rows:
@@ -75,21 +76,49 @@ def test_nearest_recall(spark):
         score = x @ v
         order = [k for k in np.lexsort((ids, -score)) if ids[k] != i][:20]
         mine = sorted(got[i])
-        assert [m[0] for m in mine] == list(range(1, 21))
+        assert [m[0] for m in mine] == list(range(1, 21)) and i not in {m[1] for m in mine}
+        assert [(-m[2], m[1]) for m in mine] == sorted((-m[2], m[1]) for m in mine)
         assert all(abs(s - float(x[np.flatnonzero(ids == j)[0]] @ v)) < 1e-9 for _, j, s in mine)
         hits += len({int(ids[k]) for k in order} & {m[1] for m in mine})
         wanted += 20
-    assert hits / wanted >= 0.9
+    return hits / wanted, len(got)
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 0.9), ("sf0.1", 0.9)])
+def test_nearest_recall(spark, sf, least):
+    recall, queries = neighbours(spark, f"/root/testdata/{sf}")
+    assert queries and recall >= least
 
 
 def test_nearest_odd_rows(spark):
-    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, None]), (7, [1.0, 1.0]), (None, [1.0, 2.0]), (7, [1.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, None]), (7, [1.0, 1.0]), (None, [1.0, 2.0]), (7, [1.0, 1.0]), (7, [3.0]), (8, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("key", F.lit(1))
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in hash_forest.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 7, 1.0), (0, 3, 20, 0.0), (20, 1, 1, 1.0), (20, 2, 7, 1.0), (20, 3, 0, 0.0)]
+    # rows of one id count each, and [3.0] is [3.0, 0.0]
+    assert got == [(0, 1, 7, 3.0), (0, 2, 1, 1.0), (0, 3, 7, 1.0), (0, 4, 7, 1.0), (0, 5, 20, 0.0), (20, 1, 1, 1.0), (20, 2, 7, 1.0), (20, 3, 7, 1.0), (20, 4, 0, 0.0), (20, 5, 7, 0.0)]
     assert hash_forest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_of_hot_vectors(spark):
+    """Exactly right where a third of the rows have one vector and cells are small, split and met by many queries."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 24)).astype(np.float32)
+    x[::3] = x[0]
+    x[1::9] = x[1] + rng.normal(0, 1e-3, (100, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    settings = hash_forest.Settings(cell_rows=40, cell_queries=5, reach=40.0, sample_rows=400, neighbours=7)
+    got = defaultdict(list)
+    for r in hash_forest.nearest(df, F.col("vec_id") % 10 == 0, settings).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    y, hits = x.astype(np.float64), 0
+    for i in range(0, 900, 10):
+        score = (y * y[i]).sum(1)
+        order = [int(k) for k in np.lexsort((np.arange(900), -score)) if k != i][:7]
+        assert len(got[i]) == 7
+        hits += len(set(order) & set(got[i]))
+    assert hits >= 0.95 * 7 * 90
+
+
 def test_fingerprints_of_the_tables(spark):
     docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), reverse=True)
     got = {r.doc_id: r for r in QUERIES["op9_lz_fingerprints"](spark, SF).collect()}
