@@ -35,12 +35,13 @@ SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 @dataclass(frozen=True)
 class Settings:
+    """``schedules``: (sharpness, step, most rounds) of the multiplicative weights; each solution's ``shares`` are rounded."""
+
     capacity: int = 2048
     end_id: int = 0
-    rounds: int = 400
-    step: float = 0.35
+    schedules: tuple[tuple[float, float, int], ...] = ((0.1, 0.35, 400), (30.0, 0.02, 600))
     chunk_rows: int = 200_000
-    shares: tuple[float, ...] = (1.0, 0.9, 0.75, 0.5)
+    shares: tuple[float, ...] = (1.0, 0.9, 0.75, 0.5, 0.0)
 
 
 class Tokens:
@@ -117,20 +118,32 @@ def pieces(docs: DataFrame, path: str, settings: Settings) -> DataFrame:
 
 
 def price(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of largest total value: knapsack by dynamic programming. ``value[l]`` <= 0: length not in use."""
+    """The configuration of largest total value: knapsack by dynamic programming. ``value[l]`` <= 0: length not in use.
+
+    Few lengths are taken one after another, each in chunks as wide as it is; many are compared at each capacity.
+    """
     lengths = np.flatnonzero(value > 0)
     v = value[lengths]
     best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if n := fits[c]:
-            got = best[c - lengths[:n]] + v[:n]
-            k = int(got.argmax())
-            if got[k] > best[c]:
-                best[c], choice[c] = got[k], lengths[k]
+    if (capacity // lengths).sum() < capacity // 2:
+        for length, worth in zip(lengths[::-1].tolist(), v[::-1].tolist(), strict=True):
+            for at in range(length, capacity + 1, length):
+                top = min(at + length, capacity + 1)
+                got = best[at - length : top - length] + worth
+                more = got > best[at:top]
+                best[at:top][more], choice[at:top][more] = got[more], length
+        c = int(best.argmax())
+    else:
+        fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+        for c in range(1, capacity + 1):
+            best[c] = best[c - 1]
+            if n := fits[c]:
+                got = best[c - lengths[:n]] + v[:n]
+                k = int(got.argmax())
+                if got[k] > best[c]:
+                    best[c], choice[c] = got[k], lengths[k]
+        c = capacity
     out: dict[int, int] = {}
-    c = capacity
     while c > 0:
         if choice[c]:
             out[int(choice[c])] = out.get(int(choice[c]), 0) + 1
@@ -140,43 +153,51 @@ def price(value: np.ndarray, capacity: int) -> dict[int, int]:
     return out
 
 
-def configurations(counts: np.ndarray, settings: Settings) -> dict[tuple, float]:
-    """Fractional uses of configurations, by multiplicative weights over the lengths."""
+def configurations(counts: np.ndarray, settings: Settings, sharpness: float, step: float, rounds: int) -> dict[tuple, float]:
+    """Fractional uses of configurations, by multiplicative weights over the lengths.
+
+    A length is worth its tokens at first, and less by ``exp(-sharpness)`` when all of it is covered; a
+    covered length is worth nothing. Each round the best configuration covers ``step`` of one of its lengths.
+    """
     need = counts.astype(np.float64)
-    covered, weight = np.zeros_like(need), np.where(need > 0, 1 / np.maximum(need, 1), 0)
-    weight *= np.arange(len(need)) / settings.capacity * np.maximum(need, 1)  # at first a length is worth its tokens
+    left, size = need.copy(), np.arange(len(need)) / settings.capacity
     out: dict[tuple, float] = {}
-    for _ in range(settings.rounds):
-        left = need - covered
-        value = np.where(left > 0.5, weight, 0)
-        if not value.any():
+    for _ in range(rounds):
+        open_ = left > 0.5
+        if not open_.any():
             break
-        config = price(value, settings.capacity)
-        use = min(left[n] / k for n, k in config.items())
-        use = min(use, max(1.0, settings.step * max(left[n] / k for n, k in config.items())))
+        covered = 1 - left / np.maximum(need, 1)
+        config = price(np.where(open_, size * np.exp(-sharpness * (covered - covered[open_].min())), 0), settings.capacity)
+        lengths, times = np.array(list(config)), np.array(list(config.values()))
+        use = min((left[lengths] / times).min(), max(1.0, step * ((need if sharpness > 1 else left)[lengths] / times).max()))
         key = tuple(sorted(config.items()))
         out[key] = out.get(key, 0) + use
-        for n, k in config.items():
-            covered[n] += use * k
-            weight[n] *= np.exp(-0.1 * use * k / need[n])
+        left[lengths] -= use * times
     return out
 
 
-def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit, longest first, of a histogram: (configuration, how many)."""
+def best_fit(counts: np.ndarray, capacity: int, begun: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest first, of a histogram: (configuration, how many). ``begun`` sequences are filled up."""
     open_: dict[int, dict[tuple, int]] = {}
+
+    def add(config: dict[int, int], many: int) -> None:
+        room = capacity - sum(length * k for length, k in config.items())
+        key = tuple(config.items())
+        open_.setdefault(room, {})
+        open_[room][key] = open_[room].get(key, 0) + many
+
+    for config, many in begun:
+        add(config, many)
     for length in range(len(counts) - 1, 0, -1):
         n = int(counts[length])
-        rooms = sorted(r for r in open_ if r >= length)
         while n:
-            if rooms:
-                room = rooms[0]
+            room = min((r for r in open_ if r >= length), default=None)
+            if room is not None:
                 key, many = next(iter(open_[room].items()))
                 each = min(room // length, n)  # the same length again is the best fit while it fits
                 if room - length >= length and any(length <= r < room - length for r in open_):
                     each = 1
                 use = min(many, n // each)
-                left = room - each * length
                 open_[room][key] -= use
                 if not open_[room][key]:
                     del open_[room][key]
@@ -184,17 +205,16 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
                     del open_[room]
             else:
                 key, each = (), min(capacity // length, n)
-                use, left = n // each, capacity - each * length
-            open_.setdefault(left, {})
-            new = (*key, (length, each))
-            open_[left][new] = open_[left].get(new, 0) + use
+                use = n // each
+            config = dict(key)
+            config[length] = config.get(length, 0) + each
+            add(config, use)
             n -= use * each
-            rooms = sorted(r for r in open_ if r >= length)
     return [(dict(key), many) for room in sorted(open_) for key, many in open_[room].items()]
 
 
 def rounded(uses: list[tuple[tuple, float]], counts: np.ndarray, share: float, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """A share of the fractional uses, rounded down; what is left of the histogram is placed best fit."""
+    """A share of the fractional uses, rounded down; what is left of the histogram is placed best fit, in their gaps too."""
     left = counts.astype(np.int64).copy()
     chosen: list[tuple[dict[int, int], int]] = []
     for key, x in uses:
@@ -203,17 +223,27 @@ def rounded(uses: list[tuple[tuple, float]], counts: np.ndarray, share: float, c
             chosen.append((dict(key), n))
             for length, k in key:
                 left[length] -= n * k
-    return chosen + best_fit(left, capacity)
+    return best_fit(left, capacity, chosen)
 
 
 def plan(counts: np.ndarray, settings: Settings) -> list[tuple[int, int, int, int, int, int]]:
     """Rows (length, first rank, past the last rank, pieces per sequence, first sequence, offset of the first).
 
-    Of the roundings of the fractional solution (all of its uses, or a part) the one of fewest sequences.
+    Of the roundings of the fractional solutions (all of their uses, a part, or none: plain best fit) the
+    one of fewest sequences.
     """
-    uses = sorted(configurations(counts, settings).items(), key=lambda kx: (-kx[1], kx[0]))
-    tried = [rounded(uses, counts, share, settings.capacity) for share in settings.shares]
-    chosen = min(tried, key=lambda c: sum(n for _, n in c))
+    fewest, chosen = np.inf, []
+    least = -(-int((np.arange(len(counts)) * counts).sum()) // settings.capacity)
+    for sharpness, step, rounds in settings.schedules:
+        if fewest == least:  # no packing has fewer
+            break
+        uses = sorted(configurations(counts, settings, sharpness, step, rounds).items(), key=lambda kx: (-kx[1], kx[0]))
+        for share in settings.shares:
+            found = rounded(uses, counts, share, settings.capacity)
+            if (n := sum(n for _, n in found)) < fewest:
+                fewest, chosen = n, found
+            if fewest == least:
+                break
     rank, sequence, rows = np.zeros(len(counts), np.int64), 0, []
     for config, n in chosen:
         offset = 0
@@ -247,7 +277,7 @@ def pack(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataFra
     within = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("within", within).join(before, ["length", "chunk"]).withColumn("rank", F.col("within") + F.col("before"))
     rows = plan(counts, settings)
-    # at most (rounds + capacity) configurations, whatever the input
+    # at most (all schedules' rounds + a multiple of capacity) configurations, whatever the input
     places = spark.createDataFrame(pd.DataFrame(rows, columns=["at_length", "first", "past", "each", "sequence", "base"]), "at_length long, first long, past long, each long, sequence long, base long")
     here = F.col("rank") - F.col("first")
     return ranked.join(F.broadcast(places), (F.col("length") == F.col("at_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past"))).select(

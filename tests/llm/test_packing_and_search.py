@@ -52,6 +52,30 @@ def test_packing_of_the_tables(spark):
     assert sequences <= math.ceil(sum(r.length for r in rows) / 2048) * 1.02 + 1
 
 
+def test_packing_program_against_best_fit():
+    """Every piece is placed once; never more sequences than plain best fit, fewer where lengths combine badly."""
+    rng = np.random.default_rng(4)
+    lengths = {"any": rng.integers(1, 2049, 3000), "six": rng.choice([300, 451, 683, 700, 911, 1111], 20_000), "thirds": rng.integers(650, 720, 2000), "repeated": np.repeat([1025, 513, 510], 50), "one": np.array([5]), "none": np.zeros(0, int)}
+    for name, found in lengths.items():
+        counts = np.bincount(found, minlength=2049)
+        rows = packing.plan(counts, packing.Settings())
+        placed, held = np.zeros(2049, np.int64), defaultdict(list)
+        for length, first, past, each, sequence, base in rows:
+            assert first == placed[length] and (past - first) % each == 0
+            placed[length] = past
+            for k in range((past - first) // each):
+                held[sequence + k] += [(base + i * length, length) for i in range(each)]
+        assert (placed == counts).all()
+        for pieces in held.values():
+            at = 0
+            for offset, length in sorted(pieces):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        plain = sum(n for _, n in packing.best_fit(counts, 2048))
+        assert len(held) <= plain - (plain // 100 if name in ("six", "thirds") else 0), name
+
+
 def test_packing_odd_rows(spark):
     docs = {1: None, 2: "", 3: "word " * 9000, 4: "İstanbul ﬁne <|endoftext|> 漢字", 5: "It's 12345 o'clock\n\n", 6: "a" * 5000}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").withColumn("length", F.lit("clash"))
