@@ -149,3 +149,72 @@ SIZE_BUCKETS = ((100, "0-100kb"), (300, "100-300kb"), (600, "300-600kb"), (1000,
 TIER_BITS = ("t0_layout", "t1_openresume", "t1_5_regex", "t2_ner", "t3_ocr")
 VERB_BRIEF, PHRASE_BRIEF, COMPANY_CAP = 12, 8, 8
 ALIGN_THRESHOLD = 0.3
+
+#: Months, seasons and the forms of a date; a range has one of three shapes: with a separator, without one, season and years.
+STRICT_MONTH = "January|Jan|February|Feb|March|Mar|April|Apr|May|June|Jun|July|Jul|August|Aug|September|Sept|Sep|October|Oct|November|Nov|December|Dec"
+LOOSE_MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*"
+SEASON = "(?:Spring|Summer|Fall|Autumn|Winter)"
+OPEN_END = "Present|Current|Now|Ongoing"
+MONTH_ANCHOR = f"(?:{STRICT_MONTH}|Month)[.]?\\s+(?:[0-9]{{4}}|'[0-9]{{2}}|20XX|XXXX|####|Year)"
+DATE_ANCHOR = f"{MONTH_ANCHOR}|{SEASON}\\s+[0-9]{{4}}|[0-9]{{1,2}}[/-][0-9]{{4}}|20XX|[0-9]{{4}}"
+EXPECTED_END = "(?:(?:Expected|Exp[.]?)\\s+)?"
+DATE_RANGE = (
+    f"(?i)(?:({DATE_ANCHOR})\\s*(?:\u2013|\u2014|-|to|through)\\s*{EXPECTED_END}({DATE_ANCHOR}|{OPEN_END}))"
+    f"|(?:({MONTH_ANCHOR})\\s+{EXPECTED_END}({MONTH_ANCHOR}|{OPEN_END}))"
+    f"|(?:({SEASON}\\s+[0-9]{{4}}),\\s*([0-9]{{4}}))"
+)
+LOOSE_MONTH_YEAR = f"\\b{LOOSE_MONTH}[.]?\\s+(?:[0-9]{{4}}|'[0-9]{{2}})\\b"
+STRICT_MONTH_YEAR = f"\\b(?:{STRICT_MONTH})[.]?\\s+(?:[0-9]{{4}}|'[0-9]{{2}})\\b"
+NUMERIC_MONTH_YEAR = "\\b(?:0?[1-9]|1[0-2])[/-][0-9]{4}\\b"
+BARE_YEAR = "\\b(?:19|20)[0-9]{2}\\b"
+PLACEHOLDER_DATE = "(?i)^(?:month(?:\\s+year)?|year)$"
+PLACEHOLDER_FIELD = "(?i)^\\s*(?:(?:Mon|Month)\\s+)?(?:Year|YYYY)(?:\\s*(?:[\u2013\u2014-]|to)\\s*(?:(?:Mon|Month)\\s+)?(?:Year|YYYY))?\\s*$"
+DATE_FIELD = f"(?i)^\\s*(?:(?:{DATE_RANGE.removeprefix('(?i)')})|(?:{DATE_ANCHOR})|(?:{OPEN_END}))\\s*$"
+REPORTED_SEPARATOR, TRIMMED_SEPARATORS = ",;:|\u00b7\u2013\u2014-", ",;:|\u2013\u2014-"
+PROGRAM_NOTE = "(?i)^(?:GPA[:\\s]|Minor\\b|Major\\b|Concentration\\b|Relevant Coursework\\b|Coursework\\b)"
+#: A sentence break inside of a line: a dot between words, a capital, and later a word of lower case.
+SENTENCE_BREAK, PROSE_WORDS = "[a-z]{2}[.]\\s+[A-Z][^.]*\\s[a-z]", 8
+DATE_WORDS = ("(?i)\\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*[.]?", "(?i)\\b(?:spring|summer|fall|autumn|winter)\\b", "\\b[0-9]{4}\\b", "(?i)\\b(?:present|current|expected|graduation|graduated|anticipated)\\b", "[\\s,\u2013\u2014|/().:-]+")
+#: What the fields of an editor complain about.
+PLACEHOLDER_MESSAGE = "Looks like an unfilled template placeholder \u2014 replace it with a real date"
+DATE_MESSAGE = "Doesn't look like a date (try \u201cJan 2020\u201d, \u201c2020\u201d, or \u201cPresent\u201d)"
+EMAIL_MESSAGE, URL_MESSAGE = "Doesn't look like an email address", "Doesn't look like a URL"
+EMAIL_FIELD = "(?i)^(?:\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+[.][A-Z]{2,}\\b)$"
+URL_FIELD = "(?i)^(?:https?://)?(?:[0-9A-Za-z_-]+[.])+[a-z]{2,}(?:[/?#][^\\s]*)?$"
+STUDENT_YEARS, CAREER_ENTRIES, CAREER_YEARS = 5, 3, 2
+
+#: Shapes of lines: employers, titles, schools, headings, furniture of pages, links.
+COMPANY_WORDS = "Inc[.]?|LLC|Ltd[.]?|Limited|Corp[.]?|Corporation|Company|Co[.]?|GmbH|S[.]A[.]?|Pty[.]?|plc|Group|Holdings|Technologies|Systems|Labs|Solutions"
+TITLE_WORDS = (
+    "Engineer|Engineering|Developer|Manager|Director|Lead|Consultant|Analyst|Specialist|Associate|Architect|Principal|Officer|Designer|Scientist|Researcher|Administrator|Founder|Co-?founder|President|VP|Vice President|Head|Chief|CTO|CEO|COO|CFO|CIO|PM|TPM|SRE|DevOps"
+    "|Assistant|Intern|Internship|Trainee|Apprentice|Coordinator|Technician|Representative|Supervisor|Strategist|Advisor|Adviser|Counselor|Recruiter|Accountant|Auditor|Editor|Writer|Producer|Teacher|Instructor|Lecturer|Professor|Tutor|Agent|Clerk|Ambassador|Volunteer|Fellow"
+)
+SCHOOL_WORDS = "(?:University|College|Institute|School|Academy|Polytechnic)s?"
+LEGAL_END = "(?i)\\b(?:Inc|Corp|Corporation|Ltd|LLC|L[.]L[.]C|GmbH|PLC|Co|SA|NA|LP|LLP|PC)[.]?$"
+GRADE_CODE = "^[A-Z]{1,3}[0-9]{1,2}(?:/[A-Z]{1,3}[0-9]{1,2})*$"
+CONNECTORS = "a an the and or of for to with at by in on from off across".split()
+FURNITURE, LONE_CV = "(?i)(^|[^A-Za-z])(r[e\u00e9]sum[e\u00e9]|curriculum\\s+vitae)($|[^A-Za-z])", "(?i)(?:^|\\s)cv(?:$|\\s)"
+HEADER_CHARS, HEADER_WORDS, CAPITAL_WORDS, HEADER_FONT = 40, 4, 6, 1.15
+HEADER_BULLET, HEADER_DIRT = "^[-*\u2022\u25cf\u2013\u25aa\u25e6\u2023\u25b6\u25ba\u00b7]", "[0-9,:\u00b7|\u2014\u2013/]"
+LINKEDIN_PROFILE = "(?i)(?:https?://)?(?:www[.])?linkedin[.]com/(?:in|pub)/[A-Z0-9_%-]+/?"
+LINKEDIN_OTHER = "(?i)linkedin[.]com/(company|jobs|feed|school|learning|pulse|posts|groups|showcase|games|events|help|legal|search|signup|login|home)($|[^0-9A-Za-z_])"
+WEBSITE_TLDS = "com org net io dev me co app ai xyz tech page site info blog design edu gov us uk ca in au de fr nl eu".split()
+LONE_LETTERS = ("c", "r", "d")
+SKILL_RANGE = "(?i)[0-9]{4}\\s*[-\u2013]\\s*([0-9]{4}|present)"
+ACHIEVEMENT_TYPE_CHARS = 28
+#: Search and rating: weights of title scores, bands of the phrases, words that don't say what a role does.
+TITLE_WORD_POINTS, LEVEL_POINTS, LEAST_WORD = 10, 4, 3
+FIT_BANDS = ((4, "Excellent fit"), (3, "Strong fit"), (2, "Partial fit"))
+FLOOR_BANDS = ((4.5, "Pay well above your floor"), (3, "Pay above your floor"), (2.5, "Pay at your floor"))
+PAY_BANDS = ((4, "Top pay"), (3.2, "Strong pay"))
+LEVEL_MATCH, LEVEL_GAP = 4.5, 3
+LEVEL_WORDS = "senior sr junior jr staff principal lead chief head vp vice president director manager and the of for with".split()
+STEM_CHARS, STEM_REST = 4, 4
+LINK_SKILLS, LINK_PLACE_CHARS = 6, 100
+#: Rows of the contact card: key, label, whether it may be missing. Below the floor a value is not trusted.
+CONTACT_ROWS = (
+    ("full_name", "Name", False), ("headline", "Headline", True), ("email", "Email", False), ("phone", "Phone", False), ("linkedin_url", "Professional profile", False),
+    ("github_url", "GitHub", True), ("portfolio_url", "Portfolio", True), ("website_url", "Website", True), ("location", "Location", False), ("work_authorization", "Work authorization", True),
+)
+CONTACT_FLOOR, ESCALATION_CONFIDENCE = 0.5, 0.85
+DUPLICATE_RANKS = {"certain": 3, "probable": 2, "possible": 1, "title-only": 0}

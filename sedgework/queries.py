@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from sedgework.plans import record_queries, text_queries
+from sedgework.plans import date_queries, record_queries, shape_queries, text_queries
 
 FLAGSHIP = "bullet_quality"
-QUERIES = text_queries.R.queries | record_queries.R.queries
-SQL = text_queries.R.sql | record_queries.R.sql
+_ALL = (text_queries.R, record_queries.R, date_queries.R, shape_queries.R)
+QUERIES = {name: q for r in _ALL for name, q in r.queries.items()}
+SQL = {name: q for r in _ALL for name, q in r.sql.items()}
