@@ -34,15 +34,21 @@ def bullet_text(line: Column) -> Column:
 
 
 def has_metric(text: Column) -> Column:
-    """Whether a line quantifies: a strong pattern, a digit outside years, or a counting word before a noun."""
+    """Whether a line quantifies: a strong pattern, a digit outside years, or a counting word before a noun.
+
+    Most lines have neither digit nor counting word: two cheap tests come first.
+    """
+    gap = V.CARDINAL_GAP
     strong = reduce(lambda a, b: a | b, (text.rlike(p) for p in V.STRONG_METRICS))
     # two passes: neighbouring years share the character between them
     no_year = F.regexp_replace(F.regexp_replace(text, V.YEAR, "$1$3"), V.YEAR, "$1$3")
-    low = F.lower(no_year)
-    gap = V.CARDINAL_GAP
-    no_word_year = F.regexp_replace(low, f"{START}(two{gap}+thousand|nineteen{gap}+hundred)({gap}+and)?{gap}+({V.YEAR_TAIL}){END}", " ")
-    counting = F.regexp_replace(no_word_year, V.NOT_COUNTING, " ").rlike(f"{START}({V.CARDINALS}){gap}[0-9a-z_]")
-    return strong | no_year.rlike("[0-9]") | counting
+
+    def counting(low: Column) -> Column:
+        no_word_year = F.regexp_replace(low, f"{START}(two{gap}+thousand|nineteen{gap}+hundred)({gap}+and)?{gap}+({V.YEAR_TAIL}){END}", " ")
+        return F.regexp_replace(no_word_year, V.NOT_COUNTING, " ").rlike(f"{START}({V.CARDINALS}){gap}[0-9a-z_]")
+
+    some_word = F.lower(text).rlike(f"{START}({V.CARDINALS}){gap}")
+    return F.when(text.rlike("[0-9]"), strong | no_year.rlike("[0-9]") | counting(F.lower(no_year))).when(some_word, counting(F.lower(text))).otherwise(False)
 
 
 def starts_with_verb(text: Column) -> Column:

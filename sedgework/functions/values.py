@@ -218,3 +218,7 @@ CONTACT_ROWS = (
 )
 CONTACT_FLOOR, ESCALATION_CONFIDENCE = 0.5, 0.85
 DUPLICATE_RANKS = {"certain": 3, "probable": 2, "possible": 1, "title-only": 0}
+
+#: What may stand before and after an alias of a skill, and the weights of a posting's terms.
+ALIAS_EDGE = "[\\s,;:.()\\[\\]/'\"–—]"
+SKILL_WEIGHT, NOUN_WEIGHT = 1.0, 0.5

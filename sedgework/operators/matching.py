@@ -16,12 +16,11 @@ def coverage(df: DataFrame, text: str, terms: list[tuple[str, float]]) -> DataFr
 
     The dictionary is a literal of the plan; a text is read once and nothing is shuffled.
     """
-    words = F.array_distinct(F.split(X.flat(F.col(text)), " "))
-    got = [F.when(F.array_contains(words, t), F.lit(w)).otherwise(F.lit(0.0)) for t, w in terms]
-    total = sum(w for _, w in terms)
-    covered = F.array_compact(F.array(*[F.when(F.array_contains(words, t), F.lit(t)) for t, _ in terms]))
-    score = X.floor_half(reduce(lambda a, b: a + b, got) / total * 100).cast("int")
-    return df.withColumns({"covered": F.array_join(covered, ","), "n_covered": F.size(covered), "score": score})
+    weight = F.create_map(*[F.lit(x) for t, w in terms for x in (t, float(w))])
+    hit = F.array_intersect(F.array(*[F.lit(t) for t, _ in terms]), F.split(X.flat(F.col(text)), " "))
+    rows = df.withColumn("__hit", F.explode(F.array(hit)))  # exploded, so that a text is split once
+    score = X.floor_half(F.aggregate("__hit", F.lit(0.0), lambda s, t: s + F.element_at(weight, t)) / sum(w for _, w in terms) * 100).cast("int")
+    return rows.withColumns({"covered": F.array_join("__hit", ","), "n_covered": F.size("__hit"), "score": score}).drop("__hit")
 
 
 def sector_scores(df: DataFrame, text: str) -> DataFrame:

@@ -324,8 +324,10 @@ _PRED = f"SELECT doc_id, tier <> 'low' AS p FROM ({sql.pool('doc_id', sql.featur
 def confusion_precision_recall(spark, sf):
     """Bands of the flagship query against the quality labels, by language and over all."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    pred = B.pool_scores(B.features(B.bullets(d.select("doc_id", "text"))), "doc_id").select("doc_id", (F.col("tier") != "low").alias("p"))
-    rows = table(spark, sf, "labels").join(d.drop("text"), "doc_id").join(pred, "doc_id", "left")
+    labels = table(spark, sf, "labels")
+    judged = d.select("doc_id", "text").join(labels, "doc_id", "left_semi")  # only labelled texts are scored
+    pred = B.pool_scores(B.features(B.bullets(judged)), "doc_id").select("doc_id", (F.col("tier") != "low").alias("p"))
+    rows = labels.join(d.drop("text"), "doc_id").join(pred, "doc_id", "left")
     return Q.confusion(rows, F.coalesce("p", F.lit(False)), F.col("quality") == 1, "lang")
 
 
