@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgework.llm.common import Bounded, mix64, slices, table, tidied, tidy, written
@@ -140,7 +140,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def sketch(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(uid, set_key, bands, short) of each row of (uid, text): the hash of its shingle set, the bucket of
+    """(uid, doc_id, set_key, bands, short) of each row of (uid, doc_id, text): the hash of its shingle set, the bucket of
     each band and eight bits of each MinHash value; all null if there are no words."""
     n, r = settings.bands * settings.rows, settings.rows
     odd = np.array([[pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(r)]], np.uint64)
@@ -157,9 +157,12 @@ def sketch(docs: DataFrame, settings: Settings) -> DataFrame:
                 bands = mix64((sig.reshape(-1, settings.bands, r).astype(np.uint64) * odd).sum(2, dtype=np.uint64) + np.arange(settings.bands, dtype=np.uint64)).astype(np.int64)
                 each = iter(zip(bands, (row.tobytes() for row in sig.astype(np.uint8)), strict=True))
                 out = [(xxhash.xxh3_128_hexdigest(s.tobytes()), *next(each)) if len(s) else (None, None, None) for s in sets]
-                yield pd.DataFrame({"uid": sub["uid"].tolist(), "set_key": [x[0] for x in out], "bands": [x[1] for x in out], "short": [x[2] for x in out]}, dtype=object)
+                yield pd.DataFrame({"uid": sub["uid"].tolist(), "id_text": sub["id_text"].tolist(), "set_key": [x[0] for x in out], "bands": [x[1] for x in out], "short": [x[2] for x in out]}, dtype=object)
 
-    return docs.select("uid", "text").mapInPandas(run, "uid string, set_key string, bands array<long>, short binary")
+    # the id goes through as text: whole numbers with nulls are no exact numbers in pandas
+    kind = docs.schema["doc_id"].dataType
+    out = docs.select("uid", F.col("doc_id").cast("string").alias("id_text"), "text").mapInPandas(run, "uid string, id_text string, set_key string, bands array<long>, short binary")
+    return out.select("uid", F.col("id_text").cast(kind).alias("doc_id"), "set_key", "bands", "short")
 
 
 def blocks(members: DataFrame, key: str, size: int, unit: str) -> DataFrame:
@@ -309,7 +312,10 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     found = near_duplicates(docs, settings)
     first = found.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("first"))
     kept = first.select(F.col("first.uid").alias("__uid"))
-    return docs.withColumn("__uid", uid()).join(kept, "__uid", "left_semi").dropDuplicates(["__uid"]).select(*docs.columns)
+    own = docs.withColumn("__uid", uid()).join(kept, "__uid", "left_semi")
+    # of rows equal in id and text the one whose other columns come first
+    nth = F.row_number().over(Window.partitionBy("__uid").orderBy(F.xxhash64(*docs.columns)))
+    return own.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -322,7 +328,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     are told apart by their text; rows equal in both share a class.
     """
     base = docs.select("doc_id", "text").withColumn("uid", uid())
-    sketched = written(base.select("uid", "doc_id", "text").transform(lambda d: sketch(d, settings)).withColumn("doc_id", F.expr("try_cast(substring_index(uid, '-', greatest(1, size(split(uid, '-')) - 1)) as bigint)")))
+    sketched = written(sketch(base, settings))
     known = sketched.where("set_key is not null")
     # one signature and one text stand for a class
     one = F.min_by(F.struct("uid", "bands", "short"), "uid").alias("one")

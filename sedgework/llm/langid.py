@@ -5,9 +5,9 @@ occurs in the sample. A document is cross-parsed against each automaton: the lon
 current place is one phrase, the next phrase starts behind it. The language whose automaton needs
 the fewest phrases, normalised by the logarithm of its sample's length, wins.
 
-Text is read as lower-case letters; everything between letters is one space. Very long texts are
-parsed in blocks of ``Settings.block`` letters (a phrase ends with its block), so that all blocks of
-a batch of documents go through the automata in lockstep.
+Text is read as lower-case letters; everything between letters is one space. Texts are parsed in blocks
+of ``Settings.block`` letters, so that all blocks of a batch of documents go through the automata in
+lockstep; what a block changes is set right afterwards, so that a text of any length has its own phrases.
 """
 
 from __future__ import annotations
@@ -169,25 +169,49 @@ def parser(samples: tuple[tuple[str, str], ...], dense_bytes: int) -> tuple[list
     return [n for n, _ in samples], class_of, kind(parts, width), weight
 
 
-def phrases(moves: Dense | Sparse, codes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Phrases that each block (a range of ``codes``) needs in each language, in lockstep."""
+def phrases(moves: Dense | Sparse, codes: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each block (a range of ``codes``) in each language, but for a text's first one.
+
+    The blocks of a text follow one another in ``doc``. All blocks are parsed in lockstep as if each began
+    a phrase; then each block after a text's first is parsed again from where the block before it ended,
+    up to the letter where both parses meet (a few letters on), and its count is set right.
+    """
     starts = moves.starts
     order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
     state = np.repeat(starts[:, None], len(first), 1)
-    count = np.ones((len(starts), len(first)), np.int32)
+    count = np.zeros((len(starts), len(first)), np.int32)
     live = len(first)
-    for t in range(int(size[0]) if len(size) else 0):
-        while size[live - 1] <= t:
+    for t in range(int(size.max(initial=0))):
+        while size[order[live - 1]] <= t:
             live -= 1
-        s = moves.step(state[:, :live], codes[first[:live] + t])
+        s = moves.step(state[:, :live], codes[first[order[:live]] + t])
         new = s < 0
         count[:, :live] += new
         np.bitwise_xor(s, -1, out=s, where=new)
         state[:, :live] = s
-    out = np.empty_like(count)
-    out[:, order] = count
-    return out
+    whole, end = np.empty_like(count), np.empty_like(state)
+    whole[:, order], end[:, order] = count, state
+    extra, plain = np.zeros_like(whole), end.copy()
+    follows = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    while len(follows):
+        extra[:, follows] = 0
+        live_at, true, fresh = follows, end[:, follows - 1].copy(), np.repeat(starts[:, None], len(follows), 1)
+        before = end[:, follows].copy()
+        end[:, follows] = plain[:, follows]
+        t = 0
+        while len(live_at):
+            letters_ = codes[first[live_at] + t]
+            true, fresh = moves.step(true, letters_), moves.step(fresh, letters_)
+            extra[:, live_at] += (true < 0).astype(np.int32) - (fresh < 0)
+            true, fresh = np.where(true < 0, ~true, true), np.where(fresh < 0, ~fresh, fresh)
+            t += 1
+            met, over = (true == fresh).all(0), size[live_at] <= t
+            end[:, live_at[over]] = true[:, over]
+            live_at, true, fresh = live_at[~met & ~over], true[:, ~met & ~over], fresh[:, ~met & ~over]
+        moved = follows[(end[:, follows] != before).any(0)] + 1  # blocks behind one that ends elsewhere now
+        follows = moved[moved < len(doc)]
+        follows = follows[doc[follows] == doc[follows - 1]]
+    return whole + extra
 
 
 def learn(docs: DataFrame, settings: Settings, of: Column | None = None) -> tuple[tuple[str, str], ...]:
@@ -204,7 +228,7 @@ def learn(docs: DataFrame, settings: Settings, of: Column | None = None) -> tupl
         return ()
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 3 * settings.sample_chars / max(1, r["chars"]) + 20 / r["n"]))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", draw.alias("at"), "doc_id", "text")
+    drawn = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", draw.alias("at"), "doc_id", F.substring("text", 1, 4 * settings.sample_chars).alias("text"))  # more is never learned of one text
     texts: dict[str, list[str]] = {r["lang"]: [] for r in sizes}
     for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["at"], r["doc_id"])):
         texts[r["lang"]].append(letters(r["text"]))
@@ -244,8 +268,8 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], settings: Set
                 size = np.bincount(of, minlength=len(lengths))
                 some = np.bincount(of, cls != SPACE, len(lengths)) > 0
                 doc, first, width = segments(np.cumsum(size) - size, size, settings.block)
-                found = phrases(moves, cls.astype(np.int32), first, width)
-                bits = np.stack([np.bincount(doc, n, len(lengths)) for n in found], 1) * weight
+                found = phrases(moves, cls.astype(np.int32), doc, first, width)
+                bits = (np.stack([np.bincount(doc, n, len(lengths)) for n in found], 1) + 1) * weight
                 best = bits.argmin(1)
                 scale = np.minimum(1, 64 / np.maximum(1, size))[:, None]
                 share = 1 / np.exp2(np.maximum(-60, -(bits - bits.min(1, keepdims=True)) * scale)).sum(1)

@@ -85,8 +85,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings, of: Column | Non
         return None
     # the same rule on both sides, so that only the sample is shuffled
     share = min(1.0, settings.sample_rows / count)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
-    sample = docs.select("doc_id", "text").where(drawn).join(labels.where(drawn).dropDuplicates(["doc_id"]), "doc_id").select("text", "label")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 50)) < F.lit(max(1, int(share * (1 << 50))))
+    one = labels.where(drawn).groupBy("doc_id").agg(F.max("label").alias("label"))  # toxic where repeated labels disagree
+    sample = docs.select("doc_id", "text").where(drawn).join(one, "doc_id").select("text", "label")
     rows = written(term_rows(sample, settings))
     counts = rows.groupBy().agg(F.count("*").alias("n"), F.sum("label").alias("pos")).first()
     n, pos = counts["n"] or 0, counts["pos"] or 0

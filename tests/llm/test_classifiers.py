@@ -98,3 +98,58 @@ def test_toxicity_odd_rows(spark):
     same = got[got["doc_id"] == 4]["score"]
     assert same.nunique() == 1
     assert toxicity.score(odd.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("dense_bytes", [1 << 30, 0])
+def test_phrases_against_brute_force(dense_bytes):
+    """Texts of many blocks have the phrases of a letter by letter parse, by table and by hash table."""
+    rng = random.Random(7)
+    word = lambda k: "".join(rng.choices("abcde", k=k))
+    samples = tuple((name, " ".join(word(rng.randint(1, 9)) for _ in range(60))) for name in ("x", "y", "z"))
+
+    def count(text: str, sample: str) -> int:
+        n, match = 1, ""
+        for c in text:
+            if match + c in sample:
+                match += c
+            else:
+                n, match = n + 1, c if c in sample else ""
+        return n
+
+    texts = [" ".join(word(rng.randint(1, 9)) for _ in range(rng.randint(1, 40))) for _ in range(30)] + [samples[0][1], "qq", "a" * 200]
+    _, class_of, moves, _ = langid.parser(samples, dense_bytes)
+    codes, lengths = langid.code_points(texts)
+    cls = class_of[codes].astype(int)
+    for block in (1, 3, 7, 1024):
+        doc, first, size = langid.segments(lengths.cumsum() - lengths, lengths, block)
+        found = langid.phrases(moves, cls.astype("int32"), doc, first, size)
+        for k, (_, sample) in enumerate(samples):
+            got = [1 + int(found[k][doc == i].sum()) for i in range(len(texts))]
+            assert got == [count(t, sample) for t in texts]
+
+
+def test_language_of_many_labels(spark):
+    """Seventy labels are all learned; columns of the new names are replaced."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices([f"{chr(97 + i % 26)}{chr(97 + i // 26)}{c}" for c in "uvwxyz"], k=80)), f"l{i:02d}") for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("lang_pred", F.lit(1))
+    got = langid.predict(df, langid.learn(df, langid.Settings())).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 69
+    assert langid.learn(df.limit(0), langid.Settings()) == ()
+
+
+def test_toxicity_of_a_pair(spark):
+    """Two words that are harmless alone; repeated labels that disagree count as toxic; clashing columns are replaced."""
+    rng = random.Random(2)
+    filler = [f"w{k}" for k in range(40)]
+    rows, labels = [], []
+    for i in range(1200):
+        a, b = i % 4 in (1, 3), i % 4 in (2, 3)
+        rows.append((i, " ".join(rng.choices(filler, k=12) + ["alpha"] * a + ["beta"] * b)))
+        labels.append((i, int(a and b)))
+    labels.append((3, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("predicted", F.lit("clash"))
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.Settings(), toxicity.learnable())
+    got = toxicity.score(docs, model).collect()
+    wrong = sum((r.predicted == 1) != (r.doc_id % 4 == 3) for r in got)
+    assert wrong <= 12

@@ -213,3 +213,16 @@ def test_one_of_each_odd_rows(spark):
     kept = jaccard_join.one_of_each(df)
     assert kept.columns == ["doc_id", "text", "group_id"]
     assert sorted(r.doc_id for r in kept.collect()) == [3, 5, 6]
+
+
+def test_near_duplicates_of_text_ids(spark):
+    """Ids of any type stay as they are; rows equal in id and text leave one."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [("b", text, 1), ("a", text + " eleven", 2), ("c", "something else entirely here, of its own kind", 3), ("b", text, 4), (None, text, 5), ("9007199254740993", None, 6)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, class_id int")
+    got = sorted(((r.doc_id, r.class_id, r.group_id) for r in jaccard_join.near_duplicates(df).collect()), key=str)
+    assert got == sorted([("b", "b", "a"), ("b", "b", "a"), (None, "b", "a"), ("a", "a", "a"), ("c", "c", "c"), ("9007199254740993",) * 3], key=str)
+    kept = jaccard_join.one_of_each(df).collect()
+    assert sorted(r.doc_id for r in kept) == ["9007199254740993", "a", "c"]
+    big = df.selectExpr("9007199254740993 + cast(class_id AS bigint) AS doc_id", "text")
+    assert {r.doc_id for r in jaccard_join.near_duplicates(big).collect()} == {9007199254740993 + k for k in range(1, 7)}
