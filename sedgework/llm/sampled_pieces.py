@@ -6,26 +6,26 @@ another without replacement (Kool et al. 2019): a node stands for all paths thro
 the Gumbel maximum of their joint mass, and the bound of each child is drawn on condition that their
 maximum is the parent's. The (k+1)-th bound gives each drawn path its inclusion score.
 
-The lattice is per word (no piece crosses the white space mark inside), so the sums of completions
-are remembered by word. The noise is seeded by the row's key.
+The lattice is per word (no piece crosses the white space mark inside), so its nodes are remembered by
+word, and the words of all texts of a batch are walked in lockstep. The noise of an edge is a hash of the
+row's key, the draw, the word and the edge, so that no row depends on its batch.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import insort
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgework.llm.common import Bounded, slices, table, tidied
+from sedgework.llm.common import mix64, slices, table, tidied
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -45,7 +45,45 @@ def escaped(text: str) -> str:
     return text.replace("\0", "\0\0").replace(MARK, "\0_")
 
 
+def gumbel(key: np.ndarray) -> np.ndarray:
+    """Standard Gumbel noise by hash: equal keys, equal noise."""
+    u = ((mix64(key) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return -np.log(-np.log(u))
+
+
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def keyed(key: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    return mix64(key + GOLDEN * np.atleast_1d(np.asarray(n, np.uint64) + np.uint64(1)))
+
+
+@dataclass
+class Walk:
+    """Ways of some lanes (words, or ends of words) to their ends, and the edges not taken.
+
+    ``pieces`` of all lanes one after another, ``size`` of each lane's and its log probability ``log_p``.
+    Of each edge not taken: its lane, how many pieces come before it there and their log probability,
+    the edge, its own log probability, its noisy value and the largest one of its node.
+    """
+
+    pieces: np.ndarray
+    size: np.ndarray
+    log_p: np.ndarray
+    lane: np.ndarray
+    depth: np.ndarray
+    before: np.ndarray
+    edge: np.ndarray
+    own: np.ndarray
+    value: np.ndarray
+    top: np.ndarray
+
+
 class Lattice:
+    """Nodes are places in words, numbered as words are met; the edges of a node follow one another."""
+
+    EDGES = 6_000_000
+
     def __init__(self, path: str, settings: Settings):
         import sentencepiece
 
@@ -57,107 +95,177 @@ class Lattice:
         self.pieces = {m.id_to_piece(i): (i, float(p)) for i, p in zip(ids, log, strict=True)}
         self.rare = float(log.min()) - 1
         self.bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)}
+        self.raw = [m.id_to_piece(i).encode() for i in range(m.get_piece_size())]
+        for b, i in enumerate(self.bytes):
+            self.raw[i] = bytes([b])
         self.longest = max(map(len, self.pieces))
-        self.word = Bounded(self.lattice, 50_000)
-
-    def lattice(self, word: str) -> list[tuple]:
-        """For each place the log sum of all completions, then its edges: log mass through it, ids, next place."""
-        n = len(word)
-        edges: list = [()] * n
-        mass = [0.0] * (n + 1)
+        self.forget()
+
+    def forget(self) -> None:
+        self.first: dict[str, int] = {}
+        self.spelled: dict[str, int] = {}  # characters in bytes are pieces of their own, beyond the vocabulary
+        self.runs: list[tuple[int, ...]] = []
+        self.start, self.mass = array("q", [0]), array("d")
+        self.onward, self.target, self.piece = array("d"), array("q"), array("q")
+
+    def add(self, word: str) -> int:
+        """Add the nodes of a word; returns its first. A node's mass is the log sum of all its completions."""
+        n, find, exp = len(word), self.pieces.get, math.exp
+        base = len(self.mass)
+        mass, edges = [0.0] * (n + 1), [[]] * n
         for i in range(n - 1, -1, -1):
             out = []
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (hit := self.pieces.get(word[i:j])) and mass[j] > -math.inf:
-                    out.append(((hit[0],), hit[1], j))
-            if word[i : i + 1] not in self.pieces:  # spelled in bytes
-                raw = word[i].encode("utf-8", "surrogatepass")
-                out.append((tuple(self.bytes[b] for b in raw), self.rare * len(raw), i + 1))
-            top = max(w + mass[j] for _, w, j in out)
-            mass[i] = top + math.log(sum(math.exp(w + mass[j] - top) for _, w, j in out))
-            edges[i] = (mass[i], *((w + mass[j], ids, j) for ids, w, j in out))
-        return edges
+                if hit := find(word[i:j]):
+                    out.append((hit[1] + mass[j], base + j, hit[0]))
+            if word[i] not in self.pieces:
+                if word[i] not in self.spelled:
+                    self.spelled[word[i]] = len(self.raw) + len(self.runs)
+                    self.runs.append(tuple(self.bytes[b] for b in word[i].encode("utf-8", "surrogatepass")))
+                code = self.spelled[word[i]]
+                out.append((self.rare * len(self.runs[code - len(self.raw)]) + mass[i + 1], base + i + 1, code))
+            top = max(out)[0]
+            mass[i] = top if len(out) == 1 else top + math.log(sum([exp(x[0] - top) for x in out]))
+            edges[i] = out
+        self.mass.extend(mass[:n])
+        end, at = base + n, len(self.piece)
+        for out in edges:
+            at += len(out)
+            self.start.append(at)
+            for onward, j, code in out:
+                self.onward.append(onward)
+                self.target.append(j if j < end else -1)
+                self.piece.append(code)
+        self.first[word] = base
+        return base
 
     def words(self, text: str) -> list[str]:
         """The text with a leading mark and marks for spaces; a mark in the text itself is written as a NUL-framed escape."""
         return WORD.findall(MARK + escaped(text).replace(" ", MARK))
 
     def decode(self, ids: list[int]) -> str:
-        out: list[bytes] = []
-        for i in ids:
-            b = self.byte_of.get(i)
-            out.append(bytes([b]) if b is not None else self.model.id_to_piece(i).encode())
-        text = b"".join(out).decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")
         text = text[1:].replace(MARK, " ")
         return re.sub("\0([_\0])", lambda m: MARK if m[1] == "_" else "\0", text) if "\0" in text else text
 
+    def walk(self, node: np.ndarray, key: np.ndarray) -> Walk:
+        """One draw of each lane from a node on: at each node the edge of the largest noisy value is taken."""
+        start, mass, onward, target, piece = (np.frombuffer(x, x.typecode) for x in (self.start, self.mass, self.onward, self.target, self.piece))
+        log_p = np.zeros(len(node))
+        taken, left, depth = [], [], 0
+        lane = np.arange(len(node))
+        while len(lane):
+            first = start[node]
+            many = start[node + 1] - first
+            of = np.repeat(np.arange(len(lane)), many)
+            at = np.cumsum(many) - many
+            nth = np.arange(len(of)) - at[of]
+            edge = first[of] + nth
+            own = onward[edge] - mass[node][of]
+            value = own + gumbel(key[lane][of] + GOLDEN * (np.uint64(depth << 16) + nth.astype(np.uint64)))
+            top = np.maximum.reduceat(value, at)
+            best = np.flatnonzero(value == top[of])
+            if len(best) > len(lane):  # equal values: the first
+                best = best[np.unique(of[best], return_index=True)[1]]
+            taken.append((lane, piece[edge[best]]))
+            other = np.ones(len(of), bool)
+            other[best] = False
+            o = of[other]
+            left.append((lane[o], np.full(len(o), depth), log_p[lane[o]], edge[other], own[other], value[other], top[o]))
+            log_p[lane] += own[best]
+            node = target[edge[best]]
+            go = node >= 0
+            lane, node, depth = lane[go], node[go], depth + 1
+        lanes, pieces = (np.concatenate(x) for x in zip(*taken, strict=True))
+        order = np.argsort(lanes, kind="stable")
+        return Walk(pieces[order], np.bincount(lanes, minlength=len(log_p)), log_p, *(np.concatenate(x) for x in zip(*left, strict=True)))
+
+    def sample_all(self, texts: list[str], seeds: list[int], k: int) -> list[list[tuple[list[int], float, float]]]:
+        """For each text up to k distinct segmentations, by falling Gumbel value: ids, log probability, log inclusion score."""
+        if len(self.piece) > self.EDGES:
+            self.forget()
+        roots: list[int] = []
+        count = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            words = self.words(t) if t else []
+            count[i] = len(words)
+            found = list(map(self.first.get, words))
+            if None in found:
+                found = [self.add(w) if (f := self.first.get(w)) is None else f for w in words]
+            roots += found
+        roots_, begin = np.array(roots, np.int64), np.cumsum(count) - count
+        target, piece = np.frombuffer(self.target, "q"), np.frombuffer(self.piece, "q")
+        key = np.array([s % (1 << 64) for s in seeds], np.uint64)
+        some = np.flatnonzero(count)
+        # a way of a text: pieces, where each word's begin, log probability; the edges still open, best first
+        ways: list[list[tuple[np.ndarray, float]]] = [[] for _ in texts]
+        bound, phi = gumbel(keyed(key, 0)), np.zeros(len(texts))
+        word, node = np.zeros(len(texts), np.int64), np.full(len(texts), -1)  # from which word on, and an end of a word before it
+        prefix: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        open_: list[list[tuple]] = [[] for _ in texts]
+        for draw in range(1, k + 1):
+            if not len(some):
+                break
+            part = node[some] >= 0
+            lanes = count[some] - word[some] + part
+            of = np.repeat(np.arange(len(some)), lanes)
+            at = np.cumsum(lanes) - lanes
+            nth = np.arange(len(of)) - at[of]
+            mine = some[of]
+            which = word[mine] + nth - part[of]  # the word of a lane; of an end of a word that word
+            head = nth < part[of]
+            start = np.where(head, node[mine], roots_[np.minimum(begin[mine] + which, len(roots_) - 1)])
+            if len(start):
+                w = self.walk(start, keyed(keyed(key[mine], draw), which))
+                # log probability up to a lane, summed for each text alone, so that it doesn't depend on the batch
+                before = np.concatenate([phi[i] + np.cumsum(np.append(0.0, w.log_p[lo : lo + m - 1])) if m else w.log_p[:0] for i, lo, m in zip(some, at, lanes, strict=True)])
+                ends = np.append(0, np.cumsum(w.size))
+                text = of[w.lane]
+                base = before[w.lane] + w.before
+                value, top, limit = base + w.value, base + w.top, bound[some][text]
+                with np.errstate(all="ignore"):
+                    v = limit - value + np.log1p(-np.exp(value - top))
+                    child = limit - np.maximum(0.0, v) - np.log1p(np.exp(-np.abs(v)))
+                child = np.where(np.isnan(child), -np.inf, child)
+                rest = child.copy()
+                for _ in range(k - draw + 1):  # the best of each text, as many as can still be needed
+                    most = np.full(len(some), -np.inf)
+                    np.maximum.at(most, text, rest)
+                    hit = np.flatnonzero((rest == most[text]) & (rest > -np.inf))
+                    rest[hit] = -np.inf
+                    for h in hit.tolist():
+                        lane = int(w.lane[h])
+                        open_[some[text[h]]].append((float(child[h]), draw, int(which[lane]), int(ends[lane] - ends[at[text[h]]] + w.depth[h]), int(w.edge[h]), float(base[h] + w.own[h])))
+            nxt = []
+            for n, i in enumerate(some.tolist()):
+                lo, hi = (int(ends[at[n]]), int(ends[at[n] + lanes[n]])) if lanes[n] else (0, 0)
+                fresh = w.pieces[lo:hi] if lanes[n] else np.zeros(0, np.int64)
+                own_p = float(phi[i] + w.log_p[at[n] : at[n] + lanes[n]].sum()) if lanes[n] else float(phi[i])
+                ways[i].append((np.concatenate((prefix[i], fresh)), own_p, len(prefix[i])))
+                open_[i] = sorted(open_[i], reverse=True)[: k - draw + 1]
+                if open_[i] and draw < k:
+                    b, of_draw, at_word, depth, edge, p = open_[i].pop(0)
+                    parent, _, skip = ways[i][of_draw - 1]
+                    prefix[i] = np.append(parent[: skip + depth], piece[edge])
+                    bound[i], phi[i], word[i], node[i] = b, p, at_word + 1, target[edge]
+                    nxt.append(i)
+            some = np.array(nxt, np.int64)
+        return [[(self.ids(w), p, _log_inclusion(p - open_[i][0][0]) if open_[i] else 0.0) for w, p, _ in found] if found else [([], 0.0, 0.0)] for i, found in enumerate(ways)]
+
+    def ids(self, pieces: np.ndarray) -> list[int]:
+        """Vocabulary ids of pieces: those beyond the vocabulary are runs of bytes."""
+        size, out = len(self.raw), pieces.tolist()
+        if len(pieces) and int(pieces.max()) >= size:
+            out = [i for p in out for i in (self.runs[p - size] if p >= size else (p,))]
+        return out
+
     def sample(self, text: str, seed: int, k: int) -> list[tuple[list[int], float, float]]:
-        """Up to k distinct segmentations, by falling Gumbel value: ids, log probability, log inclusion score."""
-        if not text:
-            return [([], 0.0, 0.0)]
-        words = [self.word[w] for w in self.words(text)]
-        rng = np.random.Generator(np.random.PCG64(seed % (1 << 64)))
-        noise = iter(())
-        log, exp = math.log, math.exp
-        # the best open nodes, no more than can still be drawn or give the limit, best last:
-        # bound, tie, log of the way's probability times the mass behind, word, place, way here (a linked list)
-        heap: list = [(float(rng.gumbel()), 0, 0.0, 0, 0, None)]
-        tie, out, last = 0, [], len(words)
-        while heap and len(out) < k:
-            bound, _, phi, w, at, way = heap.pop()
-            room = k - len(out)
-            while w < last:
-                edges = words[w]
-                n = len(edges)
-                while at < n:
-                    here = edges[at]
-                    if len(here) == 2:  # one edge
-                        way, at = (way, here[1][1]), here[1][2]
-                        continue
-                    base, top = phi - here[0], -math.inf
-                    drawn = []
-                    for edge in islice(here, 1, None):
-                        try:
-                            g = base + edge[0] + next(noise)
-                        except StopIteration:
-                            noise = iter(rng.gumbel(size=4096).tolist())
-                            g = base + edge[0] + next(noise)
-                        drawn.append(g)
-                        if g > top:
-                            top, best = g, edge
-                    # a child below this value can no longer be among those needed
-                    low = heap[0][0] if len(heap) == room else -math.inf
-                    if low >= bound:
-                        floor = math.inf
-                    elif top - low < 300 and abs(top - bound) < 300:
-                        floor = top - log(exp(top - low) - exp(top - bound) + 1)
-                    else:
-                        floor = -math.inf
-                    for edge, g in zip(islice(here, 1, None), drawn, strict=True):
-                        if g >= floor and edge is not best:
-                            # its bound, on condition that the maximum is the parent's
-                            v = bound - g + (math.log1p(-exp(g - top)) if g < top else -math.inf)
-                            tie -= 1
-                            insort(heap, (bound - max(0.0, v) - math.log1p(exp(-abs(v))), tie, base + edge[0], w, edge[2], (way, edge[1])))
-                            if len(heap) > room:
-                                del heap[0]
-                    phi, way, at = base + best[0], (way, best[1]), best[2]
-                w, at = w + 1, 0
-            parts = []
-            while way is not None:
-                way, ids = way
-                parts.append(ids)
-            out.append(([i for p in reversed(parts) for i in p], phi))
-        if not heap:
-            return [(ids, phi, 0.0) for ids, phi in out]
-        limit = heap[-1][0]
-        return [(ids, phi, _log_inclusion(phi - limit)) for ids, phi in out]
+        return self.sample_all([text], [seed], k)[0]
 
 
 def _log_inclusion(x: float) -> float:
     """log(1 - exp(-exp(x)))"""
-    return x - math.exp(x) / 2 if x < -20 else math.log(-math.expm1(-math.exp(min(x, 50.0))))
+    return x - np.exp(x) / 2 if x < -20 else float(np.log(-np.expm1(-np.exp(min(x, 50.0)))))
 
 
 def parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -196,9 +304,9 @@ def sample_segmentations(docs: DataFrame, keys: list[str], path: str, settings:
         for part in parts(batches, "text"):
             texts, seeds = part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()
             at, out = [], []
-            for n, (t, s) in enumerate(zip(texts, seeds, strict=True)):
-                t = t or ""
-                for k, (ids, p, q) in enumerate(lat.sample(t, s, settings.samples)):
+            texts = [t or "" for t in texts]
+            for n, (t, found) in enumerate(zip(texts, lat.sample_all(texts, seeds, settings.samples), strict=True)):
+                for k, (ids, p, q) in enumerate(found):
                     at.append(n)
                     out.append((k + 1, ids, p, q, lat.decode(ids) == t))
             keys_ = part.select(part.schema.names[:-2]).take(pa.array(at, pa.int64()))
