@@ -226,20 +226,52 @@ def test_sampling_follows_the_lattice():
         assert abs(len(v) / 3000 - mass[k]) < 0.05
 
 
+def linked(spark, calls: list, results: list) -> list:
+    df = spark.createDataFrame(calls, "call_id string, name string, arguments string, after array<string>").withColumn("step", F.lit("clash")).withColumn("result", F.lit(0))
+    schemas = spark.createDataFrame(tool_calls.REPLY_SCHEMAS + [("all", "o", "object", True, None), ("all", "l", "array", False, None), ("all", "b", "boolean", False, None), ("all", "x", "number", False, 5)], tool_calls.SCHEMA)
+    return tool_calls.link_tool_calls(df, spark.createDataFrame(results, "call_id string, content string"), schemas).collect()
+
+
 def test_tool_calls(spark):
-    calls = [("a", "reply", {"prompt": "hi", "turn": "1"}, None), ("b", "reply", {"prompt": "", "turn": "x"}, "a"), ("c", "reply", {"prompt": "p", "turn": "2", "zz": "1"}, "b"), ("d", "nope", {}, "c"), ("e", "configure", {"prompt": "p"}, "f"), ("f", "configure", {"prompt": "p"}, "e"), (None, "reply", None, None), ("a", "reply", {"prompt": "hi", "turn": "1"}, None), ("g", "configure", {"prompt": "q"}, "unknown")]
-    df = spark.createDataFrame(calls, "call_id string, name string, arguments map<string,string>, after string")
-    results = spark.createDataFrame([("a", "two"), ("a", "one"), ("zz", "x"), (None, "y")], "call_id string, content string")
-    got = tool_calls.link_tool_calls(df, results, tool_calls.REPLY_SCHEMAS).collect()
+    calls = [
+        ("a", "reply", '{"turn": 1, "prompt": "hi"}', None), ("b", "reply", '{"prompt": "", "turn": "1"}', ["a"]), ("c", "reply", '{"prompt":"p","turn":2,"zz":{"b":1,"a":[ 2 ]}}', ["b"]), ("d", "nope", "{}", ["c", None]),
+        ("e", "configure", '{"prompt":"p"}', ["f"]), ("f", "configure", '{"prompt":"p"}', ["e"]), ("h", "configure", '{"prompt":"p"}', ["e"]), (None, "reply", None, None), ("a", "reply", '{"turn": 1, "prompt": "hi"}', None), ("g", "configure", '{"prompt":"q"}', ["unknown"]),
+        ("i", "all", '{"o":{},"l":[],"b":true,"x":4.5}', ["d", "b", "g"]), ("j", "all", '{"o":[],"l":1,"b":"x","x":6}', ["i", "e"]), ("k", "configure", "[1]", ["i", "a"]), ("l", "configure", '{"prompt": "long %s"}' % ("x" * 50_000), ["k"]),
+    ]
+    got = linked(spark, calls, [("a", "two"), ("a", "one"), ("zz", "x"), (None, "y")])
     assert len(got) == len(calls)
     of = {r.call_id: r for r in got}
-    assert [of[c].step for c in "abcdefg"] == [0, 1, 2, 3, None, None, 0]
-    assert {of[c].root for c in "abcd"} == {"a"} and of["a"].result == "one" and of["b"].result is None
-    assert [of[c].errors for c in "abcd"] == [[], ["prompt", "turn"], ["zz"], ["?"]]
+    assert [of[c].step for c in "abcdefghijkl"] == [0, 1, 2, 3, None, None, 0, None, 4, None, 5, 6]
+    assert {of[c].root for c in "abcdikl"} == {"a"} and of["g"].root == "g" and of["a"].result == "one" and of["b"].result is None
+    assert [of[c].errors for c in "abcdijkl"] == [[], ["prompt", "turn"], ["zz"], ["?"], [], ["b", "l", "o", "x"], ["?"], ["prompt"]]
+    assert '"zz":{"a":[2],"b":1}' in of["c"].json and '"arguments":{"prompt":"hi","turn":1}' in of["a"].json
     for r in got:
         parsed = json.loads(r.json)
-        assert list(parsed) == sorted(parsed) and " " not in r.json.replace("hi", "")
-    assert tool_calls.link_tool_calls(df.limit(0), results, tool_calls.REPLY_SCHEMAS).count() == 0
+        assert list(parsed) == sorted(parsed) and " " not in r.json.replace("long ", "")
+    assert linked(spark, calls[:1], [])[0].result is None
+
+
+def test_tool_call_order_against_brute_force(spark):
+    """Chains, joins and cycles of a random graph of waits."""
+    rng = random.Random(5)
+    names = [f"n{k:03d}" for k in range(120)]
+    after = {n: [] for n in names}
+    for k in range(1, 60):
+        after[names[k]] = [names[k - 1]]  # one long chain
+    for k in range(60, 110):
+        after[names[k]] = rng.sample(names[:k], rng.choice([0, 1, 1, 2, 3]))
+    for k in range(110, 120):
+        after[names[k]] = [names[110 + (k - 109) % 8]] if k < 118 else [names[k - 5], names[3]]
+
+    def step(n: str, seen: tuple = ()):
+        if n in seen:
+            return None
+        below = [step(m, (*seen, n)) for m in after[n]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    rows = [(n, a) for n, a in after.items()]
+    got = {r.call_id: r.step for r in tool_calls.steps(spark.createDataFrame(rows, "call_id string, after array<string>")).collect()}
+    assert got == {n: step(n) for n in names}
 
 
 def test_tool_calls_oracle(spark):
