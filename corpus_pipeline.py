@@ -1,7 +1,9 @@
 """A training-corpus pipeline: toxicity, language, near-duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that stay, with the columns of
-``documents``; the last returns the packed pieces. ``run`` writes each stage's result to the shared
+``documents`` (whatever further ones there are stay as they are); the last returns the packed pieces.
+Null and empty texts are kept where a stage has nothing against them (the language stage rejects them),
+repeated rows leave one, and an empty table passes. ``run`` writes each stage's result to the shared
 folder and reads it again.
 """
 
@@ -14,16 +16,21 @@ from sedgework.llm import jaccard_join, langid, packing, suffix_dedup, toxicity
 from sedgework.llm.common import table, written
 
 
+def whole(docs: DataFrame, *beside: str) -> DataFrame:
+    """Rows as one struct ``row`` beside some columns of theirs, so that new columns never clash with old ones."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *beside)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.7 or more go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.Settings(), toxicity.learnable())
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(whole(docs, "text"), model).where("predicted = 0").select("row.*")
 
 
 def drop_languageless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (no text, no letter) go."""
     samples = langid.learn(docs, langid.Settings(), langid.learnable())
-    return langid.predict(docs, samples).where("lang_pred <> 'und'").select(*docs.columns)
+    return langid.predict(whole(docs, "text"), samples).where("lang_pred <> 'und'").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +40,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that a document of smaller doc_id has too are cut out of the text."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = suffix_dedup.remove_repeats(docs, carry=others)
-    return cut.select("*", F.col("kept").alias("text"), F.length("kept").cast("bigint").alias("n_chars")).select(*docs.columns)
+    cut = suffix_dedup.remove_repeats(whole(docs, "doc_id", "text"), carry=("row",))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of at most 2048 tokens."""
     return packing.pack(docs, packing.vocabulary())
 
 
