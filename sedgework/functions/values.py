@@ -222,3 +222,21 @@ DUPLICATE_RANKS = {"certain": 3, "probable": 2, "possible": 1, "title-only": 0}
 #: What may stand before and after an alias of a skill, and the weights of a posting's terms.
 ALIAS_EDGE = "[\\s,;:.()\\[\\]/'\"–—]"
 SKILL_WEIGHT, NOUN_WEIGHT = 1.0, 0.5
+
+#: Confidence of a parse: gates, weights of fields, penalties; bands of a score in words.
+EXTRACTION_FLOOR, NAME_FLOOR, TWO_COLUMN_CAP, SCANNED_CHARS = 0.5, 0.5, 0.7, 80
+FIELD_WEIGHTS = {"full_name": 2.0, "email": 2.0, "experience": 2.5, "education": 1.0, "skills": 1.0, "phone": 0.5, "location": 0.5, "linkedin_url": 0.5, "summary": 0.5}
+SOFT_PENALTIES = {"dates": 0.1, "garbled": 0.12, "mail": 0.06, "career": 0.08}
+SCORE_WEIGHTS = {"specificity": 0.4, "structure": 0.3, "completeness": 0.3}
+BAND_OPENERS = {"high": "This is in solid shape", "medium": "This is close", "low": "This has clear gaps to close"}
+SCANNED_ADVICE = "This reads as a scanned image, not selectable text — export a real text-based PDF before anything else."
+NOTHING_TO_GRADE = "add a few quantified bullets under your roles so there's something to grade"
+NEXT_STEPS = {"specificity": "add metrics like numbers, %, or $ to more bullets so each one shows measurable impact", "structure": "tighten each bullet to a single line that opens with an action verb"}
+ROUND_OUT = "round out the remaining contact and section fields"
+MAX_FAMILIES, RUNNER_UP_SHARE = 2, 2
+LEAST_SKILLS, LEAST_FRONT, FRONT_SHARE, SUGGESTIONS = 5, 3, 0.3, 6
+STATUS_ALIASES = {"saved": "interested", "scouted": "interested", "shared": "interested", "withdrawn": "rejected"}
+REQUIREMENTS_HEADING = "(?i)(^|[^0-9a-z_])(requirements?|qualifications?|you'?ll have|what you bring|what we'?re looking for|must have|nice to have)($|[^0-9a-z_])"
+CURRENCY_SIGNS = {"USD": "$", "GBP": "£", "EUR": "€"}
+PAY_SUFFIXES = {"hour": "/hr", "month": "/mo"}
+SIDEBAR_RATIO = 0.7

@@ -86,3 +86,29 @@ def from_backup(backup: DataFrame, schema: str, rules: list[tuple[str, Column]])
 
 def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def children_of(children: DataFrame, parent: str, wanted: DataFrame, updated: str = "updated_at", deleted: str = "deleted_at") -> DataFrame:
+    """The live children of some parents (one column, the parent's id), with ``nth``: newest first, ties by id."""
+    from pyspark.sql import Window
+
+    live = children.where(F.col(deleted).isNull()).join(wanted.distinct().toDF(parent), parent, "left_semi")
+    return live.withColumn("nth", F.row_number().over(Window.partitionBy(parent).orderBy(F.desc(updated), "id")))
+
+
+def delete_with_children(parents: DataFrame, children: DataFrame, parent: str, doomed: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """Both tables with tombstones at ``now`` for some parents (column id) and all their live children."""
+    gone = doomed.select("id").distinct().withColumn("__gone", F.lit(True))
+
+    def marked(df: DataFrame, on: str) -> DataFrame:
+        hit = F.col("__gone").isNotNull() & F.col("deleted_at").isNull()
+        out = df.join(gone.withColumnRenamed("id", on), on, "left")
+        return out.withColumns({c: F.when(hit, now).otherwise(F.col(c)) for c in ("deleted_at", "updated_at")}).select(*df.columns)
+
+    return marked(parents, "id"), marked(children, parent)
+
+
+def repointed(children: DataFrame, parent: str, merged: DataFrame) -> DataFrame:
+    """Children of absorbed parents point to the survivor; their times stay. ``merged`` holds (absorbed, survivor)."""
+    to = merged.select(F.col("absorbed").alias(parent), F.col("survivor").alias("__to")).dropDuplicates([parent])
+    return children.join(to, parent, "left").withColumn(parent, F.coalesce("__to", parent)).select(*children.columns)

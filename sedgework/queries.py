@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sedgework.plans import date_queries, record_queries, shape_queries, skill_queries, text_queries
+from sedgework.plans import date_queries, label_queries, record_queries, parse_queries, shape_queries, skill_queries, text_queries
 
 FLAGSHIP = "bullet_quality"
-_ALL = (text_queries.R, record_queries.R, date_queries.R, shape_queries.R, skill_queries.R)
+_ALL = (text_queries.R, record_queries.R, date_queries.R, shape_queries.R, skill_queries.R, label_queries.R, parse_queries.R)
 QUERIES = {name: q for r in _ALL for name, q in r.queries.items()}
 SQL = {name: q for r in _ALL for name, q in r.sql.items()}
