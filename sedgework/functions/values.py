@@ -240,3 +240,12 @@ REQUIREMENTS_HEADING = "(?i)(^|[^0-9a-z_])(requirements?|qualifications?|you'?ll
 CURRENCY_SIGNS = {"USD": "$", "GBP": "£", "EUR": "€"}
 PAY_SUFFIXES = {"hour": "/hr", "month": "/mo"}
 SIDEBAR_RATIO = 0.7
+
+#: Boards, captures, phrases and layout.
+BOARD_TTL_HOURS, CACHED_POSTINGS, DERIVED_TITLE_CHARS = 12, 300, 80
+CLOSED_HOSTS = (
+    ("linkedin", "(?i)(^|[.])linkedin[.]com($|[^0-9A-Za-z_])"), ("indeed", "(?i)(^|[.])indeed[.]com($|[^0-9A-Za-z_])"), ("glassdoor", "(?i)(^|[.])glassdoor[.](com|co[.][a-z]{2})($|[^0-9A-Za-z_])"),
+    ("workday", "(?i)(^|[^0-9A-Za-z_])(myworkdayjobs|workday)[.]com($|[^0-9A-Za-z_])"), ("wellfound", "(?i)(^|[.])(wellfound[.]com|angel[.]co)($|[^0-9A-Za-z_])"),
+)
+PHRASE_STOPS = "the a an and or but of to for with by from in on at into across over under as is was are were be been being this that these those it its their our my via per".split()
+SPACE_SHARE = 0.4

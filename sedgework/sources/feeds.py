@@ -67,3 +67,65 @@ def link_definitions(df: DataFrame, key: str, md: str) -> DataFrame:
     both = F.arrays_zip(F.regexp_extract_all(md, F.lit(pattern), 1).alias("label"), F.regexp_extract_all(md, F.lit(pattern), 2).alias("url"))
     rows = df.select(key, F.posexplode(both).alias("ord", "d")).select(key, "ord", F.lower("d.label").alias("label"), F.col("d.url").alias("url"))
     return rows.groupBy(key, "label").agg(F.min_by("url", "ord").alias("url"))
+
+
+#: Boards of companies: the JSON schema of a job, its fields, and where departments are.
+BOARDS = {
+    "greenhouse": ("id long, title string, absolute_url string, updated_at string, location struct<name:string>, departments array<struct<name:string>>",
+                   {"id": "id", "title": "title", "location": "location.name", "url": "absolute_url", "description": None, "html": None, "posted_at": "updated_at"}),
+    "ashby": ("id string, title string, jobUrl string, publishedAt string, location string, department string, team string, descriptionPlain string, descriptionHtml string",
+              {"id": "id", "title": "title", "location": "location", "url": "jobUrl", "description": "descriptionPlain", "html": "descriptionHtml", "posted_at": "publishedAt"}),
+}
+
+
+def board_postings(raw: DataFrame, feed: str) -> DataFrame:
+    """Postings of boards' rows (slug, company, json): id ``<feed>:<slug>:<id>`` (or the URL for an id), and departments.
+
+    An index without descriptions leaves them empty, for ``operators.boards.hydrated``. Rows without title or URL go.
+    """
+    schema, f = BOARDS[feed]
+    rows = raw.select("slug", "company", F.from_json("json", schema).alias("j")).select("slug", "company", "j.*")
+    at = lambda name: F.col(f[name]) if f[name] else F.lit(None).cast("string")
+    departments = F.transform("departments", lambda d: d["name"]) if feed == "greenhouse" else F.array("department", "team")
+    blank = F.lit("")
+    out = rows.select(
+        F.concat_ws(":", F.lit(feed), "slug", F.coalesce(at("id").cast("string"), at("url"), blank)).alias("id"), F.trim(F.coalesce(at("title"), blank)).alias("title"), "company", F.trim(F.coalesce(at("location"), blank)).alias("location"),
+        F.coalesce(at("url"), blank).alias("url"), F.coalesce(at("description"), X.html_text(at("html")), blank).alias("description"), at("posted_at").alias("posted_at"), F.col("company").alias("source"),
+        F.filter(F.coalesce(departments, F.array().cast("array<string>")), lambda d: d.isNotNull() & (d != "")).alias("departments"),
+    )
+    return out.where((F.length("title") > 0) & (F.length("url") > 0))
+
+
+DEFINITION = "(?m)^ {0,3}\\[([^\\]\\n]+)\\]:[ \\t]*<?((?:[A-Za-z][A-Za-z0-9+.-]*:|www[.])[^\\s<>]*)>?[ \\t]*(?:\"[^\"]*\"|'[^']*'|\\([^)]*\\))?[ \\t]*$"
+REFERENCE = "\\[[^\\]\\n]*\\](?:\\[[^\\]\\n]*\\])?"
+
+
+def link_label(x: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(x, "\\s+", " ")))
+
+
+def definitions(md: Column) -> Column:
+    """Array of (label, url) of a text's reference definitions; of equal labels the first."""
+    labels = F.transform(F.regexp_extract_all(md, F.lit(DEFINITION), 1), link_label)
+    urls = F.regexp_extract_all(md, F.lit(DEFINITION), 2)
+    both = F.transform(labels, lambda x, i: F.struct(x.alias("label"), F.get(urls, i).alias("url"), i.alias("i")))
+    return F.filter(both, lambda d: F.array_position(labels, d["label"]) == d["i"] + 1)
+
+
+def resolved_links(md: Column) -> Column:
+    """Markdown with its reference links as text and address, without its definitions and images that have one."""
+    found = definitions(md)
+    body = F.regexp_replace(md, DEFINITION, "")
+
+    def target(ref: Column) -> Column:
+        """The address that a reference names, null if none."""
+        second, first = F.regexp_extract(ref, "\\]\\[([^\\]]*)\\]$", 1), F.regexp_extract(ref, "^!?\\[([^\\]]*)\\]", 1)
+        key = link_label(F.when(F.trim(second) != "", second).otherwise(first))
+        return F.get(F.transform(F.filter(found, lambda d: d["label"] == key), lambda d: d["url"]), 0)
+
+    images = F.array_distinct(F.regexp_extract_all(body, F.lit(f"(!{REFERENCE})"), 1))
+    body = F.aggregate(images, body, lambda t, ref: F.when(target(ref).isNotNull(), F.replace(t, ref, F.lit(""))).otherwise(t))
+    links = F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?:^|[^!\\]])({REFERENCE})"), 1))
+    text = lambda ref: F.trim(F.regexp_extract(ref, "^\\[([^\\]]*)\\]", 1))
+    shown = lambda ref: F.when(text(ref) != "", F.concat(F.regexp_extract(ref, "^\\[([^\\]]*)\\]", 1), F.lit(" "), target(ref))).otherwise(target(ref))
+    return F.aggregate(links, body, lambda t, ref: F.when(target(ref).isNotNull(), F.replace(t, ref, shown(ref))).otherwise(t))
