@@ -249,3 +249,12 @@ CLOSED_HOSTS = (
 )
 PHRASE_STOPS = "the a an and or but of to for with by from in on at into across over under as is was are were be been being this that these those it its their our my via per".split()
 SPACE_SHARE = 0.4
+
+#: Searches from records: limits and small words; hosts of profiles (pattern, network, kind).
+MOST_TITLES, MOST_SKILLS = 4, 12
+SKILL_STOPS = "a an and at for in of on or the to with".split()
+PROFILE_HOSTS = (
+    ("(^|[.])linkedin[.]com$", "LinkedIn", "social"), ("(^|[.])github[.]com$", "GitHub", "code"), ("(^|[.])gitlab[.]com$", "GitLab", "code"), ("(^|[.])codeberg[.]org$", "Codeberg", "code"), ("(^|[.])kaggle[.]com$", "Kaggle", "code"),
+    ("(^|[.])huggingface[.]co$", "Hugging Face", "code"), ("(^|[.])behance[.]net$", "Behance", "portfolio"), ("(^|[.])dribbble[.]com$", "Dribbble", "portfolio"), ("(^|[.])orcid[.]org$", "ORCID", "academic"),
+    ("(^|[.])scholar[.]google[.]", "Google Scholar", "academic"), ("(^|[.])substack[.]com$", "Substack", "writing"), ("(^|[.])medium[.]com$", "Medium", "writing"),
+)

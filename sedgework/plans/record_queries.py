@@ -166,12 +166,15 @@ def union_distinct_merge(spark, sf):
     return D.union_first_wins(p.where("p_size > 25").select("p_partkey", "p_name"), p.where("p_type = 'SMALL'").select("p_partkey", "p_name"), F.lower("p_name"), "p_partkey")
 
 
-@R.query("""WITH a AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'O'), b AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus = 'P')
-  SELECT *, 'missing' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'extra' FROM (FROM b EXCEPT FROM a)""")
+_SIDE = "SELECT DISTINCT c_nationkey, c_mktsegment, CAST(floor(c_acctbal) AS BIGINT) AS balance FROM customer WHERE c_custkey % "
+
+
+@R.query(f"""WITH a AS ({_SIDE} 2 = 0), b AS ({_SIDE} 3 = 0) SELECT *, 'missing' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'extra' FROM (FROM b EXCEPT FROM a)""")
 def skills_except_diff(spark, sf):
-    both = table(spark, sf, "customer").join(table(spark, sf, "orders").select("o_custkey", "o_orderstatus"), F.col("c_custkey") == F.col("o_custkey"))
-    part = lambda s: both.where(F.col("o_orderstatus") == s).select("c_nationkey", "c_mktsegment").distinct()
-    return D.except_both(part("O"), part("P"))
+    """What each of two sets of customers' features has alone."""
+    rows = table(spark, sf, "customer")
+    part = lambda k: rows.where(F.col("c_custkey") % k == 0).select("c_nationkey", "c_mktsegment", F.floor("c_acctbal").alias("balance")).distinct()
+    return D.except_both(part(2), part(3))
 
 
 _TURNS = "(SELECT conv_id, a.turn AS turn, a.text AS before, b.text AS after FROM conversations a JOIN conversations b USING (conv_id) WHERE b.turn = a.turn + 1)"
@@ -404,14 +407,22 @@ def event_funnel_stream(spark, sf):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder the session names in ``spark.checkpoint.dir``; a temporary one only where it is unset in local mode."""
     from tempfile import mkdtemp
 
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", mkdtemp(prefix="sedgework-"))
     return spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
+@R.query("""SELECT start, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY start""")
+def sliding_windows(spark, sf):
+    """Events of each two hours, every hour."""
+    return E.sliding(table(spark, sf, "events")).select("start", "n")
+
+
 @R.query("""WITH g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events))
   SELECT user_id, min(ts) AS start, count(*) AS n, max_by(event_id, {'t': ts, 'e': event_id}) AS event_id, max_by(event_type, {'t': ts, 'e': event_id}) AS event_type, max_by(value, {'t': ts, 'e': event_id}) AS value FROM g GROUP BY user_id, s""")
 def debounce_sessions(spark, sf):

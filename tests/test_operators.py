@@ -9,14 +9,19 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sedgework.functions import dates as T
+from sedgework.functions import labels as L
+from sedgework.functions import shapes as H
 from sedgework.functions import text as X
 from sedgework.functions import urls as U
 from sedgework.operators import bullets as B
 from sedgework.operators import matching as M
 from sedgework.operators import quality as Q
 from sedgework.operators import records as D
+from sedgework.operators import search as K
+from sedgework.operators import skills
 from sedgework.operators import store as S
-from sedgework.sources import feeds
+from sedgework.sources import feeds, jsonld
 from sedgework.streaming import events as E
 
 
@@ -189,3 +194,65 @@ def test_changes_resume_from_the_checkpoint(spark, tmp_path):
             spark.range(3, more).write.mode("append").parquet(str(tmp_path / "in"))
         E.apply_changes(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), merge, str(tmp_path / "cp")).awaitTermination()
     assert seen == [[0, 1, 2], [3, 4]]
+
+
+def many(spark, column, values: list, name: str = "t") -> list:
+    """A column of one text column over several values, in their order."""
+    df = spark.createDataFrame(list(enumerate(values)), f"i int, {name} string")
+    return [r.x for r in df.select("i", column.alias("x")).orderBy("i").collect()]
+
+
+def test_date_ranges(spark):
+    lines = ["Jan 2020 - Present", "Mar. 2016 Exp. Jun. 2017", "Summer 2013, 2014", "Head of Marketing 2020", "Month Year - Present", "2019 – Month Year", "tinylm | Link Jan. 2026", "5000", "Dec '00 to May '02", "", None]
+    got = [(r.start, r.end, r.current) if r else None for r in many(spark, T.date_range(F.col("t")), lines)]
+    assert got[:9] == [("Jan 2020", None, True), ("Mar. 2016", "Jun. 2017", False), ("Summer 2013", "2014", False), ("2020", None, False), (None, None, False), ("2019", None, False), ("Jan. 2026", None, False), (None, None, False), ("Dec '00", "May '02", False)]
+    assert got[9] == (None, None, False)
+    assert many(spark, T.without_dates(F.col("t")), ["Tech Lead: 2020", "Globex, Jan 2020 - Present", "Award (2019)", "tinylm | Link Jan. 2026", "Marketing 2021 - 2022"]) == ["Tech Lead", "Globex", "Award", "tinylm | Link", "Marketing"]
+    assert many(spark, T.date_separator(F.col("t")), ["Globex Excellence, 2021", "Award · 2021", "Lead 2020", "2020"]) == [",", "·", None, None]
+    assert many(spark, T.is_lone_range(F.col("t")), ["Jan 2024 – Present", "2019 - 2021", "5000 - 6000", "Fall 2013 – Spring 2014", "2020", "Acme 2019 - 2021"]) == [True, True, False, False, False, False]
+
+
+def test_line_shapes(spark):
+    prose = "Improved the accomplishments. Where the team was in need we helped"
+    assert many(spark, H.is_prose(F.col("t")), [prose, "Northwind Technology. San Jose, California and More of Them Here", "Short. It is"]) == [True, False, False]
+    assert many(spark, H.is_entry_header(F.col("t")), ["Staff Engineer", "GPA: 3.8", "2019 - 2021", "lower case", prose, ""]) == [True, False, False, False, False, False]
+    assert many(spark, H.looks_like_company(F.col("t")), ["Globex LLC", "State University", "University Lecturer", "Staff Engineer"]) == [True, True, False, False]
+    assert many(spark, H.is_scope_prose(F.col("t")), ["Founding leader; owned charter", "IC4 · Platform", "Led growth across teams", "Acme Inc.", "Done.", "Globex"]) == [True, True, True, False, True, False]
+    assert many(spark, H.is_page_furniture(F.col("t")), ["Jane Doe · Résumé 2", "Jane CV 2", "Cardiovascular (CV) Fellowship", "Presumed"]) == [True, True, False, False]
+    assert many(spark, H.title_key(F.col("t")), ["• Catalogs. [2019]", "Award, 2021", "Plain"]) == ["catalogs.", "award", "plain"]
+
+
+def test_labels(spark):
+    assert many(spark, L.tight_letters(F.col("t")), ["J O H N  D O E", "a b c", "W O R K at it"]) == ["JOHN  D O E", "a b c", "WORK at it"]
+    assert many(spark, L.joined_letter(F.col("t")), ["S kills", "A b", "e xperience"]) == ["Skills", "A b", "experience"]
+    assert many(spark, L.id_text(F.col("t")), ["0|led it", "x|no", "3|", "12|a|b"]) == ["led it", None, None, "a|b"]
+    assert many(spark, L.slug(F.col("t")), [" Zoë O'Neil ", None]) == ["zo-oneil", ""]
+
+
+def test_query_terms_and_scores(spark):
+    assert K.query_terms(["Sr. Data Engineer of the North"], ["C++", "go", "the", " Steel "], ("north",)) == ["data", "engineer", "c++", "steel"]
+    assert many(spark, K.matches_query(F.col("t"), F.lit(""), ["c++", "data"]), ["Uses C++, daily", "database", "Data"]) == [True, False, True]
+    assert many(spark, K.loosely_equal(F.col("t"), F.lit("development")), ["developer", "develop", "dev", "devices"]) == [True, True, False, False]
+    assert many(spark, K.without_operators(F.col("t")), ["- -go C++ a-b"]) == ["go C++ a-b"]
+    assert many(spark, K.title_score(F.col("t"), F.lit(None).cast("array<string>"), ["Senior Data Engineer"], "Senior"), ["Data Engineer", "Senior Data Engineer", "Cook"]) == [20, 34, 0]
+
+
+def test_skills(spark):
+    words = [("rails", "Rails", ["ruby on rails"]), ("ruby", "Ruby", ["ruby"]), ("cpp", "C++", ["c++"]), ("node", "Node.js", ["node.js", "node"])]
+    df = spark.createDataFrame([(1, "Ruby on Rails, ruby/C++ (node.js)"), (2, "rubyist c++x"), (3, None)], "id int, t string")
+    got = {(r.id, r.skill): r.n for r in skills.mentions(df, "id", "t", words).collect()}
+    assert got == {(1, "rails"): 1, (1, "ruby"): 1, (1, "cpp"): 1, (1, "node"): 1}
+    terms = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("source")) for n, s in (("ruby", "skill"), ("rails", "skill"), ("team lead", "noun"))])
+    df = spark.createDataFrame([(1, "ruby and a team lead"), (2, ""), (3, None)], "id int, t string").withColumn("terms", terms)
+    assert [(r.covered, r.missing, r.score) for r in skills.coverage(df, "t", "terms", words).orderBy("id").collect()] == [("ruby,team lead", "rails", 60), ("", "ruby,rails,team lead", 0), ("", "ruby,rails,team lead", 0)]
+
+
+def test_reference_links(spark):
+    md = ["[a][b c] and [d][] ![i][b c]\n[B  C]: https://x.example 't'\n[d]: www.y.example", "[a][b]", None]
+    assert many(spark, feeds.resolved_links(F.col("t")), md) == ["a https://x.example and d www.y.example \n\n", "[a][b]", None]
+
+
+def test_jsonld(spark):
+    docs = ['{"@context":"https://schema.org","@graph":[{"@type":"Thing"},{"@type":"JobPosting","title":"x"}]}', '[{"@type":"JobPosting","@context":["https://schema.org"],"title":"y","jobLocationType":["TELECOMMUTE"]}]', '{"@type":"JobPosting","title":"z"}', "{broken", None, ""]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, j string")
+    assert sorted((r.id, r.title, r.work_model) for r in jsonld.postings(df, "id", "j").collect()) == [(0, "x", None), (1, "y", "remote")]
