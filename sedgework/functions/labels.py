@@ -82,7 +82,7 @@ def occurrences(text: Column, phrase: str) -> Column:
     """How often a phrase of word characters stands in a text, between word ends."""
     import re
 
-    return F.when(F.lit(phrase) == "", 0).otherwise(F.size(F.regexp_extract_all(text, F.lit(f"\\b({re.escape(phrase)})\\b"), 1)))
+    return F.when(F.lit(phrase) == "", 0).otherwise(F.size(F.regexp_extract_all(text, F.lit(f"(?<![0-9A-Za-z_])({re.escape(phrase)})(?![0-9A-Za-z_])"), 1)))
 
 
 def fewer_blanks(text: Column) -> Column:

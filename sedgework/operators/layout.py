@@ -11,13 +11,13 @@ from sedgework.functions import values as V
 
 def row_texts(items: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, y, font, text) of the items (x, y, width, font, str) of each row: a blank where a gap is wide and no white space is."""
-    w = Window.partitionBy(*keys).orderBy("x", "str")
+    w = Window.partitionBy(*keys).orderBy("x", "str", "width")
     text = L.tight_letters(F.col("str"))
     rows = items.withColumn("__text", text)
     last, end, width, n = (F.lag(c).over(w) for c in ("__text", (F.col("x") + F.col("width")), "width", F.length("str")))
     apart = last.isNotNull() & ~last.rlike("\\s$") & ~F.col("__text").rlike("^\\s") & (F.col("x") - end > width / F.greatest(n, F.lit(1)) * V.SPACE_SHARE)
     rows = rows.withColumn("__piece", F.concat(F.when(apart, " ").otherwise(""), "__text"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "str", "__piece"))), lambda s: s["__piece"]), "")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "str", "width", "__piece"))), lambda s: s["__piece"]), "")
     return rows.groupBy(*keys).agg(F.min("y").alias("y"), F.max("font").alias("font"), F.trim(F.regexp_replace(joined, "\\s+", " ")).alias("text"))
 
 

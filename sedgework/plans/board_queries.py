@@ -119,8 +119,8 @@ def reference_links(spark, sf):
 
 
 _ITEMS = "SELECT l_orderkey AS doc, CAST(l_linenumber % 2 AS INT) AS page, CAST(floor(l_linenumber / 3) AS INT) AS row, CAST(l_partkey % 50 * 10 AS DOUBLE) AS x, CAST(floor(l_linenumber / 3) * 12 + l_linenumber % 2 AS DOUBLE) AS y, CAST(5 + l_suppkey AS DOUBLE) AS width, CAST(l_quantity AS DOUBLE) AS font, CASE l_linenumber % 4 WHEN 0 THEN concat(l_linestatus, ' ', l_shipdate) WHEN 1 THEN concat(l_returnflag, l_partkey, ' ') ELSE concat('w', l_partkey) END AS str FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_linestatus, l_returnflag, '1' AS l_shipdate FROM lineitem ) "
-_ROWS = f"""SELECT doc, page, row, min(y) AS y, max(font) AS font, trim(regexp_replace(string_agg(CASE WHEN last IS NOT NULL AND NOT regexp_matches(last, '\\s$') AND NOT regexp_matches(str, '^\\s') AND x - e > lw / greatest(length(last), 1) * CAST({V.SPACE_SHARE} AS DOUBLE) THEN ' ' ELSE '' END || str, '' ORDER BY x, str), '\\s+', ' ', 'g')) AS text
-  FROM (SELECT *, lag(str) OVER w AS last, lag(x + width) OVER w AS e, lag(width) OVER w AS lw FROM ({_ITEMS}) WINDOW w AS (PARTITION BY doc, page, row ORDER BY x, str)) GROUP BY doc, page, row"""
+_ROWS = f"""SELECT doc, page, row, min(y) AS y, max(font) AS font, trim(regexp_replace(string_agg(CASE WHEN last IS NOT NULL AND NOT regexp_matches(last, '\\s$') AND NOT regexp_matches(str, '^\\s') AND x - e > lw / greatest(length(last), 1) * CAST({V.SPACE_SHARE} AS DOUBLE) THEN ' ' ELSE '' END || str, '' ORDER BY x, str, width), '\\s+', ' ', 'g')) AS text
+  FROM (SELECT *, lag(str) OVER w AS last, lag(x + width) OVER w AS e, lag(width) OVER w AS lw FROM ({_ITEMS}) WINDOW w AS (PARTITION BY doc, page, row ORDER BY x, str, width)) GROUP BY doc, page, row"""
 
 
 def item_rows(spark, sf):

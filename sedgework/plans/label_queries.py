@@ -47,16 +47,23 @@ def pay_labels(spark, sf):
     return p.select("p_partkey", L.shown_pay(*map(F.col, ("low", "high", "currency", "period"))).alias("pay"))
 
 
+
+
+def _count(x: str) -> str:
+    """Edges are doubled, so that neighbouring words don't share one."""
+    return f"CAST(len(regexp_extract_all(regexp_replace({x}, '([^0-9A-Za-z_])', '\\1\\1', 'g'), '(?:^|[^0-9A-Za-z_])the(?:$|[^0-9A-Za-z_])')) AS INTEGER)"
+
+
 _BODY = "coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'What you bring' || chr(10) || text WHEN doc_id % 3 = 1 THEN chr(10) || 'Prerequirements' ELSE '' END"
 
 
-@R.query(f"""SELECT doc_id, length(req) AS requirement_chars, CAST(len(regexp_extract_all(lower(body), '\\bthe\\b')) AS INTEGER) AS n_the, CAST(len(regexp_extract_all(req, '\\bthe\\b')) AS INTEGER) AS n_the_required,
+@R.query(f"""SELECT doc_id, length(req) AS requirement_chars, {_count('lower(body)')} AS n_the, {_count('req')} AS n_the_required,
   CASE WHEN strpos(body, 'and') > 21 THEN '…' ELSE '' END || trim(regexp_replace(body[greatest(0, strpos(body, 'and') - 21) + 1:least(length(body), strpos(body, 'and') + 22)], '\\s+', ' ', 'g')) || CASE WHEN strpos(body, 'and') + 22 < length(body) THEN '…' ELSE '' END AS snippet
   FROM (SELECT *, CASE WHEN k > 0 THEN lower(array_to_string(lines[k:], chr(10))) ELSE '' END AS req FROM (SELECT *, coalesce(list_position(list_transform(lines, lambda l: {sql.has('l', V.REQUIREMENTS_HEADING)}), true), 0) AS k FROM (
-  SELECT doc_id, body, string_split(body, chr(10)) AS lines FROM (SELECT doc_id, {_BODY} AS body FROM documents WHERE regexp_matches(coalesce(text, ''), '^[\\x20-\\x7e\\n]*$')))))""")
+  SELECT doc_id, body, string_split(body, chr(10)) AS lines FROM (SELECT doc_id, {_BODY} AS body FROM documents))))""")
 def requirement_parts(spark, sf):
-    """The requirements of each plain text, how often a word stands in all and in them, and the text around a word."""
-    d = table(spark, sf, "documents").where(F.coalesce("text", F.lit("")).rlike("^[\\x20-\\x7e\\n]*$")).select("doc_id", F.expr(_BODY.replace("chr(10)", "char(10)")).alias("body"))
+    """The requirements of each text, how often a word stands in all and in them, and the text around a word."""
+    d = table(spark, sf, "documents").select("doc_id", F.expr(_BODY.replace("chr(10)", "char(10)")).alias("body"))
     body = F.col("body")
     d = d.withColumn("req", L.requirements_part(body))
     return d.select("doc_id", F.length("req").cast("bigint").alias("requirement_chars"), L.occurrences(F.lower(body), "the").alias("n_the"), L.occurrences(F.col("req"), "the").alias("n_the_required"), L.snippet(body, F.instr(body, "and") - 1, F.lit(3), 40).alias("snippet"))

@@ -74,10 +74,10 @@ _FAM_LIST = "[" + ", ".join(f"{{'less': -n{i}, 'i': {i}, 'family': {sql.q(f)}, '
 
 
 @R.query(f"""SELECT p_brand, coalesce(array_to_string(list_transform(t, lambda x: x.family), ','), '') AS families, coalesce(array_to_string(list_transform(t, lambda x: x.words), ','), '') AS keywords FROM (
-  SELECT p_brand, list_filter(r, lambda x: x.less * 2 <= r[1].less)[1:2] AS t FROM (SELECT p_brand, list_sort(list_filter({_FAM_LIST}, lambda x: x.less < 0)) AS r FROM (SELECT p_brand, {_FAM} FROM part WHERE p_size % 3 > 0 GROUP BY p_brand)))""")
+  SELECT p_brand, list_filter(r, lambda x: x.less * 2 <= r[1].less)[1:2] AS t FROM (SELECT p_brand, list_sort(list_filter({_FAM_LIST}, lambda x: x.less < 0)) AS r FROM (SELECT p_brand, {_FAM} FROM part GROUP BY p_brand)))""")
 def title_families(spark, sf):
     """The families of words that most of a brand's parts speak for."""
-    return P.role_families(table(spark, sf, "part").where("p_size % 3 > 0"), "p_brand", "p_name", FAMILIES)
+    return P.role_families(table(spark, sf, "part"), "p_brand", "p_name", FAMILIES)
 
 
 _LIST = "SELECT o_custkey, array_agg(p_name ORDER BY o_orderkey) AS skills FROM orders JOIN part ON o_orderkey % 200 = p_partkey GROUP BY o_custkey"
