@@ -16,21 +16,28 @@ from sedgework.llm import jaccard_join, langid, packing, suffix_dedup, toxicity
 from sedgework.llm.common import table, written
 
 
-def whole(docs: DataFrame, *beside: str) -> DataFrame:
-    """Rows as one struct ``row`` beside some columns of theirs, so that new columns never clash with old ones."""
-    return docs.select(F.struct(*docs.columns).alias("row"), *beside)
+def apart(docs: DataFrame, *beside: str) -> DataFrame:
+    """Some columns, and all others as one struct ``row``, so that new columns never clash with old ones."""
+    others = [c for c in docs.columns if c not in beside]
+    return docs.select(*beside, F.struct(*others, F.lit(None).cast("boolean").alias("__none")).alias("row"))
+
+
+def together(rows: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The columns that ``apart`` has put apart, in their order; ``new`` ones take the place of old ones."""
+    fields = rows.schema["row"].dataType.fieldNames()
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`") if c in fields else F.col(c)).alias(c) for c in columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.7 or more go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.Settings(), toxicity.learnable())
-    return toxicity.score(whole(docs, "text"), model).where("predicted = 0").select("row.*")
+    return together(toxicity.score(apart(docs, "text"), model).where("predicted = 0"), docs.columns)
 
 
 def drop_languageless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (no text, no letter) go."""
     samples = langid.learn(docs, langid.Settings(), langid.learnable())
-    return langid.predict(whole(docs, "text"), samples).where("lang_pred <> 'und'").select("row.*")
+    return together(langid.predict(apart(docs, "text"), samples).where("lang_pred <> 'und'"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +47,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that a document of smaller doc_id has too are cut out of the text."""
-    cut = suffix_dedup.remove_repeats(whole(docs, "doc_id", "text"), carry=("row",))
-    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
-    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    cut = suffix_dedup.remove_repeats(apart(docs, "doc_id", "text"), carry=("row",))
+    return together(cut, docs.columns, text=F.col("kept"), n_chars=F.length("kept").cast("bigint"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,13 +178,14 @@ def phrases(moves: Dense | Sparse, codes: np.ndarray, doc: np.ndarray, first: np
     """
     starts = moves.starts
     order = np.argsort(-size, kind="stable")
+    from_, size_ = first[order], size[order]
     state = np.repeat(starts[:, None], len(first), 1)
     count = np.zeros((len(starts), len(first)), np.int32)
     live = len(first)
     for t in range(int(size.max(initial=0))):
-        while size[order[live - 1]] <= t:
+        while size_[live - 1] <= t:
             live -= 1
-        s = moves.step(state[:, :live], codes[first[order[:live]] + t])
+        s = moves.step(state[:, :live], codes[from_[:live] + t])
         new = s < 0
         count[:, :live] += new
         np.bitwise_xor(s, -1, out=s, where=new)
