@@ -153,9 +153,15 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def schema_table(spark, rows: list[tuple[str, str, str, bool, int]]) -> DataFrame:
+    """A small table of schemas out of literals (no rows go through Python)."""
+    each = [F.struct(F.lit(t).alias("tool"), F.lit(a).alias("argument"), F.lit(k).alias("type"), F.lit(r).alias("required"), F.lit(m).cast("long").alias("most")) for t, a, k, r, m in rows]
+    return spark.range(1).select(F.inline(F.array(*each)))
+
+
 def op8_tool_call_linking(spark, sf_dir: str) -> DataFrame:
     calls, results = conversation_calls(table(spark, sf_dir, "conversations"))
-    linked = link_tool_calls(calls, results, spark.createDataFrame(REPLY_SCHEMAS, SCHEMA))
+    linked = link_tool_calls(calls, results, schema_table(spark, REPLY_SCHEMAS))
     return linked.select("conv_id", "turn", "call_id", "name", F.concat_ws(",", "after").alias("after"), "root", "step", "valid", F.concat_ws(",", "errors").alias("errors"), F.length("result").alias("result_chars"), "json")
 
 
