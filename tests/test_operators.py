@@ -214,7 +214,7 @@ def test_date_ranges(spark):
 
 def test_line_shapes(spark):
     prose = "Improved the accomplishments. Where the team was in need we helped"
-    assert many(spark, H.is_prose(F.col("t")), [prose, "Northwind Technology. San Jose, California and More of Them Here", "Short. It is"]) == [True, False, False]
+    assert many(spark, H.is_prose(F.col("t")), [prose, "Staff Engineer at the old Northwind Technology. San Jose, California, USA", "Short. It is"]) == [True, False, False]
     assert many(spark, H.is_entry_header(F.col("t")), ["Staff Engineer", "GPA: 3.8", "2019 - 2021", "lower case", prose, ""]) == [True, False, False, False, False, False]
     assert many(spark, H.looks_like_company(F.col("t")), ["Globex LLC", "State University", "University Lecturer", "Staff Engineer"]) == [True, True, False, False]
     assert many(spark, H.is_scope_prose(F.col("t")), ["Founding leader; owned charter", "IC4 · Platform", "Led growth across teams", "Acme Inc.", "Done.", "Globex"]) == [True, True, True, False, True, False]
