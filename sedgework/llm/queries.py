@@ -1,6 +1,7 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
 from sedgework.llm import tool_calls
+from sedgework.llm.dual_tree import op12_dual_tree_negatives
 from sedgework.llm.hash_forest import op6_hash_prefix_forest
 from sedgework.llm.html_wrapper import op4_html_wrapper
 from sedgework.llm.jaccard_join import op10_ngram_jaccard_join
@@ -16,7 +17,7 @@ from sedgework.llm.toxicity import op5_toxicity
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_suffix_dedup, op3_sampled_pieces, op4_html_wrapper, op5_toxicity, op6_hash_prefix_forest,
     op7_best_fit_packing, tool_calls.op8_tool_call_linking, op9_lz_fingerprints, op10_ngram_jaccard_join,
-    op11_periodic_runs, op13_source_mix,
+    op11_periodic_runs, op12_dual_tree_negatives, op13_source_mix,
 )}
 
 SQL = {"op8_tool_call_linking": tool_calls.SQL}
