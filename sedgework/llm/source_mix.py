@@ -162,7 +162,8 @@ def plan(rows: DataFrame, sources: DataFrame, want: Settings | None = None) -> D
     parts = split(blocks.groupBy("nth").agg(F.count("*").alias("quota")), total, want)
     ranks = parts.select("nth", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("rank"))
     place = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(want.seed + 1), "hash"), "hash", "rank")) - 1
-    return blocks.join(ranks, ["nth", "rank"]).select("shard", place.alias("position"), "doc_id", "key", "copy", "piece", "pass", "start", "words")
+    found = blocks.join(ranks.hint("merge"), ["nth", "rank"])  # ranks are as many as blocks, though the plan takes them for few
+    return found.select("shard", place.alias("position"), "doc_id", "key", "copy", "piece", "pass", "start", "words")
 
 
 def texts(docs: DataFrame, mix: DataFrame) -> DataFrame:
