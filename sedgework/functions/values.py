@@ -258,3 +258,50 @@ PROFILE_HOSTS = (
     ("(^|[.])huggingface[.]co$", "Hugging Face", "code"), ("(^|[.])behance[.]net$", "Behance", "portfolio"), ("(^|[.])dribbble[.]com$", "Dribbble", "portfolio"), ("(^|[.])orcid[.]org$", "ORCID", "academic"),
     ("(^|[.])scholar[.]google[.]", "Google Scholar", "academic"), ("(^|[.])substack[.]com$", "Substack", "writing"), ("(^|[.])medium[.]com$", "Medium", "writing"),
 )
+
+#: Entries of a section: bullets that open a line, lines that are a place alone, words that open a paragraph, ends that run on, running heads.
+LINE_BULLET = "^\\s*[•‣▪●◦⁃*\\-–—]"
+OPEN_WORD = "(?i)\\b(?:Present|Current|Now|Ongoing)\\b"
+PLACE_LINE = "^[A-Z][A-Za-z.\\-]+(?:\\s+[A-Z][A-Za-z.\\-]+)?,\\s*[A-Z]{2}$"
+PARAGRAPH_VERB = (
+    "(?i)^(?:Built|Designed|Implemented|Developed|Led|Architected|Optimi[sz]ed|Refactored|Deployed|Prototyped|Migrated|Automated|Delivered|Created"
+    "|Engineered|Shipped|Wrote|Authored|Reduced|Improved|Increased|Launched|Ran)\\b"
+)
+DANGLING_END = "(?i)\\b(and|or|with|the|to|of|for|a|an|in|on|at|by|as|&)\\s*$"
+RUNNING_WORD = "(?:r[ée]sum[ée]|resume|cv|curriculum\\s+vitae)"
+RUNNING_HEAD = f"(?i){RUNNING_WORD}\\s*[·•‣|]|[·•‣|]\\s*{RUNNING_WORD}|{RUNNING_WORD}\\s+[0-9]"
+PARAGRAPH_CHARS, PARAGRAPH_GAP, MARGIN, COLUMN_SPREAD = 60, 1.4, 2, 150
+
+#: Sections by name: aliases, the last words that name one, whether split letters may be put together, whether a last word is enough.
+SECTION_NAMES = {
+    "summary": (("summary", "profile", "objective", "about", "about me", "professional summary"), ("summary", "profile", "objective"), True, True),
+    "experience": (
+        ("experience", "work experience", "professional experience", "employment", "employment history", "work history", "career", "career history", "volunteer experience", "community service", "leadership", "involvement",
+         "on campus involvement", "campus involvement", "extracurricular", "extracurricular activities", "activities", "volunteer", "volunteering"),
+        ("experience", "employment"), True, True,
+    ),
+    "education": (("education", "academic background", "academics", "qualifications", "coursework", "relevant coursework"), ("education", "academics", "qualifications", "coursework"), True, True),
+    "skills": (
+        ("skills", "top skills", "technical skills", "core competencies", "competencies", "expertise", "technologies", "programs, skills, software", "programs, skills & software"),
+        ("skills", "competencies", "technologies", "expertise"), False, False,
+    ),
+    "projects": (("projects", "personal projects", "selected projects"), ("projects",), True, True),
+    "certifications": (("certifications", "certificates", "licenses"), ("certifications", "certificates", "licenses"), True, True),
+    "achievements": (
+        ("achievements", "accomplishments", "awards", "awards & honors", "awards and honors", "honors", "honors & awards", "honors and awards"),
+        ("achievements", "accomplishments", "awards", "honors"), False, True,
+    ),
+    "other": (("strengths", "highlights", "focus areas", "interests", "languages", "references", "hobbies", "publications"), (), False, False),
+}
+EXPERIENCE_QUALIFIERS = ("relevant", "additional", "performance", "involvement", "other", "related", "leadership", "extracurricular", "selected", "further")
+SECTION_CHARS, SECTION_WORDS, HEADER_GAP = 40, 4, 1.4
+DEFAULT_FONT, DEFAULT_LINE_HEIGHT = 10.0, 14.0
+NAMED_SCHOOL = "(?i)\\b(University|College|Institute|Academy|Polytechnic)s?\\b"
+STRONG_DATE = (
+    f"(?i)\\b{LOOSE_MONTH}[.]?\\s+(?:[0-9]{{4}}|'[0-9]{{2}}|20XX)|\\b{SEASON}\\s+[0-9]{{4}}|[0-9]{{1,2}}[/-][0-9]{{4}}|\\b(?:Present|Current|Ongoing|Now)\\b|'[0-9]{{2}}\\b|\\b20XX\\b"
+)
+DEGREE = (
+    "\\b(B[.]?A[.]?|B[.]?Sc[.]?|B[.]?S[.]?|B[.]?Eng[.]?|B[.]?E[.]?|B[.]?Tech[.]?|M[.]?A[.]?|M[.]?Sc[.]?|M[.]?S[.]?|M[.]?Eng[.]?|M[.]?B[.]?A[.]?|Ph[.]?D[.]?|M[.]?D[.]?|J[.]?D[.]?"
+    "|Bachelor|Master|Doctor|Associate)(?:\\s+of\\s+[A-Za-z ]{2,40})?"
+)
+HEADERLESS_HOSTS, HEADERLESS_ROLES = ("profile", "summary", "other"), 2
