@@ -69,6 +69,22 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """The one model that a worker keeps from task to task: another one, or ``forget``, lets it go, as workers serve all stages in turn."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def forget() -> None:
+    """Let go of the model of a stage before."""
+    _held.clear()
+
+
 def tidied(batches: Iterator) -> Iterator:
     """The batches of a task, then ``tidy``."""
     yield from batches

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgework.llm.common import Bounded, mix64, slices, table, tidied, tidy, written
+from sedgework.llm.common import Bounded, forget, mix64, slices, table, tidied, tidy, written
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -146,6 +146,7 @@ def sketch(docs: DataFrame, settings: Settings) -> DataFrame:
     odd = np.array([[pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(r)]], np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         shingle = Shingler(settings.words)
         for b in tidied(batches):
             lengths = [len(t) if isinstance(t, str) else 0 for t in b["text"]]

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgework.llm.common import by_text, code_points, mix64, remainder, segments, slices, table
+from sedgework.llm.common import by_text, code_points, held, mix64, remainder, segments, slices, table
 
 SPACE = 1  # class 0 is any letter that no sample has
 
@@ -151,9 +151,8 @@ class Sparse:
         return out.reshape(state.shape).astype(np.int32)
 
 
-@lru_cache(1)
 def parser(samples: tuple[tuple[str, str], ...], dense_bytes: int) -> tuple[list[str], np.ndarray, Dense | Sparse, np.ndarray]:
-    """Built once in each Python worker: names, class of each code point, the transitions, weights. Each letter of any sample has a class."""
+    """ names, class of each code point, the transitions, weights. Each letter of any sample has a class."""
     alphabet = sorted({ch for _, text in samples for ch in text} - {" "})
     classes = {" ": SPACE} | {ch: i + 2 for i, ch in enumerate(alphabet)}
     width = len(alphabet) + 2
@@ -255,7 +254,7 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], settings: Set
     """
 
     def maker():
-        names, class_of, moves, weight = parser(samples, settings.dense_bytes) if samples else ([], *[None] * 3)
+        names, class_of, moves, weight = held(("languages", samples, settings.dense_bytes), lambda: parser(samples, settings.dense_bytes)) if samples else ([], *[None] * 3)
 
         def run(texts: list) -> dict:
             lang, score = ["und"] * len(texts), np.zeros(len(texts))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgework.llm.common import mix64, slices, table, tidied, tidy
+from sedgework.llm.common import forget, mix64, slices, table, tidied, tidy
 
 GRAM = 12
 TOP = np.uint64(0xFFFFFFFF00000000)
@@ -437,6 +437,8 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
     cuts, hot = splitters(base, size["rows"], buckets, settings)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+
         def flush(held: list) -> pa.RecordBatch:
             held.sort(key=lambda r: r[0])
             ids, hashes = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
@@ -472,6 +474,8 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * with_text]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+
         def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             t = t.take(pc.sort_indices(t, [("grp", "ascending")])).combine_chunks()

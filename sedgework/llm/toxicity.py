@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgework.llm.common import Bounded, by_text, remainder, segments, slices, table, tidied, written
+from sedgework.llm.common import Bounded, by_text, forget, remainder, segments, slices, table, tidied, written
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -151,6 +151,7 @@ def score(docs: DataFrame, model: Model | None, settings: Settings = Settings())
     at = {int(t): i for i, t in enumerate(model.terms)} if model else {}
 
     def maker():
+        forget()
         find = Bounded(lambda w: tuple(at[h] for h in hashed(w, model.bits) if h in at))
 
         def run(texts: list) -> dict:
