@@ -305,3 +305,7 @@ DEGREE = (
     "|Bachelor|Master|Doctor|Associate)(?:\\s+of\\s+[A-Za-z ]{2,40})?"
 )
 HEADERLESS_HOSTS, HEADERLESS_ROLES = ("profile", "summary", "other"), 2
+
+#: Columns of pages: strips of a projection, the share of rows that may cross a gutter, the band that it lies in, and the least of each; gaps that part cells.
+STRIP, GUTTER_COVERAGE, GUTTER_BAND, GUTTER_WIDTH, COLUMN_ROWS, COLUMN_ITEMS, PAGE_WIDTH = 3, 0.04, (0.2, 0.8), 0.01, 4, 30, 612.0
+ROW_GAP, COLUMN_GAP, GRID_ROWS = 3.5, 50, 2
