@@ -227,15 +227,21 @@ def stand_ins(gram: np.ndarray, d: np.ndarray, one: np.ndarray, two: np.ndarray,
 def blocks_of(ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], cuts: np.ndarray, width: int, hot: np.ndarray, spread: int) -> Iterator[tuple[int, bytes]]:
     """The blocks (bucket, bytes) of a batch of documents, sorted by id. Windows of hot grams go to ``spread`` buckets beyond those of the splitters."""
     reach = width - GRAM
-    parts = []
-    for part in slices([len(t) for t in texts], 1_500_000):
+    parts, around = [], []
+    for part in slices([len(t) for t in texts], 750_000):
         doc, a, far, near, rows = pieces(texts[part], width)
         two = leading(rows, reach)
-        parts.append((doc + part.start, a, far, near, rows, np.where(is_hot(*two, hot), -1, place(*two, cuts)), row_hash(rows, far, near)))
+        parts.append((doc + part.start, a, far, near, np.where(is_hot(*two, hot), -1, place(*two, cuts)), row_hash(rows, far, near)))
+        around.append(rows)
     if not parts:
         return
-    doc, a, far, near, rows, bucket, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+    doc, a, far, near, bucket, key = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
+    rows, at = np.empty((len(doc), reach + width), np.uint8), len(doc)
+    while around:  # each part is freed as it is copied
+        part = around.pop()
+        rows[at - len(part) : at] = part
+        at -= len(part)
     order = np.lexsort((doc, key, bucket))
     same = np.zeros(len(order), bool)
     same[1:] = (key[order][1:] == key[order][:-1]) & (bucket[order][1:] == bucket[order][:-1])
@@ -453,6 +459,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
                 if total >= settings.batch_bytes:
                     yield flush(held)
                     held, total = [], 0
+                    tidy()
         if held:
             yield flush(held)
 
