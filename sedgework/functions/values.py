@@ -309,3 +309,19 @@ HEADERLESS_HOSTS, HEADERLESS_ROLES = ("profile", "summary", "other"), 2
 #: Columns of pages: strips of a projection, the share of rows that may cross a gutter, the band that it lies in, and the least of each; gaps that part cells.
 STRIP, GUTTER_COVERAGE, GUTTER_BAND, GUTTER_WIDTH, COLUMN_ROWS, COLUMN_ITEMS, PAGE_WIDTH = 3, 0.04, (0.2, 0.8), 0.01, 4, 30, 612.0
 ROW_GAP, COLUMN_GAP, GRID_ROWS = 3.5, 50, 2
+
+#: Pages of postings: what is never part of one, captions of other blocks, links of postings, hosts of application systems.
+NON_POSTING_TAGS = ("nav", "aside", "footer", "form", "script", "style", "noscript")
+NON_POSTING_CAPTIONS = (
+    "people\\s+you\\s+can\\s+reach\\s+out\\s+to", "meet\\s+the\\s+(hiring\\s+team|team\\s+behind)", "\\b(similar|related|recommended|suggested|more)\\s+jobs\\b", "\\bjobs\\s+(you\\s+may|that\\s+may)\\b",
+    "people\\s+also\\s+viewed", "trending\\s+employee\\s+content",
+)
+POSTING_LINKS = ("/jobs?/view/[0-9]", "[?&]currentJobId=[0-9]")
+RAIL_ITEMS, CARD_TEXT = 2, 120
+JOB_ID_METAS = ("JobIdentifier", "job-id", "jobId", "requisitionId", "job_id")
+ATS_HOSTS = (
+    ("greenhouse.io", "Greenhouse"), ("lever.co", "Lever"), ("taleo.net", "Taleo"), ("myworkdayjobs.com", "Workday"), ("icims.com", "iCIMS"), ("smartrecruiters.com", "SmartRecruiters"), ("jobvite.com", "Jobvite"),
+    ("applytojob.com", "JazzHR"), ("breezy.hr", "Breezy HR"), ("ashbyhq.com", "Ashby"), ("bamboohr.com", "BambooHR"), ("recruitee.com", "Recruitee"), ("successfactors.com", "SAP SuccessFactors"), ("phenom.com", "Phenom"),
+    ("oraclecloud.com", "Oracle HCM"), ("workable.com", "Workable"),
+)
+PREVIEW_CHARS = 200
