@@ -170,3 +170,10 @@ def header_keys(title: Column, company: Column, place: Column, team: Column) ->
     tails = (F.lit(None).cast("string"), p, m, F.concat_ws(" ", p, m))
     keys = F.array(*[X.flat(F.concat_ws(" ", a, b, tail)) for tail in tails for a, b in ((t, c), (c, t))])
     return F.when(t.isNotNull() & c.isNotNull(), F.array_distinct(keys)).otherwise(F.array().cast("array<string>"))
+
+
+def is_bare_place(text: Column) -> Column:
+    """Nothing but a place: a state's code, a known city, or a city with a state or a country."""
+    tail = F.regexp_extract(text, f"^{V.PLACE_WORDS},\\s*(.+)$", 1)
+    whole = text.rlike(f"^{V.PLACE_WORDS},\\s*(?:[A-Z]{{2}}|{V.PLACE_WORDS})$")
+    return text.isin(*V.STATE_CODES) | text.rlike(f"(?i)^(?:{V.CITIES})$") | (whole & (tail.isin(*V.STATE_CODES) | F.lower(tail).isin(*V.COUNTRIES)))

@@ -325,3 +325,29 @@ ATS_HOSTS = (
     ("oraclecloud.com", "Oracle HCM"), ("workable.com", "Workable"),
 )
 PREVIEW_CHARS = 200
+
+#: Names and headlines at the top of a document; sizes that stand for the levels of markdown headings.
+NAME_BOILERPLATE = ("resume", "résumé", "cv", "curriculum", "vitae", "sample", "template", "example", "draft", "chronological", "functional", "combination", "profile", "biography")
+NAME_WORD, NAME_LINES, NAME_CHARS, NAME_WORDS, NAME_LETTERS = "^[A-Z][a-zA-Z.\\-']*$", 5, 60, 5, 0.7
+NAME_POINTS = {"first": 0.4, "largest": 0.3, "large": 0.1, "cased": 0.2, "words": 0.1, "near_first": 0.15, "near_later": 0.4, "title": -0.6, "mononym": -0.1}
+CONTACT_NEAR, HEADLINE_CHARS, HEADLINE_CONFIDENCE = 80, 60, 0.7
+MARKDOWN_SIZES = {"h1": 16.0, "h2": 14.0, "h3": 12.0, "bold": 12.0, "body": 10.0}
+LEADING_SECTION_CHARS = 60
+
+#: Places that stand alone: states by code, cities, countries.
+STATE_CODES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC PR GU VI AS MP".split()
+CITIES = (
+    "remote|hybrid|on-?site|New York City|New York|New Orleans|San Francisco|San Diego|San Jose|San Antonio|Los Angeles|Las Vegas|Salt Lake City|Mountain View|Palo Alto|Menlo Park|Santa Clara|Redwood City|Ann Arbor"
+    "|washington|washington d[.]?c[.]?|boston|chicago|seattle|austin|denver|portland|atlanta|dallas|houston|phoenix|miami|detroit|philadelphia|pittsburgh|minneapolis|nashville|charlotte|columbus|indianapolis|baltimore"
+    "|sacramento|raleigh|london|paris|berlin|munich|tokyo|singapore|bangalore|bengaluru|mumbai|delhi|hyderabad|toronto|vancouver|sydney|melbourne|dublin|amsterdam"
+)
+COUNTRIES = (
+    "uk", "usa", "us", "uae", "south korea", "north korea", "s.korea", "s. korea", "n.korea", "n. korea", "india", "germany", "france", "united kingdom", "canada", "australia", "japan", "china", "brazil", "mexico", "singapore", "netherlands",
+    "sweden", "norway", "denmark", "finland", "switzerland", "austria", "spain", "italy", "portugal", "poland", "ireland", "belgium", "new zealand", "south africa", "nigeria", "kenya", "egypt", "israel", "pakistan", "bangladesh", "indonesia",
+    "malaysia", "thailand", "philippines", "vietnam", "argentina", "chile", "colombia", "ghana", "saudi arabia", "hong kong", "taiwan", "ukraine", "russia", "turkey", "greece", "czech republic", "hungary", "romania", "croatia", "serbia", "slovakia",
+)
+PLACE_WORDS = "[A-Z][A-Za-z.\\-]+(?:\\s+[A-Z][A-Za-z.\\-]+){0,2}"
+#: Terms of postings: words that a gerund takes as an object, the longest alias that a slash may make another word's part.
+OBJECT_OPENERS, SHORT_ALIAS = ("a", "an", "the", "some", "our", "its", "their", "his", "her", "this", "these", "those", "several", "many", "multiple"), 2
+HEADING_TAILS = ("qualifications", "responsibilities", "requirements", "demands", "duties")
+FUNCTION_WORDS = "the an as at in on of for to by with from and or but if this these those we you your our it is are".split()

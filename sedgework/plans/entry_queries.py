@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgework.operators import entries as E
+from sedgework.operators import header_fields as A
+from sedgework.operators import names as N
 from sedgework.operators import sections as S
 from sedgework.plans.registry import Registry
 from sedgework.sources.tables import table
@@ -64,3 +66,18 @@ def project_entries(spark, sf):
     """Entries that a name opens, of the sections of projects and achievements."""
     lines = S.sections(placed_lines(spark, sf), ["doc_id"]).where("NOT is_heading AND section IN ('projects', 'achievements')")
     return flat(E.entry_blocks(lines, ["doc_id", "nth"], E.Entries("first_line", 0)), "doc_id", "nth")
+
+
+@R.query()
+def entry_fields(spark, sf):
+    """Title, employer, place and team of every dated entry, by each document's own order."""
+    found = E.entry_blocks(placed_lines(spark, sf), ["doc_id"]).select("doc_id", "entry", "header_lines", "anchor_index")
+    return A.header_fields(found, ["doc_id"]).drop("header_lines")
+
+
+@R.query()
+def names_and_headlines(spark, sf):
+    """The likeliest name and headline among the lines above each document's first heading."""
+    lines = S.sections(placed_lines(spark, sf), ["doc_id"]).where("section = 'profile'")
+    found = N.names(lines, ["doc_id"])
+    return found.join(N.headlines(lines, found, ["doc_id"]).select("doc_id", "headline"), "doc_id", "left")

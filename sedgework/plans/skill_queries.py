@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sedgework.functions import values as V
+from sedgework.operators import dictionary as D
 from sedgework.operators import skills as K
 from sedgework.plans import sql
 from sedgework.plans.registry import Registry
@@ -50,3 +51,24 @@ def skill_coverage(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(wanted, "item_id", "left")
     empty = F.array().cast("array<struct<name:string,source:string>>")
     return K.coverage(docs.withColumn("terms", F.coalesce("terms", empty)), "text", "terms", SKILLS).select("doc_id", "covered", "missing", "score")
+
+
+def benchmark_dictionary(spark, sf):
+    """(alias, skill, label): the words of five letters or more of all benchmark items, and pairs of neighbouring words."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), 1)
+    items = table(spark, sf, "benchmark").select(F.explode(F.array(words)).alias("w"))
+    single = items.select(F.explode("w").alias("alias")).where(F.length("alias") >= 5)
+    pairs = items.where(F.size("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).alias("alias"))
+    return single.union(pairs).distinct().select("alias", F.substring("alias", 1, 4).alias("skill"), F.initcap(F.substring("alias", 1, 4)).alias("label"))
+
+
+@R.query()
+def dictionary_mentions(spark, sf):
+    """How often each document mentions each skill of a dictionary that is a table."""
+    return D.mentions(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", benchmark_dictionary(spark, sf))
+
+
+@R.query()
+def posting_terms(spark, sf):
+    """What each document asks for, by the same dictionary, without doubtful matches."""
+    return D.terms(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", benchmark_dictionary(spark, sf))
