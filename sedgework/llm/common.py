@@ -15,7 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts here, so Arrow gets fewer of them at once than Spark's default, unless the session has chosen a number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    light_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

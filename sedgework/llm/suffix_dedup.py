@@ -50,7 +50,7 @@ class Settings:
     min_bytes: int = 50
     bucket_bytes: int = 4_000_000
     group_bytes: int = 4_000_000
-    batch_bytes: int = 12_000_000
+    batch_bytes: int = 8_000_000
     sample: int = 2_000
     chunk: int = 60_000
     hot_pieces: int = 100_000
