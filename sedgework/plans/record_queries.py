@@ -26,12 +26,17 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-def postings(spark: SparkSession) -> DataFrame:
-    p = spark.createDataFrame(samples.POSTINGS, samples.POSTING_COLUMNS)
-    return p.select("id", U.canonical(F.col("url")).alias("url"), "company", "title", F.col("description").alias("body"), "posted", F.col("location").alias("place"), "pay", F.to_timestamp("posted").alias("at"))
+def postings(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders as postings: a customer's firms have the customer's number before their names."""
+    p = samples.dealt(spark, sf, "orders", "o_orderkey", samples.POSTINGS, "id, title, company, location, url, description, posted, pay")
+    own = F.col("o_custkey").cast("string")
+    url = F.concat(F.substring_index("url", "#", 1), F.when(F.col("url").contains("?"), "&k=").otherwise("?k="), own)
+    return p.select("id", U.canonical(url).alias("url"), F.concat_ws(" ", own, "company").alias("company"), "title", F.col("description").alias("body"), "posted", F.col("location").alias("place"), "pay", F.to_timestamp("posted").alias("at"))
 
 
-_P = sql.values(samples.POSTINGS, "id, title, company, location, url, description, posted, pay")
+_P = "(SELECT id, cust, title, cust || ' ' || company AS company, location, string_split(url, '#')[1] || CASE WHEN contains(url, '?') THEN '&k=' ELSE '?k=' END || cust AS url, description, posted, pay FROM " + sql.dealt(
+    "orders", "o_orderkey", samples.POSTINGS, "id, title, company, location, url, description, posted, pay", ", o_custkey AS cust"
+) + ")"
 _COMPANY = f"regexp_replace({sql.flat('company')}, '( ({'|'.join(V.LEGAL_SUFFIXES)}))+$', '')"
 
 
@@ -43,13 +48,13 @@ def _set(x: str, least: int) -> str:
     return f"list_distinct(list_filter(string_split({x}, ' '), lambda t: length(t) >= {least}))"
 
 
-@R.query(f"""WITH p AS (SELECT CAST(id AS BIGINT) AS id, {sql.canonical('url')} AS url, {_COMPANY} AS company, {sql.flat('title')} AS title, {sql.flat('description')} AS body, {sql.flat('posted')} AS posted, {sql.flat('location')} AS place, {sql.flat('pay')} AS pay, CAST(posted AS DATE) AS at FROM {_P})
+@R.query(f"""WITH p AS (SELECT CAST(id AS BIGINT) AS id, cust, {sql.canonical('url')} AS url, {_COMPANY} AS company, {sql.flat('title')} AS title, {sql.flat('description')} AS body, {sql.flat('posted')} AS posted, {sql.flat('location')} AS place, {sql.flat('pay')} AS pay, CAST(posted AS DATE) AS at FROM {_P})
   SELECT * FROM (SELECT a.id AS a, b.id AS b, CASE WHEN a.url = b.url THEN 'certain' WHEN a.company = '' OR a.company <> b.company THEN NULL
     WHEN a.title <> '' AND a.title = b.title THEN CASE WHEN (a.body <> '' AND a.body = b.body) OR (a.posted <> '' AND a.posted = b.posted) OR (a.place <> '' AND a.place = b.place AND a.pay <> '' AND a.pay = b.pay) OR abs(a.at - b.at) <= {V.REPOST_SPAN_DAYS} THEN 'probable' ELSE 'title-only' END
     WHEN {_contain(_set('a.title', 1), _set('b.title', 1))} >= {V.SIMILAR_TITLE} AND {_contain(_set('a.body', 3), _set('b.body', 3))} >= {V.OVERLAPPING_TEXT} THEN 'possible' END AS confidence
-  FROM p a JOIN p b ON a.id < b.id) WHERE confidence IS NOT NULL""")
+  FROM p a JOIN p b ON a.cust = b.cust AND a.id < b.id) WHERE confidence IS NOT NULL""")
 def duplicate_pairs(spark, sf):
-    return D.candidate_pairs(postings(spark))
+    return D.candidate_pairs(postings(spark, sf))
 
 
 @R.query(f"""SELECT o_custkey, o_orderpriority, a.o_orderkey AS a, b.o_orderkey AS b, abs(epoch(a.o_orderdate) - epoch(b.o_orderdate)) / 86400 AS days

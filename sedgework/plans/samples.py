@@ -1,7 +1,19 @@
-"""Small literal inputs for operators whose input the driver's tables do not hold."""
+"""Values that the driver's tables do not hold (titles, places, dates, pay, feeds); ``dealt`` puts them beside the rows of whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sedgework.sources.tables import table
+
+
+def dealt(spark: SparkSession, sf: str, name: str, key: str, rows: list[tuple], names: str) -> DataFrame:
+    """All rows of a table, with ``id`` (its key) and the values whose number is the key modulo their count."""
+    pick = lambda k: F.element_at(F.array(*[F.lit(r[k]).cast("string") for r in rows]), (F.col(key) % len(rows) + 1).cast("int"))
+    return table(spark, sf, name).withColumns({"id": F.col(key)} | {n.strip(): pick(k) for k, n in enumerate(names.split(",")) if k})
+
+
 #: id, title, company, location, url, description, posted, pay
 POSTINGS = [
     (1, "Senior Data Engineer", "Acme Inc.", "Berlin, Germany", "https://www.jobs.example.com/en-us/acme/1?utm_source=x&b=2&a=1#top", "We build a data pipeline on Spark.\n\nEqual opportunity employer\nWe celebrate everyone.\n\nRequirements: etl, machine learning", "2026-01-02", "$120,000 - $150,000 per year"),

@@ -16,6 +16,13 @@ def values(rows: list[tuple], names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({names})"
 
 
+def dealt(table: str, key: str, rows: list[tuple], names: str, more: str = "") -> str:
+    """Rows (id and values) dealt out to the rows of a whole table by its key; ``more``: further columns."""
+    lit = lambda x: "NULL" if x is None else q(x)
+    columns = [f"([{', '.join(lit(r[k]) for r in rows)}])[CAST({key} % {len(rows)} AS BIGINT) + 1] AS {n.strip()}" for k, n in enumerate(names.split(",")) if k]
+    return f"(SELECT {key} AS id, {', '.join(columns)}{more} FROM {table})"
+
+
 def swap(x: str, pattern: str, by: str = "") -> str:
     return f"regexp_replace({x}, {q(pattern)}, {q(by)}, 'g')"
 

@@ -162,19 +162,20 @@ def url_pairs(spark, sf):
     return rows.join(first, "c").select("id", "first_id")
 
 
-@R.query(f"SELECT id, {sql.seniority('title')} AS label, CAST({sql.rung(sql.seniority('title'))} AS INTEGER) AS rung FROM {sql.values(S.TITLES, 'id, title')}")
+@R.query(f"SELECT id, {sql.seniority('title')} AS label, CAST({sql.rung(sql.seniority('title'))} AS INTEGER) AS rung FROM (SELECT id, title || ' ' || p_name AS title FROM {sql.dealt('part', 'p_partkey', S.TITLES, 'id, title', ', p_name')})")
 def seniority_label(spark, sf):
-    t = spark.createDataFrame(S.TITLES, "id int, title string")
+    t = S.dealt(spark, sf, "part", "p_partkey", S.TITLES, "id, title").withColumn("title", F.concat_ws(" ", "title", "p_name"))
     return t.select("id", X.seniority(F.col("title")).alias("label"), X.rung(X.seniority(F.col("title"))).alias("rung"))
 
 
-@R.query(f"""WITH t AS (SELECT id, {sql.rung(sql.seniority('title'))} AS r FROM {sql.values(S.TITLES, 'id, title')}), p AS (SELECT id, {sql.rung(sql.seniority('title'))} AS r FROM {sql.values(S.POSTINGS, 'id, title, company, location, url, description, posted, pay')})
-  SELECT t.id AS title_id, CAST(p.id AS BIGINT) AS posting_id, CAST(abs(t.r - p.r) AS INTEGER) AS distance FROM t, p""")
+@R.query(f"""SELECT id, CAST(abs({sql.rung(sql.seniority('title'))} - {sql.rung(sql.seniority('other'))}) AS INTEGER) AS distance
+  FROM (SELECT a.id, title, other FROM {sql.dealt('part', 'p_partkey', S.TITLES, 'id, title')} a JOIN {sql.dealt('part', 'p_partkey', S.POSTINGS, 'id, other')} b ON a.id = b.id)""")
 def seniority_distance(spark, sf):
-    """Rungs between two literal lists of titles; null where a level is unknown."""
-    t = spark.createDataFrame(S.TITLES, "id int, title string").select(F.col("id").alias("title_id"), X.rung(X.seniority(F.col("title"))).alias("a"))
-    p = spark.createDataFrame(S.POSTINGS, S.POSTING_COLUMNS).select(F.col("id").alias("posting_id"), X.rung(X.seniority(F.col("title"))).alias("b"))
-    return t.crossJoin(p).select("title_id", "posting_id", F.abs(F.col("a") - F.col("b")).alias("distance"))
+    """Rungs between two titles of each part; null where a level is unknown."""
+    t = S.dealt(spark, sf, "part", "p_partkey", S.TITLES, "id, title").select("id", "title")
+    t = t.join(S.dealt(spark, sf, "part", "p_partkey", S.POSTINGS, "id, other").select("id", "other"), "id")
+    rung = lambda c: X.rung(X.seniority(F.col(c)))
+    return t.select("id", F.abs(rung("title") - rung("other")).alias("distance"))
 
 
 @R.query(f"SELECT p_partkey, unnest({sql.title_tokens('p_name')}) AS token FROM part")
@@ -189,9 +190,9 @@ def significant_terms(spark, sf):
     return t.select("doc_id", F.size("t").alias("tokens"), F.size(F.filter("t", X.admitting_term)).alias("admitting"), F.size(F.filter("t", X.significant_skill)).alias("significant"))
 
 
-@R.query(f"SELECT id, lower(posting) <> '' AND {sql.has('lower(posting)', sql.START + '(remote|worldwide|anywhere|wfh)' + sql.END)} AS remote, ({sql.has('lower(posting)', sql.START + '(remote|worldwide|anywhere|wfh)' + sql.END)}) OR (w <> '' AND p <> '' AND (trim(string_split(w, ',')[1]) = trim(string_split(p, ',')[1]) OR contains(p, w) OR contains(w, p))) AS matches FROM (SELECT *, lower(trim(wanted)) AS w, lower(trim(posting)) AS p FROM {sql.values(S.PLACES, 'id, wanted, posting')})")
+@R.query(f"SELECT id, lower(posting) <> '' AND {sql.has('lower(posting)', sql.START + '(remote|worldwide|anywhere|wfh)' + sql.END)} AS remote, ({sql.has('lower(posting)', sql.START + '(remote|worldwide|anywhere|wfh)' + sql.END)}) OR (w <> '' AND p <> '' AND (trim(string_split(w, ',')[1]) = trim(string_split(p, ',')[1]) OR contains(p, w) OR contains(w, p))) AS matches FROM (SELECT *, lower(trim(wanted)) AS w, lower(trim(posting)) AS p FROM (SELECT id, wanted || CASE WHEN p_size % 7 = 0 THEN p_name ELSE '' END AS wanted, posting FROM {sql.dealt('part', 'p_partkey', S.PLACES, 'id, wanted, posting', ', p_size, p_name')}))")
 def location_match(spark, sf):
-    t = spark.createDataFrame(S.PLACES, "id int, wanted string, posting string")
+    t = S.dealt(spark, sf, "part", "p_partkey", S.PLACES, "id, wanted, posting").withColumn("wanted", F.concat("wanted", F.when(F.col("p_size") % 7 == 0, F.col("p_name")).otherwise("")))
     return t.select("id", X.is_remote(F.col("posting")).alias("remote"), X.place_matches(F.col("wanted"), F.col("posting")).alias("matches"))
 
 
@@ -200,9 +201,9 @@ _MONTH = "CASE lower(m) " + " ".join(f"WHEN {sql.q(k)} THEN {sql.q(v)}" for k, v
 
 @R.query(f"""SELECT id, CASE WHEN {_MONTH} IS NOT NULL THEN regexp_extract(s, '([0-9]{{4}})$', 1) || '-' || {_MONTH} WHEN try_cast(b AS INT) BETWEEN 1 AND 12 THEN regexp_extract(s, '([0-9]{{4}})$', 1) || '-' || lpad(b, 2, '0')
   WHEN try_cast(f AS INT) BETWEEN 1 AND 12 THEN substr(s, 1, 4) || '-' || lpad(f, 2, '0') ELSE s END AS iso FROM (SELECT id, s, regexp_extract(s, '^([A-Za-z]{{3,9}})[.]?\\s+[0-9]{{4}}$', 1) AS m,
-  regexp_extract(s, '^([0-9]{{1,2}})/[0-9]{{4}}$', 1) AS b, regexp_extract(s, '^[0-9]{{4}}/([0-9]{{1,2}})$', 1) AS f FROM (SELECT id, trim(raw) AS s FROM {sql.values(S.DATES, 'id, raw')}))""")
+  regexp_extract(s, '^([0-9]{{1,2}})/[0-9]{{4}}$', 1) AS b, regexp_extract(s, '^[0-9]{{4}}/([0-9]{{1,2}})$', 1) AS f FROM (SELECT id, trim(raw) AS s FROM {sql.dealt('orders', 'o_orderkey', S.DATES, 'id, raw')}))""")
 def iso_month_date(spark, sf):
-    return spark.createDataFrame(S.DATES, "id int, raw string").select("id", X.iso_month(F.col("raw")).alias("iso"))
+    return S.dealt(spark, sf, "orders", "o_orderkey", S.DATES, "id, raw").select("id", X.iso_month(F.col("raw")).alias("iso"))
 
 
 @R.query(f"SELECT doc_id, unnest(regexp_extract_all(text, {sql.q('(' + V.EMAIL + ')')}, 1)) AS email FROM documents")
@@ -277,9 +278,11 @@ def noun_topk(spark, sf):
 @R.query(f"""SELECT id, pay_min, pay_max, period, CASE WHEN year >= {V.LEAST_ANNUAL_PAY} THEN year END AS annual, coalesce(year < 100000, false) AS below FROM (SELECT *, CASE period WHEN 'hour' THEN pay_max * 2080 WHEN 'month' THEN pay_max * 12 ELSE pay_max END AS year FROM (
   SELECT id, CASE WHEN a <> '' THEN CAST(replace(a, ',', '') AS DOUBLE) * CASE WHEN coalesce(nullif(ka, ''), kb) <> '' THEN 1000 ELSE 1 END END AS pay_min, CASE WHEN b <> '' THEN CAST(replace(b, ',', '') AS DOUBLE) * CASE WHEN kb <> '' THEN 1000 ELSE 1 END END AS pay_max,
   CASE WHEN a <> '' THEN CASE WHEN u IN ('hour', 'hr') THEN 'hour' WHEN u IN ('month', 'mo') THEN 'month' ELSE 'year' END END AS period FROM (SELECT id, {', '.join(f"regexp_extract(pay, {sql.q('[$]' + chr(92) + 's*([0-9][0-9,]*(?:[.][0-9]+)?)' + chr(92) + 's*([Kk])?' + chr(92) + 's*(?:-|–|—|to)' + chr(92) + 's*[$]' + chr(92) + 's*([0-9][0-9,]*(?:[.][0-9]+)?)' + chr(92) + 's*([Kk])?' + chr(92) + 's*(?:/|per |an? )?' + chr(92) + 's*(hour|hr|month|mo|year|yr)?')}, {k}) AS {n}" for k, n in enumerate(('a', 'ka', 'b', 'kb', 'u'), 1))}
-  FROM {sql.values([(i, p) for i, *_, p in S.POSTINGS], 'id, pay')})))""")
+  FROM (SELECT id, CASE WHEN p_size % 5 = 0 THEN '$' || (p_size * 1000) || ' - $' || (p_size * 1500) || ' a year' ELSE pay END AS pay FROM {sql.dealt('part', 'p_partkey', [(i, p) for i, *_, p in S.POSTINGS], 'id, pay', ', p_size')}))))""")
 def compensation_extract(spark, sf):
-    p = spark.createDataFrame([(i, pay) for i, *_, pay in S.POSTINGS], "id int, pay string")
+    p = S.dealt(spark, sf, "part", "p_partkey", [(i, pay) for i, *_, pay in S.POSTINGS], "id, pay")
+    n = F.col("p_size")
+    p = p.withColumn("pay", F.when(n % 5 == 0, F.concat(F.lit("$"), n * 1000, F.lit(" - $"), n * 1500, F.lit(" a year"))).otherwise(F.col("pay")))
     out = Q.pay_range(p, "pay")
     return out.select("id", "pay_min", "pay_max", "period", M.annual_pay(F.col("pay_max"), F.col("period")).alias("annual"), M.below_floor(F.col("pay_min"), F.col("pay_max"), F.col("period"), F.lit("USD"), 100000.0).alias("below"))
 
@@ -292,27 +295,42 @@ def _feed_sql() -> str:
         "arbeitnow": (g("slug"), g("title"), g("company_name"), g("location"), g("url"), g("description"), f"strftime(epoch_ms(CAST({g('created_at')} AS BIGINT) * 1000), '%Y-%m-%d')"),
         "lever": (g("id"), g("text"), "'Food Co'", g("categories.location"), g("hostedUrl"), g("descriptionPlain"), f"strftime(epoch_ms(CAST({g('createdAt')} AS BIGINT)), '%Y-%m-%d')"),
     }
-    raw = f"(SELECT feed, CASE WHEN json_valid(json) THEN json END AS j FROM {sql.values(S.FEED_ROWS, 'n, feed, json')})"
+    raw = f"(SELECT feed, CASE WHEN json_valid(json) THEN json END AS j FROM (SELECT feed, replace(json, 'Data Engineer', p_name) AS json FROM {sql.dealt('part', 'p_partkey', S.FEED_ROWS, 'id, feed, json', ', p_name')}))"
     each = [f"SELECT {sql.q(f + ':')} || {i} AS id, trim({t}) AS title, trim(coalesce({c}, '')) AS company, coalesce({p}, '') AS location, {u} AS url, {sql.html_text(f'coalesce({d}, {sql.q(str())})')} AS description, {at} AS posted_at, {sql.q(f)} AS source FROM {raw} WHERE feed = {sql.q(f)} AND length(trim({t})) > 0 AND regexp_matches(lower({u}), '^https?://')" for f, (i, t, c, p, u, d, at) in parts.items()]
     return " UNION ALL ".join(each)
 
 
 @R.query(_feed_sql())
 def feed_postings(spark, sf):
-    raw = spark.createDataFrame(S.FEED_ROWS, "n int, feed string, json string")
+    """All parts as rows of feeds."""
+    raw = S.dealt(spark, sf, "part", "p_partkey", S.FEED_ROWS, "id, feed, json").withColumn("json", F.replace("json", F.lit("Data Engineer"), F.col("p_name")))
     return feeds.union([feeds.postings(raw.where(F.col("feed") == f), f, "Food Co" if f == "lever" else None) for f in feeds.FEEDS])
 
 
+def turns(spark, sf, rows, names):
+    """All turns of conversations with values beside them; ``id`` is unlike for each."""
+    key = F.col("conv_id") * 100 + F.col("turn")
+    c = table(spark, sf, "conversations").withColumn("id", key)
+    return c.withColumns({n: F.element_at(F.array(*[F.lit(r[k + 1]).cast("string") for r in rows]), (F.col("id") % len(rows) + 1).cast("int")) for k, n in enumerate(names)})
+
+
 @R.query()
 def markdown_plain(spark, sf):
-    return spark.createDataFrame(S.MARKDOWN, "id int, md string").select("id", feeds.markdown_text(F.col("md")).alias("plain"))
+    """Every turn behind a piece of markdown, as plain text."""
+    t = turns(spark, sf, S.MARKDOWN, ["md"])
+    return t.select("id", feeds.markdown_text(F.concat_ws("\n", "md", "text")).alias("plain"))
 
 
 @R.query()
 def markdown_links(spark, sf):
-    return feeds.link_definitions(spark.createDataFrame(S.MARKDOWN, "id int, md string"), "id", "md")
+    """The link definitions of every turn."""
+    return feeds.link_definitions(turns(spark, sf, S.MARKDOWN, ["md"]).select("id", F.concat_ws("\n", "text", "md").alias("md")), "id", "md")
 
 
 @R.query()
 def json_repair(spark, sf):
-    return spark.createDataFrame(S.ANSWERS, "id int, raw string").select("id", Q.repaired_json("raw").alias("json"))
+    """The object in every turn: the turn itself in JSON, with text around it."""
+    t = turns(spark, sf, S.ANSWERS, ["raw"])
+    said = F.to_json(F.struct("role", F.col("text").alias("said")))
+    raw = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Here: "), said, F.lit(" as asked"))).otherwise(F.col("raw"))
+    return t.withColumn("raw", raw).select("id", Q.repaired_json("raw").alias("json"))
