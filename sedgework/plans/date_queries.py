@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedgework.functions import dates as T
 from sedgework.functions import values as V
+from sedgework.operators import checks as K
 from sedgework.plans import sql
 from sedgework.plans.registry import Registry
 from sedgework.sources.tables import table
@@ -170,14 +171,7 @@ def _month(s: str) -> str:
 def date_checks(spark, sf):
     """Of each customer's entries: one that ends before it starts, a school year of late, many entries in too few years."""
     e = lines(spark, sf).selectExpr("o_custkey", "CASE WHEN k % 3 = 0 THEN b ELSE a END AS s", "CASE WHEN k % 3 = 0 THEN a WHEN k % 3 = 1 THEN z END AS e")
-    started = T.year_of(F.col("s")).cast("int")
-    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    return e.groupBy("o_custkey").agg(
-        F.count("*").alias("entries"),
-        any_(T.month_number(F.col("e")) < T.month_number(F.col("s"))).alias("ends_before_start"),
-        any_(T.year_of(F.col("e")).cast("int") >= int(AS_OF[:4]) - V.STUDENT_YEARS).alias("student"),
-        ((F.count(started) >= V.CAREER_ENTRIES) & (F.max(started) - F.min(started) < V.CAREER_YEARS)).alias("short_career"),
-    )
+    return K.entry_checks(e.withColumnsRenamed({"s": "start", "e": "end"}), "o_custkey", int(AS_OF[:4]))
 
 
 _EMAIL_LIKE = "CASE c_custkey % 4 WHEN 0 THEN lower(replace(c_name, '#', '.')) || '@example.com' WHEN 1 THEN c_name WHEN 2 THEN '' ELSE 'me@' || lower(c_mktsegment) END"

@@ -9,7 +9,7 @@ from sedgework.functions import values as V
 from sedgework.plans import sql
 from sedgework.plans.registry import Registry
 from sedgework.sources import jsonld
-from sedgework.sources.tables import table
+from sedgework.sources.tables import as_view, table
 
 R = Registry()
 N = "CAST(p_partkey * p_partkey * 37 % 5000000 AS BIGINT)"
@@ -42,8 +42,8 @@ def _money(x: str) -> str:
 
 @R.query(f"SELECT p_partkey, CASE WHEN low <> high THEN {_money('low')} || '–' || {_money('high')} ELSE {_money('coalesce(high, low, 0)')} END || CASE period WHEN 'hour' THEN '/hr' WHEN 'month' THEN '/mo' ELSE '/yr' END AS pay FROM ({_PAY})")
 def pay_labels(spark, sf):
-    table(spark, sf, "part").createOrReplaceTempView("sedgework_part")
-    p = spark.sql(_PAY.replace("FROM part", "FROM sedgework_part"))
+    view = as_view(table(spark, sf, "part"))
+    p = spark.sql(_PAY.replace("FROM part", f"FROM {view}"))
     return p.select("p_partkey", L.shown_pay(*map(F.col, ("low", "high", "currency", "period"))).alias("pay"))
 
 

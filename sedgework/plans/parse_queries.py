@@ -11,7 +11,7 @@ from sedgework.operators import store as S
 from sedgework.plans import sql
 from sedgework.plans.registry import Registry
 from sedgework.plans.shape_queries import _role_tokens
-from sedgework.sources.tables import table
+from sedgework.sources.tables import as_view, table
 
 R = Registry()
 NOW = "2026-01-01 00:00:00"
@@ -20,8 +20,7 @@ NOW = "2026-01-01 00:00:00"
 def view(spark: SparkSession, sf: str, query: str, *tables: str) -> DataFrame:
     """The result of a query's text over some tables; both engines read the same text."""
     for t in tables:
-        table(spark, sf, t).createOrReplaceTempView(f"sedgework_{t}")
-        query = query.replace(f" {t} ", f" sedgework_{t} ")
+        query = query.replace(f" {t} ", f" {as_view(table(spark, sf, t))} ")
     return spark.sql(query)
 
 

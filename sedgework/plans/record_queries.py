@@ -9,6 +9,7 @@ from sedgework.functions import text as X
 from sedgework.functions import urls as U
 from sedgework.functions import values as V
 from sedgework.operators import bullets as B
+from sedgework.operators import checks as K
 from sedgework.operators import matching as M
 from sedgework.operators import quality as Q
 from sedgework.operators import records as D
@@ -321,7 +322,7 @@ def rank_rating(spark, sf):
 
 @R.query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
 def newest_choices(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20)
+    return K.newest(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderdate", "o_orderkey", 20)
 
 
 _PRED = f"SELECT doc_id, tier <> 'low' AS p FROM ({sql.pool('doc_id', sql.features())})"

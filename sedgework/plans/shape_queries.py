@@ -9,10 +9,11 @@ from sedgework.functions import shapes as H
 from sedgework.functions import text as X
 from sedgework.functions import values as V
 from sedgework.operators import bullets as B
+from sedgework.operators import checks as K
 from sedgework.operators import search as Q
 from sedgework.plans import sql
 from sedgework.plans.registry import Registry
-from sedgework.sources.tables import table
+from sedgework.sources.tables import as_view, table
 
 R = Registry()
 
@@ -127,9 +128,7 @@ def title_owned_lines(spark, sf):
 def lines_without_owned(spark, sf):
     """Lines that no title of an entry owns: two anti joins on keys."""
     p = table(spark, sf, "part").selectExpr("p_partkey", f"{_TITLE} AS title", f"{_OWNED} AS line")
-    keys = p.where("p_partkey % 2 = 0").select(H.title_key(F.col("title")).alias("own")).where("own <> ''").distinct()
-    b = p.select("p_partkey", "line", H.title_key(F.col("line")).alias("key")).withColumn("rest", H.without_label(F.col("key")))
-    return b.join(keys, F.col("key") == F.col("own"), "left_anti").join(keys, F.col("rest") == F.col("own"), "left_anti").select("p_partkey", "line")
+    return K.without_owned_lines(p, p.where("p_partkey % 2 = 0"), "line", "title").select("p_partkey", "line")
 
 
 _ROLE = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 <> 0 THEN p_name END AS title, CASE WHEN o_orderkey % 3 <> 0 THEN p_brand END AS company, p_type AS place, CASE WHEN o_orderkey % 2 = 0 THEN p_size || '' END AS team, CASE WHEN o_orderkey % 5 <> 0 THEN '2019' END AS start, CASE WHEN o_orderkey % 7 <> 0 THEN '2023' END AS last, o_orderkey % 6 = 0 AS current FROM orders JOIN part ON o_orderkey % 200 = p_partkey"
@@ -137,8 +136,8 @@ _ROLE = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 4 <> 0 THEN p_name
 
 def roles(spark: SparkSession, sf: str) -> DataFrame:
     o, p = table(spark, sf, "orders"), table(spark, sf, "part")
-    o.join(p, F.col("o_orderkey") % 200 == F.col("p_partkey")).createOrReplaceTempView("sedgework_roles")
-    return spark.sql(_ROLE.replace("orders JOIN part ON o_orderkey % 200 = p_partkey", "sedgework_roles"))
+    view = as_view(o.join(p, F.col("o_orderkey") % 200 == F.col("p_partkey")))
+    return spark.sql(_ROLE.replace("orders JOIN part ON o_orderkey % 200 = p_partkey", view))
 
 
 @R.query(f"""SELECT o_orderkey, CASE WHEN title IS NULL AND company IS NULL THEN 'Untitled role' ELSE concat_ws(' — ', title, company) END AS label,
@@ -158,15 +157,14 @@ _KEYS = " UNION ".join(f"SELECT o_custkey, {sql.flat(f'concat_ws({sql.q(chr(32))
 def lines_without_headers(spark, sf):
     """A customer's lines but for those that only say a role's head again: an anti join on its keys."""
     r = roles(spark, sf)
-    keys = r.select("o_custkey", F.explode(H.header_keys(*map(F.col, ("title", "company", "place", "team")))).alias("key")).distinct()
-    b = r.selectExpr("o_orderkey", "o_custkey", f"{_HEADLINE} AS line").where("line IS NOT NULL").withColumn("key", X.flat(F.col("line")))
-    return b.join(keys, ["o_custkey", "key"], "left_anti").select("o_orderkey", "line")
+    lines = r.selectExpr("o_orderkey", "o_custkey", f"{_HEADLINE} AS line").where("line IS NOT NULL")
+    return K.without_header_lines(lines, r, "o_custkey", "line").select("o_orderkey", "line")
 
 
 @R.query(f"SELECT doc_id, CAST(ord AS INTEGER) AS ord, NOT (has_metric AND verb_led AND words BETWEEN 8 AND 30) AS needs_attention FROM ({sql.features()})")
 def attention_lines(spark, sf):
     f = B.features(B.bullets(table(spark, sf, "documents").select("doc_id", "text")))
-    return f.select("doc_id", "ord", (~(F.col("has_metric") & F.col("verb_led") & F.col("words").between(8, 30))).alias("needs_attention"))
+    return f.select("doc_id", "ord", K.needs_attention(F.col("has_metric"), F.col("verb_led"), F.col("words")).alias("needs_attention"))
 
 
 # search
@@ -177,8 +175,8 @@ _POSTING = "SELECT p_partkey, lower(replace(p_brand, '#', '')) || ':' || p_partk
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
-    table(spark, sf, "part").createOrReplaceTempView("sedgework_part")
-    return spark.sql(_POSTING.replace("FROM part", "FROM sedgework_part")).withColumn("departments", F.array("department"))
+    view = as_view(table(spark, sf, "part"))
+    return spark.sql(_POSTING.replace("FROM part", f"FROM {view}")).withColumn("departments", F.array("department"))
 
 
 def _literals(items) -> str:
@@ -242,8 +240,8 @@ _STARS = "SELECT p_partkey, p_size / 10.0 AS fit, CASE WHEN p_size % 3 > 0 THEN
 @R.query(f"""SELECT p_partkey, p_partkey % 40 / (p_partkey % 40 + {V.TERMS_HALF}) AS trust, concat_ws('|', {_band('fit', V.FIT_BANDS, "'Weak fit'")}, CASE WHEN floor THEN {_band('pay', V.FLOOR_BANDS)} ELSE {_band('pay', V.PAY_BANDS)} END,
   CASE WHEN place >= 5 THEN 'Location match' END, CASE WHEN level >= {V.LEVEL_MATCH} THEN 'Level match' WHEN level < {V.LEVEL_GAP} THEN 'Level gap' END) AS phrases FROM ({_STARS})""")
 def rating_words(spark, sf):
-    table(spark, sf, "part").createOrReplaceTempView("sedgework_part")
-    s = spark.sql(_STARS.replace("FROM part", "FROM sedgework_part").replace("10.0", "10D").replace("2.0", "2D"))
+    view = as_view(table(spark, sf, "part"))
+    s = spark.sql(_STARS.replace("FROM part", f"FROM {view}").replace("10.0", "10D").replace("2.0", "2D"))
     return s.select("p_partkey", Q.specificity(F.col("p_partkey") % 40).alias("trust"), F.array_join(Q.rating_phrases(*map(F.col, ("fit", "pay", "place", "level", "floor"))), "|").alias("phrases"))
 
 
@@ -285,10 +283,9 @@ def steering_adherence(spark, sf):
   FROM (SELECT doc_id, text, doc_id % 7 = 0 AS scanned, trim(coalesce(text, '')) = '' AS blank FROM documents)""")
 def parse_escalation(spark, sf):
     """The further pass that a parse needs, and whether its text can be judged at all."""
-    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    i, text = F.col("doc_id"), F.col("text")
     scanned = i % 7 == 0
-    none = scanned | (F.trim(text) == "")
-    return table(spark, sf, "documents").select("doc_id", Q.escalation(scanned, i % 5 == 0, F.when(i % 4 == 0, 1).otherwise(0), i % 100 / 100.0).alias("escalation"), none.alias("no_text"), (none | (F.length(text) == 0)).alias("unreadable"))
+    return table(spark, sf, "documents").select("doc_id", Q.escalation(scanned, i % 5 == 0, F.when(i % 4 == 0, 1).otherwise(0), i % 100 / 100.0).alias("escalation"), K.no_text(scanned, text).alias("no_text"), K.unreadable(scanned, text).alias("unreadable"))
 
 
 # contact cards
@@ -307,8 +304,8 @@ _ROWS = f"WITH c AS ({_CARDS}) " + " UNION ALL ".join(_card_row(i, *r) for i, r
 
 
 def cards(spark: SparkSession, sf: str) -> DataFrame:
-    table(spark, sf, "customer").createOrReplaceTempView("sedgework_customer")
-    return Q.contact_rows(spark.sql(_CARDS.replace("FROM customer", "FROM sedgework_customer").replace("10.0", "10D")), "c_custkey")
+    view = as_view(table(spark, sf, "customer"))
+    return Q.contact_rows(spark.sql(_CARDS.replace("FROM customer", f"FROM {view}").replace("10.0", "10D")), "c_custkey")
 
 
 @R.query(_ROWS)
@@ -332,9 +329,7 @@ _PAIRS = "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'certain' WHEN 1 TH
   LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) x ON a = x.c_custkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) y ON b = y.c_custkey""")
 def pair_actions(spark, sf):
     """Pairs that may be merged, and pairs that are hidden since both sides are of one cluster (here, a nation)."""
-    table(spark, sf, "orders").createOrReplaceTempView("sedgework_orders")
-    pairs = spark.sql(_PAIRS.replace("FROM orders", "FROM sedgework_orders"))
-    clusters = table(spark, sf, "customer").where("c_custkey % 5 <> 0").select("c_custkey", "c_nationkey")
-    both = pairs.join(clusters.toDF("a", "ka"), "a", "left").join(clusters.toDF("b", "kb"), "b", "left")
-    rank = F.coalesce(*[F.when(F.col("confidence") == k, F.lit(v)) for k, v in V.DUPLICATE_RANKS.items()])
-    return both.select("o_orderkey", (rank >= V.DUPLICATE_RANKS["probable"]).alias("actionable"), ((F.col("confidence") != "certain") & F.coalesce(F.col("ka") == F.col("kb"), F.lit(False))).alias("suppressed"))
+    view = as_view(table(spark, sf, "orders"))
+    pairs = spark.sql(_PAIRS.replace("FROM orders", f"FROM {view}"))
+    clusters = table(spark, sf, "customer").where("c_custkey % 5 <> 0").select("c_custkey", F.col("c_nationkey").alias("cluster"))
+    return K.pair_actions(pairs, clusters, "c_custkey").select("o_orderkey", "actionable", "suppressed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,3 +17,10 @@ def stream(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataF
     schema = table(spark, sf_dir, name).schema
     rows = spark.readStream.schema(schema).options(**options).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
     return rows.withColumns({c: F.col(c).cast("timestamp") for c, t in rows.dtypes if t == "timestamp_ntz"})
+
+
+def as_view(df: DataFrame) -> str:
+    """A name for a table in SQL text; each call gives another, so that queries on different folders don't meet."""
+    name = f"sedgework_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
