@@ -19,13 +19,14 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgework.llm.common import mix64, slices, table, tidied
+from sedgework.llm.common import code_points, mix64, slices, table, tidied
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -79,10 +80,71 @@ class Walk:
     top: np.ndarray
 
 
+class Prefixes:
+    """The pieces' prefix tree as a hash table of (state, character), for walks of many places at once."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        steps: dict[tuple[int, int], int] = {}
+        piece, log = [-1], [0.0]
+        for text, (i, p) in pieces.items():
+            state = 0
+            for ch in text:
+                if (state, ord(ch)) not in steps:
+                    steps[state, ord(ch)] = len(piece)
+                    piece.append(-1)
+                    log.append(0.0)
+                state = steps[state, ord(ch)]
+            piece[state], log[state] = i, p
+        self.piece, self.log = np.array(piece, np.int64), np.array(log)
+        self.mask = (1 << (4 * len(steps)).bit_length()) - 1
+        self.key, self.next = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int64)
+        self.tries = 1
+        for (state, ch), to in steps.items():
+            key = state << 21 | ch
+            at, tries = int(self.slot(np.array([key]))[0]), 1
+            while self.key[at] >= 0:
+                at, tries = (at + 1) & self.mask, tries + 1
+            self.key[at], self.next[at], self.tries = key, to, max(self.tries, tries)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (mix64(key.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+
+    def step(self, state: np.ndarray, ch: np.ndarray) -> np.ndarray:
+        """The next states; -1 where there is none."""
+        key = state << 21 | ch
+        at = self.slot(key)
+        out = np.where(self.key[at] == key, self.next[at], -1)
+        open_ = np.flatnonzero((out < 0) & (self.key[at] >= 0))
+        for _ in range(self.tries - 1):
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & self.mask
+            found = self.key[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.next[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def walk(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in ``codes`` that end within ``left`` characters: place, length and state of each."""
+        at, state = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        found, size = [], 0
+        while len(at):
+            state = self.step(state, codes[at + size].astype(np.int64))
+            size += 1
+            at, state = at[state >= 0], state[state >= 0]
+            hit = self.piece[state] >= 0
+            found.append((at[hit], np.full(int(hit.sum()), size), state[hit]))
+            going = left[at] > size
+            at, state = at[going], state[going]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
 class Lattice:
     """Nodes are places in words, numbered as words are met; the edges of a node follow one another."""
 
-    EDGES = 6_000_000
+    #: edges that are kept, words whose own encodings are, and the longest word whose nodes are made with others'
+    EDGES, WORDS, LONG = 3_000_000, 200_000, 120
 
     def __init__(self, path: str, settings: Settings):
         import sentencepiece
@@ -99,6 +161,8 @@ class Lattice:
         for b, i in enumerate(self.bytes):
             self.raw[i] = bytes([b])
         self.longest = max(map(len, self.pieces))
+        self.tree = Prefixes(self.pieces)
+        self.encoded: dict[str, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -139,6 +203,66 @@ class Lattice:
         self.first[word] = base
         return base
 
+    def add_all(self, words: list[str]) -> None:
+        """Add new words, all their nodes at once: edges by a walk of all places down the prefix tree, masses from the words' ends."""
+        for w in [w for w in words if len(w) > self.LONG]:
+            self.add(w)
+        words = [w for w in words if len(w) <= self.LONG]
+        if not words:
+            return
+        codes, size = code_points(words)
+        begin = np.cumsum(size) - size
+        left = np.repeat(begin + size, size) - np.arange(len(codes))  # characters from a place to its word's end
+        place, length, state = self.tree.walk(codes, left)
+        alone = np.ones(len(codes), bool)
+        alone[place[length == 1]] = False
+        odd = np.flatnonzero(alone)  # characters that are no piece are spelled in bytes
+        for ch in dict.fromkeys(codes[odd].tolist()):
+            if chr(ch) not in self.spelled:
+                self.spelled[chr(ch)] = len(self.raw) + len(self.runs)
+                self.runs.append(tuple(self.bytes[b] for b in chr(ch).encode("utf-8", "surrogatepass")))
+        spelled = np.array([self.spelled[chr(c)] for c in codes[odd].tolist()], np.int64)
+        cost = np.array([self.rare * len(self.runs[c - len(self.raw)]) for c in spelled.tolist()])
+        place, length = np.concatenate((place, odd)), np.concatenate((length, np.ones(len(odd), np.int64)))
+        piece, own = np.concatenate((self.tree.piece[state], spelled)), np.concatenate((self.tree.log[state], cost))
+        last = np.concatenate((np.zeros(len(state), bool), np.ones(len(odd), bool)))
+        order = np.lexsort((length, last, place))
+        place, length, piece, own = place[order], length[order], piece[order], own[order]
+        mass, onward = np.zeros(len(codes)), own.copy()
+        rank = np.argsort(left[place], kind="stable")  # edges by how far their place is from its word's end
+        cut = np.flatnonzero(np.diff(left[place[rank]], prepend=0, append=1 << 40))
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            e = rank[lo:hi]
+            inside = length[e] < left[place[e]]
+            onward[e[inside]] += mass[place[e[inside]] + length[e[inside]]]
+            first = np.flatnonzero(np.diff(place[e], prepend=-1))
+            top = np.maximum.reduceat(onward[e], first)
+            many = np.diff(first, append=len(e))
+            total = np.add.reduceat(np.exp(onward[e] - np.repeat(top, many)), first)
+            mass[place[e[first]]] = top + np.where(many > 1, np.log(total), 0.0)
+        base, at = len(self.mass), len(self.piece)
+        count = np.bincount(place, minlength=len(codes))
+        self.mass.frombytes(mass.tobytes())
+        self.start.frombytes((at + np.cumsum(count)).astype(np.int64).tobytes())
+        self.onward.frombytes(onward.tobytes())
+        self.target.frombytes(np.where(length < left[place], base + place + length, -1).astype(np.int64).tobytes())
+        self.piece.frombytes(piece.astype(np.int64).tobytes())
+        self.first.update(zip(words, (base + begin).tolist(), strict=True))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The model's own encodings: no piece crosses a word's beginning, so each word is encoded once."""
+        split = [self.words(t) if t else [] for t in texts]
+        new = list({w for words in split for w in words if w not in self.encoded})
+        if len(self.encoded) + len(new) > self.WORDS:
+            self.encoded.clear()
+            new = list({w for words in split for w in words})
+        mark = self.model.piece_to_id(MARK)
+        self.encoded.update(zip(new, self.model.encode([w[1:].replace(MARK, " ") for w in new], num_threads=1), strict=True))
+        if MARK in self.encoded:
+            self.encoded[MARK] = [mark]
+        find = self.encoded.__getitem__
+        return [list(chain.from_iterable(map(find, words))) for words in split]
+
     def words(self, text: str) -> list[str]:
         """The text with a leading mark and marks for spaces; a mark in the text itself is written as a NUL-framed escape."""
         return WORD.findall(MARK + escaped(text).replace(" ", MARK))
@@ -184,15 +308,10 @@ class Lattice:
         """For each text up to k distinct segmentations, by falling Gumbel value: ids, log probability, log inclusion score."""
         if len(self.piece) > self.EDGES:
             self.forget()
-        roots: list[int] = []
-        count = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            words = self.words(t) if t else []
-            count[i] = len(words)
-            found = list(map(self.first.get, words))
-            if None in found:
-                found = [self.add(w) if (f := self.first.get(w)) is None else f for w in words]
-            roots += found
+        split = [self.words(t) if t else [] for t in texts]
+        self.add_all(list(dict.fromkeys(w for words in split for w in words if w not in self.first)))
+        count = np.fromiter(map(len, split), np.int64, len(texts))
+        roots = list(map(self.first.__getitem__, chain.from_iterable(split)))
         roots_, begin = np.array(roots, np.int64), np.cumsum(count) - count
         target, piece = np.frombuffer(self.target, "q"), np.frombuffer(self.piece, "q")
         key = np.array([s % (1 << 64) for s in seeds], np.uint64)
@@ -320,10 +439,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     out = docs.drop("ids").withColumn("ids", F.array().cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = lattice(path, Settings()).model
+        lat = lattice(path, Settings())
         for b in parts(batches, "text"):
             names = [n for n in b.schema.names if n != "ids"]
-            ids = model.encode([escaped(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()], num_threads=1)
+            ids = lat.encode([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
 
     return docs.drop("ids").mapInArrow(run, out)
