@@ -351,3 +351,61 @@ PLACE_WORDS = "[A-Z][A-Za-z.\\-]+(?:\\s+[A-Z][A-Za-z.\\-]+){0,2}"
 OBJECT_OPENERS, SHORT_ALIAS = ("a", "an", "the", "some", "our", "its", "their", "his", "her", "this", "these", "those", "several", "many", "multiple"), 2
 HEADING_TAILS = ("qualifications", "responsibilities", "requirements", "demands", "duties")
 FUNCTION_WORDS = "the an as at in on of for to by with from and or but if this these those we you your our it is are".split()
+
+#: Credentials: the type behind a degree's "of", what ends a field of study, grades, classes and honours.
+DEGREE_TYPE = (
+    "(?i)^(?:Business Administration|Fine Arts|Computer Applications|Science|Arts|Technology|Engineering|Philosophy|Education|Commerce|Laws|Law|Medicine|Architecture|Design|Nursing|Pharmacy|Business|Management)\\b"
+)
+FIELD_DATE = (
+    "(?i)\\s*[-–—,;]?\\s*(?:(?:expected|anticipated|graduat\\w*|class of|present|current)\\b\\s*)*(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sept?|oct|nov|dec)[a-z]*[.]?\\s*)?[(]?(?:(?:19|20)[0-9]{2}|20XX)\\b.*$"
+)
+GRADE_NUMBER = "[0-9]{1,3}(?:[.][0-9]+)?(?![0-9])"
+GRADE_VALUE = f"{GRADE_NUMBER}(?:\\s*/\\s*{GRADE_NUMBER})?(?:\\s*%)?"
+GRADE_LABEL = "[cs]?gpa"
+GRADE_FIRST = f"(?:(?:cumulative|cum[.]?|overall|major|final|current)\\s*)?\\b{GRADE_LABEL}\\b\\s*[:\\-–—]?\\s*({GRADE_VALUE})"
+GRADE_LAST = f"({GRADE_VALUE})\\s*\\b{GRADE_LABEL}\\b"
+GRADE_CLASS = (
+    "(?i)^(?:(?:first|second|third)[\\s-]class(?:\\s+(?:honou?rs|with\\s+(?:distinction|merit)|upper\\s+division|lower\\s+division))?|(?:first|second|third)\\s+division|2:[12])$"
+)
+HONORS_LABEL = "(?i)^(?:latin\\s+)?honou?rs?\\s*[:\\-–—]\\s*"
+HONORS = "(?i)^(?:(?:summa|magna)\\s+)?cum\\s+laude$|^(?:graduated\\s+)?with\\s+(?:high(?:est)?\\s+)?(?:honou?rs|distinction)$"
+STUDY_PARTS = "\\s*[,;·•|]\\s*|\\s+[-–—]\\s+"
+STUDY_NOTE = f"(?i)^(?:minor|major|{GRADE_LABEL}|concentration)\\b"
+PROJECT_POINTS = {"name": 0.4, "date": 0.2, "bullet": 0.4}
+
+#: The right to work: nations, clauses, classes of visas, words of a status, and the forms that say one.
+NATION = (
+    "u[.]?s[.]?a[.]?|u[.]?s[.]?|united states(?: of america)?|american|u[.]?k[.]?|united kingdom|great britain|britain|british|england|scotland|wales|northern ireland|irish|ireland|e[.]?u[.]?|european union|eea|schengen(?: area)?"
+    "|canadian|canada|australian|australia|new zealand|indian|india|singapore|german|germany|french|france|spanish|spain|italian|italy|dutch|netherlands|swiss|switzerland|swedish|sweden|polish|poland|mexican|mexico"
+    "|brazilian|brazil|japanese|japan|south african|south africa|u[.]?a[.]?e[.]?|united arab emirates|israeli|israel|nigerian|nigeria|filipino|philippines"
+)
+NATIONS = f"(?:{NATION})(?:(?: ?[/&+] ?| and | or )(?:the )?(?:{NATION}))*"
+WORK_CLAUSE = (
+    f"(?: (?:in|within) (?:the |any )?{NATIONS}| (?:for|with) any (?:employer|company)| (?:without|with no)(?: any| current| future| current or future)?(?: visa| employer| work| employment)? sponsorship"
+    "(?: (?:required|needed|now or in the future))?| (?:without|with no)(?: any)? restrictions?)"
+)
+VISA_CLASS = (
+    "h-? ?1-? ?b1?|h-? ?4|l-? ?1[ab]?|l-? ?2|o-? ?1|e-? ?2|e-? ?3|tn-? ?1?|j-? ?1|f-? ?1|b-? ?1|(?:stem )?opt|cpt|ead|green ?card|blue card|tier 2|skilled worker(?: visa)?|indefinite leave to remain|ilr|(?:pre-)?settled status"
+    "|work permit|work visa|student visa|spouse visa"
+)
+STATUS_WORD = (
+    "unrestricted|unlimited|indefinite|authori[sz]ed|eligible|valid|active|yes|citizenship|citizen|national|(?:lawful |legal )?permanent resident|naturali[sz]ed(?: citizen)?|dual|none required|none|not required"
+    "|no sponsorship required|sponsorship not required|no restrictions?"
+)
+STATUS_LABEL = (
+    "citizenship|visa status|visa type|work permit|work (?:authori[sz]ation|eligibility)(?: status)?|employment (?:authori[sz]ation|eligibility)(?: status)?|immigration status|residency status"
+)
+STATUS_TOKEN = f"(?:{VISA_CLASS}|{STATUS_WORD}|{NATION})"
+STATUS_PATTERNS = (
+    f"^(?:dual citizen(?:ship)?|(?:(?:dual|naturali[sz]ed) )?{NATIONS} citizen(?:ship)?)$",
+    f"^(?:{NATIONS} )?green ?card(?: holder)?$",
+    f"^(?:{NATIONS} )?(?:lawful |legal )?permanent resident(?: card)?(?: holder)?$",
+    f"^(?:legally |fully |currently )?(?:authori[sz]ed|eligible|entitled|permitted) to work{WORK_CLAUSE}{{1,3}}$",
+    f"^(?:work|employment) authori[sz]ed{WORK_CLAUSE}{{0,3}}$",
+    f"^(?:full |unrestricted |permanent )?right to work{WORK_CLAUSE}{{1,3}}$",
+    f"^(?:{STATUS_LABEL})\\s*[:–—-]\\s*(?:{STATUS_TOKEN}(?:[ /,+&-]+{STATUS_TOKEN}){{0,3}})$",
+    "^(?:(?:will |does |do )?not (?:require|seeking|need)|requires? no|no)(?: any| current| future| ongoing)?(?: visa| employer| work| employment)? sponsorship(?: (?:is )?(?:required|needed|necessary))?(?: now or in the future)?$",
+    "^(?:visa |work |employment )?sponsorship (?:is )?not (?:required|needed|necessary)(?: now or in the future)?$",
+    f"^{NATIONS} passport holder$",
+)
+STATUS_HINT = "(?i)citizen|green ?card|permanent resident|to work|sponsor|passport holder|visa|permit|immigration|residenc|authori[sz]|eligib|national"
