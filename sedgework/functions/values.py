@@ -409,3 +409,17 @@ STATUS_PATTERNS = (
     f"^{NATIONS} passport holder$",
 )
 STATUS_HINT = "(?i)citizen|green ?card|permanent resident|to work|sponsor|passport holder|visa|permit|immigration|residenc|authori[sz]|eligib|national"
+
+#: Pay: currencies, figures, separators, periods, magnitudes that are no pay, words of pay and how near they must be.
+PAY_SIGNS = {"$": "USD", "£": "GBP", "€": "EUR"}
+PAY_MARK = "(?:([$£€])|\\b(USD|EUR|GBP|CAD|AUD|NZD|CHF)\\b)"
+PAY_FIGURE = "([0-9]+(?:,[0-9]{3})+(?:[.][0-9]+)?|[0-9]+(?:[.][0-9]+)?)\\s*(?:([kK])(?![a-zA-Z]))?"
+PAY_JOINT = "(-|–|—|~|\\bto\\b|\\band\\b)"
+PAY_PERIOD = "(?:\\s*(?:/|per\\s+)\\s*(hour|hr|year|yr|annum|month|mo)\\b)?(?:\\s*\\b(annually|hourly|monthly|yearly)\\b)?"
+PAY_RANGE = f"(?i){PAY_MARK}\\s*{PAY_FIGURE}\\s*{PAY_JOINT}\\s*(?:{PAY_MARK}\\s*)?{PAY_FIGURE}{PAY_PERIOD}"
+PAY_SINGLE = f"(?i){PAY_MARK}\\s*{PAY_FIGURE}{PAY_PERIOD}"
+PAY_MAGNITUDE = "(?i)^\\s*(?:million|billion|mm|bn|m|b)\\b"
+PAY_WORD = "(?i)\\b(?:salary|salaries|compensation|comp|pay|base|ote|wage|wages|earn|earnings|remuneration|stipend|annual|annually)\\b"
+PAY_INTRO, PAY_WINDOW, SENTENCE_MARKS = "(?i)\\b(?:between|from|range\\s+of)\\s*$", 60, "[.;!?\\n]"
+PERIODS = {"hour": "hour", "hr": "hour", "hourly": "hour", "month": "month", "mo": "month", "monthly": "month"}
+NOT_FILLED = ("id", "created_at", "updated_at", "deleted_at", "notes", "alias_urls", "capture", "origin")
