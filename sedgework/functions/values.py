@@ -423,3 +423,6 @@ PAY_WORD = "(?i)\\b(?:salary|salaries|compensation|comp|pay|base|ote|wage|wages|
 PAY_INTRO, PAY_WINDOW, SENTENCE_MARKS = "(?i)\\b(?:between|from|range\\s+of)\\s*$", 60, "[.;!?\\n]"
 PERIODS = {"hour": "hour", "hr": "hour", "hourly": "hour", "month": "month", "mo": "month", "monthly": "month"}
 NOT_FILLED = ("id", "created_at", "updated_at", "deleted_at", "notes", "alias_urls", "capture", "origin")
+
+#: Judging a search: the family of leading roles, how many terms are named, how many skills of the other side speak against the titles.
+LEADERSHIP, MISSING_TITLES, MISSING_SKILLS, NAMED_TITLES, OFF_AXIS_SKILLS, RESOLVED_PROFILES = "leadership", 3, 5, 3, 4, 5

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sedgework.functions import values as V
+from sedgework.operators import coherence as Y
 from sedgework.operators import dictionary as D
 from sedgework.operators import skills as K
 from sedgework.plans import sql
@@ -72,3 +73,20 @@ def dictionary_mentions(spark, sf):
 def posting_terms(spark, sf):
     """What each document asks for, by the same dictionary, without doubtful matches."""
     return D.terms(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", benchmark_dictionary(spark, sf))
+
+
+@R.query()
+def search_verdicts(spark, sf):
+    """Every customer's search (names of parts as titles, kinds of parts as skills) against profiles of all brands."""
+    p = table(spark, sf, "part")
+    kind = F.concat_ws(" ", "p_type", (F.col("p_size") % 9).cast("string"))
+    number = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
+    profiles = p.groupBy(number.alias("profile")).agg(F.sort_array(F.collect_set("p_name")).alias("titles"), F.sort_array(F.collect_set(kind)).alias("skills"))
+    profiles = profiles.withColumn("family", F.when(F.col("profile") % 5 == 0, "leadership").otherwise("other"))
+    one = p.select((F.col("p_partkey") % 150).alias("c"), F.concat(F.lit("Senior "), "p_name").alias("title"), kind.alias("skill"))
+    asked = one.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("title")), 1, 3).alias("titles"), F.slice(F.sort_array(F.collect_set("skill")), 1, 6).alias("skills"))
+    c = table(spark, sf, "customer").withColumn("c", F.col("c_custkey") % 150).join(asked, "c")
+    queries = c.select("c_custkey", "titles", "skills", F.array(F.lit("small")).alias("noise"), F.slice("skills", 1, 2).alias("canonical"))
+    found = Y.assessed(queries, profiles, "c_custkey")
+    shown = lambda c, *fs: F.array_join(F.transform(c, lambda v: F.concat_ws(":", *[v[f] for f in fs])), "|")
+    return found.select("c_custkey", shown("verdicts", "kind", "term", "quality").alias("verdicts"), shown("missing", "kind", "term").alias("missing"), "direction", F.array_join("off_axis", "|").alias("off_axis"))
