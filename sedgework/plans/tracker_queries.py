@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from sedgework.functions import pay as P
 from sedgework.functions import values as V
+from sedgework.operators import contracts as K
 from sedgework.operators import credentials as R_
 from sedgework.operators import diagnosis as D
 from sedgework.operators import entries as E
+from sedgework.operators import exports as X
 from sedgework.operators import overlays as O
 from sedgework.operators import sections as S
 from sedgework.operators import tracker as T
@@ -158,3 +160,43 @@ def parse_defects(spark, sf):
     roles = E.entry_blocks(lines.where("section = 'experience' AND NOT is_heading"), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("section", F.lit("experience"))
     docs = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit("# My Technical skills\nSQL")).alias("md"))
     return D.defects(docs, found, roles, "doc_id", "md").select("doc_id", F.array_join("defects", ",").alias("defects"), F.array_join("missed", ",").alias("missed"))
+
+
+_K = "c_custkey"
+
+
+@R.query(f"""SELECT {_K}, array_to_string(list_filter([CASE WHEN {_K} % 5 = 0 THEN '`id` must be a non-empty string.' END, CASE WHEN {_K} % 4 = 0 THEN '`title` is required and must be a string.' END, CASE WHEN {_K} % 7 = 0 THEN '`createdAt` must be a finite number.' END], lambda x: x IS NOT NULL), '|') AS reasons,
+  CASE WHEN {_K} % 5 > 0 AND {_K} % 4 > 0 AND {_K} % 7 > 0 THEN c_mktsegment END AS kept FROM customer""")
+def record_contracts(spark, sf):
+    """What is wrong with the JSON records made of all customers, and a further field of those that are right."""
+    n = F.col(_K)
+    made = F.to_json(F.struct(F.when(n % 5 == 0, "").otherwise(n.cast("string")).alias("id"), F.when(n % 4 != 0, F.col("c_name")).alias("title"), F.lit("firm").alias("company"), F.lit("new").alias("status"), F.lit(1).alias("createdAt"), F.lit(2.5).alias("updatedAt"), F.col("c_mktsegment").alias("segment")))
+    json = F.when(n % 7 == 0, F.replace(made, F.lit('"createdAt":1'), F.lit('"createdAt":"1"'))).otherwise(made)
+    found = K.checked(table(spark, sf, "customer").select(_K, json.alias("json")), "json", K.JOB)
+    return found.select(_K, F.array_join("reasons", "|").alias("reasons"), F.col("extras")["segment"].alias("kept"))
+
+
+def resumes(spark: SparkSession, sf: str) -> DataFrame:
+    """A record of every customer: contact data and one role."""
+    n, none = F.col(_K), F.lit(None).cast("string")
+    role = O.entry({f: none for f in O.FIELDS} | {"title": F.col("c_mktsegment"), "subtitle": F.concat(F.lit("Nation "), "c_nationkey"), "start": F.lit("Jan 2019"), "end": F.when(n % 2 == 0, "2021"), "current": n % 2 == 1, "description": F.when(n % 3 == 0, "Built A\nRan B")})
+    contact = F.map_filter(F.create_map(F.lit("full_name"), F.col("c_name"), F.lit("email"), F.when(n % 4 > 0, F.concat(F.lit("me"), n, F.lit("@x.org")))), lambda _, v: v.isNotNull())
+    empty = F.array().cast(f"array<{O.ENTRY}>")
+    return table(spark, sf, "customer").select(_K, contact.alias("contact"), none.alias("summary"), F.array(role).alias("experience"), empty.alias("education"), empty.alias("projects"), empty.alias("achievements"), empty.alias("certifications"), F.array(F.lit("SQL")).alias("skills"))
+
+
+_PARTS = ("contact", "summary", "experience", "education", "projects", "achievements", "certifications", "skills")
+
+
+@R.query(f"""SELECT {_K}, '{{"basics":{{"name":"' || c_name || '"' || CASE WHEN {_K} % 4 > 0 THEN ',"email":"me' || {_K} || '@x.org"' ELSE '' END || '}},"work":[{{"name":"Nation ' || c_nationkey || '","position":"' || c_mktsegment || '","startDate":"2019-01"'
+  || CASE WHEN {_K} % 2 = 0 THEN ',"endDate":"2021"' ELSE '' END || CASE WHEN {_K} % 3 = 0 THEN ',"highlights":["Built A","Ran B"]' ELSE '' END || '}}],"skills":[{{"name":"SQL"}}]}}' AS json FROM customer""")
+def json_resumes(spark, sf):
+    """Every customer's record in the open schema of résumés."""
+    return resumes(spark, sf).select(_K, X.json_resume(*map(F.col, _PARTS)).alias("json"))
+
+
+@R.query(f"""SELECT {_K}, '# ' || c_name || chr(10) || chr(10) || CASE WHEN {_K} % 4 > 0 THEN 'me' || {_K} || '@x.org' || chr(10) || chr(10) ELSE '' END || '## Experience' || chr(10) || chr(10) || '### ' || c_mktsegment || ' — Nation ' || c_nationkey || ' · Jan 2019 – '
+  || CASE WHEN {_K} % 2 = 0 THEN '2021' ELSE 'Present' END || CASE WHEN {_K} % 3 = 0 THEN chr(10) || '- Built A' || chr(10) || '- Ran B' ELSE '' END || chr(10) || chr(10) || '## Skills' || chr(10) || chr(10) || 'SQL' AS md FROM customer""")
+def markdown_resumes(spark, sf):
+    """Every customer's record as markdown."""
+    return resumes(spark, sf).select(_K, X.markdown(*map(F.col, _PARTS)).alias("md"))
