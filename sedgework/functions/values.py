@@ -426,3 +426,16 @@ NOT_FILLED = ("id", "created_at", "updated_at", "deleted_at", "notes", "alias_ur
 
 #: Judging a search: the family of leading roles, how many terms are named, how many skills of the other side speak against the titles.
 LEADERSHIP, MISSING_TITLES, MISSING_SKILLS, NAMED_TITLES, OFF_AXIS_SKILLS, RESOLVED_PROFILES = "leadership", 3, 5, 3, 4, 5
+
+#: Lines of rewritings: what a metric counts, how a model announces its answer, marks that open a list; marker characters that stand alone.
+METRIC_UNITS = (
+    "users|customers|clients|subscribers|requests|transactions|downloads|installs|records|rows|queries|sessions|impressions|views|engineers|developers|designers|people|person|members|employees|contractors|reports|hires"
+    "|weeks|days|months|years|hours|quarters|sprints|countries|markets|regions|teams|products|features|projects|patents|publications|languages|services"
+)
+BOLD_METRIC = (
+    "(?i)([$][0-9][0-9,]*(?:[.][0-9]+)?\\s?[KMB]?[+]?(?:\\s(?:ARR|MRR|revenue))?|~?[0-9][0-9,]*(?:[.][0-9]+)?%[+]?|(?:\\b[0-9][0-9,]*(?:[.][0-9]+)?x\\b)"
+    f"|(?:\\b[0-9][0-9,]*(?:[.][0-9]+)?\\s?[KMB]?[+]?[-\\s](?:{METRIC_UNITS})(?:\\s(?:team|org|organization))?))"
+)
+CHAT_OPENER, LIST_MARK = "(?i)^here (?:are|is) (?:the )?rewritten\\b", "^(?:[0-9]+[.)]\\s+|[•\\-]\\s*|[*]\\s+)"
+LONE_BULLET = "^\\s*[•●▪◦‣▶►·�]\\s*$"
+PROMPT_ECHO = ("rules:", "original bullets:", "rewritten bullets:", "original:", "rewritten:")

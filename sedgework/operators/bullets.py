@@ -103,3 +103,23 @@ def weighted_mode(rows: DataFrame, group: str, value: str, weight: str) -> DataF
     sums = rows.groupBy(group, value).agg(F.sum(weight).alias("w"))
     best = F.max(F.struct(F.col("w"), (-F.col(value)).alias("v")))
     return sums.groupBy(group).agg(best.alias("b")).select(group, (-F.col("b.v")).alias("mode"), F.col("b.w").alias("weight"))
+
+
+def marked_bullets(line_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ord, bullet) of lines (ord, line) that begin with a mark or a number; a mark alone takes the next line as its text.
+
+    A line that a mark has taken is no bullet of its own: of several marks in a row every other takes the next.
+    """
+    part = Window.partitionBy(*keys).orderBy("ord")
+    rows = line_rows.withColumn("__lone", F.coalesce(F.col("line").rlike(V.LONE_BULLET), F.lit(False))).withColumns({"__next": F.lead("line").over(part), "__i": F.row_number().over(part)})
+    last = F.coalesce(F.max(F.when(~F.col("__lone"), F.col("__i"))).over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # in a run of lone marks the first, third, ... take the line behind them
+    takes = F.col("__lone") & ((F.col("__i") - last) % 2 == 1)
+    rows = rows.withColumn("__takes", takes)
+    taken = F.coalesce(F.lag("__takes").over(part), F.lit(False))
+    text = F.when(F.col("__takes"), F.concat_ws(" ", F.rtrim("line"), F.trim("__next"))).otherwise(F.col("line"))
+    rows = rows.withColumns({"__text": text, "__taken": taken}).where(~F.col("__taken") & ~(F.col("__takes") & F.col("__next").isNull()))
+    marked = F.regexp_replace("__text", V.BULLET_MARKER, "")
+    bullet = F.trim(F.when(marked != F.col("__text"), marked).otherwise(F.regexp_replace("__text", V.NUMBERED_BULLET, "")))
+    found = rows.withColumn("bullet", F.when(F.col("__text").rlike(V.BULLET_MARKER) | F.col("__text").rlike(V.NUMBERED_BULLET), bullet))
+    return found.where(X.count_words(F.col("bullet")) >= 1).select(*keys, "ord", "bullet")

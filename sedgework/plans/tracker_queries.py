@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgework.functions import pay as P
+from sedgework.functions import rewrites as W
 from sedgework.functions import values as V
+from sedgework.operators import bullets as B
 from sedgework.operators import contracts as K
 from sedgework.operators import credentials as R_
 from sedgework.operators import diagnosis as D
@@ -200,3 +202,38 @@ def json_resumes(spark, sf):
 def markdown_resumes(spark, sf):
     """Every customer's record as markdown."""
     return resumes(spark, sf).select(_K, X.markdown(*map(F.col, _PARTS)).alias("md"))
+
+
+@R.query("""SELECT p_partkey, p_brand AS type, p_name || ' · ' || p_type AS rest FROM part WHERE p_size % 3 = 0""")
+def split_labels(spark, sf):
+    """The label before a title, where it is short and there is one."""
+    n = F.col("p_size") % 3
+    title = F.when(n == 0, F.concat_ws(" · ", "p_brand", "p_name", "p_type")).when(n == 1, F.concat(F.repeat("p_name", 9), F.lit(" · "), "p_type")).otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", W.split_label(title).alias("s")).where("s IS NOT NULL").select("p_partkey", "s.*")
+
+
+@R.query(f"""SELECT p_partkey, regexp_replace('cut ' || p_size || '% of $' || (p_size * 100) || 'K for ' || p_size || ' ' || CASE WHEN p_size % 2 = 0 THEN 'users' ELSE 'uses' END || ' of ' || p_name, {sql.q(V.BOLD_METRIC)}, '<\\1>', 'g') AS text FROM part""")
+def bold_metrics(spark, sf):
+    """Lines of all parts with their metrics marked."""
+    n = F.col("p_size")
+    line = F.concat(F.lit("cut "), n, F.lit("% of $"), n * 100, F.lit("K for "), n, F.lit(" "), F.when(n % 2 == 0, "users").otherwise("uses"), F.lit(" of "), "p_name")
+    return table(spark, sf, "part").select("p_partkey", F.translate(W.bold_metrics(line), W.OPEN + W.CLOSE, "<>").alias("text"))
+
+
+@R.query()
+def clean_rewrites(spark, sf):
+    """The sentences of every turn behind marks that a model may put before them."""
+    said = F.split("text", "(?<=[.?!]) ")
+    marks = F.array(*map(F.lit, ("- **Made** ", "1. ", "Rewritten: * ", "", "Here are the rewritten ", '"')))
+    line = F.transform(said, lambda s, i: F.concat(F.element_at(marks, i % 6 + 1), s))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(line).alias("ord", "line"))
+    return turns.select("conv_id", "turn", "ord", W.clean_line(F.col("line")).alias("line"))
+
+
+@R.query()
+def marked_bullets(spark, sf):
+    """Bullets of all documents' lines, some of whose marks stand on lines of their own."""
+    lines = B.lines(table(spark, sf, "documents").select("doc_id", "text"))
+    k = (F.col("doc_id") + F.col("ord")) % 5
+    line = F.when(k == 0, "•").when(k == 2, F.concat(F.lit("- "), "line")).when(k == 3, F.concat(F.lit("2. "), "line")).otherwise(F.col("line"))
+    return B.marked_bullets(lines.withColumn("line", line), ["doc_id"])
