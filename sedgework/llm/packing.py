@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgework.llm.common import forget, slices, table, tidied, written
+from sedgework.llm.common import held, slices, table, tidied, written
 
 LETTERS = "a-zªµºß-öø-ʯ"
 DIGITS = "0-9²³¹¼½¾"
@@ -102,8 +102,7 @@ def pieces(docs: DataFrame, path: str, settings: Settings) -> DataFrame:
     end = np.array([settings.end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        tokens = Tokens(path)
+        tokens = held(("tokens", path), lambda: Tokens(path))
         for b in tidied(w.slice(at, 2_000) for w in batches for at in range(0, w.num_rows, 2_000)):
             ids, texts = (c.to_pylist() for c in b.columns)
             for part in slices([len(t) if t else 0 for t in texts], 1_000_000):
