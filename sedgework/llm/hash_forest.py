@@ -288,4 +288,5 @@ def nearest(vectors: DataFrame, is_query: Column, settings: Settings = Settings(
 
 
 def op6_hash_prefix_forest(spark, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector, by inner product; an empty table gives no rows."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -353,4 +353,5 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Class, group, links and copies of every document; texts without words are classes of their own, an empty table gives no rows."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_id", "n_links", "n_copies")

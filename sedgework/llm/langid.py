@@ -250,7 +250,7 @@ def predict(docs: DataFrame, samples: tuple[tuple[str, str], ...], settings: Set
     A text that is null or has no letter is ``und`` with score 0, as is everything where no language
     was learned. ``score`` is the share of the best language, each language weighing two to the power
     of minus its bits (those of a text beyond 64 letters count as those of 64). Ties go to the
-    language that sorts first.
+    language that sorts first. Repeated rows get equal results; other columns stay as they are; an empty table stays empty.
     """
 
     def maker():
@@ -287,6 +287,7 @@ def learnable(by: int = 4, held: int = 2) -> Column:
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from labelled ones; `und` without letters or labels, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     samples = learn(docs, Settings(), learnable())
     held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")

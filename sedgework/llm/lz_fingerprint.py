@@ -152,7 +152,8 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
 
     The next document is that of the next smaller doc_id (nulls last, ties by the text's hash), for the last
     one the first. The documents are range-partitioned by id; only the first and last document of
-    each partition meet again in a join, by the partition's rank.
+    each partition meet again in a join, by the partition's rank. Repeated rows are documents of their own; an empty
+    table gives no rows; other columns are not read.
     """
     names = [*RESULT, "kind", "pid", "text"]
 
@@ -197,4 +198,5 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op9_lz_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text; one document alone is its own next, an empty table gives no rows."""
     return edit_fingerprints(table(spark, sf_dir, "documents"))

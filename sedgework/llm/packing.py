@@ -294,4 +294,5 @@ def vocabulary() -> str:
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places in sequences; an empty text is its end token, an empty table gives no rows."""
     return pack(table(spark, sf_dir, "documents"), vocabulary())

@@ -430,7 +430,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
 
     ``docs`` has doc_id and text; one row out for each row in: doc_id, n_bytes, n_removed, n_spans,
     kept_sha256 and, with ``with_text``, ``kept`` (string; bytes of a character that was cut apart are
-    left out), then the columns to ``carry``, as they are. Null texts count as empty. Rows of a null doc_id keep their whole text and take nothing
+    left out), then the columns to ``carry``, as they are. An empty table gives no rows. Null texts count as empty. Rows of a null doc_id keep their whole text and take nothing
     from others. Rows of equal doc_id take nothing from each other.
     """
     width = settings.min_bytes
@@ -526,4 +526,5 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), with_text:
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """What each document keeps without repeats of earlier ones; null texts are empty, an empty table gives no rows."""
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)

@@ -160,6 +160,7 @@ def schema_table(spark, rows: list[tuple[str, str, str, bool, int]]) -> DataFram
 
 
 def op8_tool_call_linking(spark, sf_dir: str) -> DataFrame:
+    """The calls of all conversations with their results, order and checks; an empty table gives no rows."""
     calls, results = conversation_calls(table(spark, sf_dir, "conversations"))
     linked = link_tool_calls(calls, results, schema_table(spark, REPLY_SCHEMAS))
     return linked.select("conv_id", "turn", "call_id", "name", F.concat_ws(",", "after").alias("after"), "root", "step", "valid", F.concat_ws(",", "errors").alias("errors"), F.length("result").alias("result_chars"), "json")

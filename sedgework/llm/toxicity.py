@@ -145,7 +145,8 @@ def score(docs: DataFrame, model: Model | None, settings: Settings = Settings())
     """Add ``score`` (double, 0 to 1) and ``predicted`` (int) to ``docs`` by its column text.
 
     Null and empty texts, and all texts where there is no model, get the score of no terms (0 without
-    a model). Repeated rows score alike; other columns stay as they are.
+    a model). Repeated rows score alike; other columns, but for those two, stay as they are; very long texts are
+    read whole; an empty table stays empty.
     """
     bias = model.bias if model else -np.inf
     at = {int(t): i for i, t in enumerate(model.terms)} if model else {}
@@ -184,6 +185,7 @@ def learnable(by: int = 3, held: int = 1) -> Column:
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document, by a machine fitted on labelled ones; without labels all scores are 0, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"), Settings(), learnable())
     held = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")

@@ -153,3 +153,25 @@ def test_toxicity_of_a_pair(spark):
     got = toxicity.score(docs, model).collect()
     wrong = sum((r.predicted == 1) != (r.doc_id % 4 == 3) for r in got)
     assert wrong <= 12
+
+
+def test_scores_are_those_of_a_plain_machine(spark):
+    """Every score against the sum over all pairs of a text's terms, by hand; odd rows too."""
+    import math
+
+    import numpy as np
+
+    from sedgework.llm import toxicity as tx
+
+    rng = np.random.default_rng(5)
+    words = [f"word{k}" for k in range(40)]
+    terms = np.unique([h for w in words[:30] for h in tx.hashed(w, 24)])
+    model = tx.Model(24, terms, -0.5, rng.normal(size=len(terms)).astype(np.float32), rng.normal(size=(len(terms), 4)).astype(np.float32) * 0.3)
+    rows = [(k, " ".join(rng.choice(words, rng.integers(0, 15)))) for k in range(120)] + [(998, None), (999, ""), (1000, "WORD3, word3! word7 " * 3000)]
+    got = {r.doc_id: (r.score, r.predicted) for r in tx.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    at = {int(t): i for i, t in enumerate(terms)}
+    for k, text in rows:
+        ids = sorted({at[h] for w in set(tx.WORDS.findall((text or "").lower())) for h in tx.hashed(w, 24) if h in at})
+        z = model.bias + sum(float(model.linear[i]) for i in ids) + sum(float(np.dot(model.pairs[i].astype(float), model.pairs[j].astype(float))) for n, i in enumerate(ids) for j in ids[n + 1 :])
+        want = 1 / (1 + math.exp(-z))
+        assert abs(got[k][0] - want) < 1e-6 and got[k][1] == (got[k][0] >= 0.7)
