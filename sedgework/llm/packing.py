@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -58,7 +59,12 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """The number of each known word, and of each number where its ids begin and end."""
+        self.number: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, "<u4"), np.zeros(1, np.int64)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -67,32 +73,46 @@ class Tokens:
         """Remember the ids of new words: one call for all, blanks between, told apart by their place in it."""
         found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids)
-        ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)).tolist()
-        if len(ends) == len(words):
-            for w, lo, hi in zip(words, [0, *ends], ends, strict=False):
-                self.known[w] = ids[lo:hi].tobytes()
-        else:  # a word that the tokenizer splits further
-            for w in words:
-                self.known[w] = self.whole(w)
+        ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
+        if len(ends) != len(words):  # a word that the tokenizer splits further
+            each = [np.frombuffer(self.whole(w), "<u4") for w in words]
+            ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+        held = int(self.ends[-1])
+        if held + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(ids)), "<u4")))
+        self.ids[held : held + len(ids)] = ids
+        self.ends = np.concatenate((self.ends, held + ends))
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split: list[list[str] | bytes] = []
-        new: set[str] = set()
-        if len(self.known) > 200_000:
-            self.known.clear()
-        for t in texts:
+        if len(self.number) > 500_000:
+            self.forget()
+        out: list[bytes] = [b""] * len(texts)
+        split, words, count = [], [], []
+        for i, t in enumerate(texts):
             if not t:
-                split.append(b"")
-            elif OTHER.search(t) or "<|" in t and SPECIAL.search(t):
-                split.append(self.whole(t))
+                continue
+            if OTHER.search(t) or "<|" in t and SPECIAL.search(t):
+                out[i] = self.whole(t)
             else:
-                split.append(words := SPLIT.findall(t.lower()))
-                new.update(words)
-        fresh = sorted(new - self.known.keys())
-        for at in range(0, len(fresh), 500):
-            self.learn(fresh[at : at + 500])
-        find = self.known.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(find, x)) for x in split]
+                found = SPLIT.findall(t.lower())
+                words += found
+                split.append(i)
+                count.append(len(found))
+        number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0).tolist()
+        if new:
+            fresh = sorted({words[k] for k in new})
+            for at in range(0, len(fresh), 500):
+                self.learn(fresh[at : at + 500])
+            number[new] = [self.number[words[k]] for k in new]
+        size = self.ends[number + 1] - self.ends[number]
+        last = np.cumsum(size)
+        ids = self.ids[np.repeat(self.ends[number] - last + size, size) + np.arange(int(last[-1]) if len(last) else 0)]
+        at = np.append(0, last)[np.cumsum([0, *count])].tolist()
+        for i, lo, hi in zip(split, at, at[1:], strict=False):
+            out[i] = ids[lo:hi].tobytes()
+        return out
 
 
 def pieces(docs: DataFrame, path: str, settings: Settings) -> DataFrame:
