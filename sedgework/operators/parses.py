@@ -144,6 +144,19 @@ def set_scores(got: Column, true: Column) -> tuple[Column, Column]:
     return jaccard, F.when(F.size(b) > 0, F.size(F.filter(b, lambda x: F.array_contains(a, x))) / F.size(b)).otherwise(1.0)
 
 
+def set_scores_of(members: DataFrame, keys: list[str], member: str, got: Column, true: Column) -> DataFrame:
+    """(keys, jaccard, recall) as ``set_scores``, of lists whose members are rows: ``got`` and ``true`` say on which lists a row's member stands.
+
+    Members are counted before a key's are put together, so that the cost is one row a different member, however long the lists are.
+    A null member is of no set, but counts among the true ones.
+    """
+    n = lambda c: F.count(F.when(c, 1))
+    each = members.withColumn("__m", plain(F.col(member))).groupBy(*keys, "__m").agg(n(got & F.col("__m").isNotNull()).alias("g"), n(true).alias("t"))
+    sums = each.groupBy(*keys).agg(n((F.col("g") > 0) & (F.col("t") > 0)).alias("both"), n(((F.col("g") > 0) | (F.col("t") > 0)) & F.col("__m").isNotNull()).alias("any"), F.sum(F.when(F.col("g") > 0, F.col("t"))).alias("found"), F.sum("t").alias("all"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.coalesce(a, F.lit(0)) / F.col(b)).otherwise(1.0)
+    return sums.select(*keys, share("both", "any").alias("jaccard"), share("found", "all").alias("recall"))
+
+
 def verdict_counts(requirements: DataFrame, verdicts: DataFrame, key: str, item: str) -> DataFrame:
     """(key, met, partial, missing, total) of requirements (key, item) by their verdicts (key, item, status); without one: missing."""
     both = requirements.join(verdicts.select(key, item, "status"), [key, item], "left")

@@ -16,6 +16,7 @@ from sedgework.functions import text as X
 from sedgework.functions import urls as U
 from sedgework.operators import bullets as B
 from sedgework.operators import matching as M
+from sedgework.operators import parses as P
 from sedgework.operators import quality as Q
 from sedgework.operators import records as D
 from sedgework.operators import search as K
@@ -256,3 +257,10 @@ def test_jsonld(spark):
     docs = ['{"@context":"https://schema.org","@graph":[{"@type":"Thing"},{"@type":"JobPosting","title":"x"}]}', '[{"@type":"JobPosting","@context":["https://schema.org"],"title":"y","jobLocationType":["TELECOMMUTE"]}]', '{"@type":"JobPosting","title":"z"}', "{broken", None, ""]
     df = spark.createDataFrame(list(enumerate(docs)), "id int, j string")
     assert sorted((r.id, r.title, r.work_model) for r in jsonld.postings(df, "id", "j").collect()) == [(0, "x", None), (1, "y", "remote")]
+
+
+def test_set_scores_of_rows(spark):
+    """Lists as rows score as lists do; the members of a list are not compared one by one."""
+    rows = [("a", "X ", True, False), ("a", "x", False, True), ("a", "y", False, True), ("a", "x", False, True), ("b", "z", False, False), ("c", None, False, True)]
+    got = {r.k: (r.jaccard, round(r.recall, 6)) for r in P.set_scores_of(spark.createDataFrame(rows, "k string, m string, g boolean, t boolean"), ["k"], "m", F.col("g"), F.col("t")).collect()}
+    assert got == {"a": (0.5, 0.666667), "b": (1.0, 1.0), "c": (1.0, 0.0)}
