@@ -27,3 +27,12 @@ def test_searches(spark):
     assert got[3].direction == "ic-titles-leadership-skills" and got[4].direction is None and got[4].named == []
     assert v(5) == [("Berlin", "noise"), ("of", "noise")] and v(6) == [] and m(6) == []
     assert v(7) == [] and m(7) == []
+
+
+def test_equal_searches_are_judged_once(spark):
+    """Copies of a search all come back, and the profiles' lists are not laid beside each copy."""
+    profiles = spark.createDataFrame(PROFILES, "profile int, family string, titles array<string>, skills array<string>")
+    one = (["Senior Backend Engineer"], ["Python", "SQL"], [], [])
+    queries = spark.createDataFrame([(k, *one) for k in range(40)] + [(40, ["Poet"], ["sql"], None, None)], "k int, titles array<string>, skills array<string>, noise array<string>, canonical array<string>")
+    got = {r.k: (r.verdicts, r.missing) for r in C.assessed(queries, profiles, "k").collect()}
+    assert len(got) == 41 and all(got[k] == got[0] for k in range(40)) and got[40] != got[0]
