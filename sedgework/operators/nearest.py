@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,9 +27,10 @@ def nearest_records(queries: DataFrame, records: DataFrame, axes: dict[str, int]
         rows = [F.when(~F.exists(F.array(*[F.col(a).isNull() for a in s]), lambda x: x), F.struct(F.lit(i).alias("set"), F.to_json(F.array(*[value(a) for a in s])).alias("at"))) for i, s in enumerate(sets)]
         return df.select(F.col(key).alias(name), F.explode(F.array_compact(F.array(*rows))).alias("k")).select(name, "k.*")
 
-    held = keyed(records, "r").groupBy("set", "at").agg(F.min("r").alias("one"))
-    second = keyed(records, "r").join(held, ["set", "at"]).where("r <> one").groupBy("set", "at").agg(F.min("r").alias("two"))
-    found = keyed(queries, "q").join(held, ["set", "at"]).join(second, ["set", "at"], "left")
+    # the two smallest ids of a group by a rank that is limited below the shuffle; merged, as sizes foretold from a small file would broadcast all sets of its rows
+    two = keyed(records, "r").withColumn("two", F.dense_rank().over(Window.partitionBy("set", "at").orderBy("r"))).where("two <= 2")
+    held = two.groupBy("set", "at").agg(F.min(F.when(F.col("two") == 1, F.col("r"))).alias("one"), F.min(F.when(F.col("two") == 2, F.col("r"))).alias("two"))
+    found = keyed(queries, "q").join(held.hint("merge"), ["set", "at"])
     found = found.withColumn("n", F.when(F.col("one") != F.col("q"), F.col("one")).otherwise(F.col("two"))).where("n IS NOT NULL")
     weight = F.element_at(F.array(*[F.lit(sum(axes[a] for a in s)) for s in sets]), F.col("set") + 1)
     best = found.groupBy("q").agg(F.max(F.struct(weight.alias("weight"), (-F.col("set")).alias("early"), (-F.col("n")).alias("less"))).alias("b"))

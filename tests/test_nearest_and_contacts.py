@@ -77,3 +77,10 @@ def test_contacts(spark):
     got = {r.k: tuple(r)[1:] for r in C.contacts(df, ["k"]).collect()}
     assert got["a"] == ("jane@x.org", "+1 (555) 123-4567", "linkedin.com/in/jane", "github.com/jane", ["https://jane.dev/blog"], "Austin, TX", [1, 2])
     assert got["b"] == (None, None, None, None, [], None, []) and got["c"] == ("me@y.co", None, None, None, [], "Berlin, Germany", [0, 1, 2])
+
+
+def test_nearest_broadcasts_no_sets(spark):
+    """The sets of a small file's rows are many more than its bytes foretell: they are not sent through the driver."""
+    df = spark.createDataFrame([(i, f"n{i % 5}", f"b{i % 3}") for i in range(30)], "id long, a string, b string")
+    found = N.nearest_records(df.where("id % 2 = 0"), df, {"a": 2, "b": 1}, 2)
+    assert found.count() == 15 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
