@@ -121,10 +121,15 @@ def applied(records: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     (in order, so that a second edit finds the first one's text), removed bullets, descriptions, skills, added entries and
     bullets, removed entries. Further columns of records stay; those of edits are not read.
     """
-    have = set(records.columns)
-    rows = records.withColumns({n: F.lit(None).cast(t) for n, t in RECORD.items() if n not in have})
-    wanted = [F.col(n.removeprefix("e_")).cast(t).alias(n) if n.removeprefix("e_") in edits.columns else F.lit(None).cast(t).alias(n) for n, t in EDIT.items()]
-    rows = rows.join(edits.select(F.col(key), *wanted, F.lit(True).alias("__edited")), key, "left")
+    rows = records.join(edits.select(F.col(key), *[F.col(n.removeprefix("e_")).alias(n) for n in EDIT if n.removeprefix("e_") in edits.columns], F.lit(True).alias("__edited")), key, "left")
+    return applied_rows(rows, "__edited").drop("__edited")
+
+
+def applied_rows(rows: DataFrame, edited_if: str) -> DataFrame:
+    """As ``applied``, for records whose edits (columns ``e_<part>``) are in their own row, so that keys may repeat; ``edited_if`` is the column that says whether there are any."""
+    given = [c for c in rows.columns if c not in EDIT]
+    have = set(given)
+    rows = rows.withColumns({n: F.lit(None).cast(t) for n, t in RECORD.items() if n not in have} | {n: F.col(n).cast(t) if n in rows.columns else F.lit(None).cast(t) for n, t in EDIT.items()} | {"__edited": F.coalesce(edited_if, F.lit(False))})
     empty = {n: (F.create_map() if t.startswith("map") else F.array()).cast(t) for n, t in (RECORD | EDIT).items() if t != "string"}
     rows = rows.withColumns({n: F.coalesce(n, e) for n, e in empty.items()})
     lines_of = lambda c: F.transform(c, lambda e: F.coalesce(F.split(e["description"], "\n"), F.array().cast("array<string>")))
@@ -170,4 +175,4 @@ def applied(records: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     left = {s: without_removed(F.col(s), s, F.col("e_removed")) for s in SECTIONS}
     left["lines"] = F.aggregate(lost, F.col("lines"), without_line)
     rows = rows.withColumns({n: F.when(F.col("__edited"), c).otherwise(F.col(n)) for n, c in left.items()})
-    return rows.select(*records.columns, *[n for n in RECORD if n not in have])
+    return rows.select(*given, *[n for n in RECORD if n not in have])

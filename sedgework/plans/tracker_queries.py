@@ -140,17 +140,18 @@ def applied_overrides(spark, sf):
     o = table(spark, sf, "orders").withColumn("k", F.col("o_orderkey"))
     none = F.lit(None).cast("string")
     entry = O.entry({f: none for f in O.FIELDS} | {"title": F.col("o_orderpriority"), "current": F.lit(False), "description": F.concat(F.lit("did "), "o_orderkey")})
-    by = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(F.struct("k", entry.alias("e")))).alias("es"))
+    by = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(F.struct(F.col("k").isNull(), "k", entry.alias("e")))).alias("es"))
     c = table(spark, sf, "customer").join(by, "c_custkey", "left")
     es = F.coalesce(F.transform("es", lambda x: x["e"]), F.array().cast(f"array<{O.ENTRY}>"))
-    records = c.select("c_custkey", F.create_map(F.lit("phone"), "c_mktsegment").alias("contact"), es.alias("experience"), F.transform(es, lambda e: F.concat(F.lit("• "), e["description"])).alias("lines"))
     k = F.col("c_custkey")
     chief = O.entry({f: none for f in O.FIELDS} | {"title": F.lit("Chief"), "current": F.lit(False), "description": none})
-    edits = c.select(
-        "c_custkey", F.when(k % 3 == 0, F.create_map(F.lit("phone"), F.lit("new"))).alias("contact"), F.when(k % 2 == 0, F.create_map(F.lit("experience:0:title"), F.lit("Lead"))).alias("fields"), F.when(k % 5 == 0, F.array(F.lit("experience:1"))).alias("removed"),
-        F.when(k % 7 == 0, F.array(F.struct(F.lit("added:1").alias("id"), F.lit("experience").alias("section"), chief.alias("entry")))).alias("added"), F.when(k % 7 == 0, F.create_map(F.lit("added:1"), F.array(F.lit("Led")))).alias("added_bullets"),
+    # a customer and its edits are one row: a key that the table has twice is not multiplied
+    rows = c.select(
+        "c_custkey", F.create_map(F.lit("phone"), "c_mktsegment").alias("contact"), es.alias("experience"), F.transform(es, lambda e: F.concat(F.lit("• "), e["description"])).alias("lines"), k.isNotNull().alias("has_edits"),
+        F.when(k % 3 == 0, F.create_map(F.lit("phone"), F.lit("new"))).alias("e_contact"), F.when(k % 2 == 0, F.create_map(F.lit("experience:0:title"), F.lit("Lead"))).alias("e_fields"), F.when(k % 5 == 0, F.array(F.lit("experience:1"))).alias("e_removed"),
+        F.when(k % 7 == 0, F.array(F.struct(F.lit("added:1").alias("id"), F.lit("experience").alias("section"), chief.alias("entry")))).alias("e_added"), F.when(k % 7 == 0, F.create_map(F.lit("added:1"), F.array(F.lit("Led")))).alias("e_added_bullets"),
     )
-    out = O.applied(records, edits, "c_custkey")
+    out = O.applied_rows(rows, "has_edits")
     return out.select("c_custkey", F.array_join(F.transform("experience", lambda e: e["title"]), "|").alias("titles"), F.col("contact")["phone"].alias("phone"), F.size("lines").alias("lines"))
 
 

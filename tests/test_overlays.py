@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from sedgework import queries
 from sedgework.operators import overlays as O
 
 SCHEMA = "id int, " + ", ".join(f"{n} {t}" for n, t in O.RECORD.items())
@@ -98,3 +99,11 @@ def test_values_laid_over_again_change_nothing(tables):
     some = edits.where("id in (2, 7)").select("id", "contact", "summary", "skills_removed", "skills_added")
     once = O.applied(records.withColumn("more", F.lit(1)), some, "id")
     assert sorted(map(str, once.collect())) == sorted(map(str, O.applied(once, some, "id").collect()))
+
+
+def test_repeated_customers(spark, tmp_path):
+    """A key that the table of customers has twice is not multiplied by its edits, and keys that are null keep their rows."""
+    spark.createDataFrame([(7, "a"), (7, "a"), (None, "b"), (6, "c")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 7, "low"), (2, 7, "high"), (3, 6, "low")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r.c_custkey or 0, r.titles, r.phone, r.lines) for r in queries.QUERIES["applied_overrides"](spark, str(tmp_path)).collect())
+    assert got == [(0, "", "b", 0), (6, "Lead", "new", 1), (7, "low|high|Chief", "a", 3), (7, "low|high|Chief", "a", 3)]
