@@ -5,12 +5,19 @@ Month names are English. A date stays text, as it is written: nothing is guessed
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sedgework.functions import values as V
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a costly expression that it uses several times, computed once: the only element of an array."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def some(x: Column) -> Column:
     """The trimmed text, null if blank."""
     return F.when(F.trim(x) != "", F.trim(x))
@@ -42,18 +49,15 @@ def date_range(text: Column) -> Column:
     """Struct of start, end and current: the first range of a line, else its first date as start; placeholders are no dates."""
     group = lambda k: F.regexp_extract(text, V.DATE_RANGE, k)
     either = lambda a, b: spaced(F.when(group(a) != "", group(a)).otherwise(group(b)))
-    start, end = either(1, 3), either(2, 4)
     holder = lambda x: x.rlike(V.PLACEHOLDER_DATE)
-    open_ = end.rlike(f"(?i)^({V.OPEN_END})$")
     of = lambda s, e, c: F.struct(s.alias("start"), e.alias("end"), F.lit(c).alias("current"))
     none = F.lit(None).cast("string")
-    return (
-        F.when(~text.rlike(V.DATE_RANGE), of(lone_date(text), none, False))
-        .when(group(5) != "", of(spaced(group(5)), spaced(group(6)), False))
-        .when(holder(start), of(none, none, False))
-        .when(open_, of(start, none, True))
-        .otherwise(of(start, F.when(~holder(end), end), False))
+    ends = F.struct(either(1, 3).alias("start"), either(2, 4).alias("end"))
+    open_ = lambda x: x.rlike(f"(?i)^({V.OPEN_END})$")
+    ranged = lambda r: (
+        F.when(holder(r["start"]), of(none, none, False)).when(open_(r["end"]), of(r["start"], none, True)).otherwise(of(r["start"], F.when(~holder(r["end"]), r["end"]), False))
     )
+    return F.when(~text.rlike(V.DATE_RANGE), of(lone_date(text), none, False)).when(group(5) != "", of(spaced(group(5)), spaced(group(6)), False)).otherwise(let(ends, ranged))
 
 
 def without_dates(text: Column) -> Column:
@@ -98,17 +102,19 @@ def year_of(date: Column) -> Column:
 
 def education_dates(text: Column) -> Column:
     """Struct of start, end, current and year of a school line: a lone date is the end, and its richest form is taken."""
-    r = date_range(text)
-    start, end, current = r["start"], r["end"], r["current"]
+    return let(text, lambda t: let(date_range(t), lambda r: _education_dates(t, r["start"], r["end"], r["current"])))
+
+
+def _education_dates(text: Column, start: Column, end: Column, current: Column) -> Column:
     month = first_of(text, f"(?i){V.LOOSE_MONTH_YEAR}")
     rich = F.coalesce(spaced(F.replace(month, F.lit("."), F.lit(""))), first_of(text, V.NUMERIC_MONTH_YEAR), year_of(text), end, start)
     ranged = start.isNotNull() & (current | end.isNotNull())
-    last = F.when(ranged, end).otherwise(rich)
-    return F.struct(
+    out = lambda rich, last: F.struct(
         F.when(ranged, start).alias("start"), last.alias("end"), (ranged & current).alias("current"),
         F.when(ranged, F.coalesce(year_of(end), year_of(start))).otherwise(year_of(rich)).alias("year"),
         precision(F.when(ranged, start)).alias("start_precision"), precision(last).alias("end_precision"),
     )
+    return let(rich, lambda x: let(F.when(ranged, end).otherwise(x), lambda last: out(x, last)))
 
 
 def settled_dates(start: Column, end: Column, current: Column) -> Column:

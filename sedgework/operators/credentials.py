@@ -28,7 +28,7 @@ def education(blocks: DataFrame) -> DataFrame:
     school = F.get(F.filter(parts, lambda p: H.has_word(p, V.SCHOOL_WORDS)), 0)
     with_degree = F.get(F.filter("__l", lambda x: x.rlike(V.DEGREE)), 0)
     known = C.degree_and_field(with_degree)
-    rows = rows.withColumns({"institution": T.some(T.without_dates(school)), "__d": F.explode(F.array(known))})
+    rows = rows.withColumns({"institution": T.let(T.without_dates(school), T.some), "__d": F.explode(F.array(known))})
     rows = rows.withColumn("__g", F.explode(F.array(C.grade_and_honors(F.col("__l")))))
     dates = T.education_dates(F.concat_ws(" ", "start", F.when(F.col("start").isNotNull() & F.col("end").isNotNull(), "-"), "end"))
     rows = rows.withColumns({"degree": T.some(F.col("__d.degree")), "field": F.col("__d.field"), "gpa": F.col("__g.gpa"), "honors": F.col("__g.honors"), "dates": dates})

@@ -54,3 +54,13 @@ def test_schools_and_projects(spark):
     rows = [("a", ["Linter | github.com/me/lint"], "2024", None, False, "x", 2), ("b", ["Sold acme.com to a buyer | https://x.org/repo", "React"], None, None, False, None, 0), ("c", [], "2020", None, False, None, 1)]
     got = {r.k: (r["name"], r.url, r.confidence) for r in R.projects(spark.createDataFrame(rows, BLOCK)).collect()}
     assert got == {"a": ("Linter", "github.com/me/lint", 1.0), "b": ("Sold acme.com to a buyer", "https://x.org/repo", 0.4)}
+
+
+def test_costly_parts_are_computed_once():
+    """A line's dates, degree and grades are found once, however many fields are read off them: expressions don't hold copies of each other."""
+    from sedgework.functions import credentials as C
+    from sedgework.functions import dates as T
+
+    size = lambda c: str(c).count("regexp_extract") + str(c).count("regexp_replace") + str(c).count("rlike")
+    x = F.col("x")
+    assert size(T.education_dates(x)) < 120 and size(C.degree_and_field(x)) < 60 and size(C.grade_and_honors(x)) < 60
