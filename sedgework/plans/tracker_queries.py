@@ -127,7 +127,7 @@ def pay_figures(spark, sf):
     """Pay in several currencies, in a line of each part between two others."""
     p = samples.dealt(spark, sf, "part", "p_partkey", PAYS, "id, said")
     text = F.concat("p_name", F.lit(". "), "said", F.lit("; "), "p_type")
-    return p.select("p_partkey", P.pay(text).alias("p")).where("p IS NOT NULL").select("p_partkey", "p.*")
+    return p.select("p_partkey", F.explode(F.array_compact(F.array(P.pay(text)))).alias("p")).select("p_partkey", "p.*")
 
 
 _LIST = "SELECT o_custkey, list(o_orderpriority ORDER BY o_orderkey) AS t FROM orders GROUP BY o_custkey"

@@ -50,3 +50,10 @@ def test_accepted_lines(spark):
     rows = [(1, "a\nb\na\nc", [("a", "A"), ("a", None), ("z", "Z"), (None, "new")]), (2, None, [(None, "x")]), (3, "a", [("a", "b"), ("b", "c")]), (4, "a\nb", [])]
     df = spark.createDataFrame(rows, f"k int, t string, c {change}")
     assert {r.k: r.o for r in df.select("k", T.accepted_lines(F.col("t"), F.col("c")).alias("o")).collect()} == {1: "A\nb\nc\nnew", 2: "x", 3: "b", 4: "a\nb"}
+
+
+def test_pay_places_are_found_once():
+    """The matches of a text are found once for each pattern, not again for each match."""
+    from sedgework.functions import pay as P
+
+    assert str(P.pay(F.col("x"))).count("regexp_extract_all") == 3
