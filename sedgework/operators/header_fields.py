@@ -63,7 +63,9 @@ def assigned(scores: Column, title_first: Column) -> Column:
     ``title_first`` is the document's order (null: none): a title before (or behind) the employer gets the vote's points.
     """
     options = sorted(set(permutations([*range(MOST_PARTS), *[-1] * len(FIELDS)], len(FIELDS))), key=lambda p: [99 if x < 0 else x for x in p])
-    choices = F.array(*[F.array(*map(F.lit, o)) for o in options])
+    # a part that isn't there is never given: only the assignments of as many parts as there are are tried, in the same order
+    of_parts = [F.array(*[F.array(*map(F.lit, o)) for o in options if max(o) < n]) for n in range(MOST_PARTS + 1)]
+    choices = reduce(lambda other, n: F.when(F.size(scores) == n, of_parts[n]).otherwise(other), range(MOST_PARTS), of_parts[MOST_PARTS])
 
     def total(o: Column) -> Column:
         fields = [F.when(o[k] >= 0, F.coalesce(F.get(F.get(scores, o[k]), F.lit(k)), F.lit(-1000))).otherwise(0) for k in range(len(FIELDS))]

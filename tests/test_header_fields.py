@@ -51,3 +51,15 @@ def test_places(spark):
     places = {"TX": True, "Austin, TX": True, "austin": True, "Berlin, Germany": True, "Buyer, Home Goods": False, "Mountain View": True, "Mountain View Software": False, "Seoul, S.Korea": True, "New York, ZZ": False, "": False}
     df = spark.createDataFrame([(p,) for p in places], "p string")
     assert {r.p: r.b for r in df.select("p", H.is_bare_place(F.col("p")).alias("b")).collect()} == places
+
+
+def test_assignments_of_few_parts_are_few(spark):
+    """Heads of few parts try only assignments of these parts, and find the best of all."""
+    from itertools import permutations
+
+    for rows in ([[5, 4, -50, 1]], [[-20, 40, -30, 2], [40, -20, -30, 2]], [[5, 4, -50, 1], [4, 5, -50, 1], [-40, -40, 60, -20]]):
+        scores = F.array(*[F.array(*map(F.lit, r)) for r in rows])
+        got = spark.range(1).select(A.assigned(scores, F.lit(None).cast("boolean")).alias("a")).first().a
+        best = max(sum(rows[o[k]][k] for k in range(4) if o[k] >= 0) for o in permutations([*range(len(rows)), -1, -1, -1, -1], 4))
+        assert got["sum"] == best and max(got["of"]) < len(rows)
+    assert str(A.assigned(F.col("s"), F.lit(None).cast("boolean"))).count("size(s)") == A.MOST_PARTS
