@@ -7,10 +7,14 @@ read column by column. A page is the unit of every window and list.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sedgework.functions import dates as T
 from sedgework.functions import labels as L
@@ -24,9 +28,12 @@ def row_starts(ys: Column, gap: float = V.ROW_GAP) -> Column:
 
 
 def with_rows(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``row``, the number of an item's row on its page (``keys``), from 1."""
-    ys = items.groupBy(*keys).agg(row_starts(F.array_sort(F.collect_set(F.col("y").cast("double")))).alias("__starts"))
-    return null_safe(items, ys, keys).withColumn("row", F.size(F.filter("__starts", lambda s: s <= F.col("y")))).drop("__starts")
+    """Add ``row``, the number of an item's row on its page (``keys``), from 1. Pages are put together and parted again, not joined."""
+    rest = [c for c in items.columns if c not in keys]
+    whole = items.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("__items"))
+    whole = whole.withColumn("__starts", row_starts(F.array_sort(F.array_distinct(F.transform("__items", lambda i: i["y"].cast("double"))))))
+    each = whole.select(*keys, "__starts", F.explode("__items").alias("__i")).select(*keys, "__starts", "__i.*")
+    return each.withColumn("row", F.size(F.filter("__starts", lambda s: s <= F.col("y")))).select(*items.columns, "row")
 
 
 def null_safe(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -34,31 +41,74 @@ def null_safe(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") ->
     return a.alias("a").join(b.alias("b"), same, how).select("a.*", *[F.col(f"b.{c}") for c in b.columns if c not in on])
 
 
-def column_boundaries(items: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+@F.pandas_udf(DoubleType())
+def gutter(xs: pd.Series, ys: pd.Series, widths: pd.Series, pages: pd.Series) -> pd.Series:
+    """The middle of each page's gutter, null without one; a page's items are its lists of places."""
+    return pd.Series([page_gutter(*map(np.asarray, p[:3]), p[3]) for p in zip(xs, ys, widths, pages, strict=True)], dtype="float64")
+
+
+def page_gutter(x: np.ndarray, y: np.ndarray, width: np.ndarray, page: float) -> float | None:
+    starts: list[float] = []
+    for at in np.unique(y):
+        if not starts or at - starts[-1] > V.ROW_GAP:
+            starts.append(at)
+    if len(x) < V.COLUMN_ITEMS or len(starts) < 2 * V.COLUMN_ROWS:
+        return None
+    row = np.searchsorted(starts, y, side="right") - 1
+    last = math.ceil(page / V.STRIP) - 1
+    low, high = math.floor(page * V.GUTTER_BAND[0] / V.STRIP), min(math.ceil(page * V.GUTTER_BAND[1] / V.STRIP), last)
+    if low > high:
+        return None
+    # a row's items paint the strips that they touch; each strip counts a row once
+    a, b = np.maximum(np.floor(x / V.STRIP), low).astype(int) - low, np.minimum(np.floor((x + width) / V.STRIP), high).astype(int) - low
+    on = np.zeros((len(starts), high - low + 2), dtype=int)
+    inside = a <= b
+    np.add.at(on, (row[inside], a[inside]), 1)
+    np.add.at(on, (row[inside], b[inside] + 1), -1)
+    crossed = (np.cumsum(on, axis=1)[:, :-1] > 0).sum(axis=0)
+    free = np.concatenate(([False], crossed / len(starts) <= V.GUTTER_COVERAGE, [False])).astype(int)
+    edges = np.diff(free)
+    begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(begin):
+        return None
+    best = int(np.argmax(end - begin))  # of equal ones the first
+    if (end[best] - begin[best]) * V.STRIP < page * V.GUTTER_WIDTH:
+        return None
+    split = (2 * low + begin[best] + end[best] - 1) / 2 * V.STRIP
+    enough = len(np.unique(row[x < split])) >= V.COLUMN_ROWS and len(np.unique(row[x >= split])) >= V.COLUMN_ROWS
+    return float(split) if enough else None
+
+
+def places(items: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """A row a page with ``split``, and further aggregates of its items; ``page_width``, where items have it, is the page's."""
+    place = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce(F.col("width"), F.lit(0)).cast("double").alias("width"))
+    wide = F.max(F.col("page_width").cast("double")) if "page_width" in items.columns else F.lit(None).cast("double")
+    return items.groupBy(*keys).agg(F.collect_list(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), place)).alias("__p"), wide.alias("__w"), *more)
+
+
+def split_of(width: Column) -> Column:
+    return gutter("__p.x", "__p.y", "__p.width", F.when(width > 0, width).otherwise(V.PAGE_WIDTH).cast("double"))
+
+
+def column_boundaries(items: DataFrame, pages: DataFrame | None, keys: list[str]) -> DataFrame:
     """(keys, split) of the pages that have two columns: the middle of the gutter.
 
-    ``items`` has the keys (of a page), x, y, width; ``pages`` the keys and the page's width. A gutter is the widest run of strips in the
+    ``items`` has the keys (of a page), x, y, width; ``pages`` the keys and the page's width (None: the items' ``page_width``). A gutter is the widest run of strips in the
     middle of the page that at most four rows in a hundred paint (of equal ones the first), with four rows on both sides; pages of
-    few items have none. Items without a place are left out.
+    few items have none. Items without a place are left out. A page's items are put together once, and nothing else of them is shuffled.
     """
-    rows = with_rows(items.where("x is not null and y is not null").select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce(F.col("width"), F.lit(0)).cast("double").alias("width")), keys)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("items"), F.max("row").alias("rows")).where((F.col("items") >= V.COLUMN_ITEMS) & (F.col("rows") >= 2 * V.COLUMN_ROWS))
-    sizes = null_safe(sizes, pages.select(*keys, F.col("width").cast("double").alias("page_width")).groupBy(*keys).agg(F.max("page_width").alias("page_width")), keys, "left")
-    sizes = sizes.withColumn("page_width", F.when(F.col("page_width") > 0, F.col("page_width")).otherwise(V.PAGE_WIDTH))
-    strip = lambda x: F.floor(x / V.STRIP).cast("int")
-    last = (F.ceil(F.col("page_width") / V.STRIP) - 1).cast("int")
-    sizes = sizes.withColumns({"last": last, "low": strip(F.col("page_width") * V.GUTTER_BAND[0]), "high": F.least(F.ceil(F.col("page_width") * V.GUTTER_BAND[1] / V.STRIP).cast("int"), last)})
-    painted = null_safe(rows, sizes, keys).withColumns({"from": F.greatest(strip(F.col("x")), F.col("low")), "to": F.least(strip(F.col("x") + F.col("width")), F.col("high"))})
-    strips = painted.where(F.col("from") <= F.col("to")).select(*keys, "row", F.explode(F.sequence("from", "to")).alias("strip")).distinct().groupBy(*keys, "strip").agg(F.count("*").alias("crossed"))
-    all_ = sizes.where("low <= high").select(*keys, "rows", "page_width", F.explode(F.sequence("low", "high")).alias("strip"))
-    free = null_safe(all_, strips, [*keys, "strip"], "left").where(F.coalesce("crossed", F.lit(0)) / F.col("rows") <= V.GUTTER_COVERAGE)
-    island = F.col("strip") - F.row_number().over(Window.partitionBy(*keys).orderBy("strip"))
-    runs = free.withColumn("island", island).groupBy(*keys, "island").agg(F.min("strip").alias("a"), F.max("strip").alias("b"), F.first("page_width").alias("page_width"))
-    best = F.max(F.struct((F.col("b") - F.col("a") + 1).alias("wide"), (-F.col("a")).alias("first"), "b", "page_width")).alias("m")
-    gutters = runs.groupBy(*keys).agg(best).where(F.col("m.wide") * V.STRIP >= F.col("m.page_width") * V.GUTTER_WIDTH)
-    gutters = gutters.select(*keys, ((F.col("m.b") - F.col("m.first")) / 2 * V.STRIP).alias("split"))
-    sides = null_safe(rows, gutters, keys).groupBy(*keys).agg(F.first("split").alias("split"), *[F.countDistinct(F.when(c, F.col("row"))).alias(n) for n, c in (("left", F.col("x") < F.col("split")), ("right", F.col("x") >= F.col("split")))])
-    return sides.where((F.col("left") >= V.COLUMN_ROWS) & (F.col("right") >= V.COLUMN_ROWS)).select(*keys, "split")
+    whole = places(items, keys)
+    if pages is not None:
+        widths = pages.select(*keys, F.col("width").cast("double").alias("page_width")).groupBy(*keys).agg(F.max("page_width").alias("page_width"))
+        whole = null_safe(whole.drop("__w"), widths, keys, "left").withColumnRenamed("page_width", "__w")
+    return whole.select(*keys, split_of(F.col("__w")).alias("split")).where("split IS NOT NULL")
+
+
+def with_boundaries(items: DataFrame, keys: list[str]) -> DataFrame:
+    """``items`` with their page's ``split`` (null without two columns), without a join."""
+    whole = places(items, keys, F.collect_list(F.struct(*[c for c in items.columns if c not in keys])).alias("__items"))
+    whole = whole.select(*keys, "__items", split_of(F.col("__w")).alias("split"))
+    return whole.select(*keys, "split", F.explode("__items").alias("__i")).select(*keys, "__i.*", "split")
 
 
 def layout(pages: DataFrame, boundaries: DataFrame, document: list[str]) -> DataFrame:
@@ -87,17 +137,20 @@ def merged(parts: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(parts, ""), "\\s+", " "))
 
 
-def lines(items: DataFrame, boundaries: DataFrame, document: list[str]) -> DataFrame:
+def lines(items: DataFrame, boundaries: DataFrame | None, document: list[str]) -> DataFrame:
     """The lines of documents in reading order: (document, ord, page, band, x, y, font, text, gap).
 
     ``items`` has the document, page, x, y, width, font, str; ``boundaries`` the document, page and split of two-column pages, whose left
     column is read first. A row is cut where a gap is wider than a column's, but a range of dates at its end stays. Two rows or more,
     one under the other, that are so cut are a grid and are read column by column. ``gap`` is the step down from the line above on
-    the page, 0 where there is none. Null texts are empty.
+    the page, 0 where there is none. Null texts are empty. Without ``boundaries`` items have their ``split`` themselves. But for boundaries
+    nothing is joined: all windows are of parts of a document, so that items that are dealt by document are not dealt again.
     """
     page = [*document, "page"]
-    items = items.select(*page, *[F.col(c).cast("double").alias(c) for c in ("x", "y")], F.coalesce("width", F.lit(0)).cast("double").alias("width"), F.col("font").cast("double").alias("font"), F.coalesce("str", F.lit("")).alias("str")).where("x is not null and y is not null")
-    items = null_safe(items, boundaries.select(*page, "split"), page, "left").withColumn("band", F.coalesce((F.col("x") >= F.col("split")).cast("int"), F.lit(0))).drop("split")
+    own = ["split"] if boundaries is None else []
+    items = items.select(*page, *[F.col(c).cast("double").alias(c) for c in ("x", "y")], F.coalesce("width", F.lit(0)).cast("double").alias("width"), F.col("font").cast("double").alias("font"), F.coalesce("str", F.lit("")).alias("str"), *own).where("x is not null and y is not null")
+    items = items if boundaries is None else null_safe(items, boundaries.select(*page, "split"), page, "left")
+    items = items.withColumn("band", F.coalesce((F.col("x") >= F.col("split")).cast("int"), F.lit(0))).drop("split")
     band = [*page, "band"]
     row = [*band, "row"]
     items = pieces(with_rows(items, band), row)
@@ -110,11 +163,11 @@ def lines(items: DataFrame, boundaries: DataFrame, document: list[str]) -> DataF
     dated = (F.col("last") > 0) & F.coalesce(T.is_lone_range(merged(tail)), F.lit(False))
     items = items.withColumns({"cell": F.when(dated & (F.col("cell") == F.col("last")), F.col("cell") - 1).otherwise(F.col("cell")), "cells": F.when(dated, F.col("last") - 1).otherwise(F.col("last"))})
     # grids: runs of rows with cells
-    rows = Window.partitionBy(*band).orderBy("row")
-    starts = items.withColumn("cut", F.col("cells") > 0).groupBy(*row).agg(F.max("cut").alias("cut"))
-    starts = starts.withColumn("island", F.col("row") - F.row_number().over(Window.partitionBy(*band, "cut").orderBy("row")))
-    starts = starts.withColumns({"deep": F.count("*").over(Window.partitionBy(*band, "cut", "island")), "top": F.min("row").over(Window.partitionBy(*band, "cut", "island"))})
-    items = null_safe(items, starts.select(*row, F.when(F.col("cut") & (F.col("deep") >= V.GRID_ROWS), F.col("top")).alias("grid")), row)
+    items = items.withColumn("cut", F.col("cells") > 0)
+    items = items.withColumn("island", F.col("row") - F.dense_rank().over(Window.partitionBy(*band, "cut").orderBy("row")))
+    run = Window.partitionBy(*band, "cut", "island")  # its rows follow each other
+    items = items.withColumns({"top": F.min("row").over(run), "deep": F.max("row").over(run) - F.min("row").over(run) + 1})
+    items = items.withColumn("grid", F.when(F.col("cut") & (F.col("deep") >= V.GRID_ROWS), F.col("top"))).drop("top")
     across = Window.partitionBy(*band, "grid").orderBy("x")
     jump = F.col("grid").isNotNull() & F.coalesce(F.col("x") - F.lag("x").over(across) > V.COLUMN_GAP, F.lit(False))
     items = items.withColumn("column", F.sum(jump.cast("int")).over(across))

@@ -107,3 +107,13 @@ def test_flush_right_trailers_and_layout(spark):
     pages = spark.createDataFrame([("a", 1, 900), ("a", 2, 20), ("b", 1, 3), ("c", 1, 500), (None, 1, None)], "doc string, page int, chars int")
     got = {r.doc: (r.scanned, r.two_column, r.triggers) for r in C.layout(pages, spark.createDataFrame([("a", 2, 300.0), ("b", 1, 3.0)], "doc string, page int, split double"), ["doc"]).collect()}
     assert got == {"a": (False, True, ["two_column"]), "b": (True, False, ["scanned"]), "c": (False, False, []), None: (True, False, ["scanned"])}
+
+
+def test_items_are_dealt_once(spark):
+    """Words are dealt with their texts, before they are parted: no join of items, and at most one shuffle of them."""
+    from sedgework import queries
+
+    for name, most in (("column_boundaries", 1), ("page_layouts", 4), ("page_lines", 3)):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most
+        assert name == "page_layouts" or "Join" not in plan
