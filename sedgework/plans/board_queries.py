@@ -15,7 +15,7 @@ from sedgework.plans.parse_queries import view
 from sedgework.plans.registry import Registry
 from sedgework.plans.shape_queries import _HAY, _ROLE_HIT, _SCORE, FAMILIES, LEVEL, NOISE, TITLES, _POSTING, posts
 from sedgework.sources import feeds
-from sedgework.sources.tables import table
+from sedgework.sources.tables import dealt_out, table
 
 R = Registry()
 NOW = "1998-08-02 12:00:00"
@@ -115,7 +115,8 @@ MARKDOWN = "concat('See [', p_name, '][Ref ', p_size % 3, '], [ref  1] and [none
 @R.query("""SELECT p_partkey, 'See ' || CASE p_size % 3 WHEN 1 THEN p_name || ' https://one.example/' || p_partkey WHEN 2 THEN p_name || ' www.three.example' ELSE '[' || p_name || '][Ref 0]' END || ', ref  1 https://one.example/' || p_partkey || ' and [none][x].  ![keep][no] https://one.example/' || p_partkey || repeat(chr(10), 4) || '[bad]: nowhere' AS resolved FROM part""")
 def reference_links(spark, sf):
     """Reference links of markdown as text and address; their definitions and images go."""
-    return view(spark, sf, f"SELECT p_partkey, {MARKDOWN} AS md FROM part ", "part").select("p_partkey", feeds.resolved_links(F.col("md")).alias("resolved"))
+    parts = dealt_out(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+    return parts.select("p_partkey", F.expr(MARKDOWN).alias("md")).select("p_partkey", feeds.resolved_links(F.col("md")).alias("resolved"))
 
 
 _ITEMS = "SELECT l_orderkey AS doc, CAST(l_linenumber % 2 AS INT) AS page, CAST(floor(l_linenumber / 3) AS INT) AS row, CAST(l_partkey % 50 * 10 AS DOUBLE) AS x, CAST(floor(l_linenumber / 3) * 12 + l_linenumber % 2 AS DOUBLE) AS y, CAST(5 + l_suppkey AS DOUBLE) AS width, CAST(l_quantity AS DOUBLE) AS font, CASE l_linenumber % 4 WHEN 0 THEN concat(l_linestatus, ' ', l_shipdate) WHEN 1 THEN concat(l_returnflag, l_partkey, ' ') ELSE concat('w', l_partkey) END AS str FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_linestatus, l_returnflag, '1' AS l_shipdate FROM lineitem ) "

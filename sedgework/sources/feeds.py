@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgework.functions import text as X
+from sedgework.functions.dates import let
 
 #: Of each feed: the JSON schema of a job, and where the fields of a posting are.
 FEEDS = {
@@ -106,26 +107,30 @@ def link_label(x: Column) -> Column:
 
 def definitions(md: Column) -> Column:
     """Array of (label, url) of a text's reference definitions; of equal labels the first."""
-    labels = F.transform(F.regexp_extract_all(md, F.lit(DEFINITION), 1), link_label)
-    urls = F.regexp_extract_all(md, F.lit(DEFINITION), 2)
-    both = F.transform(labels, lambda x, i: F.struct(x.alias("label"), F.get(urls, i).alias("url"), i.alias("i")))
-    return F.filter(both, lambda d: F.array_position(labels, d["label"]) == d["i"] + 1)
+    of = lambda k: F.regexp_extract_all(md, F.lit(DEFINITION), k)
+    both = lambda labels, urls: F.transform(labels, lambda x, i: F.struct(x.alias("label"), F.get(urls, i).alias("url"), i.alias("i")))
+    first = lambda labels, urls: F.filter(both(labels, urls), lambda d: F.array_position(labels, d["label"]) == d["i"] + 1)
+    return let(F.transform(of(1), link_label), lambda labels: let(of(2), lambda urls: first(labels, urls)))
 
 
 def resolved_links(md: Column) -> Column:
     """Markdown with its reference links as text and address, without its definitions and images that have one."""
-    found = definitions(md)
-    body = F.regexp_replace(md, DEFINITION, "")
 
-    def target(ref: Column) -> Column:
+    def target(ref: Column, found: Column) -> Column:
         """The address that a reference names, null if none."""
         second, first = F.regexp_extract(ref, "\\]\\[([^\\]]*)\\]$", 1), F.regexp_extract(ref, "^!?\\[([^\\]]*)\\]", 1)
-        key = link_label(F.when(F.trim(second) != "", second).otherwise(first))
-        return F.get(F.transform(F.filter(found, lambda d: d["label"] == key), lambda d: d["url"]), 0)
-
-    images = F.array_distinct(F.regexp_extract_all(body, F.lit(f"(!{REFERENCE})"), 1))
-    body = F.aggregate(images, body, lambda t, ref: F.when(target(ref).isNotNull(), F.replace(t, ref, F.lit(""))).otherwise(t))
-    links = F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?:^|[^!\\]])({REFERENCE})"), 1))
-    text = lambda ref: F.trim(F.regexp_extract(ref, "^\\[([^\\]]*)\\]", 1))
-    shown = lambda ref: F.when(text(ref) != "", F.concat(F.regexp_extract(ref, "^\\[([^\\]]*)\\]", 1), F.lit(" "), target(ref))).otherwise(target(ref))
-    return F.aggregate(links, body, lambda t, ref: F.when(target(ref).isNotNull(), F.replace(t, ref, shown(ref))).otherwise(t))
+        key = let(second, lambda s: link_label(F.when(F.trim(s) != "", s).otherwise(first)))
+        return let(key, lambda k: F.get(F.transform(F.filter(found, lambda d: d["label"] == k), lambda d: d["url"]), 0))
+
+    def without_images(body: Column, found: Column) -> Column:
+        images = F.array_distinct(F.regexp_extract_all(body, F.lit(f"(!{REFERENCE})"), 1))
+        return F.aggregate(images, body, lambda t, ref: F.when(target(ref, found).isNotNull(), F.replace(t, ref, F.lit(""))).otherwise(t))
+
+    def with_links(body: Column, found: Column) -> Column:
+        links = F.array_distinct(F.regexp_extract_all(body, F.lit(f"(?:^|[^!\\]])({REFERENCE})"), 1))
+        shown = lambda text, url: F.when(F.trim(text) != "", F.concat(text, F.lit(" "), url)).otherwise(url)
+        put = lambda t, ref, url: F.when(url.isNotNull(), F.replace(t, ref, let(F.regexp_extract(ref, "^\\[([^\\]]*)\\]", 1), lambda text: shown(text, url)))).otherwise(t)
+        return F.aggregate(links, body, lambda t, ref: let(target(ref, found), lambda url: put(t, ref, url)))
+
+    # what is used several times is bound: a lambda would compute it again for every reference
+    return let(definitions(md), lambda found: let(let(F.regexp_replace(md, DEFINITION, ""), lambda b: without_images(b, found)), lambda b: with_links(b, found)))

@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by keys over as many tasks as shuffles have: a table of small rows is one part of a file, whatever is computed of each row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataFrame:
     """The files of a table as a stream; times without a zone count as the session's, as watermarks need."""
     schema = table(spark, sf_dir, name).schema
