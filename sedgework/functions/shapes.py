@@ -109,7 +109,8 @@ def is_standalone_url(url: Column, text: Column) -> Column:
 def full_url(raw: Column) -> Column:
     """With https where no scheme is, without www and marks at the end; null if nothing is left."""
     t = F.regexp_replace(F.regexp_replace(F.trim(raw), "[,;.)/]+$", ""), "(?i)^(https?://)?www[.]", "$1")
-    return F.when((t != "") & ~t.rlike("(?i)^[a-z][a-z0-9+.-]*:$"), F.when(t.rlike("(?i)^[a-z][a-z0-9+.-]*://"), t).otherwise(F.concat(F.lit("https://"), t)))
+    whole = lambda t: F.when((t != "") & ~t.rlike("(?i)^[a-z][a-z0-9+.-]*:$"), F.when(t.rlike("(?i)^[a-z][a-z0-9+.-]*://"), t).otherwise(F.concat(F.lit("https://"), t)))
+    return T.let(t, whole)
 
 
 def shown_url(url: Column) -> Column:

@@ -32,8 +32,8 @@ def role_head(title: Column) -> Column:
 
 def first_of_each(items: Column, key) -> Column:
     """An array without later members of an equal key."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    first = lambda xs, keys: F.filter(xs, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    return T.let(items, lambda xs: T.let(F.transform(xs, key), lambda keys: first(xs, keys)))
 
 
 def wanted_titles(headline: Column, titles: Column) -> Column:
@@ -76,12 +76,18 @@ def skill_covers(expected: Column, skill: Column, less: bool = False) -> Column:
 
 def profile(url: Column) -> Column:
     """Struct of url, network and kind of a link; null if it is none. Pages of a network that are no profile are other links of its host."""
-    full = H.full_url(url)
-    host = F.lower(F.regexp_replace(F.regexp_extract(full, "(?i)^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1), "(?i)^www[.]", ""))
+    return T.let(H.full_url(url), lambda full: T.let(_bare_host(full), lambda host: _profile(full, host)))
+
+
+def _bare_host(full: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_extract(full, "(?i)^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1), "(?i)^www[.]", ""))
+
+
+def _profile(full: Column, host: Column) -> Column:
     hits = [host.rlike(p) & ~(full.rlike(V.LINKEDIN_OTHER) if name == "LinkedIn" else F.lit(False)) for p, name, _ in V.PROFILE_HOSTS]
-    network = F.coalesce(*[F.when(h, F.lit(name)) for h, (_, name, _) in zip(hits, V.PROFILE_HOSTS, strict=True)], host)
-    kind = F.coalesce(*[F.when(h, F.lit(k)) for h, (_, _, k) in zip(hits, V.PROFILE_HOSTS, strict=True)], F.lit("other"))
-    return F.when(full.isNotNull() & (host.contains(".") | (host == "localhost")), F.struct(full.alias("url"), network.alias("network"), kind.alias("kind")))
+    which = F.coalesce(*[F.when(h, F.struct(F.lit(name).alias("network"), F.lit(k).alias("kind"))) for h, (_, name, k) in zip(hits, V.PROFILE_HOSTS, strict=True)], F.struct(host.alias("network"), F.lit("other").alias("kind")))
+    shown = T.let(which, lambda w: F.struct(full.alias("url"), w["network"].alias("network"), w["kind"].alias("kind")))
+    return F.when(full.isNotNull() & (host.contains(".") | (host == "localhost")), shown)
 
 
 def profiles(urls: Column) -> Column:

@@ -10,6 +10,7 @@ from sedgework.plans import sql
 from sedgework.plans.parse_queries import view
 from sedgework.plans.registry import Registry
 from sedgework.plans.shape_queries import _title, _words
+from sedgework.sources.tables import dealt_out, table
 
 R = Registry()
 HEADLINE = "CASE p_partkey % 6 WHEN 0 THEN concat(p_name, ' engineer · ', p_brand, ' | Lead ', p_type) WHEN 1 THEN concat(p_type, ' – ', p_name, ' developer') WHEN 2 THEN concat('  ', p_name, ' ') WHEN 3 THEN concat(p_type, ' / ', p_brand) WHEN 4 THEN '' ELSE concat(p_name, '-', p_type) END"
@@ -87,6 +88,7 @@ _NETWORK = "CASE " + " ".join(f"WHEN regexp_matches(h, {sql.q(p)})" + (f" AND NO
   SELECT s_suppkey, i, u, lower({_HOST.format('u')}) AS h FROM (SELECT s_suppkey, i, {_profile('l')} AS u FROM (SELECT s_suppkey, unnest([{', '.join(_LINKS)}]) AS l, unnest(generate_series(1, {len(_LINKS)})) AS i FROM supplier) WHERE trim(l) <> '')) WHERE contains(h, '.') OR h = 'localhost') WHERE nth = 1 GROUP BY s_suppkey""")
 def web_profiles(spark, sf):
     """The profiles of a record: network and kind by host, each address once."""
-    rows = view(spark, sf, f"SELECT s_suppkey, array({', '.join(_LINKS[:3])}) AS old, array({', '.join(_LINKS[3:])}) AS more FROM supplier ", "supplier")
+    links = lambda own: F.array(*map(F.expr, own))
+    rows = dealt_out(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", links(_LINKS[:3]).alias("old"), links(_LINKS[3:]).alias("more"))
     shown = F.transform(W.contact_profiles(F.col("old"), F.col("more")), lambda p: F.concat(p["url"], F.lit(" "), p["network"], F.lit(":"), p["kind"]))
     return rows.select("s_suppkey", F.array_join(shown, ";").alias("profiles"))
