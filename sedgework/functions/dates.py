@@ -38,6 +38,10 @@ def before(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, f"(?is)^(.*?)(?:{pattern.removeprefix('(?i)')})", 1))
 
 
+def has_date_range(text: Column) -> Column:
+    return text.rlike(V.DATE_HINT) & text.rlike(V.DATE_RANGE)
+
+
 def lone_date(text: Column) -> Column:
     """The first month and year, or the first bare year where that comes first."""
     month, year = f"(?i){V.STRICT_MONTH_YEAR}", V.BARE_YEAR
@@ -57,13 +61,13 @@ def date_range(text: Column) -> Column:
     ranged = lambda r: (
         F.when(holder(r["start"]), of(none, none, False)).when(open_(r["end"]), of(r["start"], none, True)).otherwise(of(r["start"], F.when(~holder(r["end"]), r["end"]), False))
     )
-    return F.when(~text.rlike(V.DATE_RANGE), of(lone_date(text), none, False)).when(group(5) != "", of(spaced(group(5)), spaced(group(6)), False)).otherwise(let(ends, ranged))
+    return F.when(~has_date_range(text), of(lone_date(text), none, False)).when(group(5) != "", of(spaced(group(5)), spaced(group(6)), False)).otherwise(let(ends, ranged))
 
 
 def without_dates(text: Column) -> Column:
     """A line without its first range, lone dates, open ends, brackets that held them, and separators at its ends."""
     grouped = f"(?is)^(.*?)(?:{V.DATE_RANGE.removeprefix('(?i)')})(.*)$"
-    out = F.trim(F.regexp_replace(text, grouped, "$1$8"))
+    out = F.trim(F.when(text.rlike(V.DATE_HINT), F.regexp_replace(text, grouped, "$1$8")).otherwise(text))
     for pattern in (f"(?i)\\b(?:{V.OPEN_END})\\b", f"(?i){V.STRICT_MONTH_YEAR}", V.BARE_YEAR, "\\[\\s*\\]|[(]\\s*[)]"):
         out = F.trim(F.regexp_replace(out, pattern, ""))
     return F.regexp_replace(out, f"^[\\s{V.TRIMMED_SEPARATORS}]+|[\\s{V.TRIMMED_SEPARATORS}]+$", "")

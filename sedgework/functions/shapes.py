@@ -71,8 +71,8 @@ def _header_form(t: Column) -> Column:
 def is_capital_header(text: Column) -> Column:
     """Two to six words of capitals without digits and marks."""
     t = F.trim(text)
-    letters = F.regexp_replace(t, "[^A-Za-z]", "")
-    return _header_form(t) & ~t.rlike(V.HEADER_DIRT) & (letters != "") & (letters == F.upper(letters)) & word_count(t).between(2, V.CAPITAL_WORDS)
+    capitals = T.let(F.regexp_replace(t, "[^A-Za-z]", ""), lambda x: (x != "") & (x == F.upper(x)))
+    return _header_form(t) & ~t.rlike(V.HEADER_DIRT) & capitals & word_count(t).between(2, V.CAPITAL_WORDS)
 
 
 def is_visual_header(text: Column, font: Column, body_font: Column) -> Column:

@@ -167,6 +167,8 @@ LOOSE_MONTH_YEAR = f"\\b{LOOSE_MONTH}[.]?\\s+(?:[0-9]{{4}}|'[0-9]{{2}})\\b"
 STRICT_MONTH_YEAR = f"\\b(?:{STRICT_MONTH})[.]?\\s+(?:[0-9]{{4}}|'[0-9]{{2}})\\b"
 NUMERIC_MONTH_YEAR = "\\b(?:0?[1-9]|1[0-2])[/-][0-9]{4}\\b"
 BARE_YEAR = "\\b(?:19|20)[0-9]{2}\\b"
+#: What every range has somewhere: a cheap test before the costly pattern.
+DATE_HINT = "(?i)[0-9#]|xxxx|year"
 PLACEHOLDER_DATE = "(?i)^(?:month(?:\\s+year)?|year)$"
 PLACEHOLDER_FIELD = "(?i)^\\s*(?:(?:Mon|Month)\\s+)?(?:Year|YYYY)(?:\\s*(?:[\u2013\u2014-]|to)\\s*(?:(?:Mon|Month)\\s+)?(?:Year|YYYY))?\\s*$"
 DATE_FIELD = f"(?i)^\\s*(?:(?:{DATE_RANGE.removeprefix('(?i)')})|(?:{DATE_ANCHOR})|(?:{OPEN_END}))\\s*$"

@@ -50,7 +50,7 @@ def without_bullet(text: Column) -> Column:
 
 
 def has_range(text: Column) -> Column:
-    return text.rlike(V.DATE_RANGE) | text.rlike(V.OPEN_WORD)
+    return T.has_date_range(text) | text.rlike(V.OPEN_WORD)
 
 
 def is_place(text: Column) -> Column:
@@ -78,12 +78,17 @@ def opens_alone(text: Column) -> Column:
     return has_range(text) & (F.trim(F.regexp_replace(T.without_dates(text), V.OPEN_WORD, "")) != "")
 
 
-def margins(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Add bullet, marker (the bullets' margin, null without any) and wrapped (a line right of it without a bullet)."""
-    rows = rows.withColumn("bullet", is_bullet(F.col("text"))).withColumn("marker", F.min(F.when(F.col("bullet"), F.col("x"))).over(Window.partitionBy(*keys)))
+def margins(rows: DataFrame, keys: list[str], counts: Column | None = None) -> DataFrame:
+    """Add bullet, marker (the bullets' margin, null without any) and wrapped (a line right of it without a bullet); only lines that count are bullets."""
+    rows = rows.withColumn("bullet", is_bullet(F.col("text")) & (F.lit(True) if counts is None else counts)).withColumn("marker", F.min(F.when(F.col("bullet"), F.col("x"))).over(Window.partitionBy(*keys)))
     return rows.withColumn("wrapped", ~F.col("bullet") & sure(F.col("x") > F.col("marker") + V.MARGIN))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with further columns that are computed once, however often they are used (the fields of the only element of an array)."""
+    return rows.withColumn("__once", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select("*", "__once.*").drop("__once")
+
+
 def unwrapped_heads(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Heads whose date or employer runs on in the next lines, put together: rows (keys, ord, text, x, y) again.
 
@@ -94,11 +99,11 @@ def unwrapped_heads(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("ord")
     all_ = Window.partitionBy(*keys)
     text = F.col("text")
-    rows = margins(rows, keys).withColumn("narrow", F.max("x").over(all_) - F.min("x").over(all_) <= V.COLUMN_SPREAD)
-    rows = rows.withColumns({"more": ~F.col("bullet") & ~opens_alone(text), "whole": has_range(text), "lead": F.trim(T.before(text, DATE_START))})
-    rows = rows.withColumn("date", F.trim(F.substring(text, F.length(T.before(text, DATE_START)) + 1, F.length(text))))
     t = F.trim(text)
-    rows = rows.withColumn("right", F.col("wrapped") | t.rlike("^(?:[0-9]{4}|'[0-9]{2})$") | has_range(t))
+    # what is read off a line alone is computed once
+    rows = once(rows, more=~is_bullet(text) & ~opens_alone(text), whole=has_range(text), before=T.before(text, DATE_START), year=t.rlike("^(?:[0-9]{4}|'[0-9]{2})$"), trimmed_whole=has_range(t))
+    rows = margins(rows, keys).withColumn("narrow", F.max("x").over(all_) - F.min("x").over(all_) <= V.COLUMN_SPREAD)
+    rows = rows.withColumns({"lead": F.trim("before"), "date": F.trim(F.substring(text, F.length("before") + 1, F.length(text))), "right": F.col("wrapped") | F.col("year") | F.col("trimmed_whole")})
     ahead = [{c: F.lead(c, k).over(order) for c in ("more", "wrapped", "right", "text")} for k in range(1, most + 1)]
     loose = [sure(a["more"]) for a in ahead]
     tight = [ok & sure(a["wrapped"]) & sure(F.trim(a["text"]) != "") for ok, a in zip(loose, ahead, strict=True)]
@@ -108,7 +113,9 @@ def unwrapped_heads(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     loose_text = T.spaced(F.concat_ws(" ", T.some(F.col("lead")), *taken("n_loose", False), T.some(F.col("date")), *taken("n_loose", True)))
     tight_text = T.spaced(F.concat_ws(" ", T.some(F.col("lead")), *taken("n_tight", None), T.some(F.col("date"))))
     dated = ~F.col("bullet") & F.col("lead").isNotNull()
-    completes = dated & ~F.col("whole") & (F.col("n_loose") > 0) & has_range(loose_text)
+    rows = once(rows, loose=F.when(dated & ~F.col("whole") & (F.col("n_loose") > 0), loose_text))
+    rows = once(rows, complete=sure(has_range(F.col("loose"))))
+    completes, loose_text = F.col("complete"), F.col("loose")
     extends = dated & F.col("whole") & (F.col("lead") != "") & F.col("narrow") & (F.col("n_tight") > 0)
     rows = rows.withColumn("k", F.when(completes, F.col("n_loose")).when(extends, F.col("n_tight")).otherwise(0))
     rows = rows.withColumn("text", F.when(completes, loose_text).when(extends, tight_text).otherwise(text)).select(*keys, "ord", "text", "x", "y", "k")
@@ -128,8 +135,13 @@ def anchored(rows: DataFrame, keys: list[str], want: Entries) -> DataFrame:
     order = part.orderBy("ord")
     above, below = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     text = F.col("text")
+    shapes = {"dated": is_dated(text), "head": H.is_entry_header(text), "prose": H.is_prose(text), "place": is_place(text), "blank": F.trim(text) == ""}
+    if want.anchor == "institution":
+        shapes["school"] = H.has_word(text, V.SCHOOL_WORDS)
+    elif want.anchor != "date_range":
+        shapes["paragraph"] = is_paragraph(text)
+    rows = once(rows, **shapes)
     rows = margins(rows, keys).withColumns({"i": F.row_number().over(order) - 1, "y_above": F.lag("y").over(order), "y_below": F.lead("y").over(order), "above": F.lag("text").over(order)})
-    rows = rows.withColumns({"dated": is_dated(text), "head": H.is_entry_header(text), "prose": H.is_prose(text), "place": is_place(text), "blank": F.trim(text) == ""})
     rows = rows.withColumn("baseline", F.coalesce(F.median(F.when(F.col("y") > F.col("y_above"), F.col("y") - F.col("y_above"))).over(part), F.lit(0.0)))
     if want.anchor == "date_range":
         after_body = sure(F.last(F.when(~F.col("wrapped"), F.col("bullet")), ignorenulls=True).over(above))
@@ -138,10 +150,10 @@ def anchored(rows: DataFrame, keys: list[str], want: Entries) -> DataFrame:
         undated = ~F.col("bullet") & ~F.col("dated") & after_body & ~F.trim("above").rlike(V.DANGLING_END) & ~F.col("wrapped") & F.col("head") & has_body
         anchor = F.col("dated") | (F.max("dated").over(part) & sure(undated))
     elif want.anchor == "institution":
-        anchor = H.has_word(text, V.SCHOOL_WORDS)
+        anchor = F.col("school")
     else:
         free, level = ~F.col("bullet"), F.coalesce(F.col("x") <= F.col("marker"), F.lit(True))
-        continues = F.lag(free & level).over(order) & ~(is_paragraph(F.col("above")) & F.col("head") & ~is_paragraph(text))
+        continues = F.lag(free & level).over(order) & ~(F.lag("paragraph").over(order) & F.col("head") & ~F.col("paragraph"))
         anchor = free & ((F.col("i") == 0) | (level & ~sure(continues)))
     rows = rows.withColumn("anchor", anchor)
     edge = F.min(F.when(F.col("anchor"), F.col("x"))).over(part)
@@ -198,7 +210,7 @@ def entry_blocks(lines: DataFrame, keys: list[str], want: Entries | None = None)
     before, until = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.unboundedPreceding, 0)
     begins = stops | sure(spaced & (F.col("y") - F.col("y_above") > gap) & F.col("text").rlike("[a-z]"))
     if want.anchor == "first_line":
-        begins = begins | is_paragraph(F.col("text"))
+        begins = begins | F.col("paragraph")
     rows = rows.withColumn("inside", ~F.col("anchor") & (F.col("entry") >= 0) & ~F.col("next_head"))
     rows = rows.withColumn("in_body", F.col("inside") & F.max(F.col("inside") & begins).over(until))
     rows = rows.withColumn("under", F.col("inside") & ~F.col("in_body") & ~F.col("wrapped") & ~F.col("blank"))
@@ -278,6 +290,13 @@ def bullet_entries(rows: DataFrame, keys: list[str], want: Entries) -> DataFrame
     )
 
 
+def unit_text(i: str, text: str) -> Column:
+    """The text of a unit's lines, in order: one as it is, several trimmed and joined by blanks."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct(i, text))), lambda s: s[text])
+    joined = lambda p: F.trim(F.array_join(F.transform(p, lambda x, k: F.when(k == 0, F.rtrim(x)).otherwise(F.trim(x))), " "))
+    return T.let(parts, lambda p: F.when(F.size(p) > 1, joined(p)).otherwise(F.get(p, 0)))
+
+
 def without_wraps(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Lines (ord, text, x, y) whose wrapped tails (set in right of the bullets) are put to the line they belong to; others stay."""
     given, keys = keys, [f"__k{i}" for i in range(len(keys))]
@@ -286,7 +305,5 @@ def without_wraps(lines: DataFrame, keys: list[str]) -> DataFrame:
     rows = rows.withColumns({"unit": F.sum((~F.col("wrapped")).cast("int")).over(order), "i": F.col("ord")})
     rows = rows.withColumn("unit", F.greatest("unit", F.lit(1)))
     first = F.min(F.struct("ord", "x", "y", "text"))
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda s: s["text"])
-    trimmed = F.when(F.size(parts) > 1, F.trim(F.array_join(F.transform(parts, lambda p, k: F.when(k == 0, F.rtrim(p)).otherwise(F.trim(p))), " "))).otherwise(F.get(parts, 0))
-    out = rows.groupBy(*keys, "unit").agg(first.alias("f"), trimmed.alias("text"))
+    out = rows.groupBy(*keys, "unit").agg(first.alias("f"), unit_text("i", "text").alias("text"))
     return out.select(*[F.col(k).alias(g) for g, k in zip(given, keys, strict=True)], F.col("f.ord").alias("ord"), "text", F.col("f.x").alias("x"), F.col("f.y").alias("y"))

@@ -19,7 +19,7 @@ from sedgework.functions import labels as L
 from sedgework.functions import shapes as H
 from sedgework.functions import text as X
 from sedgework.functions import values as V
-from sedgework.operators.entries import is_bullet, sure, without_wraps
+from sedgework.operators.entries import is_bullet, margins, sure, unit_text
 
 
 def lookup(pairs: list[tuple[str, str]], key: Column) -> Column:
@@ -44,37 +44,46 @@ def last_word_section(key: Column) -> Column:
 
 def soft_section(text: Column, key: Column) -> Column:
     """By the last word of up to four title-cased words that are no sentence and no organisation's name."""
-    words = X.tokens(F.trim(text))
     initials = lambda w: w.rlike("^[A-Z]{2,}$")
-    first = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    named = ~F.forall(words, lambda w: w == F.upper(w)) & F.exists(words, initials) & F.exists(first, lambda w: ~initials(w) & w.rlike("^[A-Z]"))
-    school = F.exists(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w.rlike(V.NAMED_SCHOOL))
-    fits = ~key.rlike("[.!?]$") & F.size(X.tokens(key)).between(1, V.SECTION_WORDS) & F.forall(words, lambda w: w.rlike("^[A-Z]")) & ~named & ~school
+
+    def titled(words: Column) -> Column:
+        first = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+        named = ~F.forall(words, lambda w: w == F.upper(w)) & F.exists(words, initials) & F.exists(first, lambda w: ~initials(w) & w.rlike("^[A-Z]"))
+        school = F.exists(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w.rlike(V.NAMED_SCHOOL))
+        return F.forall(words, lambda w: w.rlike("^[A-Z]")) & ~named & ~school
+
+    fits = ~key.rlike("[.!?]$") & F.size(X.tokens(key)).between(1, V.SECTION_WORDS) & T.let(X.tokens(F.trim(text)), titled)
     return F.when(fits, last_word_section(key))
 
 
 def section_of(text: Column) -> Column:
     """Struct of section and soft for a heading that is known by name; nulls for others."""
-    key = heading_key(text)
+    return T.let(text, lambda t: T.let(heading_key(t), lambda key: _section_of(t, key)))
+
+
+def _section_of(text: Column, key: Column) -> Column:
     free = ~text.rlike(V.LINE_BULLET)
-    words = X.tokens(key)
-    before = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    qualified = (F.size(words) >= 2) & (F.try_element_at(words, F.lit(-1)) == "experience") & F.forall(before, lambda w: w.isin(*V.EXPERIENCE_QUALIFIERS))
+
+    def is_qualified(words: Column) -> Column:
+        before = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+        return (F.size(words) >= 2) & (F.try_element_at(words, F.lit(-1)) == "experience") & F.forall(before, lambda w: w.isin(*V.EXPERIENCE_QUALIFIERS))
+
     known = lambda k: lookup(alias_pairs(), k)
-    side = lambda k: F.when(free, known(F.trim(T.some(F.regexp_extract(key, "^(.+?)\\s+(?:&|and)\\s+(.+)$", k)))))
+    side = lambda k: F.when((key.contains("&") | key.contains("and")) & free, known(F.trim(T.some(F.regexp_extract(key, "^(.+?)\\s+(?:&|and)\\s+(.+)$", k)))))
     fits = F.length(key).between(1, V.SECTION_CHARS)
     # an alias comes first in the order of the sections, so a qualified heading counts as experience at its place there
-    exact = F.coalesce(known(key), F.when(qualified, F.lit("experience")))
+    exact = F.coalesce(known(key), F.when(T.let(X.tokens(key), is_qualified), F.lit("experience")))
     hard = F.when(fits, F.coalesce(exact, lookup(alias_pairs(True), L.joined_letter(key)), side(1), side(2)))
-    soft = F.when(fits & free, soft_section(text, key))
-    return F.struct(F.coalesce(hard, soft).alias("section"), (hard.isNull() & soft.isNotNull()).alias("soft"))
+    soft = lambda h: F.when(h.isNull() & fits & free, soft_section(text, key))
+    both = lambda h, s: F.struct(F.coalesce(h, s).alias("section"), (h.isNull() & s.isNotNull()).alias("soft"))
+    return T.let(hard, lambda h: T.let(soft(h), lambda s: both(h, s)))
 
 
 def is_lone_capital(text: Column) -> Column:
     """One word of capitals alone."""
     t = F.trim(text)
-    letters = F.regexp_replace(t, "[^A-Za-z]", "")
-    return F.length(t).between(1, V.HEADER_CHARS) & ~t.rlike(V.LINE_BULLET) & ~t.rlike("[.!?]$") & ~t.rlike(V.HEADER_DIRT) & (letters != "") & (letters == F.upper(letters)) & (H.word_count(t) == 1)
+    capitals = T.let(F.regexp_replace(t, "[^A-Za-z]", ""), lambda x: (x != "") & (x == F.upper(x)))
+    return F.length(t).between(1, V.HEADER_CHARS) & ~t.rlike(V.LINE_BULLET) & ~t.rlike("[.!?]$") & ~t.rlike(V.HEADER_DIRT) & capitals & (H.word_count(t) == 1)
 
 
 def usual(rows: DataFrame, keys: list[str], value: Column, counts: Column, name: str, default: float) -> DataFrame:
@@ -100,18 +109,24 @@ def sections(lines: DataFrame, keys: list[str]) -> DataFrame:
     order = part.orderBy("ord")
     above = order.rowsBetween(Window.unboundedPreceding, -1)
     text = F.col("text")
+    t = F.trim(text)
+    short = F.length(t).between(1, V.HEADER_CHARS) & ~text.rlike(V.LINE_BULLET) & ~t.rlike("[.!?]$") & (H.word_count(t) <= V.HEADER_WORDS)
+    last_word = F.when(F.col("band") == "sidebar", last_word_section(F.regexp_replace(heading_key(text), "^[^\\p{L}\\p{N}]+(?=\\p{L})", "")))
+    # what is read off a line alone is computed once, as one struct of it; the windows behind use its fields
+    line = F.struct(
+        section_of(text).alias("found"), sure(T.has_date_range(text)).alias("dated"), sure(H.has_contact(text)).alias("contact"), sure(short).alias("short"), sure(H.is_capital_header(text)).alias("capitals"),
+        sure(is_lone_capital(text)).alias("lone"), last_word.alias("last_word"),
+    )
+    rows = rows.withColumn("__line", F.explode(F.array(line))).select("*", F.col("__line.found.section").alias("name"), F.col("__line.found.soft").alias("soft"), *[F.col(f"__line.{c}").alias(c) for c in ("dated", "contact", "short", "capitals", "lone", "last_word")]).drop("__line")
     rows = usual(rows, keys, F.round("font", 1), F.lit(True), "usual_font", V.DEFAULT_FONT)
     rows = usual(rows, keys, F.round(F.col("gap") * 2) / 2, F.col("gap") > 0, "usual_gap", V.DEFAULT_LINE_HEIGHT)
-    dated = sure(text.rlike(V.DATE_RANGE))
-    rows = rows.withColumns({"found": section_of(text), "entry": dated | sure(F.lead(text).over(order).rlike(V.DATE_RANGE)), "contact": sure(H.has_contact(text)), "two": F.max(F.col("band").isNotNull()).over(part)})
-    rows = rows.withColumns({"name": F.col("found.section"), "soft": F.col("found.soft")})
+    rows = rows.withColumns({"entry": F.col("dated") | sure(F.lead("dated").over(order)), "two": F.max(F.col("band").isNotNull()).over(part)})
     # headings by style count behind the block of the name, which a line of contact data or a known heading ends
     past = sure(F.max(F.col("contact") | F.col("name").isNotNull()).over(above))
     rows = rows.withColumn("past", past)
-    short = F.length(F.trim(text)).between(1, V.HEADER_CHARS) & ~text.rlike(V.LINE_BULLET) & ~F.trim(text).rlike("[.!?]$") & (H.word_count(F.trim(text)) <= V.HEADER_WORDS)
-    large = sure((short & (F.col("font") >= F.col("usual_font") * V.HEADER_FONT)) | H.is_capital_header(text))
-    alone = sure(is_lone_capital(text) & (F.col("gap") >= F.col("usual_gap") * V.HEADER_GAP))
-    rail = F.when((F.col("band") == "sidebar") & ~F.col("entry") & short & ~large & ~alone, last_word_section(F.regexp_replace(heading_key(text), "^[^\\p{L}\\p{N}]+(?=\\p{L})", "")))
+    large = sure((F.col("short") & (F.col("font") >= F.col("usual_font") * V.HEADER_FONT)) | F.col("capitals"))
+    alone = sure(F.col("lone") & (F.col("gap") >= F.col("usual_gap") * V.HEADER_GAP))
+    rail = F.when((F.col("band") == "sidebar") & ~F.col("entry") & F.col("short") & ~large & ~alone, F.col("last_word"))
     rows = rows.withColumn("side", F.when(F.col("name").isNull(), rail))
     by_style = F.col("name").isNull() & F.col("past")
     # o: opens, n: doesn't, a: opens if the line above doesn't
@@ -149,8 +164,8 @@ def _resolve(last: Column, place: Column) -> Column:
 def is_role_head(text: Column) -> Column:
     """A dated line that can only be a role's: a strong date behind a capital head that names no school and no degree."""
     t = F.trim(text)
-    head = F.trim(T.before(t, V.DATE_RANGE))
-    return sure(~is_bullet(text) & t.rlike(V.DATE_RANGE) & t.rlike(V.STRONG_DATE) & head.rlike("^\\p{Lu}") & H.is_entry_header(head) & ~H.has_word(head, V.SCHOOL_WORDS) & ~head.rlike(f"^(?:{V.DEGREE.removeprefix(chr(92) + 'b')})"))
+    named = lambda head: head.rlike("^\\p{Lu}") & H.is_entry_header(head) & ~H.has_word(head, V.SCHOOL_WORDS) & ~head.rlike(f"^(?:{V.DEGREE.removeprefix(chr(92) + 'b')})")
+    return sure(~is_bullet(text) & t.rlike(V.STRONG_DATE) & T.let(F.trim(T.before(t, V.DATE_RANGE)), named))
 
 
 def recovered_experience(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -175,12 +190,15 @@ def by_name(lines: DataFrame, keys: list[str]) -> DataFrame:
 
     ``lines`` are those of ``sections`` with x and y. Sections of one name are one; the heading is that of the first.
     """
-    content = lines.where(~F.col("is_heading")).select(*keys, "nth", "section", "ord", "text", "x", "y")
-    whole = without_wraps(content, [*keys, "nth", "section"]).where(F.trim("text") != "")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("nth", "ord", F.trim("text").alias("t")))), lambda s: s["t"])
-    found = whole.groupBy(*keys, "section").agg(ordered.alias("lines"))
-    first = F.min(F.when(F.col("heading").isNotNull(), F.struct("nth", "heading")))["heading"]
-    heads = lines.groupBy(*keys, "section").agg(first.alias("heading"))
-    same = reduce(lambda a, b: a & b, [F.col(f"h.{c}").eqNullSafe(F.col(f"f.{c}")) for c in [*keys, "section"]])
-    joined = heads.alias("h").join(found.alias("f"), same, "left")
-    return joined.select("h.*", F.coalesce("f.lines", F.array().cast("array<string>")).alias("lines"))
+    given, keys = keys, [f"__k{i}" for i in range(len(keys))]
+    rows = lines.select(*[F.col(g).alias(k) for g, k in zip(given, keys, strict=True)], "nth", "section", "heading", "is_heading", "ord", F.coalesce("text", F.lit("")).alias("text"), "x", "y")
+    units = [*keys, "nth", "section"]
+    # one pass: a heading is a unit of its own, as a section may have no other line
+    rows = margins(rows, units, ~F.col("is_heading"))
+    unit = F.when(F.col("is_heading"), 0).otherwise(F.greatest(F.sum((~F.col("wrapped") & ~F.col("is_heading")).cast("int")).over(Window.partitionBy(*units).orderBy("ord")), F.lit(1)))
+    rows = rows.withColumn("unit", unit)
+    named = F.min(F.when(F.col("heading").isNotNull(), F.struct("nth", "heading")))
+    whole = rows.groupBy(*units, "unit").agg(F.min("ord").alias("ord"), F.trim(unit_text("ord", "text")).alias("t"), named.alias("named"))
+    line = F.when((F.col("unit") > 0) & (F.col("t") != ""), F.struct("nth", "ord", "t"))
+    found = whole.groupBy(*keys, "section").agg(F.min("named").alias("named"), F.transform(F.sort_array(F.collect_list(line)), lambda x: x["t"]).alias("lines"))
+    return found.select(*[F.col(k).alias(g) for g, k in zip(given, keys, strict=True)], "section", F.col("named.heading").alias("heading"), "lines")

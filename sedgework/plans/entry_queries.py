@@ -13,7 +13,7 @@ from sedgework.operators import header_fields as A
 from sedgework.operators import names as N
 from sedgework.operators import sections as S
 from sedgework.plans.registry import Registry
-from sedgework.sources.tables import table
+from sedgework.sources.tables import dealt_out, table
 
 R = Registry()
 
@@ -22,7 +22,9 @@ HEADINGS = ("EXPERIENCE", "Relevant Experience", "PROJECTS", "Awards & Honors",
 
 def placed_lines(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, ord, text, font, gap, band, x, y): the sentences of all documents as lines of a page."""
-    s = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n|(?<=[.]) ")).alias("ord", "s"))
+    # texts are dealt by document before they are parted, so lines need no shuffle
+    docs = dealt_out(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    s = docs.select("doc_id", F.posexplode(F.split("text", "\n|(?<=[.]) ")).alias("ord", "s"))
     c = lambda n: F.initcap(F.substring("s", 1, n))
     turn, year = (F.col("doc_id") + F.col("ord")) % 12, (F.col("doc_id") * 7 + F.col("ord")) % 25 + 1990
     heading = F.element_at(F.array(*map(F.lit, HEADINGS)), ((F.col("doc_id") + F.floor(F.col("ord") / 12)) % len(HEADINGS) + 1).cast("int"))
@@ -79,5 +81,4 @@ def entry_fields(spark, sf):
 def names_and_headlines(spark, sf):
     """The likeliest name and headline among the lines above each document's first heading."""
     lines = S.sections(placed_lines(spark, sf), ["doc_id"]).where("section = 'profile'")
-    found = N.names(lines, ["doc_id"])
-    return found.join(N.headlines(lines, found, ["doc_id"]).select("doc_id", "headline"), "doc_id", "left")
+    return N.names_and_headlines(lines, ["doc_id"])

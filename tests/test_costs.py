@@ -25,3 +25,11 @@ def test_patterns_are_applied_once(spark, name, most):
 @pytest.mark.parametrize("name", ["reference_links", "web_profiles"])
 def test_rows_of_small_tables_are_dealt_out(spark, name):
     assert "hashpartitioning" in plan(spark, name, "executedPlan")
+
+
+@pytest.mark.parametrize(("name", "passes"), [("names_and_headlines", 1), ("named_sections", 1), ("section_contents", 1), ("entry_blocks", 1), ("project_entries", 2)])
+def test_lines_are_read_in_one_pass(spark, name, passes):
+    """The texts are shuffled, not their lines; only lists of bullets, which are no dated entries, are a second pass."""
+    text = plan(spark, name, "executedPlan")
+    lines = text.split("== Initial Plan ==")[-1]
+    assert times(lines, "Exchange hashpartitioning") == times(lines, "FileScan parquet") <= 2 * passes and ("Join" not in lines or passes == 2)
