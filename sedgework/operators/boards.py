@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sedgework.functions import labels as L
 from sedgework.functions import urls as U
 from sedgework.functions import values as V
+from sedgework.functions.dates import let
 from sedgework.operators import records, search
 
 
@@ -55,9 +56,11 @@ def captured(jobs: DataFrame, inputs: DataFrame) -> DataFrame:
     both = one.join(old, "id", "full")
     none = F.array().cast("array<string>")
     pick = lambda f: F.coalesce(f"n.{f}", f"o.{f}")
-    urls = F.filter(F.concat(F.coalesce("o.alias_urls", none), F.coalesce("n.alias_urls", none)), lambda u: U.canonical(u).isNotNull() & ~F.coalesce(U.canonical(u) == U.canonical(F.col("n.url")), F.lit(False)))
-    canonical = F.transform(urls, U.canonical)
-    united = F.filter(urls, lambda u, i: F.array_position(canonical, U.canonical(u)) == i + 1)
+    every = F.concat(F.coalesce("o.alias_urls", none), F.coalesce("n.alias_urls", none))
+    others = lambda own: F.filter(F.transform(every, lambda u: F.struct(u.alias("url"), U.canonical(u).alias("c"))), lambda x: x["c"].isNotNull() & ~F.coalesce(x["c"] == own, F.lit(False)))
+    first = lambda xs, cs: F.transform(F.filter(xs, lambda x, i: F.array_position(cs, x["c"]) == i + 1), lambda x: x["url"])
+    # a URL's canonical form is computed once
+    united = let(U.canonical(F.col("n.url")), lambda own: let(others(own), lambda xs: let(F.transform(xs, lambda x: x["c"]), lambda cs: first(xs, cs))))
     changed = F.col("n").isNotNull()
     return both.select("id", pick("title").alias("title"), pick("url").alias("url"), F.coalesce("o.status", "n.status").alias("status"), F.coalesce("o.notes", "n.notes").alias("notes"), F.when(changed & F.col("o").isNotNull(), united).otherwise(pick("alias_urls")).alias("alias_urls"), (changed & F.col("o").isNull()).alias("created"))
 

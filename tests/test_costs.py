@@ -17,7 +17,7 @@ def times(text: str, *words: str) -> int:
     return sum(len(re.findall(w, text, re.I)) for w in words)
 
 
-@pytest.mark.parametrize(("name", "most"), [("reference_links", 20), ("web_profiles", 45)])
+@pytest.mark.parametrize(("name", "most"), [("reference_links", 20), ("web_profiles", 45), ("captured_jobs", 60)])
 def test_patterns_are_applied_once(spark, name, most):
     assert times(plan(spark, name), "regexp_", "rlike") <= most
 
