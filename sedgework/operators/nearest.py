@@ -11,6 +11,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedgework.functions.dates import let
+
 
 def nearest_records(queries: DataFrame, records: DataFrame, axes: dict[str, int], least: int, key: str = "id") -> DataFrame:
     """(key, nearest, agreed, missed, weight) for each query that some other record agrees with on axes of weight ``least`` or more.
@@ -45,7 +47,8 @@ def folded(text: Column) -> Column:
 
 
 def grams(text: Column, q: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (q - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(q))))
+    """The different runs of q characters, the whole text if it is shorter: one walk over it, as a substring by number walks from the text's start each time."""
+    return F.when(F.length(text) < q, F.array(text)).otherwise(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))."), 1)))
 
 
 def localized(values: DataFrame, lines: DataFrame, key: str, most: int = 2, q: int = 3) -> DataFrame:
@@ -63,8 +66,8 @@ def localized(values: DataFrame, lines: DataFrame, key: str, most: int = 2, q: i
     lists = shared.groupBy(key, "field", "value", "ord").agg(F.count("*").alias("__c"), F.first("__need").alias("__need")).where("__c >= __need").select(key, "field", "value", "ord")
     short = v.where("__need <= 0").select(key, "field", "value").join(rows.select(key, "ord"), key)
     met = lists.unionByName(short).join(v.select(key, "field", "value", "__v", "__n"), [key, "field", "value"]).join(rows, [key, "ord"])
-    words = F.split("__t", " ")
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - F.col("__n"), F.lit(0))), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, F.col("__n")), " ").alias("said")))
+    each = lambda words: F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - F.col("__n"), F.lit(0))), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i + 1, F.col("__n")), " ").alias("said")))
+    windows = let(F.split("__t", " "), each)  # parted once, not for every window
     each = met.select(key, "field", "value", "__v", "ord", F.explode(windows).alias("w")).withColumn("distance", F.levenshtein("__v", "w.said", most)).where("distance >= 0")
     best = each.groupBy(key, "field", "value").agg(F.min(F.struct("distance", "ord", F.col("w.at").alias("at"), F.col("w.said").alias("said"))).alias("b"))
     return best.select(key, "field", "value", F.col("b.ord").alias("ord"), F.col("b.at").alias("at"), F.col("b.said").alias("said"), F.col("b.distance").alias("distance"))

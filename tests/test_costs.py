@@ -33,3 +33,14 @@ def test_lines_are_read_in_one_pass(spark, name, passes):
     text = plan(spark, name, "executedPlan")
     lines = text.split("== Initial Plan ==")[-1]
     assert times(lines, "Exchange hashpartitioning") == times(lines, "FileScan parquet") <= 2 * passes and ("Join" not in lines or passes == 2)
+
+
+def test_runs_of_characters(spark):
+    """Runs of code points in one walk; a text shorter than a run is its own."""
+    from pyspark.sql import functions as F
+
+    from sedgework.operators.nearest import grams
+
+    rows = spark.createDataFrame([("abcabc",), ("ab",), ("a\U0001f600bc",), (None,)], "t string").select(grams(F.col("t"), 3).alias("g")).collect()
+    assert [r["g"] for r in rows] == [["abc", "bca", "cab"], ["ab"], ["a\U0001f600b", "\U0001f600bc"], None]
+    assert "substring(__t" not in plan(spark, "localized_values")
