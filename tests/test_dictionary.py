@@ -62,3 +62,9 @@ def test_thousands_of_aliases_and_none(spark):
     df = spark.createDataFrame([(1, "term17, term4999 and term5000; Term17")], "k int, t string")
     assert {(r.skill, r.n, r.label) for r in D.mentions(df, "k", "t", table).collect()} == {("s3", 2, "s3"), ("s1", 1, "s1")}
     assert D.mentions(df, "k", "t", table.limit(0)).count() == 0
+
+
+def test_rows_of_one_key_are_texts_of_their_own(spark):
+    table = spark.createDataFrame([("machine learning", "ml", None), ("machine", "m", None)], NAMES)
+    df = spark.createDataFrame([(1, "machine learning"), (1, "machine"), (None, "machine")], "k int, t string")
+    assert sorted((r.k or 0, r.skill, r.n) for r in D.mentions(df, "k", "t", table).collect()) == [(0, "m", 1), (1, "m", 1), (1, "ml", 1)]
