@@ -250,6 +250,8 @@ CLOSED_HOSTS = (
     ("workday", "(?i)(^|[^0-9A-Za-z_])(myworkdayjobs|workday)[.]com($|[^0-9A-Za-z_])"), ("wellfound", "(?i)(^|[.])(wellfound[.]com|angel[.]co)($|[^0-9A-Za-z_])"),
 )
 PHRASE_STOPS = "the a an and or but of to for with by from in on at into across over under as is was are were be been being this that these those it its their our my via per".split()
+#: Characters of a line that its first phrase is looked for in first.
+PHRASE_START = 100
 SPACE_SHARE = 0.4
 
 #: Searches from records: limits and small words; hosts of profiles (pattern, network, kind).

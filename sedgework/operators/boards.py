@@ -88,20 +88,31 @@ def closed_host(url: Column) -> Column:
 
 
 def strong_phrase(line: Column) -> Column:
-    """The first two neighbouring content words behind the first word of a line; numbers and short words don't part them, small words do."""
+    """The first two neighbouring content words behind the first word of a line; numbers and short words don't part them, small words do.
+
+    A long line is read from its whole words near its start, and as a whole only if these have none.
+    """
+    start = F.regexp_replace(F.substring(line, 1, V.PHRASE_START), "\\S*$", "")
+    return F.coalesce(F.when(F.length(line) > V.PHRASE_START, first_phrase(start)), first_phrase(line))
+
+
+def first_phrase(line: Column) -> Column:
     bare = F.trim(line)
     for pattern in ("^[0-9]+[.)]\\s*", "^[•*-]\\s*", "^[*]+", "^[\"'`“‘]"):
         bare = F.regexp_replace(bare, pattern, "")
-    words = F.split(F.lower(bare), "\\s+")
-    plain = lambda t: F.regexp_replace(t, "[^a-z'-]", "")
-    marked = F.transform(F.slice(words, 2, 100_000), lambda t: F.when(t.isin(*V.PHRASE_STOPS), "|").when(t.rlike("^[$]?[0-9]") | (F.length(plain(t)) < 3), "").otherwise(plain(t)))
-    found = F.regexp_extract(F.array_join(F.filter(marked, lambda t: t != ""), " "), "([a-z'-]+ [a-z'-]+)", 1)
-    return F.when((F.size(words) >= 3) & (found != ""), found)
+    # the whole line in a few passes, not its words one by one; no capital is left in lower case, so one marks what parts words
+    rest = F.regexp_replace(F.lower(bare), "^\\S*\\s+", "")
+    rest = F.regexp_replace(rest, f"(?<!\\S)(?:{'|'.join(V.PHRASE_STOPS)})(?!\\S)", "A")
+    rest = F.regexp_replace(rest, "(?<!\\S)[$]?[0-9]\\S*", "")
+    rest = F.regexp_replace(rest, "[^a-zA'\\s-]+", "")
+    short = "(?:\\s+[a-z'-]{1,2}(?!\\S))*\\s+"
+    found = F.regexp_extract(rest, f"([a-z'-]{{3,}}{short}[a-z'-]{{3,}})", 1)
+    return F.nullif(F.regexp_replace(found, short, " "), F.lit(""))
 
 
 def phrase_brief(lines: DataFrame, key: str, order: str, line: str) -> DataFrame:
     """(key, phrases): the strong phrases of each group's lines, the last eight by their last use."""
-    used = lines.select(key, order, strong_phrase(F.col(line)).alias("p")).where("p is not null").groupBy(key, "p").agg(F.max(order).alias("last"))
+    used = lines.select(key, order, F.explode(F.array(strong_phrase(F.col(line)))).alias("p")).where("p is not null").groupBy(key, "p").agg(F.max(order).alias("last"))
     nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("last")))
     kept = used.withColumn("nth", nth).where(F.col("nth") <= V.PHRASE_BRIEF)
     return kept.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("last", "p"))), lambda x: x["p"]), "; ").alias("phrases"))
