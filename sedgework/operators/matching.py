@@ -108,10 +108,13 @@ def profile_votes(skills: DataFrame, profiles: DataFrame, least: int = 2, top: i
 
 def noun_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
     """Capitalised phrases of two to four words and acronyms, with their counts in each text."""
-    phrase = "(?:^|[^A-Za-z0-9_&-])([A-Z][A-Za-z][A-Za-z&-]*(?:[ \\t]+[A-Z][A-Za-z][A-Za-z&-]*){1,3})"
-    acronym = "(?:^|[^A-Za-z0-9_])([A-Z][A-Z0-9]{1,5})"
+    # a capital is looked for first, then what is before it
+    phrase = "([A-Z](?<![A-Za-z0-9_&-][A-Z])[A-Za-z][A-Za-z&-]*(?:[ \\t]+[A-Z][A-Za-z][A-Za-z&-]*){1,3})"
+    acronym = "([A-Z](?<![A-Za-z0-9_][A-Z])[A-Z0-9]{1,5})"
     found = F.concat(F.regexp_extract_all(text, F.lit(phrase), 1), F.regexp_extract_all(text, F.lit(acronym), 1))
-    return df.select(key, F.explode(found).alias("phrase")).groupBy(key, F.lower("phrase").alias("phrase")).agg(F.count("*").alias("n"))
+    # bound before it is exploded, as Spark also tests whether it is empty
+    once = df.select(key, F.explode(F.array(found)).alias("found"))
+    return once.select(key, F.explode("found").alias("phrase")).groupBy(key, F.lower("phrase").alias("phrase")).agg(F.count("*").alias("n"))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, tie: str) -> DataFrame:
