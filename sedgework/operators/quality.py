@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,20 +140,41 @@ def align_lines(df: DataFrame, before: str, after: str) -> DataFrame:
     return df.select(*keep, lines(before).alias("__a"), lines(after).alias("__b")).mapInPandas(run, schema)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])))
-def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Runs of equal, removed and added words and spaces that turn one text into the other."""
-    def one(a: str | None, b: str | None) -> list[dict[str, str]]:
-        x, y = re.findall(r"\s+|\S+", a or ""), re.findall(r"\s+|\S+", b or "")
-        out = []
-        for op, i, k, j, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if op == "equal":
-                out.append(("same", "".join(x[i:k])))
-            else:
-                out += [(kind, t) for kind, t in (("removed", "".join(x[i:k])), ("added", "".join(y[j:m]))) if t]
-        return [{"kind": k, "text": t} for k, t in out]
-
-    return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)])
+#: Characters of texts that are compared at once.
+DIFF_CHARS = 500_000
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])))
+def word_diff(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Runs of equal, removed and added words and spaces that turn one text into the other.
+
+    Rows are handed on in parts of a bounded size, as flat columns: a task holds no more of them, however many rows a batch has.
+    """
+    for before, after in batches:
+        sizes = pc.add(*(pc.fill_null(pc.utf8_length(x), 0).cast(pa.int64()) for x in (before, after))).to_pylist()
+        lo = 0
+        while lo < len(sizes):
+            hi, chars = lo + 1, sizes[lo]
+            while hi < len(sizes) and chars + sizes[hi] <= DIFF_CHARS:
+                chars += sizes[hi]
+                hi += 1
+            ends, kinds, texts = [0], [], []
+            for a, b in zip(before.slice(lo, hi - lo).to_pylist(), after.slice(lo, hi - lo).to_pylist(), strict=True):
+                for kind, t in changes(a, b):
+                    kinds.append(kind)
+                    texts.append(t)
+                ends.append(len(kinds))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(texts, pa.string())], names=["kind", "text"]))
+            lo = hi
+
+
+def changes(a: str | None, b: str | None) -> Iterator[tuple[str, str]]:
+    x, y = re.findall(r"\s+|\S+", a or ""), re.findall(r"\s+|\S+", b or "")
+    for op, i, k, j, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        if op == "equal":
+            yield "same", "".join(x[i:k])
+        else:
+            yield from ((kind, t) for kind, t in (("removed", "".join(x[i:k])), ("added", "".join(y[j:m]))) if t)
 
 
 def first_json(raw: str | None, opener: str = "{") -> str | None:
