@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedgework.functions import urls as U
 from sedgework.functions import values as V
+from sedgework.functions.dates import let
 from sedgework.operators.records import joined_notes
 
 NO_URLS = "array<string>"
@@ -45,25 +46,28 @@ def merged(jobs: DataFrame, letters: DataFrame, pairs: DataFrame) -> tuple[DataF
     absorbed record's addresses become former ones of the survivor; the absorbed record goes and its letters follow. Pairs of a record with itself,
     of records that aren't there, and further pairs of a record that is in one already (by the smallest survivor, then absorbed) are left alone.
     """
-    ids = jobs.select("id")
+    # sorted and not broadcast: a compressed column of ids looks small, its hash table is not
+    ids = jobs.select("id").hint("merge")
     real = pairs.where("survivor <> absorbed").join(ids.withColumnRenamed("id", "survivor"), "survivor").join(ids.withColumnRenamed("id", "absorbed"), "absorbed").distinct()
     # a record is in one pair: both sides take their first pair, and a pair holds if both took it
     pair = F.struct("survivor", "absorbed")
     sides = real.select(F.explode(F.array("survivor", "absorbed")).alias("id"), pair.alias("p")).groupBy("id").agg(F.min("p").alias("p"))
     kept = sides.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select("p.*")
-    both = jobs.alias("s").join(kept, F.col("s.id") == F.col("survivor"), "left").join(jobs.alias("a"), F.col("a.id") == F.col("absorbed"), "left")
+    # only pairs are put side by side; records in none go past these joins as they are
+    alone = jobs.join(kept.select(F.explode(F.array("survivor", "absorbed")).alias("id")), "id", "left_anti").select(*jobs.columns)
+    both = kept.join(jobs.alias("s"), F.col("s.id") == F.col("survivor")).join(jobs.alias("a"), F.col("a.id") == F.col("absorbed"))
     kinds = dict(jobs.dtypes)
     s, a = (lambda c: F.col(f"s.`{c}`")), (lambda c: F.col(f"a.`{c}`"))
     fill = lambda c: s(c) if c in V.NOT_FILLED else F.when(missing(s(c), kinds[c]) & ~missing(a(c), kinds[c]), a(c)).otherwise(s(c))
     out = {c: fill(c) for c in jobs.columns}
     if "notes" in kinds:
-        out["notes"] = F.when(F.col("absorbed").isNotNull(), joined_notes(s("notes"), a("notes"))).otherwise(s("notes"))
+        out["notes"] = joined_notes(s("notes"), a("notes"))
     if "alias_urls" in kinds:
         none = F.array().cast(NO_URLS)
         former = F.concat(F.coalesce(s("alias_urls"), none), F.array(a("url")), F.coalesce(a("alias_urls"), none))
-        known = F.array_distinct(F.filter(F.transform(former, U.canonical), lambda u: u.isNotNull() & ~F.coalesce(u == U.canonical(out["url"]), F.lit(False))))
-        out["alias_urls"] = F.when(F.col("absorbed").isNull(), s("alias_urls")).otherwise(F.when(F.size(known) > 0, known))
-    records = both.select(*[c.alias(n) for n, c in out.items()]).join(kept.select(F.col("absorbed").alias("id")), "id", "left_anti").select(*jobs.columns)
+        others = lambda own: F.array_distinct(F.filter(F.transform(former, U.canonical), lambda u: u.isNotNull() & ~F.coalesce(u == own, F.lit(False))))
+        out["alias_urls"] = let(U.canonical(out["url"]), lambda own: let(others(own), lambda known: F.when(F.size(known) > 0, known)))
+    records = both.select(*[c.alias(n) for n, c in out.items()]).unionByName(alone)
     moved = letters.join(kept.select(F.col("absorbed").alias("job_id"), "survivor"), "job_id", "left")
     return records, moved.withColumn("job_id", F.coalesce("survivor", "job_id")).select(*letters.columns)
 
