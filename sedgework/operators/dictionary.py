@@ -1,4 +1,4 @@
-"""Mentions of a dictionary of any size: texts are joined with a table of aliases by their first tokens.
+"""Mentions of a dictionary of any size: texts are joined with a table of aliases by their first tokens, then scanned.
 
 A token is a run of characters between edges (blanks and marks), or one edge. An alias matches where its text stands between edges;
 at each place the longest one counts, and from left to right a place that a match took is taken. Nothing of the dictionary is
