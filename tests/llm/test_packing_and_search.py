@@ -226,6 +226,56 @@ def test_sampling_follows_the_lattice():
         assert abs(len(v) / 3000 - mass[k]) < 0.05
 
 
+def test_draws_without_replacement():
+    """Second and third draws of many seeds follow the segmentations that are left; inclusion scores are unbiased."""
+    lat = sampled_pieces.Lattice(sampled_pieces.vocabulary(), sampled_pieces.Settings())
+    mass = {tuple(ids): math.exp(p) for ids, p, _ in lat.sample("the", 1, 100)}
+    assert len(mass) == 8 and abs(sum(mass.values()) - 1) < 1e-9
+    n = 6000
+    of, nth, log_p, inclusion, size, ids = lat.draw(["the"] * n, list(range(n)), 3)
+    ways = [tuple(x.tolist()) for x in np.split(ids, np.cumsum(size)[:-1])]
+    assert len(ways) == 3 * n and all(len(set(ways[i : i + 3])) == 3 for i in range(0, 3 * n, 3))
+    assert abs(np.exp(log_p - inclusion).sum() / n - 1) < 0.01
+    for draw in (1, 2, 3):
+        for way in mass:
+            before = [x for x in np.ndindex(*[8] * (draw - 1)) if len(set(x)) == draw - 1]
+            keys = list(mass)
+            want = 0.0
+            for x in before:
+                if way not in (taken := [keys[i] for i in x]):
+                    p = mass[way] / (1 - sum(mass[t] for t in taken))
+                    for j, t in enumerate(taken):
+                        p *= mass[t] / (1 - sum(mass[u] for u in taken[:j]))
+                    want += p
+            got = sum(w == way for w, d in zip(ways, nth.tolist(), strict=True) if d == draw) / n
+            assert abs(got - want) < 0.03
+
+
+def test_draws_of_odd_texts():
+    """Texts of few segmentations, of none but one, of runs of spaces and of long words are whole, alone as in a batch."""
+    texts = ["", " ", "a", "1", "漢字" * 50, "  two  runs ", "▁\0 x", "b" * 200, "the cat\nsat. " * 30]
+    lat = sampled_pieces.Lattice(sampled_pieces.vocabulary(), sampled_pieces.Settings())
+    of, _, log_p, inclusion, size, ids = lat.draw(texts, list(range(len(texts))), 3)
+    assert lat.decode_all(ids, size) == [texts[i] for i in of]
+    assert np.bincount(of)[:4].tolist()[0] == 1 and np.bincount(of)[2] == 2 and np.bincount(of)[3] == 1
+    ways = np.split(ids, np.cumsum(size)[:-1])
+    for i, t in enumerate(texts):
+        mine = np.flatnonzero(of == i)
+        assert len({tuple(ways[m].tolist()) for m in mine}) == len(mine)
+        alone = sampled_pieces.Lattice(sampled_pieces.vocabulary(), sampled_pieces.Settings()).sample(t, i, 3)
+        assert [(list(map(int, x)), p, q) for x, p, q in alone] == [(ways[m].tolist(), log_p[m], inclusion[m]) for m in mine]
+
+
+def test_draws_cost_little_noise(monkeypatch):
+    """A draw hashes about once for each piece it takes, not for each edge of the lattice on its way."""
+    text = " ".join(f"segmentation{chr(97 + i % 26)} of several longer words" for i in range(60))
+    lat = sampled_pieces.Lattice(sampled_pieces.vocabulary(), sampled_pieces.Settings())
+    hashed, mix = [], sampled_pieces.mix64
+    monkeypatch.setattr(sampled_pieces, "mix64", lambda x: hashed.append(np.size(x)) or mix(x))
+    drawn = lat.sample(text, 7, 3)
+    assert sum(hashed) < 2 * sum(len(ids) for ids, _, _ in drawn)
+
+
 def linked(spark, calls: list, results: list) -> list:
     df = spark.createDataFrame(calls, "call_id string, name string, arguments string, after array<string>").withColumn("step", F.lit("clash")).withColumn("result", F.lit(0))
     schemas = spark.createDataFrame(tool_calls.REPLY_SCHEMAS + [("all", "o", "object", True, None), ("all", "l", "array", False, None), ("all", "b", "boolean", False, None), ("all", "x", "number", False, 5)], tool_calls.SCHEMA)
