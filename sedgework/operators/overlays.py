@@ -25,9 +25,9 @@ EDIT = {
 
 
 def laid_over(values: Column, edits: Column) -> Column:
-    """A map with the edits' values; an empty value takes the key away."""
+    """A map with the edits' values; an edit's empty value takes the key away, the map's own stay as they are."""
     kept = F.map_filter(values, lambda k, _: ~F.map_contains_key(edits, k))
-    return F.map_filter(F.map_concat(kept, edits), lambda _, v: v.isNull() | (v != ""))
+    return F.map_concat(kept, F.map_filter(edits, lambda _, v: v.isNull() | (v != "")))
 
 
 def edited(value: Column, edits: Column, key: Column) -> Column:
@@ -119,7 +119,7 @@ def applied(records: DataFrame, edits: DataFrame, key: str) -> DataFrame:
 
     Parts that are null or columns that are missing mean nothing of a record or no edit. Order: contact and summary, fields, bullets
     (in order, so that a second edit finds the first one's text), removed bullets, descriptions, skills, added entries and
-    bullets, removed entries. Further columns of records stay; those of edits are not read.
+    bullets, removed entries (none of those that were added). Further columns of records stay; those of edits are not read.
     """
     rows = records.join(edits.select(F.col(key), *[F.col(n.removeprefix("e_")).alias(n) for n in EDIT if n.removeprefix("e_") in edits.columns], F.lit(True).alias("__edited")), key, "left")
     return applied_rows(rows, "__edited").drop("__edited")
@@ -170,6 +170,8 @@ def applied_rows(rows: DataFrame, edited_if: str) -> DataFrame:
         grown[s] = F.concat(whole, F.transform(of_section(F.col("e_added"), s), new))
     pool = F.transform(F.filter(marked, lambda b: b.isNotNull()), lambda b: F.concat(F.lit("• "), b))
     grown["lines"] = F.concat("lines", pool)
+    # numbers are those of the record as it was: none names an entry that was added
+    grown["e_removed"] = F.array_intersect("e_removed", F.flatten(F.array(*[keys_of(F.col(s), s) for s in SECTIONS])))
     rows = rows.withColumns({n: F.when(F.col("__edited"), c).otherwise(F.col(n)) for n, c in grown.items()})
     lost = F.flatten(F.array(*[removed_titles(F.col(s), s, F.col("e_removed")) for s in SECTIONS]))
     left = {s: without_removed(F.col(s), s, F.col("e_removed")) for s in SECTIONS}

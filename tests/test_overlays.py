@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import oracle
 from sedgework import queries
 from sedgework.operators import overlays as O
 
@@ -107,3 +109,21 @@ def test_repeated_customers(spark, tmp_path):
     spark.createDataFrame([(1, 7, "low"), (2, 7, "high"), (3, 6, "low")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     got = sorted((r.c_custkey or 0, r.titles, r.phone, r.lines) for r in queries.QUERIES["applied_overrides"](spark, str(tmp_path)).collect())
     assert got == [(0, "", "b", 0), (6, "Lead", "new", 1), (7, "low|high|Chief", "a", 3), (7, "low|high|Chief", "a", 3)]
+
+
+def test_a_removal_never_takes_an_added_entry(spark):
+    """``experience:1`` of a record of one entry names none, so an entry added behind it stays; a name that is null removes nothing."""
+    records = spark.createDataFrame([(1, [e("Engineer")], ["Chief"])], f"id int, experience array<{O.ENTRY}>, lines array<string>")
+    edits = [(1, [("added:1", "experience", e("Chief"))], ["experience:1", None])]
+    r = O.applied(records, spark.createDataFrame(edits, f"id int, added {O.EDIT['e_added']}, removed array<string>"), "id").first()
+    assert [x.title for x in r.experience] == ["Engineer", "Chief"] and r.lines == ["Chief"]
+
+
+def test_customers_as_in_sql(spark, tmp_path):
+    """A removal that names no order beside an entry added, and customers whose segment is empty."""
+    spark.createDataFrame([(35, "a"), (70, "b"), (105, ""), (11, "")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 35, "low"), (2, 105, "low"), (3, 105, "high"), (4, 11, None)], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert oracle.difference(queries.QUERIES["applied_overrides"](spark, str(tmp_path)), con, queries.SQL["applied_overrides"]) == ""
