@@ -31,7 +31,7 @@ def joined_letter(text: Column) -> Column:
 def tight_letters(text: Column) -> Column:
     """Runs of four single letters or more without the blanks between them."""
     runs = F.array_distinct(F.regexp_extract_all(text, F.lit("(?<!\\p{L})((?:\\p{L} ){3,}\\p{L})(?!\\p{L})"), 1))
-    return F.aggregate(runs, text, lambda t, run: F.replace(t, run, F.replace(run, F.lit(" "), F.lit(""))))
+    return F.when(text.contains(" "), F.aggregate(runs, text, lambda t, run: F.replace(t, run, F.replace(run, F.lit(" "), F.lit(""))))).otherwise(text)
 
 
 def id_text(bullet_id: Column) -> Column:

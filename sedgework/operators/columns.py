@@ -14,26 +14,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from sedgework.functions import dates as T
 from sedgework.functions import labels as L
 from sedgework.functions import values as V
-
-
-def row_starts(ys: Column, gap: float = V.ROW_GAP) -> Column:
-    """Where rows begin in sorted heights: a row takes heights up to ``gap`` below its first."""
-    none = F.array().cast("array<double>")
-    return F.aggregate(ys, none, lambda out, y: F.when((F.size(out) > 0) & (y - F.try_element_at(out, F.lit(-1)) <= gap), out).otherwise(F.concat(out, F.array(y))))
-
-
-def with_rows(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``row``, the number of an item's row on its page (``keys``), from 1. Pages are put together and parted again, not joined."""
-    rest = [c for c in items.columns if c not in keys]
-    whole = items.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("__items"))
-    whole = whole.withColumn("__starts", row_starts(F.array_sort(F.array_distinct(F.transform("__items", lambda i: i["y"].cast("double"))))))
-    each = whole.select(*keys, "__starts", F.explode("__items").alias("__i")).select(*keys, "__starts", "__i.*")
-    return each.withColumn("row", F.size(F.filter("__starts", lambda s: s <= F.col("y")))).select(*items.columns, "row")
+from sedgework.operators.entries import once, sure
 
 
 def null_safe(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -41,6 +27,15 @@ def null_safe(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") ->
     return a.alias("a").join(b.alias("b"), same, how).select("a.*", *[F.col(f"b.{c}") for c in b.columns if c not in on])
 
 
+def row_tops(y: np.ndarray) -> list[float]:
+    """Where rows begin: a row takes heights up to ``ROW_GAP`` below its first."""
+    tops: list[float] = []
+    for at in np.unique(y).tolist():
+        if not tops or not at - tops[-1] <= V.ROW_GAP:
+            tops.append(at)
+    return tops
+
+
 @F.pandas_udf(DoubleType())
 def gutter(xs: pd.Series, ys: pd.Series, widths: pd.Series, pages: pd.Series) -> pd.Series:
     """The middle of each page's gutter, null without one; a page's items are its lists of places."""
@@ -48,10 +43,7 @@ def gutter(xs: pd.Series, ys: pd.Series, widths: pd.Series, pages: pd.Series) ->
 
 
 def page_gutter(x: np.ndarray, y: np.ndarray, width: np.ndarray, page: float) -> float | None:
-    starts: list[float] = []
-    for at in np.unique(y):
-        if not starts or at - starts[-1] > V.ROW_GAP:
-            starts.append(at)
+    starts = row_tops(y)
     if len(x) < V.COLUMN_ITEMS or len(starts) < 2 * V.COLUMN_ROWS:
         return None
     row = np.searchsorted(starts, y, side="right") - 1
@@ -61,10 +53,9 @@ def page_gutter(x: np.ndarray, y: np.ndarray, width: np.ndarray, page: float) ->
         return None
     # a row's items paint the strips that they touch; each strip counts a row once
     a, b = np.maximum(np.floor(x / V.STRIP), low).astype(int) - low, np.minimum(np.floor((x + width) / V.STRIP), high).astype(int) - low
-    on = np.zeros((len(starts), high - low + 2), dtype=int)
-    inside = a <= b
-    np.add.at(on, (row[inside], a[inside]), 1)
-    np.add.at(on, (row[inside], b[inside] + 1), -1)
+    inside, across = a <= b, high - low + 2
+    begun, ended = (np.bincount(row[inside] * across + at[inside], minlength=len(starts) * across) for at in (a, b + 1))
+    on = (begun - ended).reshape(len(starts), across)
     crossed = (np.cumsum(on, axis=1)[:, :-1] > 0).sum(axis=0)
     free = np.concatenate(([False], crossed / len(starts) <= V.GUTTER_COVERAGE, [False])).astype(int)
     edges = np.diff(free)
@@ -75,19 +66,40 @@ def page_gutter(x: np.ndarray, y: np.ndarray, width: np.ndarray, page: float) ->
     if (end[best] - begin[best]) * V.STRIP < page * V.GUTTER_WIDTH:
         return None
     split = (2 * low + begin[best] + end[best] - 1) / 2 * V.STRIP
-    enough = len(np.unique(row[x < split])) >= V.COLUMN_ROWS and len(np.unique(row[x >= split])) >= V.COLUMN_ROWS
+    enough = all(np.count_nonzero(np.bincount(row[side])) >= V.COLUMN_ROWS for side in (x < split, x >= split))
     return float(split) if enough else None
 
 
-def places(items: DataFrame, keys: list[str], *more: Column) -> DataFrame:
-    """A row a page with ``split``, and further aggregates of its items; ``page_width``, where items have it, is the page's."""
-    place = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce(F.col("width"), F.lit(0)).cast("double").alias("width"))
-    wide = F.max(F.col("page_width").cast("double")) if "page_width" in items.columns else F.lit(None).cast("double")
-    return items.groupBy(*keys).agg(F.collect_list(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), place)).alias("__p"), wide.alias("__w"), *more)
+@F.pandas_udf(StructType([StructField("left", IntegerType()), StructField("rows", ArrayType(ArrayType(IntegerType())))]))
+def page_rows(xs: pd.Series, ys: pd.Series, widths: pd.Series, pages: pd.Series, splits: pd.Series) -> pd.DataFrame:
+    """The numbers of the items of each page's rows, from the top, and how many rows are left of its gutter; the others are right of it.
+
+    A page's gutter is found where the page's width is given, else it is ``splits`` (null: none).
+    """
+    out = []
+    for x, y, width, page, split in zip(xs, ys, widths, pages, splits, strict=True):
+        x, y = np.asarray(x, dtype="float64"), np.asarray(y, dtype="float64")
+        at = (None if pd.isna(split) else split) if pd.isna(page) else page_gutter(x, y, np.asarray(width, dtype="float64"), page)
+        right = np.zeros(len(x), dtype=bool) if at is None else ~(x < at)
+        sides = [side_rows(np.flatnonzero(side), y) for side in (~right, right)]
+        out.append((len(sides[0]), sides[0] + sides[1]))
+    return pd.DataFrame(out, columns=["left", "rows"])
+
+
+def side_rows(items: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    if not len(items):
+        return []
+    row = np.searchsorted(row_tops(y[items]), y[items], side="right") - 1
+    items, ends = items[np.argsort(row, kind="stable")].astype("int32"), np.cumsum(np.bincount(row)).tolist()
+    return [items[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def split_of(width: Column) -> Column:
-    return gutter("__p.x", "__p.y", "__p.width", F.when(width > 0, width).otherwise(V.PAGE_WIDTH).cast("double"))
+def page_width(items: DataFrame) -> Column:
+    return F.max(F.col("page_width").cast("double")) if "page_width" in items.columns else F.lit(None).cast("double")
+
+
+def some_width(width: Column) -> Column:
+    return F.when(width > 0, width).otherwise(V.PAGE_WIDTH).cast("double")
 
 
 def column_boundaries(items: DataFrame, pages: DataFrame | None, keys: list[str]) -> DataFrame:
@@ -97,18 +109,12 @@ def column_boundaries(items: DataFrame, pages: DataFrame | None, keys: list[str]
     middle of the page that at most four rows in a hundred paint (of equal ones the first), with four rows on both sides; pages of
     few items have none. Items without a place are left out. A page's items are put together once, and nothing else of them is shuffled.
     """
-    whole = places(items, keys)
+    place = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce(F.col("width"), F.lit(0)).cast("double").alias("width"))
+    whole = items.groupBy(*keys).agg(F.collect_list(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), place)).alias("__p"), page_width(items).alias("__w"))
     if pages is not None:
         widths = pages.select(*keys, F.col("width").cast("double").alias("page_width")).groupBy(*keys).agg(F.max("page_width").alias("page_width"))
         whole = null_safe(whole.drop("__w"), widths, keys, "left").withColumnRenamed("page_width", "__w")
-    return whole.select(*keys, split_of(F.col("__w")).alias("split")).where("split IS NOT NULL")
-
-
-def with_boundaries(items: DataFrame, keys: list[str]) -> DataFrame:
-    """``items`` with their page's ``split`` (null without two columns), without a join."""
-    whole = places(items, keys, F.collect_list(F.struct(*[c for c in items.columns if c not in keys])).alias("__items"))
-    whole = whole.select(*keys, "__items", split_of(F.col("__w")).alias("split"))
-    return whole.select(*keys, "split", F.explode("__items").alias("__i")).select(*keys, "__i.*", "split")
+    return whole.select(*keys, gutter("__p.x", "__p.y", "__p.width", some_width(F.col("__w"))).alias("split")).where("split IS NOT NULL")
 
 
 def layout(pages: DataFrame, boundaries: DataFrame, document: list[str]) -> DataFrame:
@@ -137,46 +143,78 @@ def merged(parts: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(parts, ""), "\\s+", " "))
 
 
+def rows_of_pages(items: DataFrame, boundaries: DataFrame | None, page: list[str]) -> DataFrame:
+    """(page, band, row, items): a row's items by place, of the left band first; ``page`` names the keys of a page."""
+    text = F.coalesce("str", F.lit(""))
+    items = items.select(*page, *[F.col(c).cast("double").alias(c) for c in ("x", "y", "font")], F.coalesce(F.col("width"), F.lit(0)).cast("double").alias("width"), text.alias("str"), L.tight_letters(text).alias("tight"), *(["page_width"] if "page_width" in items.columns else []))
+    # what is read off an item alone is read before the items of a page are put together, and its text is carried twice only where it changes
+    space = F.col("width") / F.greatest(F.length("str"), F.lit(1)) * V.SPACE_SHARE
+    item = F.struct("x", "str", "width", "y", "font", F.when(F.col("tight") != F.col("str"), F.col("tight")).alias("tight"), F.col("tight").rlike("\\s$").alias("ends"), F.col("tight").rlike("^\\s").alias("begins"), (F.col("x") + F.col("width")).alias("end"), space.alias("space"))
+    whole = items.groupBy(*page).agg(F.collect_list(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), item)).alias("__items"), page_width(items).alias("__w"))
+    none = F.lit(None).cast("double")
+    width, split = (some_width(F.col("__w")), none) if boundaries is None else (none, F.col("split").cast("double"))
+    whole = whole if boundaries is None else null_safe(whole, boundaries.select(*page, "split"), page, "left")
+    whole = whole.select(*page, "__items", page_rows("__items.x", "__items.y", "__items.width", width, split).alias("__r"))
+    left = F.col("__r.left")
+    row = lambda at, i: F.struct(
+        (i >= left).cast("int").alias("band"), (i + 1 - F.when(i >= left, left).otherwise(0)).alias("row"), F.sort_array(F.transform(at, lambda k: F.get("__items", k))).alias("items")
+    )
+    return whole.select(*page, F.explode(F.transform("__r.rows", row)).alias("__e")).select(*page, "__e.*")
+
+
+def row_parts(rows: DataFrame) -> DataFrame:
+    """Rows with ``cells`` (how often they are cut) and ``parts`` in the place of ``items``: their pieces by cell, or one part of a row that isn't cut."""
+
+    def piece(s: Column, i: Column) -> Column:
+        last, text = F.get("items", i - 1), F.coalesce(s["tight"], s["str"])
+        apart = (s["x"] - last["end"] > last["space"]) & ~last["ends"] & ~s["begins"]
+        return F.struct(s["x"].alias("x"), s["y"].alias("y"), s["font"].alias("font"), F.when(apart, F.concat(F.lit(" "), text)).otherwise(text).alias("piece"), sure(s["x"] - last["end"] > V.COLUMN_GAP).alias("wide"))
+
+    rows = once(rows, __p=F.transform("items", piece)).drop("items")
+    at = F.array_compact(F.transform("__p", lambda p, i: F.when(p["wide"], i)))
+    rows = once(rows, __at=F.when(F.array_contains("__p.wide", True), at).otherwise(F.array().cast("array<int>")))
+    # a range of dates alone in the last cell belongs to the cell before it
+    tail = merged(F.slice("__p.piece", F.element_at("__at", -1) + 1, F.size("__p")))
+    dated = F.when(F.size("__at") > 0, sure(T.let(tail, lambda t: T.is_lone_range(t)))).otherwise(False)
+    rows = once(rows, __cuts=F.when(dated, F.slice("__at", 1, F.size("__at") - 1)).otherwise(F.col("__at"))).drop("__at")
+    parts = F.transform("__p", lambda p, i: F.struct(F.size(F.filter("__cuts", lambda c: c <= i)).alias("cell"), p["x"].alias("x"), p["y"].alias("y"), p["font"].alias("font"), p["piece"].alias("piece")))
+    return rows.withColumns({"cells": F.size("__cuts"), "parts": F.when(F.size("__cuts") == 0, F.array(F.struct(F.lit(0).alias("cell"), *united(F.col("__p"), "piece")))).otherwise(parts)}).drop("__p", "__cuts")
+
+
+def united(parts: Column, text: str) -> list[Column]:
+    """The place, font and text of some pieces together."""
+    y = F.aggregate(parts["y"], F.lit(0.0), lambda a, y: a + y) / F.size(parts)
+    return [F.array_min(parts["x"]).alias("x"), y.alias("y"), F.array_max(parts["font"]).alias("font"), merged(parts["piece"]).alias(text)]
+
+
 def lines(items: DataFrame, boundaries: DataFrame | None, document: list[str]) -> DataFrame:
     """The lines of documents in reading order: (document, ord, page, band, x, y, font, text, gap).
 
     ``items`` has the document, page, x, y, width, font, str; ``boundaries`` the document, page and split of two-column pages, whose left
     column is read first. A row is cut where a gap is wider than a column's, but a range of dates at its end stays. Two rows or more,
     one under the other, that are so cut are a grid and are read column by column. ``gap`` is the step down from the line above on
-    the page, 0 where there is none. Null texts are empty. Without ``boundaries`` items have their ``split`` themselves. But for boundaries
-    nothing is joined: all windows are of parts of a document, so that items that are dealt by document are not dealt again.
+    the page, 0 where there is none. Null texts are empty. Without ``boundaries`` they are found (in items' ``page_width``, where they have it). A page's
+    items are put together once and parted into rows; windows and the shuffle by document see rows, not items.
     """
     page = [*document, "page"]
-    own = ["split"] if boundaries is None else []
-    items = items.select(*page, *[F.col(c).cast("double").alias(c) for c in ("x", "y")], F.coalesce("width", F.lit(0)).cast("double").alias("width"), F.col("font").cast("double").alias("font"), F.coalesce("str", F.lit("")).alias("str"), *own).where("x is not null and y is not null")
-    items = items if boundaries is None else null_safe(items, boundaries.select(*page, "split"), page, "left")
-    items = items.withColumn("band", F.coalesce((F.col("x") >= F.col("split")).cast("int"), F.lit(0))).drop("split")
     band = [*page, "band"]
-    row = [*band, "row"]
-    items = pieces(with_rows(items, band), row)
-    along = Window.partitionBy(*row).orderBy("x", "str", "width")
-    items = items.withColumn("cell", F.sum(F.coalesce(F.col("gap") > V.COLUMN_GAP, F.lit(False)).cast("int")).over(along))
-    # a range of dates alone in the last cell belongs to the cell before it
-    whole = Window.partitionBy(*row)
-    items = items.withColumn("last", F.max("cell").over(whole))
-    tail = F.transform(F.sort_array(F.collect_list(F.when(F.col("cell") == F.col("last"), F.struct("x", "str", "width", "piece"))).over(whole)), lambda s: s["piece"])
-    dated = (F.col("last") > 0) & F.coalesce(T.is_lone_range(merged(tail)), F.lit(False))
-    items = items.withColumns({"cell": F.when(dated & (F.col("cell") == F.col("last")), F.col("cell") - 1).otherwise(F.col("cell")), "cells": F.when(dated, F.col("last") - 1).otherwise(F.col("last"))})
+    rows = row_parts(rows_of_pages(items, boundaries, page)).repartition(*document)
     # grids: runs of rows with cells
-    items = items.withColumn("cut", F.col("cells") > 0)
-    items = items.withColumn("island", F.col("row") - F.dense_rank().over(Window.partitionBy(*band, "cut").orderBy("row")))
+    rows = rows.withColumn("cut", F.col("cells") > 0)
+    rows = rows.withColumn("island", F.col("row") - F.row_number().over(Window.partitionBy(*band, "cut").orderBy("row")))
     run = Window.partitionBy(*band, "cut", "island")  # its rows follow each other
-    items = items.withColumns({"top": F.min("row").over(run), "deep": F.max("row").over(run) - F.min("row").over(run) + 1})
-    items = items.withColumn("grid", F.when(F.col("cut") & (F.col("deep") >= V.GRID_ROWS), F.col("top"))).drop("top")
-    across = Window.partitionBy(*band, "grid").orderBy("x")
-    jump = F.col("grid").isNotNull() & F.coalesce(F.col("x") - F.lag("x").over(across) > V.COLUMN_GAP, F.lit(False))
-    items = items.withColumn("column", F.sum(jump.cast("int")).over(across))
-    items = items.withColumn("column", F.when(F.col("grid").isNotNull(), F.col("column")).otherwise(0))
-    # in a grid an item's cells are cut again within its column
-    place = [*band, "top", "column", "row", "cell"]
-    items = items.withColumn("top", F.coalesce("grid", "row"))
-    ordered = F.sort_array(F.collect_list(F.struct("x", "str", "width", "piece")))
-    found = items.groupBy(*place).agg(merged(F.transform(ordered, lambda s: s["piece"])).alias("text"), F.min("x").alias("x"), F.avg("y").alias("y"), F.max("font").alias("font"))
+    rows = rows.withColumn("grid", F.when(F.col("cut") & (F.count("*").over(run) >= V.GRID_ROWS), F.min("row").over(run)))
+    rows = rows.withColumn("xs", F.collect_list(F.when(F.col("grid").isNotNull(), F.col("parts.x"))).over(Window.partitionBy(*band, "grid")))
+    rows = once(rows, __xs=F.sort_array(F.flatten("xs"))).drop("xs")
+    jumps = F.filter("__xs", lambda x, i: sure(x - F.get("__xs", i - 1) > V.COLUMN_GAP))
+    rows = once(rows, __jumps=F.coalesce(jumps, F.array().cast("array<double>"))).drop("__xs")
+    # in a grid a row's cells are cut again within its column
+    keyed = F.transform("parts", lambda p: F.struct(F.struct(F.size(F.filter("__jumps", lambda j: j <= p["x"])).alias("column"), p["cell"].alias("cell")).alias("of"), p.alias("p")))
+    rows = once(rows, __k=F.when(F.col("cut"), keyed))
+    place = lambda k: T.let(F.transform(F.filter("__k", lambda z: z["of"] == k), lambda z: z["p"]), lambda g: F.struct(k["column"].alias("column"), k["cell"].alias("cell"), *united(g, "text")))
+    whole = F.transform("parts", lambda p: F.struct(F.lit(0).alias("column"), p["cell"].alias("cell"), p["x"].alias("x"), p["y"].alias("y"), p["font"].alias("font"), p["piece"].alias("text")))
+    cut = F.transform(F.array_distinct(F.col("__k.of")), place)
+    found = rows.select(*band, F.coalesce("grid", "row").alias("top"), "row", F.explode(F.when(F.col("cut"), cut).otherwise(whole)).alias("__l")).select(*band, "top", "row", "__l.*")
     order = Window.partitionBy(*document).orderBy("page", "band", "top", "column", "row", "cell")
     step = F.when(F.lag("page").over(order) == F.col("page"), F.col("y") - F.lag("y").over(order))
     return found.select(*document, (F.row_number().over(order) - 1).alias("ord"), "page", "band", "x", "y", "font", "text", F.when(step > 0, step).otherwise(0.0).alias("gap"))

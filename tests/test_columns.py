@@ -117,3 +117,58 @@ def test_items_are_dealt_once(spark):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") <= most
         assert name == "page_layouts" or "Join" not in plan
+
+
+def test_lines_are_made_of_rows(spark):
+    """Items become rows before anything is windowed: windows, sorts and the shuffle by document never see an item."""
+    from sedgework import queries
+
+    plan = queries.QUERIES["page_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert plan.executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 2
+    logical = plan.optimizedPlan().toString()
+    first = logical[: logical.index("page_rows")]
+    assert "Window" in first and "Window" not in logical[len(first) :] and "RepartitionByExpression" in first and ".items" not in first.split("RepartitionByExpression")[0]
+
+
+def brute_lines(items):
+    """The texts of one page of one column, by a walk over its rows."""
+    rows, out = [], []
+    for it in sorted(items, key=lambda i: i[1]):
+        if rows and it[1] - rows[-1][0][1] <= 3.5:
+            rows[-1].append(it)
+        else:
+            rows.append([it])
+    cut = []
+    for row in rows:
+        row.sort(key=lambda i: (i[0], i[3], i[2]))
+        cells, last = [], None
+        for x, _, width, text in row:
+            if last is None or x - last[0] - last[2] > 50:
+                cells.append([])
+            apart = last is not None and x - last[0] - last[2] > last[2] / max(len(last[3]), 1) * 0.4 and not last[3].endswith(" ") and not text.startswith(" ")
+            cells[-1].append((x, " " * apart + text))
+            last = (x, 0, width, text)
+        cut.append(cells)
+    k = 0
+    while k < len(cut):
+        end = k + 1
+        while len(cut[k]) > 1 and end < len(cut) and len(cut[end]) > 1:
+            end += 1
+        if end - k < 2:
+            out += [[t for _, t in cell] for cell in cut[k]]
+        else:
+            xs = sorted(x for row in cut[k:end] for cell in row for x, _ in cell)
+            starts = [b for a, b in zip(xs, xs[1:], strict=False) if b - a > 50]
+            keyed = [((sum(s <= x for s in starts), r, c), t) for r, row in enumerate(cut[k:end]) for c, cell in enumerate(row) for x, t in cell]
+            out += [[t for key, t in keyed if key == z] for z in sorted({key for key, _ in keyed})]
+        k = end
+    return [" ".join("".join(parts).split()) for parts in out]
+
+
+def test_lines_of_random_pages(spark):
+    """Grids, wide gaps, blanks at ends and empty items against a walk over the rows."""
+    rng = random.Random(5)
+    pages = {f"p{d}": [(rng.choice((40.0, 130.0, 260.0, 420.0)) + rng.randrange(0, 60), rng.randrange(0, 8) * 14.0 + rng.choice((0.0, 1.5, 3.5)), float(rng.randrange(0, 70)), rng.choice(("ab", " c", "d ", "", "two words", "x"))) for _ in range(rng.randrange(1, 29))] for d in range(60)}
+    rows = [(d, 1, x, y, w, 10.0, s) for d, items in pages.items() for x, y, w, s in items]
+    found = C.lines(spark.createDataFrame(rows, ITEMS), None, ["doc"]).orderBy("doc", "ord").collect()
+    assert {d: [r.text for r in found if r.doc == d] for d in pages} == {d: brute_lines(items) for d, items in pages.items()}
