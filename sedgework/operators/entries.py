@@ -73,9 +73,9 @@ def is_running_head(text: Column) -> Column:
     return H.is_page_furniture(text) & text.rlike(V.RUNNING_HEAD)
 
 
-def opens_alone(text: Column) -> Column:
-    """A range and words beside it: a line that opens an entry by itself."""
-    return has_range(text) & (F.trim(F.regexp_replace(T.without_dates(text), V.OPEN_WORD, "")) != "")
+def has_more(text: Column) -> Column:
+    """Whether words are left of a line without its dates: one with a range opens an entry by itself."""
+    return F.trim(F.regexp_replace(T.without_dates(text), V.OPEN_WORD, "")) != ""
 
 
 def margins(rows: DataFrame, keys: list[str], counts: Column | None = None) -> DataFrame:
@@ -100,10 +100,12 @@ def unwrapped_heads(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     all_ = Window.partitionBy(*keys)
     text = F.col("text")
     t = F.trim(text)
-    # what is read off a line alone is computed once
-    rows = once(rows, more=~is_bullet(text) & ~opens_alone(text), whole=has_range(text), before=T.before(text, DATE_START), year=t.rlike("^(?:[0-9]{4}|'[0-9]{2})$"), trimmed_whole=has_range(t))
+    # what is read off a line alone is computed once, and not for bullets, which neither take lines nor are taken; dates have digits
+    rows = once(rows, free=~is_bullet(text))
+    rows = once(rows, whole=F.when(F.col("free"), has_range(text)), before=F.when(F.col("free") & text.rlike("[0-9]"), T.before(text, DATE_START)), year=t.rlike("^(?:[0-9]{4}|'[0-9]{2})$"))
+    rows = once(rows, more=F.col("free") & ~(F.col("whole") & has_more(text)))
     rows = margins(rows, keys).withColumn("narrow", F.max("x").over(all_) - F.min("x").over(all_) <= V.COLUMN_SPREAD)
-    rows = rows.withColumns({"lead": F.trim("before"), "date": F.trim(F.substring(text, F.length("before") + 1, F.length(text))), "right": F.col("wrapped") | F.col("year") | F.col("trimmed_whole")})
+    rows = rows.withColumns({"lead": F.trim("before"), "date": F.trim(F.substring(text, F.length("before") + 1, F.length(text))), "right": F.col("wrapped") | F.col("year") | F.col("whole")})
     ahead = [{c: F.lead(c, k).over(order) for c in ("more", "wrapped", "right", "text")} for k in range(1, most + 1)]
     loose = [sure(a["more"]) for a in ahead]
     tight = [ok & sure(a["wrapped"]) & sure(F.trim(a["text"]) != "") for ok, a in zip(loose, ahead, strict=True)]
@@ -135,7 +137,7 @@ def anchored(rows: DataFrame, keys: list[str], want: Entries) -> DataFrame:
     order = part.orderBy("ord")
     above, below = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     text = F.col("text")
-    shapes = {"dated": is_dated(text), "head": H.is_entry_header(text), "prose": H.is_prose(text), "place": is_place(text), "blank": F.trim(text) == ""}
+    shapes = {"dated": is_dated(text), "head": H.is_entry_header(text), "prose": ~is_bullet(text) & H.is_prose(text), "place": is_place(text), "blank": F.trim(text) == ""}
     if want.anchor == "institution":
         shapes["school"] = H.has_word(text, V.SCHOOL_WORDS)
     elif want.anchor != "date_range":

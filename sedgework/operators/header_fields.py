@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sedgework.functions import shapes as H
 from sedgework.functions import values as V
-from sedgework.operators.entries import sure
+from sedgework.operators.entries import once, sure
 
 FIELDS = ("title", "company", "location", "team")
 #: Points of a part for a field, in the order of FIELDS: by its looks, and by its place among the parts that look like nothing.
@@ -39,11 +39,13 @@ def parts_of(lines: Column) -> Column:
 
 
 def looks(text: Column) -> Column:
-    return F.when(H.is_bare_place(text), "place").when(H.looks_like_title(text), "title").when(H.looks_like_company(text), "company").otherwise("none")
+    """What a part looks like; an employer's word decides against a title, so each pattern is tried at most once."""
+    named = F.when(H.has_word(text, V.COMPANY_WORDS), "company").when(H.has_word(text, V.TITLE_WORDS), "title").when(H.has_word(text, V.SCHOOL_WORDS), "company")
+    return F.when(H.is_bare_place(text), "place").otherwise(named.otherwise("none"))
 
 
-def points(parts: Column, anchor: Column) -> Column:
-    """For each part its points for each field."""
+def points(parts: Column, kinds: Column, anchor: Column) -> Column:
+    """For each part, of the ``kinds`` that they look like, its points for each field."""
     literal = lambda xs: F.array(*[F.lit(x) for x in xs])
     zero = literal((0,) * len(FIELDS))
     table = lambda kind: F.coalesce(*[F.when(kind == k, literal(v)) for k, v in LOOKS.items()])
@@ -52,15 +54,15 @@ def points(parts: Column, anchor: Column) -> Column:
     def one(p: Column, i: Column) -> Column:
         line = F.when(~stacked, zero).when(p["line"] == anchor, literal(ON_ANCHOR)).when(p["line"] < anchor, literal(ABOVE_ANCHOR)).otherwise(zero)
         place = F.when(i == 0, literal(FIRST)).when(i == 1, literal(SECOND)).otherwise(zero)
-        return F.zip_with(F.zip_with(table(looks(p["text"])), line, lambda a, b: a + b), place, lambda a, b: a + b)
+        return F.zip_with(F.zip_with(table(F.get(kinds, i)), line, lambda a, b: a + b), place, lambda a, b: a + b)
 
     return F.transform(parts, one)
 
 
-def assigned(scores: Column, title_first: Column) -> Column:
+def assigned(scores: Column, title_first: Column | None = None) -> Column:
     """The best assignment: for each field the number of its part, or -1, and the sum. Of equal ones the first in order.
 
-    ``title_first`` is the document's order (null: none): a title before (or behind) the employer gets the vote's points.
+    ``title_first`` is the document's order (null or not given: none): a title before (or behind) the employer gets the vote's points.
     """
     options = sorted(set(permutations([*range(MOST_PARTS), *[-1] * len(FIELDS)], len(FIELDS))), key=lambda p: [99 if x < 0 else x for x in p])
     # a part that isn't there is never given: only the assignments of as many parts as there are are tried, in the same order
@@ -68,10 +70,12 @@ def assigned(scores: Column, title_first: Column) -> Column:
     choices = reduce(lambda other, n: F.when(F.size(scores) == n, of_parts[n]).otherwise(other), range(MOST_PARTS), of_parts[MOST_PARTS])
 
     def total(o: Column) -> Column:
-        fields = [F.when(o[k] >= 0, F.coalesce(F.get(F.get(scores, o[k]), F.lit(k)), F.lit(-1000))).otherwise(0) for k in range(len(FIELDS))]
+        fields = [F.coalesce(F.get(F.get(scores, o[k]), F.lit(k)), F.when(o[k] >= 0, -1000).otherwise(0)) for k in range(len(FIELDS))]
+        points = reduce(lambda a, b: a + b, fields)
+        if title_first is None:
+            return points
         both = (o[0] >= 0) & (o[1] >= 0)
-        vote = F.when(sure(both & (title_first == (o[0] < o[1]))), F.lit(VOTE)).otherwise(0)
-        return reduce(lambda a, b: a + b, fields) + vote
+        return points + F.when(sure(both & (title_first == (o[0] < o[1]))), F.lit(VOTE)).otherwise(0)
 
     ranked = F.transform(choices, lambda o, i: F.struct(total(o).alias("sum"), (-i).alias("early"), o.alias("of")))
     return F.array_max(ranked)
@@ -84,16 +88,19 @@ def header_fields(heads: DataFrame, keys: list[str], entry: str = "entry") -> Da
     counts for neither). Parts beyond the sixth, and those that are left over, belong to no field. An equal employer and title are
     only a title. Heads without lines have no fields. Other columns stay.
     """
-    rows = heads.withColumn("__p", F.explode(F.array(parts_of(F.coalesce("header_lines", F.array().cast("array<string>")))))).drop(*FIELDS)
-    rows = rows.withColumn("__s", F.explode(F.array(points(F.col("__p"), F.coalesce("anchor_index", F.lit(-1))))))
-    rows = rows.withColumn("__a", F.explode(F.array(assigned(F.col("__s"), F.lit(None).cast("boolean")))))
-    o = F.col("__a.of")
-    kinds = F.transform("__p", lambda p: looks(p["text"]))
-    known = (o[0] >= 0) & (o[1] >= 0) & ((F.get(kinds, o[0]) == "title") | (F.get(kinds, o[1]) == "company"))
+    rows = once(heads, __p=parts_of(F.coalesce("header_lines", F.array().cast("array<string>")))).drop(*FIELDS)
+    rows = once(rows, __k=F.transform("__p", lambda p: looks(p["text"])))
+    rows = once(rows, __s=points(F.col("__p"), F.col("__k"), F.coalesce("anchor_index", F.lit(-1))))
+    rows = once(rows, __first=assigned(F.col("__s"))["of"])
+    o = F.col("__first")
+    both = (o[0] >= 0) & (o[1] >= 0)
+    known = both & ((F.get("__k", o[0]) == "title") | (F.get("__k", o[1]) == "company"))
     ballot = F.when(sure(known), F.when(o[0] < o[1], 1).otherwise(-1))
-    votes = F.sum(ballot).over(Window.partitionBy(*keys))
-    rows = rows.withColumn("__v", F.when(votes > 0, True).when(votes < 0, False))
-    rows = rows.withColumn("__a", F.explode(F.array(assigned(F.col("__s"), F.col("__v")))))
-    of = lambda k: F.get(F.col("__p"), F.when(F.col("__a.of")[k] >= 0, F.col("__a.of")[k]))["text"]
+    rows = rows.withColumn("__votes", F.sum(ballot).over(Window.partitionBy(*keys)))
+    rows = rows.withColumn("__v", F.when(F.col("__votes") > 0, True).when(F.col("__votes") < 0, False)).drop("__votes")
+    # a vote can only change heads that may be told both ways, and of these not those that go by it already: all that gain by it gain as much
+    open_ = (F.size("__s") > 1) & F.col("__v").isNotNull() & ~(both & (F.col("__v") == (o[0] < o[1])))
+    rows = once(rows, __a=F.when(open_, assigned(F.col("__s"), F.col("__v"))["of"]).otherwise(o))
+    of = lambda k: F.get(F.col("__p"), F.when(F.col("__a")[k] >= 0, F.col("__a")[k]))["text"]
     rows = rows.withColumns({f: of(k) for k, f in enumerate(FIELDS)})
-    return rows.withColumn("company", F.when(F.col("company") != F.col("title"), F.col("company")).when(F.col("title").isNull(), F.col("company"))).drop("__p", "__s", "__a", "__v")
+    return rows.withColumn("company", F.when(F.col("company") != F.col("title"), F.col("company")).when(F.col("title").isNull(), F.col("company"))).drop("__p", "__k", "__s", "__a", "__first", "__v")

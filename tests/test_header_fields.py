@@ -63,3 +63,31 @@ def test_assignments_of_few_parts_are_few(spark):
         best = max(sum(rows[o[k]][k] for k in range(4) if o[k] >= 0) for o in permutations([*range(len(rows)), -1, -1, -1, -1], 4))
         assert got["sum"] == best and max(got["of"]) < len(rows)
     assert str(A.assigned(F.col("s"), F.lit(None).cast("boolean"))).count("size(s)") == A.MOST_PARTS
+
+
+def test_looks_and_votes_are_judged_once(spark):
+    """A part's looks are computed once, and assigned again are only heads that a vote can change."""
+    rows = spark.createDataFrame([("a", 1, ["Engineer"], 0)], "doc string, entry int, header_lines array<string>, anchor_index int")
+    plan = A.header_fields(rows, ["doc"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Technologies") <= 4 and "explode(array(struct(__k" in plan and "ELSE __first" in plan.replace("__once.", "").replace("_once", "")
+
+
+def test_votes_change_what_they_can(spark):
+    """Against a second assignment of every head: random heads, some with votes against their own order."""
+    rng = random.Random(8)
+    words = ["Engineer", "Acme Corp", "Berlin, Germany", "Blue", "Data Analyst", "State University", "TX", "Payments"]
+    heads = [(d, k, [" | ".join(rng.sample(words, rng.randrange(1, 5))) for _ in range(rng.randrange(1, 3))], rng.randrange(-1, 2)) for d in range(25) for k in range(6)]
+    df = spark.createDataFrame(heads, "doc int, entry int, header_lines array<string>, anchor_index int")
+    kinds = F.transform("p", lambda p: A.looks(p["text"]))
+    each = df.withColumn("p", A.parts_of(F.col("header_lines"))).withColumn("k", kinds).withColumn("s", A.points(F.col("p"), F.col("k"), F.col("anchor_index")))
+    first = each.withColumn("o", A.assigned(F.col("s"))["of"]).select("*", (F.get("k", F.get("o", 0)) == "title").alias("t"), (F.get("k", F.get("o", 1)) == "company").alias("c")).collect()
+    votes = {}
+    for r in first:
+        if r.o[0] >= 0 and r.o[1] >= 0 and (r.t or r.c):
+            votes[r.doc] = votes.get(r.doc, 0) + (1 if r.o[0] < r.o[1] else -1)
+    given = spark.createDataFrame([(d, None if not v else v > 0) for d, v in votes.items()], "doc int, v boolean")
+    every = each.join(given, "doc", "left").withColumn("o", A.assigned(F.col("s"), F.col("v"))["of"]).collect()
+    name = lambda r, k: r.p[r.o[k]].text if r.o[k] >= 0 else None
+    want = {(r.doc, r.entry): (name(r, 0), None if name(r, 1) == name(r, 0) else name(r, 1), name(r, 2), name(r, 3)) for r in every}
+    got = {(r.doc, r.entry): (r.title, r.company, r.location, r.team) for r in A.header_fields(df, ["doc"]).collect()}
+    assert got == want and [r.o for r in first] != [r.o for r in sorted(every, key=lambda r: (r.doc, r.entry))]
