@@ -73,7 +73,8 @@ def project_entries(spark, sf):
 @R.query()
 def entry_fields(spark, sf):
     """Title, employer, place and team of every dated entry, by each document's own order."""
-    found = E.entry_blocks(placed_lines(spark, sf), ["doc_id"]).select("doc_id", "entry", "header_lines", "anchor_index")
+    # fields are read off heads: bodies are not put together
+    found = E.entry_blocks(placed_lines(spark, sf), ["doc_id"], E.Entries(body=False)).select("doc_id", "entry", "header_lines", "anchor_index")
     return A.header_fields(found, ["doc_id"]).drop("header_lines")
 
 

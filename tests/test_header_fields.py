@@ -91,3 +91,16 @@ def test_votes_change_what_they_can(spark):
     want = {(r.doc, r.entry): (name(r, 0), None if name(r, 1) == name(r, 0) else name(r, 1), name(r, 2), name(r, 3)) for r in every}
     got = {(r.doc, r.entry): (r.title, r.company, r.location, r.team) for r in A.header_fields(df, ["doc"]).collect()}
     assert got == want and [r.o for r in first] != [r.o for r in sorted(every, key=lambda r: (r.doc, r.entry))]
+
+
+def test_fields_need_no_bodies(spark):
+    """Heads are the same without bodies, and the query puts none together."""
+    from sedgework import queries
+    from sedgework.operators import entries as E
+
+    lines = [("a", k, t, 50.0, 14.0 * k) for k, t in enumerate(["Engineer, Acme", "Jan 2019 - May 2021", "• Built A", "runs on", "• Ran B", "Analyst", "2015 - 2017", "Globex", "• Counted C"])]
+    df = spark.createDataFrame(lines, "doc string, ord int, text string, x double, y double")
+    heads = [sorted((r.entry, tuple(r.header_lines), r.anchor_index) for r in E.entry_blocks(df, ["doc"], E.Entries(body=b)).collect()) for b in (True, False)]
+    assert heads[0] == heads[1] and len(heads[0]) == 2
+    made = lambda name: queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("struct(entry, ")
+    assert made("entry_fields") < made("entry_blocks")
